@@ -28,13 +28,18 @@ def anomaly_sentence(name: Column, way: Column, value: Column) -> Column:
                        F.coalesce(value.cast("string"), F.lit("N/A")))
 
 
+def fixed(value: Column, digits: int) -> Column:
+    """A number with a fixed count of decimals, halves to even, without separators."""
+    return F.replace(F.format_number(value, digits), F.lit(","), F.lit(""))
+
+
 def metric_text(value: Column, unit: Column) -> Column:
     """A metric value as people read it: `$1,234`, `12.3%`, `1.25`, `1,234`."""
     whole = F.format_number(value, 0)
     return (
         F.when(unit == "currency", F.concat(F.lit("$"), whole))
-        .when(unit == "percent", F.format_string("%.1f%%", value))
-        .when(unit == "ratio", F.format_string("%.2f", value))
+        .when(unit == "percent", F.concat(fixed(value, 1), F.lit("%")))
+        .when(unit == "ratio", fixed(value, 2))
         .otherwise(whole)
     )
 
@@ -42,7 +47,7 @@ def metric_text(value: Column, unit: Column) -> Column:
 def change_text(change_percent: Column) -> Column:
     arrow = F.when(change_percent > 0, "↑").when(change_percent < 0, "↓").otherwise("→")
     return F.when(change_percent.isNull(), "—").otherwise(
-        F.concat(arrow, F.lit(" "), F.format_string("%.1f%%", F.abs(change_percent)))
+        F.concat(arrow, F.lit(" "), fixed(F.abs(change_percent), 1), F.lit("%"))
     )
 
 

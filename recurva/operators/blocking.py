@@ -68,17 +68,19 @@ def strategy_keys(records: DataFrame, strategy: Strategy) -> Column:
 
 def key_array(records: DataFrame, strategies: Sequence[Strategy] = STRATEGIES) -> Column:
     """All keys of a record as sorted text `strategy:key`."""
-    parts = [F.transform(strategy_keys(records, s), lambda k, s=s: F.concat(F.lit(f"{s.name}:"), k)) for s in strategies]
-    return F.array_sort(F.concat(*parts))
+    def labelled(strategy: Strategy) -> Column:
+        return F.transform(strategy_keys(records, strategy), lambda k: F.concat(F.lit(f"{strategy.name}:"), k))
+
+    return F.array_sort(F.concat(*map(labelled, strategies)))
 
 
 def block_keys(records: DataFrame, strategies: Sequence[Strategy] = STRATEGIES) -> DataFrame:
     """The block index: one row per record, strategy and key."""
-    tagged = [
-        F.transform(strategy_keys(records, s), lambda k, s=s: F.struct(F.lit(s.name).alias("strategy"), k.alias("key")))
-        for s in strategies
-    ]
-    return with_source(records).select("source_type", "record_id", F.inline(F.concat(*tagged)))
+    def tagged(strategy: Strategy) -> Column:
+        return F.transform(strategy_keys(records, strategy),
+                           lambda k: F.struct(F.lit(strategy.name).alias("strategy"), k.alias("key")))
+
+    return with_source(records).select("source_type", "record_id", F.inline(F.concat(*map(tagged, strategies))))
 
 
 def block_sizes(keys: DataFrame) -> DataFrame:

@@ -7,6 +7,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recurva.functions.labels import fixed
+
 _CHECKED = ("new_mrr", "expansion_mrr", "contraction_mrr", "churn_mrr", "nrr")
 
 
@@ -20,8 +22,9 @@ def mrr_decomposition() -> Column:
     """Reports the movement of MRR; it never fails."""
     new, up, down, gone = (F.col(c) for c in _CHECKED[:4])
     net = new + up - down - gone
-    message = F.format_string("MRR components: new=%.2f, exp=%.2f, contr=%.2f, churn=%.2f, net=%.2f",
-                              new, up, down, gone, net)
+    said = [F.concat(F.lit(f"{label}="), fixed(value, 2))
+            for label, value in (("new", new), ("exp", up), ("contr", down), ("churn", gone), ("net", net))]
+    message = F.concat(F.lit("MRR components: "), F.concat_ws(", ", *said))
     details = F.create_map(F.lit("new"), new, F.lit("expansion"), up, F.lit("contraction"), down, F.lit("churn"), gone)
     return _row("mrr_decomposition_sum", F.lit(True), "error", message, details)
 
@@ -30,7 +33,7 @@ def nrr_range() -> Column:
     """Net retention lies between 0 and 300 percent."""
     passed = (F.col("nrr") >= 0) & (F.col("nrr") <= 300)
     where = F.when(passed, "within").otherwise("outside")
-    message = F.concat(F.format_string("NRR is %.1f%% — ", F.col("nrr")), where, F.lit(" expected range (0-300%)"))
+    message = F.concat(F.lit("NRR is "), fixed(F.col("nrr"), 1), F.lit("% — "), where, F.lit(" expected range (0-300%)"))
     return _row("nrr_range", passed, "warning", message)
 
 
@@ -38,7 +41,7 @@ def quick_ratio_denominator() -> Column:
     """Something was lost, so the quick ratio has a denominator."""
     lost = F.col("contraction_mrr") + F.col("churn_mrr")
     passed = lost > 0
-    message = F.concat(F.format_string("Quick ratio denominator: %.0f", lost), F.when(passed, "").otherwise(" (zero)"))
+    message = F.concat(F.lit("Quick ratio denominator: "), fixed(lost, 0), F.when(passed, "").otherwise(" (zero)"))
     return _row("quick_ratio_positive_denominator", passed, "info", message)
 
 

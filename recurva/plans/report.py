@@ -59,6 +59,6 @@ def metric_report(metrics: DataFrame) -> DataFrame:
 def anomaly_report(anomalies: DataFrame) -> DataFrame:
     """Display columns for anomalies."""
     keys = [c for c in ("tenant_id", "period_date") if c in anomalies.columns]
-    line = F.format_string("%s — %s (severity: %.2f)", F.coalesce("metric_name", "metric_id"),
-                           F.coalesce("direction", F.lit("changed")), F.col("severity"))
+    line = F.concat(F.coalesce("metric_name", "metric_id"), F.lit(" — "), F.coalesce("direction", F.lit("changed")),
+                    F.lit(" (severity: "), labels.fixed(F.col("severity"), 2), F.lit(")"))
     return anomalies.select(*keys, labels.severity_band(F.col("severity")).alias("band"), line.alias("line"))

@@ -9,9 +9,11 @@ from pyspark.sql import types as T
 
 
 def read_stream(spark: SparkSession, path: str, schema: T.StructType, file_format: str = "json",
-                max_files: int | None = None) -> DataFrame:
-    """A stream of the files that arrive below `path`."""
+                file_filter: str | None = None, max_files: int | None = None) -> DataFrame:
+    """A stream of the files that arrive below `path`, all of them or those named like `file_filter`."""
     reader = spark.readStream.schema(schema).format(file_format)
+    if file_filter:
+        reader = reader.option("pathGlobFilter", file_filter)
     if max_files:
         reader = reader.option("maxFilesPerTrigger", max_files)
     return reader.load(path)
