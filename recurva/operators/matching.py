@@ -82,12 +82,12 @@ def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], condition:
                tile_rows: int = TILE_ROWS) -> DataFrame:
     """Equi-join on `on` in which a key with many rows becomes a grid of tiles.
 
-    A key with n rows on its larger side gets t = ceil(n / tile_rows) stripes per side; a left row meets every
+    A key with n rows on both sides gets t = ceil(n / tile_rows) stripes per side; a left row meets every
     right stripe and the other way round, so each pair meets once and no task holds a whole key. Keys are
     counted first: without large ones this is a plain join.
     """
-    counts = left.groupBy(*on).count().unionAll(right.groupBy(*on).count()).where(F.col("count") > tile_rows)
-    hot = counts.groupBy(*on).agg(F.ceil(F.max("count") / tile_rows).cast("int").alias("stripes"))
+    counts = left.select(*on).unionAll(right.select(*on)).groupBy(*on).count().where(F.col("count") > tile_rows)
+    hot = counts.select(*on, F.ceil(F.col("count") / tile_rows).cast("int").alias("stripes"))
     hot_keys = hot.count()
     if hot_keys == 0:
         return left.join(right, list(on)).where(condition)
@@ -108,23 +108,27 @@ def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], condition:
 # --- similar names ------------------------------------------------------------------------------
 
 
-def _numbered_bigrams(text: Column) -> Column:
-    """Two-letter pieces, each with the number of its occurrence, so that sets behave like bags."""
-    pieces = F.when(F.length(text) >= 2, F.transform(F.sequence(F.lit(1), F.length(text) - 1),
-                                                     lambda i: F.substr(text, i, F.lit(2)))).otherwise(F.array())
-    return F.transform(pieces, lambda p, i: F.concat(
-        p, F.size(F.filter(F.slice(pieces, F.lit(1), i + 1), lambda q: q == p)).cast("string")))
+def _bigrams(text: Column) -> Column:
+    """The two-letter pieces of a text, sorted."""
+    pieces = F.transform(F.sequence(F.lit(1), F.length(text) - 1), lambda i: F.substr(text, i, F.lit(2)))
+    return F.sort_array(F.when(F.length(text) >= 2, pieces).otherwise(F.array()))
+
+
+def _numbered(pieces: str) -> Column:
+    """Sorted pieces, each with the number of its occurrence, so that sets behave like bags."""
+    return F.transform(pieces, lambda p, i: F.concat(p, (i + 1 - F.array_position(pieces, p)).cast("string")))
 
 
 def _name_features(names: DataFrame) -> DataFrame:
     words = F.filter(F.split("name", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
-    in_order = names.withColumn("words", words).withColumn("ordered", F.array_join(F.array_sort("words"), " "))
-    return in_order.withColumns({
+    staged = names.withColumn("words", words).withColumn("ordered", F.array_join(F.sort_array("words"), " "))
+    staged = staged.withColumns({"grams": _bigrams(F.col("name")), "ordered_grams": _bigrams(F.col("ordered"))})
+    return staged.withColumns({
         "length": F.length("name"),
         "ordered_length": F.length("ordered"),
         "repeats": F.size(F.array_distinct("words")) < F.size("words"),
-        "grams": _numbered_bigrams(F.col("name")),
-        "ordered_grams": _numbered_bigrams(F.col("ordered")),
+        "grams": _numbered("grams"),
+        "ordered_grams": _numbered("ordered_grams"),
     })
 
 
@@ -159,6 +163,13 @@ def _may_be_similar() -> Column:
     return words | (alike & near) | (~alike & (inside | (shared("grams") >= whole(0.8) * total("length") - 1)))
 
 
+def _compared(pairs: DataFrame) -> DataFrame:
+    """The distinct pairs of names with their similarity. Few bytes mean much work here, so they are spread out."""
+    tasks = int(pairs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    distinct = pairs.select("a_name", "b_name").distinct().repartition(tasks, "a_name", "b_name")
+    return distinct.withColumn("compared", sim.fuzzy_similarity("a_name", "b_name"))
+
+
 def similar_names(nodes: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     """Pairs of distinct names, both ways round, with a similarity of 0.80 or more.
 
@@ -171,8 +182,8 @@ def similar_names(nodes: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
     across = (F.col("a_first") != F.col("b_last")) | (F.col("b_first") != F.col("a_last"))
     found = tiled_join(_side(names, "a", ("link",)), _side(names, "b", ("link",)), ["link"],
                        ordered & across & _may_be_similar(), tile_rows)
-    scored = found.select("a_name", "b_name").distinct().withColumn("similarity", sim.fuzzy_similarity("a_name", "b_name"))
-    close = scored.where(F.col("similarity") >= sim.NAME_FUZZY)
+    compared = _compared(found).withColumnRenamed("compared", "similarity")
+    close = compared.where(F.col("similarity") >= sim.NAME_FUZZY)
     swapped = close.select(F.col("b_name").alias("a_name"), F.col("a_name").alias("b_name"), "similarity")
     return close.unionByName(swapped)
 
@@ -222,8 +233,7 @@ def _scored(pairs: DataFrame) -> DataFrame:
 
 def with_similarity(pairs: DataFrame) -> DataFrame:
     """Add the similarity of `a_name` and `b_name`; each distinct pair of names is compared once."""
-    distinct = pairs.where(F.col("a_name") != F.col("b_name")).select("a_name", "b_name").distinct()
-    compared = distinct.withColumn("compared", sim.fuzzy_similarity("a_name", "b_name"))
+    compared = _compared(pairs.where(F.col("a_name") != F.col("b_name")))
     similarity = F.when(F.col("a_name") == F.col("b_name"), 1.0).otherwise(F.col("compared"))
     return pairs.join(compared, ["a_name", "b_name"], "left").withColumn("similarity", similarity).drop("compared")
 
@@ -298,7 +308,7 @@ def match_pairs(nodes: DataFrame, threshold: float = MATCH_THRESHOLD, tile_rows:
     """
     if threshold <= DOMAIN_ONLY_BEST:
         return _scored(_by_key(nodes, threshold, tile_rows))
-    names = similar_names(nodes, tile_rows)
+    names = checkpointed(similar_names(nodes, tile_rows))
     found = _by_name(nodes, names, threshold, tile_rows)
     return _scored(found.unionByName(_by_address(nodes, names, threshold, tile_rows)))
 
