@@ -162,7 +162,8 @@ def a6(spark, folder):
 def monthly(spark, folder, metric_ids=None):
     flags = subscriptions(spark, folder)
     registry = CORE_METRICS if metric_ids is None else metric_pack(metric_ids)
-    return ops.compute_metrics(flags, KEYS, registry, metric_inputs(flags))
+    needs_inputs = any(name not in registry for m in registry.values() for name in m.inputs)
+    return ops.compute_metrics(flags, KEYS, registry, metric_inputs(flags) if needs_inputs else None)
 
 
 def with_lag(spark, folder):

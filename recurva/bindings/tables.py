@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from recurva.operators.periods import formula_inputs, period_flags, subscription_periods
+from recurva.operators.periods import formula_inputs, subscription_flags
 from recurva.operators.series import daily_series
 from recurva.sources.envelope import unite
 
@@ -45,7 +45,7 @@ def subscription_history(spark: SparkSession, folder: str) -> DataFrame:
 
 def subscriptions(spark: SparkSession, folder: str) -> DataFrame:
     """Subscription periods with all flags: the entities of the metrics."""
-    return period_flags(subscription_periods(subscription_history(spark, folder)))
+    return subscription_flags(subscription_history(spark, folder))
 
 
 def metric_inputs(flags: DataFrame) -> DataFrame:

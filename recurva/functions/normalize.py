@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import re
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,8 +22,10 @@ def email_domain(email: Column) -> Column:
 def company_key(name: Column) -> Column:
     """Lower-case name without legal-form endings, punctuation and repeated blanks."""
     key = F.lower(strip(F.coalesce(name, F.lit(""))))
-    for ending in COMPANY_ENDINGS:
-        key = F.regexp_replace(key, re.escape(ending) + r"\z", "")
+    key = F.aggregate(
+        F.array(*map(F.lit, COMPANY_ENDINGS)), key,
+        lambda text, ending: F.when(F.endswith(text, ending), F.left(text, F.length(text) - F.length(ending))).otherwise(text),
+    )
     key = F.regexp_replace(key, r"(?U)[^a-z0-9\s]", "")
     return strip(F.regexp_replace(key, r"(?U)\s+", " "))
 

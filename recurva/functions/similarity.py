@@ -102,14 +102,24 @@ def amount_method(a: Column, b: Column, unreadable: Column, tolerance: float = 0
     )
 
 
-def total_score(email: Column, name: Column, temporal: Column, amount: Column) -> Column:
-    return F.round(
+def weighted_sum(email: Column, name: Column, temporal: Column, amount: Column) -> Column:
+    return (
         email * WEIGHTS["email"] + name * WEIGHTS["company_name"]
-        + temporal * WEIGHTS["temporal"] + amount * WEIGHTS["amount"],
-        4,
+        + temporal * WEIGHTS["temporal"] + amount * WEIGHTS["amount"]
     )
 
 
+def total_score(email: Column, name: Column, temporal: Column, amount: Column) -> Column:
+    """Weighted sum with four decimals, rounded by its exact binary value and not by its decimal print."""
+    return F.format_number(weighted_sum(email, name, temporal, amount), 4).cast("double")
+
+
+def reaches(threshold: float, email: Column, name: Column, temporal: Column, amount: Column) -> Column:
+    """Whether the total score reaches a threshold; sums well below it are not rounded first."""
+    close = weighted_sum(email, name, temporal, amount) >= threshold - 1e-4
+    return close & (total_score(email, name, temporal, amount) >= threshold)
+
+
 # --- fuzzy name ratio -------------------------------------------------------------------------
 # Spark has no weighted fuzzy ratio, so distinct name pairs go through one Arrow UDF.
 

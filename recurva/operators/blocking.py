@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 
 from recurva.functions.coerce import field_values
 from recurva.functions.normalize import company_key, email_domain, phone_key
+from recurva.session import checkpointed
+
+IDENTITY = ("source_type", "record_id")
 
 
 @dataclass(frozen=True)
@@ -43,18 +46,29 @@ def with_source(records: DataFrame) -> DataFrame:
     })
 
 
+def _newest(rows: DataFrame) -> DataFrame:
+    """An aggregate and not a window, so that copies of one id are combined before the shuffle."""
+    rank = [F.col(c) for c in ("extracted_at", "record_hash") if c in rows.columns]
+    if "record_hash" not in rows.columns:
+        rank.append(F.md5(F.to_json(F.struct(*[c for c in rows.columns if c != "extracted_at"]))))
+    rest = [c for c in rows.columns if c not in IDENTITY]
+    newest = rows.groupBy(*IDENTITY).agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("newest"))
+    return newest.select(*IDENTITY, "newest.*").select(*rows.columns)
+
+
 def latest_records(records: DataFrame) -> DataFrame:
     """One row per (source, id): the newest by `extracted_at`, then by `record_hash`.
 
-    An aggregate and not a window, so that copies of one id are combined before the shuffle.
+    Ids that occur twice are found first, by ids alone. Only their rows are shuffled as a whole; without any
+    the records come back as they are.
     """
     rows = with_source(records)
-    rank = [F.col(c) for c in ("extracted_at", "record_hash") if c in rows.columns]
-    if "record_hash" not in rows.columns:
-        rank.append(F.md5(F.to_json(F.struct(*[c for c in rows.columns if c != "extracted_at"]))))
-    rest = [c for c in rows.columns if c not in ("source_type", "record_id")]
-    newest = rows.groupBy("source_type", "record_id").agg(F.max_by(F.struct(*rest), F.struct(*rank)).alias("newest"))
-    return newest.select("source_type", "record_id", "newest.*").select(*rows.columns)
+    repeated = checkpointed(rows.groupBy(*IDENTITY).count().where(F.col("count") > 1).select(*IDENTITY))
+    if repeated.isEmpty():
+        return rows
+    keys = list(IDENTITY)
+    single = rows.join(repeated, keys, "left_anti")
+    return single.unionByName(_newest(rows.join(repeated, keys, "left_semi").select(*rows.columns)))
 
 
 def strategy_keys(records: DataFrame, strategy: Strategy) -> Column:

@@ -32,22 +32,22 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(low.withColumnRenamed("smallest", "v")).distinct()
 
 
-def _fingerprint(edges: DataFrame) -> tuple:
-    digest = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    return tuple(edges.agg(F.count(F.lit(1)), digest).first())
+def _settled(edges: DataFrame) -> bool:
+    """Whether the edges form stars: every node points to one centre, and centres point nowhere."""
+    ends = edges.select(F.col("u").alias("node"), F.lit(1).alias("points")).unionAll(
+        edges.select(F.col("v").alias("node"), F.lit(0).alias("points")))
+    seen = ends.groupBy("node").agg(F.sum("points").alias("points"), F.min("points").alias("centre"))
+    return seen.where((F.col("points") > 1) | ((F.col("points") > 0) & (F.col("centre") == 0))).isEmpty()
 
 
 def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
     """`node, cluster_id` for every node with an edge; the cluster is named after its smallest node."""
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
-    stars = checkpointed(edges.select(u, v).where(F.col("u") != F.col("v")).distinct())
-    seen = _fingerprint(stars)
+    stars = edges.select(u, v).where(F.col("u") != F.col("v")).distinct()
     for _ in range(max_rounds):
         stars = checkpointed(_small_star(_large_star(stars)))
-        now = _fingerprint(stars)
-        if now == seen:
+        if _settled(stars):
             break
-        seen = now
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     members = stars.select(F.col("u").alias("node"), F.col("v").alias("cluster_id"))
@@ -55,17 +55,18 @@ def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100
 
 
 def cluster_confidence(pairs: DataFrame, components: DataFrame) -> DataFrame:
-    """Highest and mean score of all pairs of a cluster; a pair counts once per copy on either side."""
+    """Highest and mean score of all pairs of a cluster; a pair counts once per copy on either side.
+
+    Pairs may carry the cluster of their side `a` as `a_cluster_id`; then they go straight into the aggregate.
+    """
+    if "a_cluster_id" not in pairs.columns:
+        placed = components.select(F.col("node").alias("a_node"), F.col("cluster_id").alias("a_cluster_id"))
+        pairs = pairs.join(placed, "a_node")
     weight = F.col("a_copies") * F.col("b_copies")
-    return (
-        pairs.select(F.col("a_node").alias("node"), "total_score", weight.alias("weight"))
-        .join(components, "node")
-        .groupBy("cluster_id")
-        .agg(
-            F.max("total_score").alias("max_confidence"),
-            (F.sum(F.col("total_score") * F.col("weight")) / F.sum("weight")).alias("avg_confidence"),
-            F.sum("weight").alias("pairs"),
-        )
+    return pairs.groupBy(F.col("a_cluster_id").alias("cluster_id")).agg(
+        F.max("total_score").alias("max_confidence"),
+        (F.sum(F.col("total_score") * weight) / F.sum(weight)).alias("avg_confidence"),
+        F.sum(weight).alias("pairs"),
     )
 
 

@@ -36,9 +36,7 @@ def forest_scores(points: np.ndarray, seed: int, trees: int = 100, sample: int =
     rng = np.random.default_rng(seed)
     n, width = points.shape
     drawn = min(sample, n)
-    used = np.zeros((trees, n), dtype=bool)
-    for t in range(trees):
-        used[t, rng.permutation(n)[:drawn]] = True
+    used = np.argsort(rng.random((trees, n)), axis=1) < drawn if drawn < n else np.ones((trees, n), dtype=bool)
     node = np.repeat(np.arange(trees)[:, None], n, axis=1)
     depth = np.zeros((trees, n))
     open_ = np.ones((trees, n), dtype=bool)
@@ -76,6 +74,11 @@ def _last_is_outlier(scores: np.ndarray, contamination: float) -> bool:
     return bool(scores[-1] < np.percentile(scores, 100.0 * contamination))
 
 
+def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Rows placed by key on all shuffle partitions: a forest is much work for few bytes."""
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[name] for name in names]
 
@@ -113,7 +116,7 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
         T.StructField("direction", T.StringType()),
         T.StructField("context", T.MapType(T.StringType(), T.DoubleType())),
     ])
-    enough = series.withColumn("points", F.count("value").over(Window.partitionBy(*names)))
+    enough = _spread(series, names).withColumn("points", F.count("value").over(Window.partitionBy(*names)))
     ready = enough.where(F.col("points") > MIN_HISTORY).select(*names, "period_date", "value")
     return ready.groupBy(*names).applyInPandas(judge, schema)
 
@@ -155,7 +158,7 @@ def detect_joint_forest(series: DataFrame, keys: Sequence[str] = (), contaminati
         T.StructField("involved_metrics", T.ArrayType(T.StringType())),
         T.StructField("current_values", T.MapType(T.StringType(), T.DoubleType())),
     ])
-    hits = placed.select(*group, "position", "metric_id", "period_date", "value").groupBy(*group)
+    hits = _spread(placed.select(*group, "position", "metric_id", "period_date", "value"), group).groupBy(*group)
     zero = F.lit(0.0)
     return hits.applyInPandas(judge, schema).select(
         *keys,

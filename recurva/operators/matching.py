@@ -6,6 +6,7 @@ must have: the same domain with an equal or similar name, or the same address wi
 
 Records that look alike to the scores are collapsed first, so copies cost nothing; `copies` keeps their
 number. Keys with many rows are cut into tiles that go to different tasks. Nothing is capped or dropped.
+Clusters need links and not the list of all matches; `match_links` gives as many as there are nodes.
 """
 
 from __future__ import annotations
@@ -30,6 +31,7 @@ AMOUNT_FIELDS = ("mrr", "amount", "revenue", "plan_amount")
 MATCH_THRESHOLD = 0.50
 REVIEW_LIMIT = 0.70
 DOMAIN_ONLY_BEST = 0.48
+EQUAL_NAME_SCORE = 0.53
 TOLERANCE_DAYS = 3
 TILE_ROWS = 4096
 BROADCAST_KEYS = 100_000
@@ -79,13 +81,15 @@ def _side(nodes: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], condition: Column,
-               tile_rows: int = TILE_ROWS) -> DataFrame:
+               tile_rows: int | None = TILE_ROWS) -> DataFrame:
     """Equi-join on `on` in which a key with many rows becomes a grid of tiles.
 
     A key with n rows on both sides gets t = ceil(n / tile_rows) stripes per side; a left row meets every
     right stripe and the other way round, so each pair meets once and no task holds a whole key. Keys are
-    counted first: without large ones this is a plain join.
+    counted first: without large ones, or with None for the tiles, this is a plain join.
     """
+    if tile_rows is None:
+        return left.join(right, list(on)).where(condition)
     counts = left.select(*on).unionAll(right.select(*on)).groupBy(*on).count().where(F.col("count") > tile_rows)
     hot = counts.select(*on, F.ceil(F.col("count") / tile_rows).cast("int").alias("stripes"))
     hot_keys = hot.count()
@@ -170,7 +174,7 @@ def _compared(pairs: DataFrame) -> DataFrame:
     return distinct.withColumn("compared", sim.fuzzy_similarity("a_name", "b_name"))
 
 
-def similar_names(nodes: DataFrame, tile_rows: int = TILE_ROWS) -> DataFrame:
+def similar_names(nodes: DataFrame, tile_rows: int | None = TILE_ROWS) -> DataFrame:
     """Pairs of distinct names, both ways round, with a similarity of 0.80 or more.
 
     Only names that occur under one link (e-mail domain) in different sources are compared, once per link.
@@ -200,13 +204,12 @@ def _b(name: str) -> Column:
 
 
 def _scores() -> dict[str, Column]:
-    """The four scores of a pair and their weighted total, from the columns of both sides."""
+    """The four scores of a pair, from the columns of both sides."""
     email = sim.score_email(_a("email"), _b("email"))
     name = sim.name_score(F.coalesce("similarity", F.lit(0.0)))
     temporal = sim.score_temporal(_a("micros"), _b("micros"), _a("zoned") == _b("zoned"), TOLERANCE_DAYS)
     amount = sim.score_amount(_a("amount"), _b("amount"))
-    return {"email_score": email, "name_score": name, "temporal_score": temporal, "amount_score": amount,
-            "total_score": sim.total_score(email, name, temporal, amount)}
+    return {"email_score": email, "name_score": name, "temporal_score": temporal, "amount_score": amount}
 
 
 def _evidence() -> Column:
@@ -228,7 +231,10 @@ _PAIR = ("a_source_type", "a_record_id", "b_source_type", "b_record_id", "a_node
 
 
 def _scored(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumns(_scores()).withColumn("evidence", _evidence()).select(*_PAIR)
+    cluster = [c for c in pairs.columns if c == "a_cluster_id"]
+    scores = _scores()
+    scored = pairs.withColumns({**scores, "total_score": sim.total_score(*scores.values())})
+    return scored.withColumn("evidence", _evidence()).select(*_PAIR, *cluster)
 
 
 def with_similarity(pairs: DataFrame) -> DataFrame:
@@ -254,21 +260,26 @@ def _candidates(threshold: float) -> Column:
     """The sides differ in source, share a blocking key, and score enough."""
     return (
         (_a("source_rank") < _b("source_rank")) & F.arrays_overlap("a_keys", "b_keys")
-        & (_scores()["total_score"] >= threshold)
+        & sim.reaches(threshold, *_scores().values())
     )
 
 
-def _by_name(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
-    """Matches of one link with equal or similar names."""
+def _by_name(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: int | None,
+             only: Column | None = None) -> DataFrame:
+    """Matches of one link with equal or similar names; of those, only the ones asked for."""
     named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
-    a, b = _side(named, "a", ("link",)), _side(named, "b", ("link",)).withColumn("other", _b("name"))
+    a = _side(named, "a", ("link",)).withColumn("a_link", F.col("link"))
+    b = _side(named, "b", ("link",)).withColumn("other", _b("name"))
     same = a.withColumns({"other": _a("name"), "similarity": F.lit(1.0)})
     close = a.join(names.withColumnRenamed("b_name", "other"), "a_name")
-    found = tiled_join(same.unionByName(close), b, ["link", "other"], _candidates(threshold), tile_rows)
-    return found.drop("link", "other")
+    reach = same.unionByName(close)
+    if only is not None:
+        reach = reach.where(only)
+    found = tiled_join(reach, b, ["link", "other"], _candidates(threshold), tile_rows)
+    return found.drop("link", "other", "a_link")
 
 
-def _by_address(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
+def _by_address(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: int | None) -> DataFrame:
     """Matches of one address with unlike names.
 
     They need a date within the tolerance, so the span of days is part of the join: two such dates lie in
@@ -284,7 +295,7 @@ def _by_address(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows:
     return found.drop("address", "span").join(names.select("a_name", "b_name"), ["a_name", "b_name"], "left_anti")
 
 
-def _by_key(nodes: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
+def _by_key(nodes: DataFrame, threshold: float, tile_rows: int | None) -> DataFrame:
     """Matches below the usual thresholds, where any shared key can lead to one.
 
     A pair is taken at the smallest key it shares, and only if it would reach the threshold with equal names.
@@ -294,21 +305,45 @@ def _by_key(nodes: DataFrame, threshold: float, tile_rows: int) -> DataFrame:
     at_best = F.when(_a("name").isNotNull() & _b("name").isNotNull(), 1.0).otherwise(0.0)
     first = F.array_min(F.array_intersect("a_keys", "b_keys")) == F.col("key")
     hopeful = a.withColumn("similarity", F.lit(None).cast("double"))
-    scores = _scores()
-    best = sim.total_score(scores["email_score"], at_best, scores["temporal_score"], scores["amount_score"])
-    condition = (_a("source_rank") < _b("source_rank")) & first & (best >= threshold)
+    best = {**_scores(), "name_score": at_best}
+    condition = (_a("source_rank") < _b("source_rank")) & first & sim.reaches(threshold, *best.values())
     found = tiled_join(hopeful, b, ["key"], condition, tile_rows).drop("key", "similarity")
-    return with_similarity(found).where(_scores()["total_score"] >= threshold)
+    return with_similarity(found).where(sim.reaches(threshold, *_scores().values()))
+
+
+def needed_tiles(nodes: DataFrame, tile_rows: int | None) -> int | None:
+    """`tile_rows` if a key of any of the joins can need tiles, else None.
+
+    The keys are links or parts of links, and a node adds at most one row to either side of a key.
+    """
+    if tile_rows is None:
+        return None
+    sizes = nodes.where(F.col("link").isNotNull()).groupBy("link").count()
+    return None if sizes.where(2 * F.col("count") > tile_rows).isEmpty() else tile_rows
+
 
+def _is_domain(link: Column, email: Column) -> Column:
+    """Nodes of one domain share a blocking key; those of an address without a domain may not."""
+    return link != email
 
-def match_pairs(nodes: DataFrame, threshold: float = MATCH_THRESHOLD, tile_rows: int = TILE_ROWS) -> DataFrame:
+
+def _sure(similarity: Column, threshold: float) -> Column:
+    """The scores of a shared domain and of names this similar reach the threshold by themselves."""
+    zero = F.lit(0.0)
+    return sim.total_score(F.lit(0.8), sim.name_score(similarity), zero, zero) >= threshold
+
+
+def match_pairs(nodes: DataFrame, threshold: float = MATCH_THRESHOLD, tile_rows: int | None = TILE_ROWS,
+                names: DataFrame | None = None) -> DataFrame:
     """All pairs of nodes of different sources that share a blocking key and reach the threshold.
 
-    Read more than once, so hand in nodes that are cheap to read, such as checkpointed ones.
+    Reads the nodes more than once, so hand in checkpointed ones; `names` are their `similar_names`, if known.
     """
     if threshold <= DOMAIN_ONLY_BEST:
         return _scored(_by_key(nodes, threshold, tile_rows))
-    names = checkpointed(similar_names(nodes, tile_rows))
+    tile_rows = needed_tiles(nodes, tile_rows)
+    if names is None:
+        names = checkpointed(similar_names(nodes, tile_rows))
     found = _by_name(nodes, names, threshold, tile_rows)
     return _scored(found.unionByName(_by_address(nodes, names, threshold, tile_rows)))
 
@@ -320,6 +355,35 @@ def match_records(records: DataFrame, threshold: float = MATCH_THRESHOLD, source
     return match_pairs(nodes, threshold, tile_rows)
 
 
+def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THRESHOLD,
+                tile_rows: int | None = TILE_ROWS) -> DataFrame:
+    """Links `a_node, b_node` with the same connected components as the matches, without listing them all.
+
+    All nodes of one domain and one name match across sources whatever their dates and amounts, if the score
+    of domain and name reaches the threshold by itself. Such a group takes one link per node, to its first
+    node, and two groups with names similar enough take one link between their first nodes. Only pairs that
+    also need a date or an amount are listed.
+    """
+    domain = _is_domain(F.col("link"), F.col("email"))
+    named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
+    groups = named.where(domain).groupBy("link", "name").agg(
+        F.min("node").alias("hub"), F.min("source_rank").alias("first"), F.max("source_rank").alias("last"))
+    sure = names.where(_sure(F.col("similarity"), threshold))
+    sides = groups.select("link", F.col("name").alias("a_name"), F.col("hub").alias("a_node"), "first", "last")
+    others = groups.select("link", F.col("name").alias("b_name"), F.col("hub").alias("b_node"),
+                           F.col("first").alias("other_first"), F.col("last").alias("other_last"))
+    across = F.least("first", "other_first") != F.greatest("last", "other_last")
+    between = sides.join(sure, "a_name").join(others, ["link", "b_name"]).where(across)
+    linked = between.select("link", F.col("a_name").alias("name"))
+    if threshold <= EQUAL_NAME_SCORE:
+        linked = linked.unionByName(groups.where(F.col("first") != F.col("last")).select("link", "name"))
+    joined = groups.join(linked.distinct(), ["link", "name"]).select("link", "name", "hub")
+    within = named.where(domain).join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
+    unsure = ~(_is_domain(_a("link"), _a("email")) & _sure(F.col("similarity"), threshold))
+    listed = _by_name(nodes, names, threshold, tile_rows, unsure).unionByName(_by_address(nodes, names, threshold, tile_rows))
+    return between.select("a_node", "b_node").unionByName(within).unionByName(listed.select("a_node", "b_node"))
+
+
 def review_pairs(pairs: DataFrame, low: float = MATCH_THRESHOLD, high: float = REVIEW_LIMIT) -> DataFrame:
     """Pairs that match but should be looked at before they are merged."""
     return pairs.where((F.col("total_score") >= low) & (F.col("total_score") < high))

@@ -12,6 +12,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recurva.session import checkpointed
+
 TENANT, CUSTOMER, SUBSCRIPTION, PERIOD = "tenant_id", "customer_entity_id", "subscription_id", "period_date"
 
 
@@ -76,6 +78,14 @@ def period_flags(periods: DataFrame, grain: str = "month") -> DataFrame:
     })
 
 
+def subscription_flags(history: DataFrame, grain: str = "month") -> DataFrame:
+    """Subscription periods with their flags, checkpointed.
+
+    Metrics and formula inputs read this table several times; the raw history is read once.
+    """
+    return checkpointed(period_flags(checkpointed(subscription_periods(history, grain)), grain))
+
+
 def previous_mrr(flags: DataFrame, grain: str = "month", keys: Sequence[str] = (TENANT,)) -> DataFrame:
     """`mrr_previous` per key and period: the MRR of the period right before, NULL where that has none."""
     mrr = flags.groupBy(*keys, PERIOD).agg(

@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from recurva.operators import clustering, golden
 from recurva.operators.blocking import latest_records, with_source
-from recurva.operators.matching import MATCH_THRESHOLD, TILE_ROWS, match_nodes, match_pairs, record_profiles
+from recurva.operators.matching import (
+    DOMAIN_ONLY_BEST, MATCH_THRESHOLD, TILE_ROWS, match_links, match_nodes, match_pairs, needed_tiles, record_profiles, similar_names,
+)
 from recurva.session import checkpointed
 
 
@@ -40,20 +42,29 @@ def resolve_entities(records: DataFrame, threshold: float = MATCH_THRESHOLD, sou
     Records in no cluster stay as entities of their own; with a single source that is all of them. Say
     `unique_ids` where every (source, id) occurs once, to save the pass that keeps the newest copy.
 
-    The narrow matching columns, the matches and the members are checkpointed, as several steps read them;
-    the records themselves are not.
+    The narrow matching columns, the similar names and the members are checkpointed, as several steps read
+    them; the records themselves are not, and neither is the list of matches: clusters come from links, and the
+    scores go straight into the confidence of each cluster.
     """
     latest = with_source(records) if unique_ids else latest_records(records)
     profiles = checkpointed(record_profiles(latest, source_order))
     nodes = checkpointed(match_nodes(profiles))
-    pairs = checkpointed(match_pairs(nodes, threshold, tile_rows))
-    components = clustering.connected_components(pairs, "a_node", "b_node")
-    confidence = clustering.cluster_confidence(pairs, components)
+    if threshold > DOMAIN_ONLY_BEST:
+        tiles = needed_tiles(nodes, tile_rows)
+        names = checkpointed(similar_names(nodes, tiles))
+        links = match_links(nodes, names, threshold, tiles)
+    else:
+        tiles, names = tile_rows, None
+        links = match_pairs(nodes, threshold, tiles)
+    components = clustering.connected_components(links, "a_node", "b_node")
+    placed = checkpointed(nodes.join(components, "node"))
+    pairs = match_pairs(placed, threshold, tiles, names)
+    confidence = checkpointed(clustering.cluster_confidence(pairs, components))
     members = checkpointed(clustering.cluster_members(profiles, nodes, components))
     merged = golden.golden_records(members, latest, confidence)
     return Resolution(
         entities=merged.unionByName(golden.unmatched_records(latest, members)),
         lineage=golden.lineage(members, profiles),
         clusters=confidence,
-        pairs=pairs,
+        pairs=pairs.drop("a_cluster_id"),
     )

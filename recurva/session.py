@@ -6,7 +6,7 @@ import functools
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 
 def build_session(app: str = "recurva", master: str | None = None, **conf: str) -> SparkSession:
@@ -46,15 +46,17 @@ def _local_folder() -> str:
     return tempfile.mkdtemp(prefix="recurva-")
 
 
-def checkpointed(df):
-    """`df` with its lineage cut by a reliable checkpoint in the shared folder."""
-    spark = df.sparkSession
-    folder = shared_folder(spark)
-    if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+def checkpointed(df: DataFrame) -> DataFrame:
+    """`df` written as a table to the shared folder and read back, which cuts its lineage.
+
+    It survives the loss of executors, later steps read only the columns they need, and its size is known, so
+    that Spark chooses joins by it.
+    """
+    path = scratch_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{shared_folder(spark).rstrip('/')}/{label}-{uuid.uuid4().hex}"
+    """A new path below the shared folder, in a folder of the application that can go when it is done."""
+    return f"{shared_folder(spark).rstrip('/')}/{spark.sparkContext.applicationId}/{label}-{uuid.uuid4().hex}"

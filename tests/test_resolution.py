@@ -168,6 +168,22 @@ def test_components(spark, shape):
     assert found == union_find(edges)
 
 
+@pytest.mark.parametrize("threshold, tile_rows", [(0.5, 4096), (0.5, 3), (0.52, 4096), (0.55, 4096), (0.7, 4096), (0.4, 4096)])
+def test_clusters_equal_components_of_all_matches(spark, threshold, tile_rows):
+    rows = noisy(int(threshold * 1000), 90)
+    result = resolve_entities(records(spark, rows), threshold, tile_rows=tile_rows)
+    matches = brute_force(rows, threshold)
+    clusters = union_find(matches)
+    found = {f"{r['source_type']}:{r['record_id']}": r["entity_id"] for r in result.lineage.collect()}
+    assert {k: found[k] for k in clusters} == clusters
+    assert all(found[k] == k for k in found if k not in clusters)
+    expected = {}
+    for (a, _), score in matches.items():
+        expected.setdefault(clusters[a], []).append(score)
+    confidence = {r["cluster_id"]: (r["max_confidence"], round(r["avg_confidence"], 9), r["pairs"]) for r in result.clusters.collect()}
+    assert confidence == {k: (max(v), round(sum(v) / len(v), 9), len(v)) for k, v in expected.items()}
+
+
 def test_resolution_does_not_depend_on_partitions(spark):
     rows = noisy(21, 80)
     results = []
