@@ -110,8 +110,12 @@ def weighted_sum(email: Column, name: Column, temporal: Column, amount: Column)
 
 
 def total_score(email: Column, name: Column, temporal: Column, amount: Column) -> Column:
-    """Weighted sum with four decimals, rounded by its exact binary value and not by its decimal print."""
-    return F.format_number(weighted_sum(email, name, temporal, amount), 4).cast("double")
+    """Weighted sum with four decimals, rounded by its exact binary value and not by its decimal print.
+
+    Only a fuzzy name gives more than four decimals, so only then the costly way is needed.
+    """
+    total = weighted_sum(email, name, temporal, amount)
+    return F.when(name.isin(0.0, 1.0), F.round(total, 4)).otherwise(F.format_number(total, 4).cast("double"))
 
 
 def reaches(threshold: float, email: Column, name: Column, temporal: Column, amount: Column) -> Column:

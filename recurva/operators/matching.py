@@ -11,7 +11,7 @@ Clusters need links and not the list of all matches; `match_links` gives as many
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -33,10 +33,10 @@ REVIEW_LIMIT = 0.70
 DOMAIN_ONLY_BEST = 0.48
 EQUAL_NAME_SCORE = 0.53
 TOLERANCE_DAYS = 3
-TILE_ROWS = 4096
+TILE_ROWS = 2048
 BROADCAST_KEYS = 100_000
 
-_ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "name", "micros", "zoned", "amount", "amount_bad", "keys")
+_ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "has_domain", "name", "micros", "zoned", "amount", "amount_bad", "keys")
 
 
 def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
@@ -57,6 +57,7 @@ def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
         F.concat(rank, F.lit(":"), "source_type").alias("source_rank"),
         email.alias("raw_email"), name.alias("raw_name"), clean.alias("email"),
         F.coalesce(F.when(email_domain(clean) != "", email_domain(clean)), clean).alias("link"),
+        F.coalesce(email_domain(clean) != "", F.lit(False)).alias("has_domain"),
         F.when(name != "", F.lower(name)).alias("name"),
         sim.iso_micros(time).alias("micros"),
         F.coalesce(sim.iso_zoned(time), F.lit(False)).alias("zoned"),
@@ -85,7 +86,8 @@ def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], condition:
     """Equi-join on `on` in which a key with many rows becomes a grid of tiles.
 
     A key with n rows on both sides gets t = ceil(n / tile_rows) stripes per side; a left row meets every
-    right stripe and the other way round, so each pair meets once and no task holds a whole key. Keys are
+    right stripe and the other way round, so each pair meets once and no task holds a whole key. The number of
+    tasks is set, as a tile is few bytes but much work and would be merged with others by size. Keys are
     counted first: without large ones, or with None for the tiles, this is a plain join.
     """
     if tile_rows is None:
@@ -105,8 +107,11 @@ def tiled_join(left: DataFrame, right: DataFrame, on: Sequence[str], condition:
             own: spread.cast("int"), other: F.explode(F.sequence(F.lit(0), stripes - 1)),
         }).drop("stripes")
 
-    grid = striped(left, "stripe_a", "stripe_b").join(striped(right, "stripe_b", "stripe_a"), [*on, "stripe_a", "stripe_b"])
-    return grid.where(condition).drop("stripe_a", "stripe_b")
+    tiles = [*on, "stripe_a", "stripe_b"]
+    tasks = int(left.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    a = striped(left, "stripe_a", "stripe_b").repartition(tasks, *tiles)
+    b = striped(right, "stripe_b", "stripe_a").repartition(tasks, *tiles)
+    return a.join(b, tiles).where(condition).drop("stripe_a", "stripe_b")
 
 
 # --- similar names ------------------------------------------------------------------------------
@@ -123,29 +128,52 @@ def _numbered(pieces: str) -> Column:
     return F.transform(pieces, lambda p, i: F.concat(p, (i + 1 - F.array_position(pieces, p)).cast("string")))
 
 
+def _bitmap(items: str, low: int) -> Column:
+    """Bits of the items whose hash, out of 128, lies in the 64 from `low` on."""
+    def add(bits: Column, item: Column) -> Column:
+        place = F.pmod(F.xxhash64(item), F.lit(128)) - low
+        bit = F.call_function("shiftleft", F.lit(1).cast("long"), place.cast("int"))
+        return F.when((place >= 0) & (place < 64), bits.bitwiseOR(bit)).otherwise(bits)
+
+    return F.aggregate(items, F.lit(0).cast("long"), add)
+
+
 def _name_features(names: DataFrame) -> DataFrame:
     words = F.filter(F.split("name", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     staged = names.withColumn("words", words).withColumn("ordered", F.array_join(F.sort_array("words"), " "))
     staged = staged.withColumns({"grams": _bigrams(F.col("name")), "ordered_grams": _bigrams(F.col("ordered"))})
-    return staged.withColumns({
+    staged = staged.withColumns({
         "length": F.length("name"),
         "ordered_length": F.length("ordered"),
         "repeats": F.size(F.array_distinct("words")) < F.size("words"),
         "grams": _numbered("grams"),
         "ordered_grams": _numbered("ordered_grams"),
     })
+    bitmaps = {f"{items}_{low}": _bitmap(items, low) for items in ("words", "grams", "ordered_grams") for low in (0, 64)}
+    return staged.withColumns({**bitmaps, "grams_size": F.size("grams"), "ordered_grams_size": F.size("ordered_grams")})
 
 
-def _may_be_similar() -> Column:
+def _shared_at_most(items: str) -> Column:
+    """Upper bound on the items two names share: those of one side less its bits that the other side lacks."""
+    def bound(own: str, other: str) -> Column:
+        lacking = [F.bit_count(F.col(f"{own}_{items}_{low}").bitwiseAND(F.bitwise_not(F.col(f"{other}_{items}_{low}"))))
+                   for low in (0, 64)]
+        return F.col(f"{own}_{items}_size") - lacking[0] - lacking[1]
+
+    return F.least(bound("a", "b"), bound("b", "a"))
+
+
+def _shared(items: str) -> Column:
+    return F.size(F.array_intersect(f"a_{items}", f"b_{items}"))
+
+
+def _enough_shared(shared: Callable[[str], Column], words: Column) -> Column:
     """Necessary condition for a fuzzy similarity of 0.80, from shared words and two-letter pieces.
 
     A ratio r of texts of length n and m shares at least (1.5 r − 1)(n + m) − 1 two-letter pieces. The word
     ratio must reach 0.8 / 0.95; the window ratios, for texts of unlike length, 0.8 / 0.9 and 0.8 / 0.855,
     against a window that is at least r / (2 − r) as long as the shorter text.
     """
-    def shared(column: str) -> Column:
-        return F.size(F.array_intersect(f"a_{column}", f"b_{column}"))
-
     def least(column: str) -> Column:
         return F.least(f"a_{column}", f"b_{column}")
 
@@ -159,12 +187,19 @@ def _may_be_similar() -> Column:
         return whole(ratio) * (1 + ratio / (2 - ratio))
 
     alike = F.greatest("a_length", "b_length") < 1.5 * least("length")
-    words = F.arrays_overlap("a_words", "b_words") | F.col("a_repeats") | F.col("b_repeats")
-    near = (shared("grams") >= whole(0.8) * total("length") - 1) | (
-        shared("ordered_grams") >= whole(0.8 / 0.95) * total("ordered_length") - 1)
+    repeated = F.col("a_repeats") | F.col("b_repeats")
+    plain = shared("grams") >= whole(0.8) * total("length") - 1
+    near = shared("ordered_grams") >= whole(0.8 / 0.95) * total("ordered_length") - 1
     inside = (shared("grams") >= window(0.8 / 0.9) * least("length") - 1) | (
         shared("ordered_grams") >= window(0.8 / 0.855) * least("ordered_length") - 1)
-    return words | (alike & near) | (~alike & (inside | (shared("grams") >= whole(0.8) * total("length") - 1)))
+    return words | repeated | plain | (alike & near) | (~alike & inside)
+
+
+def _may_be_similar() -> Column:
+    """The necessary condition, first by bitmaps, which cost next to nothing, then by the sets themselves."""
+    common_bits = (F.col("a_words_0").bitwiseAND(F.col("b_words_0")) != 0) | (
+        F.col("a_words_64").bitwiseAND(F.col("b_words_64")) != 0)
+    return _enough_shared(_shared_at_most, common_bits) & _enough_shared(_shared, F.arrays_overlap("a_words", "b_words"))
 
 
 def _compared(pairs: DataFrame) -> DataFrame:
@@ -257,9 +292,9 @@ def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
 
 
 def _candidates(threshold: float) -> Column:
-    """The sides differ in source, share a blocking key, and score enough."""
+    """The sides, of one link, differ in source, share a blocking key, and score enough."""
     return (
-        (_a("source_rank") < _b("source_rank")) & F.arrays_overlap("a_keys", "b_keys")
+        (_a("source_rank") < _b("source_rank")) & (_a("has_domain") | F.arrays_overlap("a_keys", "b_keys"))
         & sim.reaches(threshold, *_scores().values())
     )
 
@@ -268,7 +303,7 @@ def _by_name(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: in
              only: Column | None = None) -> DataFrame:
     """Matches of one link with equal or similar names; of those, only the ones asked for."""
     named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
-    a = _side(named, "a", ("link",)).withColumn("a_link", F.col("link"))
+    a = _side(named, "a", ("link",))
     b = _side(named, "b", ("link",)).withColumn("other", _b("name"))
     same = a.withColumns({"other": _a("name"), "similarity": F.lit(1.0)})
     close = a.join(names.withColumnRenamed("b_name", "other"), "a_name")
@@ -276,7 +311,7 @@ def _by_name(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: in
     if only is not None:
         reach = reach.where(only)
     found = tiled_join(reach, b, ["link", "other"], _candidates(threshold), tile_rows)
-    return found.drop("link", "other", "a_link")
+    return found.drop("link", "other")
 
 
 def _by_address(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: int | None) -> DataFrame:
@@ -322,11 +357,6 @@ def needed_tiles(nodes: DataFrame, tile_rows: int | None) -> int | None:
     return None if sizes.where(2 * F.col("count") > tile_rows).isEmpty() else tile_rows
 
 
-def _is_domain(link: Column, email: Column) -> Column:
-    """Nodes of one domain share a blocking key; those of an address without a domain may not."""
-    return link != email
-
-
 def _sure(similarity: Column, threshold: float) -> Column:
     """The scores of a shared domain and of names this similar reach the threshold by themselves."""
     zero = F.lit(0.0)
@@ -359,14 +389,14 @@ def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THR
                 tile_rows: int | None = TILE_ROWS) -> DataFrame:
     """Links `a_node, b_node` with the same connected components as the matches, without listing them all.
 
-    All nodes of one domain and one name match across sources whatever their dates and amounts, if the score
+    Nodes of one domain share a blocking key, which those of an address without a domain may not. All nodes of
+    one domain and one name match across sources whatever their dates and amounts, if the score
     of domain and name reaches the threshold by itself. Such a group takes one link per node, to its first
     node, and two groups with names similar enough take one link between their first nodes. Only pairs that
     also need a date or an amount are listed.
     """
-    domain = _is_domain(F.col("link"), F.col("email"))
     named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
-    groups = named.where(domain).groupBy("link", "name").agg(
+    groups = named.where("has_domain").groupBy("link", "name").agg(
         F.min("node").alias("hub"), F.min("source_rank").alias("first"), F.max("source_rank").alias("last"))
     sure = names.where(_sure(F.col("similarity"), threshold))
     sides = groups.select("link", F.col("name").alias("a_name"), F.col("hub").alias("a_node"), "first", "last")
@@ -378,8 +408,8 @@ def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THR
     if threshold <= EQUAL_NAME_SCORE:
         linked = linked.unionByName(groups.where(F.col("first") != F.col("last")).select("link", "name"))
     joined = groups.join(linked.distinct(), ["link", "name"]).select("link", "name", "hub")
-    within = named.where(domain).join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
-    unsure = ~(_is_domain(_a("link"), _a("email")) & _sure(F.col("similarity"), threshold))
+    within = named.where("has_domain").join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
+    unsure = ~(_a("has_domain") & _sure(F.col("similarity"), threshold))
     listed = _by_name(nodes, names, threshold, tile_rows, unsure).unionByName(_by_address(nodes, names, threshold, tile_rows))
     return between.select("a_node", "b_node").unionByName(within).unionByName(listed.select("a_node", "b_node"))
 
