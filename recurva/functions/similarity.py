@@ -28,14 +28,24 @@ def clean_email(email: Column) -> Column:
     return F.when(email != "", F.lower(strip(email)))
 
 
-def score_email(a: Column, b: Column) -> Column:
-    """1.0 for the same address, 0.8 for the same domain, else 0.0. Takes cleaned e-mails."""
-    domain_a = email_domain(a)
-    return F.when(a == b, 1.0).when((domain_a == email_domain(b)) & (domain_a != ""), 0.8).otherwise(0.0)
+def known_domain(email: Column) -> Column:
+    """Domain of a cleaned e-mail; NULL where there is none."""
+    domain = email_domain(email)
+    return F.when(domain != "", domain)
 
 
-def email_method(a: Column, b: Column) -> Column:
-    score = score_email(a, b)
+def score_email(a: Column, b: Column, domain_a: Column | None = None, domain_b: Column | None = None) -> Column:
+    """1.0 for the same address, 0.8 for the same domain, else 0.0.
+
+    Takes cleaned e-mails, and their domains where those are known already.
+    """
+    domain_a = known_domain(a) if domain_a is None else domain_a
+    domain_b = known_domain(b) if domain_b is None else domain_b
+    return F.when(a == b, 1.0).when(domain_a == domain_b, 0.8).otherwise(0.0)
+
+
+def email_method(a: Column, b: Column, score: Column | None = None) -> Column:
+    score = score_email(a, b) if score is None else score
     return (
         F.when(a.isNull() | b.isNull(), "no_email")
         .when(score == 1.0, "email_exact")

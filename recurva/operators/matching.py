@@ -18,7 +18,6 @@ from pyspark.sql import functions as F
 
 from recurva.functions import similarity as sim
 from recurva.functions.coerce import field_reader, first_non_null, parse_double
-from recurva.functions.normalize import email_domain
 from recurva.operators.blocking import STRATEGIES, Strategy, key_array, with_source
 from recurva.session import checkpointed
 
@@ -36,7 +35,7 @@ TOLERANCE_DAYS = 3
 TILE_ROWS = 2048
 BROADCAST_KEYS = 100_000
 
-_ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "has_domain", "name", "micros", "zoned", "amount", "amount_bad", "keys")
+_ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "domain", "name", "micros", "zoned", "amount", "amount_bad", "keys")
 
 
 def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
@@ -56,8 +55,8 @@ def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
         "source_type", "record_id",
         F.concat(rank, F.lit(":"), "source_type").alias("source_rank"),
         email.alias("raw_email"), name.alias("raw_name"), clean.alias("email"),
-        F.coalesce(F.when(email_domain(clean) != "", email_domain(clean)), clean).alias("link"),
-        F.coalesce(email_domain(clean) != "", F.lit(False)).alias("has_domain"),
+        F.coalesce(sim.known_domain(clean), clean).alias("link"),
+        sim.known_domain(clean).alias("domain"),
         F.when(name != "", F.lower(name)).alias("name"),
         sim.iso_micros(time).alias("micros"),
         F.coalesce(sim.iso_zoned(time), F.lit(False)).alias("zoned"),
@@ -240,7 +239,7 @@ def _b(name: str) -> Column:
 
 def _scores() -> dict[str, Column]:
     """The four scores of a pair, from the columns of both sides."""
-    email = sim.score_email(_a("email"), _b("email"))
+    email = sim.score_email(_a("email"), _b("email"), _a("domain"), _b("domain"))
     name = sim.name_score(F.coalesce("similarity", F.lit(0.0)))
     temporal = sim.score_temporal(_a("micros"), _b("micros"), _a("zoned") == _b("zoned"), TOLERANCE_DAYS)
     amount = sim.score_amount(_a("amount"), _b("amount"))
@@ -254,7 +253,7 @@ def _evidence() -> Column:
 
     days = sim.day_distance(_a("micros"), _b("micros")).cast("string")
     return F.array_compact(F.array(
-        said("email_score", sim.email_method(_a("email"), _b("email")), "raw_email"),
+        said("email_score", sim.email_method(_a("email"), _b("email"), F.col("email_score")), "raw_email"),
         said("name_score", sim.name_method(_a("raw_name"), _b("raw_name"), F.col("similarity")), "raw_name"),
         said("temporal_score", F.concat(F.lit("temporal_match_"), days, F.lit("d"))),
         said("amount_score", sim.amount_method(_a("amount"), _b("amount"), _a("amount_bad") | _b("amount_bad"))),
@@ -294,7 +293,7 @@ def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
 def _candidates(threshold: float) -> Column:
     """The sides, of one link, differ in source, share a blocking key, and score enough."""
     return (
-        (_a("source_rank") < _b("source_rank")) & (_a("has_domain") | F.arrays_overlap("a_keys", "b_keys"))
+        (_a("source_rank") < _b("source_rank")) & (_a("domain").isNotNull() | F.arrays_overlap("a_keys", "b_keys"))
         & sim.reaches(threshold, *_scores().values())
     )
 
@@ -396,7 +395,7 @@ def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THR
     also need a date or an amount are listed.
     """
     named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
-    groups = named.where("has_domain").groupBy("link", "name").agg(
+    groups = named.where(F.col("domain").isNotNull()).groupBy("link", "name").agg(
         F.min("node").alias("hub"), F.min("source_rank").alias("first"), F.max("source_rank").alias("last"))
     sure = names.where(_sure(F.col("similarity"), threshold))
     sides = groups.select("link", F.col("name").alias("a_name"), F.col("hub").alias("a_node"), "first", "last")
@@ -408,8 +407,8 @@ def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THR
     if threshold <= EQUAL_NAME_SCORE:
         linked = linked.unionByName(groups.where(F.col("first") != F.col("last")).select("link", "name"))
     joined = groups.join(linked.distinct(), ["link", "name"]).select("link", "name", "hub")
-    within = named.where("has_domain").join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
-    unsure = ~(_a("has_domain") & _sure(F.col("similarity"), threshold))
+    within = named.where(F.col("domain").isNotNull()).join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
+    unsure = ~(_a("domain").isNotNull() & _sure(F.col("similarity"), threshold))
     listed = _by_name(nodes, names, threshold, tile_rows, unsure).unionByName(_by_address(nodes, names, threshold, tile_rows))
     return between.select("a_node", "b_node").unionByName(within).unionByName(listed.select("a_node", "b_node"))
 
