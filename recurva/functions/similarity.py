@@ -129,9 +129,21 @@ def total_score(email: Column, name: Column, temporal: Column, amount: Column) -
 
 
 def reaches(threshold: float, email: Column, name: Column, temporal: Column, amount: Column) -> Column:
-    """Whether the total score reaches a threshold; sums well below it are not rounded first."""
-    close = weighted_sum(email, name, temporal, amount) >= threshold - 1e-4
-    return close & (total_score(email, name, temporal, amount) >= threshold)
+    """Whether the total score rounds to the threshold or more.
+
+    Short, so that it stays fast inside a join. A sum that lies right between two rounded values is settled by
+    `total_score`; see `needs_rounding`.
+    """
+    return weighted_sum(email, name, temporal, amount) >= threshold - 5e-5
+
+
+def needs_rounding(threshold: float) -> bool:
+    """Whether a sum can lie right below the threshold by half a digit.
+
+    The scores other than that of a fuzzy name add up to steps of 0.005, and a fuzzy name cannot make up for
+    the rest of a step in fewer than thousands of letters.
+    """
+    return abs(threshold * 200 - round(threshold * 200)) > 1e-6
 
 
 # --- fuzzy name ratio -------------------------------------------------------------------------

@@ -264,10 +264,12 @@ _PAIR = ("a_source_type", "a_record_id", "b_source_type", "b_record_id", "a_node
          "email_score", "name_score", "temporal_score", "amount_score", "total_score", "evidence")
 
 
-def _scored(pairs: DataFrame) -> DataFrame:
+def _scored(pairs: DataFrame, threshold: float | None = None) -> DataFrame:
     cluster = [c for c in pairs.columns if c == "a_cluster_id"]
     scores = _scores()
     scored = pairs.withColumns({**scores, "total_score": sim.total_score(*scores.values())})
+    if threshold is not None and sim.needs_rounding(threshold):
+        scored = scored.where(F.col("total_score") >= threshold)
     return scored.withColumn("evidence", _evidence()).select(*_PAIR, *cluster)
 
 
@@ -369,12 +371,12 @@ def match_pairs(nodes: DataFrame, threshold: float = MATCH_THRESHOLD, tile_rows:
     Reads the nodes more than once, so hand in checkpointed ones; `names` are their `similar_names`, if known.
     """
     if threshold <= DOMAIN_ONLY_BEST:
-        return _scored(_by_key(nodes, threshold, tile_rows))
+        return _scored(_by_key(nodes, threshold, tile_rows), threshold)
     tile_rows = needed_tiles(nodes, tile_rows)
     if names is None:
         names = checkpointed(similar_names(nodes, tile_rows))
     found = _by_name(nodes, names, threshold, tile_rows)
-    return _scored(found.unionByName(_by_address(nodes, names, threshold, tile_rows)))
+    return _scored(found.unionByName(_by_address(nodes, names, threshold, tile_rows)), threshold)
 
 
 def match_records(records: DataFrame, threshold: float = MATCH_THRESHOLD, source_order: Sequence[str] = (),
@@ -410,7 +412,8 @@ def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THR
     within = named.where(F.col("domain").isNotNull()).join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
     unsure = ~(_a("domain").isNotNull() & _sure(F.col("similarity"), threshold))
     listed = _by_name(nodes, names, threshold, tile_rows, unsure).unionByName(_by_address(nodes, names, threshold, tile_rows))
-    return between.select("a_node", "b_node").unionByName(within).unionByName(listed.select("a_node", "b_node"))
+    listed = _scored(listed, threshold).select("a_node", "b_node")
+    return between.select("a_node", "b_node").unionByName(within).unionByName(listed)
 
 
 def review_pairs(pairs: DataFrame, low: float = MATCH_THRESHOLD, high: float = REVIEW_LIMIT) -> DataFrame:

@@ -6,7 +6,7 @@ from recurva.session import build_session
 @pytest.fixture(scope="session")
 def spark():
     session = build_session(
-        "recurva-tests", "local[4]", **{"spark.sql.shuffle.partitions": "4", "spark.driver.memory": "4g"}
+        "recurva-tests", "local[8]", **{"spark.sql.shuffle.partitions": "3", "spark.driver.memory": "4g"}
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
