@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import bpe, line_dedup
+from recurva.llm import bpe, line_dedup, mixing
 from recurva.llm.text import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -40,6 +40,12 @@ def op2(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op4_source_mixing")
+def op4(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text", "source")
+    return mixing.taken_words(mixing.mix(docs)).drop("source")
+
+
 @query("op5_bpe")
 def op5(spark, folder, ranks=None, pattern=public_tokenizers.PATTERN):
     ranks = ranks or public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
