@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import bpe, line_dedup, mixing
+from recurva.llm import bpe, line_dedup, mixing, simhash
 from recurva.llm.text import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -20,6 +20,11 @@ def query(name, sql=None):
     return register
 
 
+@query("op1_simhash")
+def op1(spark, folder):
+    return simhash.simhash_groups(read_table(spark, folder, "documents").select("doc_id", "text"))
+
+
 @query("op2_line_dedup", r"""
 WITH lines AS (
   SELECT doc_id, unnest(string_split(coalesce(text, ''), chr(10))) AS line, unnest(range(len(string_split(coalesce(text, ''), chr(10))))) AS pos
