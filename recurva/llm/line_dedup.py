@@ -2,9 +2,9 @@
 
 Native throughout. Every row is a document. Lines are exploded as 128-bit hashes of their normal form, once per
 document for counting and once per position for dropping, so that no line text crosses a shuffle. Counting combines
-before its shuffle, however common a line is. The join of positions with the shared lines has a small right side,
-which adaptive execution sends to all tasks when its measured size allows it; otherwise it splits the partitions of a
-common line. The text is shuffled at most once, next to its dropped positions, and is rebuilt from the slices between
+before its shuffle, however common a line is. The shared lines are written as a table: joined as such, both sides
+come straight from a shuffle, so that adaptive execution can send the table to all tasks where its measured size
+allows it, and can split the partition of a common line where not. The text is shuffled at most once, next to its dropped positions, and is rebuilt from the slices between
 them, which takes time linear in its lines.
 """
 
@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from recurva.llm.text import BLANKS, ascii_lower, content_key
+from recurva.session import checkpointed
 
 _KEY = ["__line_1", "__line_2"]
 _ROW = ["__row_1", "__row_2"]
@@ -50,7 +51,7 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     line. NULL ids are smaller than any other, so that a line which only they hold stays. No row is dropped; an empty
     table gives an empty table. Other columns pass through; columns named `n_lines` or `n_dropped` are replaced.
     """
-    shared = shared_lines(df, doc_id, text, min_chars, min_docs)
+    shared = checkpointed(shared_lines(df, doc_id, text, min_chars, min_docs))
     keys = [k.alias(name) for k, name in zip(content_key(df, doc_id, text), _ROW)]
     places = df.select(F.col(doc_id).alias("__doc"), *keys, F.inline(_hashes(F.col(text), min_chars)).alias("pos", *_KEY))
     dropped = places.join(shared, _KEY).where(~F.col("__doc").eqNullSafe(F.col("keeper")))
