@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import bpe, line_dedup, mixing, simhash
+from recurva.llm import bpe, embedding_dedup, line_dedup, mixing, simhash
 from recurva.llm.text import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -61,3 +61,8 @@ def op5(spark, folder, ranks=None, pattern=public_tokenizers.PATTERN):
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), ",").cast("binary"), 256).alias("ids_sha256"),
         F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+@query("op10_embedding_dedup")
+def op10(spark, folder):
+    return embedding_dedup.embedding_groups(read_table(spark, folder, "embeddings"))
