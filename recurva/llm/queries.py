@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import bpe, embedding_dedup, line_dedup, mixing, simhash
+from recurva.llm import ann, bpe, embedding_dedup, line_dedup, mixing, simhash
 from recurva.llm.text import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -63,6 +63,12 @@ def op5(spark, folder, ranks=None, pattern=public_tokenizers.PATTERN):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+@query("op9_nearest")
+def op9(spark, folder):
+    vectors = read_table(spark, folder, "embeddings")
+    return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
+
+
 @query("op10_embedding_dedup")
 def op10(spark, folder):
     return embedding_dedup.embedding_groups(read_table(spark, folder, "embeddings"))
