@@ -5,7 +5,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import ann, bpe, embedding_dedup, line_dedup, mixing, simhash
+from recurva.llm import ann, bpe, embedding_dedup, line_dedup, mixing, quality, simhash
+from recurva.llm.sampling import crc_part
 from recurva.llm.text import read_table
 
 QUERIES, ORACLES = {}, {}
@@ -63,6 +64,18 @@ def op5(spark, folder, ranks=None, pattern=public_tokenizers.PATTERN):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
+def _held_out(parts, rest):
+    return F.coalesce(crc_part(F.col("doc_id"), parts) == rest, F.lit(False))
+
+
+@query("op6_quality")
+def op6(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    rules = quality.learn_rules(docs, read_table(spark, folder, "labels"), ~_held_out(3, 1))
+    scored = quality.score_quality(docs, rules)
+    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op9_nearest")
 def op9(spark, folder):
     vectors = read_table(spark, folder, "embeddings")
