@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import ann, bpe, embedding_dedup, line_dedup, mixing, quality, simhash
+from recurva.llm import ann, bpe, embedding_dedup, line_dedup, mixing, quality, simhash, toxicity
 from recurva.llm.sampling import crc_part
 from recurva.llm.text import read_table
 
@@ -76,6 +76,14 @@ def op6(spark, folder):
     return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op7_toxicity")
+def op7(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    model = toxicity.learn_toxicity(docs, read_table(spark, folder, "labels"), ~_held_out(4, 2))
+    scored = toxicity.score_toxicity(docs, model)
+    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+
+
 @query("op9_nearest")
 def op9(spark, folder):
     vectors = read_table(spark, folder, "embeddings")
