@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import ann, bpe, embedding_dedup, line_dedup, mixing, quality, simhash, toxicity
+from recurva.llm import ann, archives, bpe, embedding_dedup, line_dedup, mixing, quality, simhash, toxicity
 from recurva.llm.sampling import crc_part
 from recurva.llm.text import read_table
 
@@ -84,6 +84,12 @@ def op7(spark, folder):
     return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
+@query("op8_warc")
+def op8(spark, folder):
+    found = archives.archive_pages(read_table(spark, folder, "pages"))
+    return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query("op9_nearest")
 def op9(spark, folder):
     vectors = read_table(spark, folder, "embeddings")
