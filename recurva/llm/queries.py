@@ -5,7 +5,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import ann, archives, bpe, embedding_dedup, line_dedup, mixing, quality, simhash, toxicity
+from recurva.llm import ann, archives, bpe, embedding_dedup, licenses, line_dedup, mixing, quality, simhash, toxicity
 from recurva.llm.sampling import crc_part
 from recurva.llm.text import read_table
 
@@ -46,6 +46,13 @@ def op2(spark, folder):
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("text").cast("binary"), 256).alias("kept_sha256"))
 
 
+@query("op3_licenses")
+def op3(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = licenses.document_licenses(docs, licenses.train(docs))
+    return found.withColumn("families", F.array_join("families", ",")).withColumn("probability", F.round("probability", 6))
+
+
 @query("op4_source_mixing")
 def op4(spark, folder):
     docs = read_table(spark, folder, "documents").select("doc_id", "text", "source")
