@@ -71,24 +71,24 @@ def op5(spark, folder, ranks=None, pattern=public_tokenizers.PATTERN):
         F.sha2("decoded", 256).alias("decoded_sha256"))
 
 
-def _held_out(parts, rest):
+def held_out(parts, rest):
     return F.coalesce(crc_part(F.col("doc_id"), parts) == rest, F.lit(False))
 
 
 @query("op6_quality")
 def op6(spark, folder):
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    rules = quality.learn_rules(docs, read_table(spark, folder, "labels"), ~_held_out(3, 1))
+    rules = quality.learn_rules(docs, read_table(spark, folder, "labels"), ~held_out(3, 1))
     scored = quality.score_quality(docs, rules)
-    return scored.select("doc_id", _held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(3, 1).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
 @query("op7_toxicity")
 def op7(spark, folder):
     docs = read_table(spark, folder, "documents").select("doc_id", "text")
-    model = toxicity.learn_toxicity(docs, read_table(spark, folder, "labels"), ~_held_out(4, 2))
+    model = toxicity.learn_toxicity(docs, read_table(spark, folder, "labels"), ~held_out(4, 2))
     scored = toxicity.score_toxicity(docs, model)
-    return scored.select("doc_id", _held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
+    return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
 @query("op8_warc")
