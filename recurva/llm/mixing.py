@@ -134,7 +134,8 @@ def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str =
     pieces = pieces.select("doc_id", "__src", "size", "__row_1", "__row_2", "__bucket", "__rank", "block",
                            (first - F.col("__from")).alias("first_word"), words.alias("words"))
     drawn = slots.groupBy("__src", "block").agg(F.count(F.lit(1)).alias("times"), F.min("shard").alias("first_shard"))
-    pieces = pieces.join(drawn, ["__src", "block"], "left").withColumn("times", F.coalesce(F.col("times"), F.lit(0)))
+    # Spark takes the drawn blocks for as small as the plan they are listed from, and would broadcast them
+    pieces = pieces.join(drawn.hint("merge"), ["__src", "block"], "left").withColumn("times", F.coalesce(F.col("times"), F.lit(0)))
     return Mix(sources.select("source", "source_size", "target", "__src"), slots, pieces)
 
 
@@ -154,7 +155,7 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     keys = ["__row_1", "__row_2"]
     took = mix(df, doc_id, text, source, **options).pieces.where(F.col("times") > 0)
     took = took.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__rank", "first_word", "words", "times"))).alias("__took"))
-    rows = df.withColumns(dict(zip(keys, content_key(df, doc_id, text, source)))).dropDuplicates(keys).join(took, keys)
+    rows = df.withColumns(dict(zip(keys, content_key(df, doc_id, text, source)))).dropDuplicates(keys).join(took.hint("merge"), keys)
     rows = rows.withColumn("__words", F.regexp_extract_all(
         F.col(text), F.lit(f"[^{BLANK_CLASS}]+[{BLANK_CLASS}]*"), F.lit(0)))
     most = F.array_max(F.transform("__took", lambda one: one["times"]))
