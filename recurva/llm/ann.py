@@ -59,9 +59,11 @@ def _rotation(dimensions: int, seed: int) -> np.ndarray:
     return q * np.sign(np.diag(r))
 
 
-def _probed(unit: np.ndarray, centroids: np.ndarray, probes: int) -> np.ndarray:
-    """The numbers of each row's nearest lists, nearest first."""
-    return np.argsort(-(unit @ centroids.T), axis=1, kind="stable")[:, :probes]
+def _probed(unit: np.ndarray, centroids: np.ndarray, probes: int, sizes: np.ndarray, rows: int) -> list[np.ndarray]:
+    """Each row's nearest lists, nearest first: `probes` of them, or as many as hold `rows` rows."""
+    order = np.argsort(-(unit @ centroids.T), axis=1, kind="stable")
+    enough = (np.cumsum(sizes[order], axis=1) < rows).sum(axis=1) + 1
+    return [lists[:max(probes, n)] for lists, n in zip(order, enough)]
 
 
 class _Group:
@@ -117,7 +119,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id
             probe_share: float = 0.5, seed: int = 42) -> DataFrame:
     """`query_id, rank, vec_id, score`: the `k` rows of `df` with the largest cosine found for each row of `queries`.
 
-    There are about 4·√n lists, `MOST_LISTS` at most, of which a query probes `probe_share`. Half of them finds more
+    There are about 4·√n lists, `MOST_LISTS` at most, of which a query probes `probe_share`, or more until they hold `k` others. Half of them finds more
     than nine in ten of the true neighbours where vectors have no structure at all; clustered vectors need far fewer.
     A row with the query's id is not its neighbour. Ties go to the smaller id; with fewer candidates all are returned.
 
@@ -150,7 +152,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id
         for batch in batches:
             if len(batch):
                 unit = _unit(_array(batch["vec"]))
-                yield batch.assign(list=_probed(unit, centroids, 1)[:, 0].astype("int32"))
+                yield batch.assign(list=(unit @ centroids.T).argmax(axis=1).astype("int32"))
 
     placed = checkpointed(rows.mapInPandas(assign, "vec_id long, vec array<double>, list int"))
     sizes = {r["list"]: r["count"] for r in placed.groupBy("list").count().collect()}  # a row per list
@@ -167,7 +169,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id
         """A query and each group that holds rows of a list it probes."""
         for batch in batches:
             if len(batch):
-                probed = _probed(_unit(_array(batch["vec"])), centroids, probes)
+                probed = _probed(_unit(_array(batch["vec"])), centroids, probes, full, k + 1)
                 groups = []
                 for lists_of in probed:
                     present = lists_of[full[lists_of] > 0]
@@ -181,7 +183,7 @@ def nearest(df: DataFrame, queries: DataFrame, k: int = 5, vec_id: str = "vec_id
         if len(members) and len(wanted):
             group, vectors = _Group(members, seed), _array(wanted["vec"])
             unit = _unit(vectors)
-            rotated, probed = unit @ _rotation(length, seed), _probed(unit, centroids, probes)
+            rotated, probed = unit @ _rotation(length, seed), _probed(unit, centroids, probes, full, k + 1)
             for i, own in enumerate(wanted["vec_id"].to_numpy(np.int64)):
                 parts = [rotated[i, j:j + COLUMN_BLOCK] for j in range(0, length, COLUMN_BLOCK)]
                 ids, scores = group.nearest(own, vectors[i], parts, probed[i], k)
