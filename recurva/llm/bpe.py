@@ -10,8 +10,9 @@ match of the pattern can continue, whatever stands on either side. A stretch wit
 from __future__ import annotations
 
 import base64
-import functools
 import re
+import sys
+import types
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,22 +25,31 @@ from pyspark.sql import types as T
 #: Characters given to the tokenizer in one call; it only bounds a call and does not change the ids.
 PIECE_CHARS = 16_384
 #: Characters of text, or ids, in one batch handed back to Spark.
-BATCH_UNITS = 4_000_000
+BATCH_UNITS = 1_000_000
 
 _SAFE = re.compile("(?<=[0-9A-Za-z])(?=[ \n])")
 
 
-@functools.lru_cache(maxsize=4)
+def _kept(key: tuple, make):
+    """What `make` returns, once per process. A task brings its own copy of this code, so it is kept outside of it."""
+    held = sys.modules.setdefault("_kept_encodings", types.ModuleType("_kept_encodings")).__dict__
+    if key not in held:
+        held[key] = make()
+    return held[key]
+
+
 def load_encoding(ranks_path: str, pattern: str) -> tiktoken.Encoding:
-    with open(ranks_path, "rb") as lines:
-        ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
-    return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+    def make():
+        with open(ranks_path, "rb") as lines:
+            ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, filter(None, map(bytes.strip, lines)))}
+        return tiktoken.Encoding("ranks", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
+
+    return _kept((ranks_path, pattern), make)
 
 
-@functools.lru_cache(maxsize=4)
 def _splitter(pattern: str):
     """The pattern for the `regex` module, with blanks spelled as the Unicode property that both libraries mean."""
-    return regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}"))
+    return _kept((pattern,), lambda: regex.compile(pattern.replace(r"\s", r"\p{White_Space}").replace(r"\S", r"\P{White_Space}")))
 
 
 def cut(text: str, limit: int = PIECE_CHARS) -> Iterator[str]:
