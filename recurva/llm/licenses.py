@@ -126,7 +126,7 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", background:
     scaled = Interaction(inputCols=["one", "held"], outputCol="features").transform(scaled).select(
         "label", "weight", "features")
     model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0001, maxIter=100, standardization=False,
-                               weightCol="weight").fit(checkpointed(scaled))
+                               weightCol="weight").fit(checkpointed(scaled).coalesce(8))  # bounded by BACKGROUND
     matrix, intercepts = model.coefficientMatrix.toArray(), model.interceptVector.toArray()
     found = {pair: tuple(map(float, matrix[:, i])) for i, pair in enumerate(vocabulary)}
     draft = Classifier(classes, found, tuple(map(float, intercepts)), LEAST)

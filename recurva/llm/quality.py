@@ -24,6 +24,8 @@ from recurva.session import checkpointed
 #: Labelled texts the rules are grown and weighed on, at most about as many.
 SAMPLE_ROWS = 20_000
 TREES, DEPTH, LASSO = 16, 3, 0.002
+#: Tasks that fit on the sample; each of some dozen passes over it costs a task that many times.
+SAMPLE_TASKS = 8
 _LIMIT = re.compile(r"(If|Else) \(feature (\d+) (<=|>) (\S+)\)")
 
 Limit = tuple[str, bool, float]  # statistic, whether it must lie above, bound
@@ -103,7 +105,7 @@ def learn_rules(docs: DataFrame, labels: DataFrame, learn: Column, label: str =
     to that label.
     """
     rows, names = statistics(labelled(docs, labels, label, learn, sample_rows, doc_id, text), "text")
-    rows = checkpointed(rows.select("label", *names))
+    rows = checkpointed(rows.select("label", *names)).coalesce(SAMPLE_TASKS)  # a bounded table of a few numbers a row
     shares = {r["label"]: r["count"] for r in rows.groupBy("label").count().collect()}  # two values
     if len(shares) < 2:
         return Rules(0.0 if not shares else 4.0 if 1.0 in shares else -4.0, ())
