@@ -7,6 +7,7 @@ from pyspark.sql import types as T
 
 from recurva.bindings.tables import day, number, table
 from recurva.functions.coerce import currency_to_double
+from recurva.operators.blocking import latest_records
 from recurva.session import scratch_path
 from recurva.sources import billing, database, envelope, tabular
 from recurva.streaming import changes
@@ -31,14 +32,24 @@ def text_orders(spark, folder):
         k.cast("string").alias("Order Id"),
         F.when(k % 11 == 0, "").otherwise(F.col("o_custkey").cast("string")).alias("customer_id"),
         amount.alias("mrr"), F.col("o_orderstatus").alias(" Status"), day("o_orderdate").alias("created_at"),
-        F.when(k % 4 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("mixed"), F.lit("").alias("empty"))
+        F.when(k % 4 == 0, "n/a").otherwise(F.col("o_custkey").cast("string")).alias("mixed"), F.lit("").alias("empty"),
+        F.when((k > 50) & (k % 97 == 0), "gold").otherwise(k.cast("string")).alias("late"))
+
+
+def csv_orders(spark, folder):
+    """The same orders, written as CSV files in the order of their keys."""
+    path = scratch_path(spark, "csv")
+    text_orders(spark, folder).orderBy(F.col("Order Id").cast("long")).write.csv(
+        path, header=True, escape='"', ignoreLeadingWhiteSpace=False, ignoreTrailingWhiteSpace=False)
+    return path
 
 
 TEXT_SQL = """text_orders AS (
   SELECT o_orderkey AS k, CAST(o_orderkey AS VARCHAR) AS order_id, CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE CAST(o_custkey AS VARCHAR) END AS customer_id,
          CASE WHEN o_orderkey % 7 = 0 THEN '' ELSE format('${:,.2f}', o_totalprice) END AS mrr, o_orderstatus AS status,
          CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS created_at,
-         CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS mixed, '' AS empty FROM orders)"""
+         CASE WHEN o_orderkey % 4 = 0 THEN 'n/a' ELSE CAST(o_custkey AS VARCHAR) END AS mixed, '' AS empty,
+         CASE WHEN o_orderkey > 50 AND o_orderkey % 97 = 0 THEN 'gold' ELSE CAST(o_orderkey AS VARCHAR) END AS late FROM orders)"""
 
 
 @query("s1_csv_scan", """
@@ -56,18 +67,20 @@ def s1(spark, folder):
 
 
 @query("s2_typed_cells", f"""WITH {TEXT_SQL}
-SELECT order_id, nullif(customer_id, '') AS customer_id, TRY_CAST(regexp_replace(nullif(mrr, ''), '[,$]', '', 'g') AS DOUBLE) AS mrr,
-       mixed, nullif(empty, '') AS empty FROM text_orders""")
+SELECT coalesce(nullif(customer_id, ''), CAST(row_number() OVER (ORDER BY k) - 1 AS VARCHAR)) AS record_id, CAST(order_id AS DOUBLE) AS order_id,
+       CAST(nullif(customer_id, '') AS DOUBLE) AS customer_id, TRY_CAST(regexp_replace(nullif(mrr, ''), '[,$]', '', 'g') AS DOUBLE) AS mrr, status,
+       mixed, nullif(empty, '') AS empty, TRY_CAST(late AS DOUBLE) AS late, CASE WHEN late = 'gold' THEN late END AS raw_late FROM text_orders""")
 def s2(spark, folder):
-    typed = tabular.normalise_cells(text_orders(spark, folder), ["mrr"])
-    return typed.select(F.col("Order Id").alias("order_id"), "customer_id", "mrr", "mixed", "empty")
+    data = tabular.csv_records(spark, csv_orders(spark, folder), "shop").select("record_id", "data.*")
+    return data.select("record_id", F.col("Order Id").alias("order_id"), "customer_id", "mrr", F.col(" Status").alias("status"), "mixed", "empty",
+                       "late", F.col("_raw_late").alias("raw_late"))
 
 
 _PROFILE_SQL = f"""WITH {TEXT_SQL},
 cells AS (
   SELECT column_name, cell FROM (
-    SELECT order_id AS "Order Id", customer_id, mrr, status AS " Status", created_at, mixed, empty FROM text_orders)
-  UNPIVOT (cell FOR column_name IN ("Order Id", customer_id, mrr, " Status", created_at, mixed, empty))),
+    SELECT order_id AS "Order Id", customer_id, mrr, status AS " Status", created_at, mixed, empty, late FROM text_orders)
+  UNPIVOT (cell FOR column_name IN ("Order Id", customer_id, mrr, " Status", created_at, mixed, empty, late))),
 counted AS (
   SELECT column_name, count(*) FILTER (cell <> '') AS filled, count(*) AS row_count,
          count(*) FILTER (cell <> '' AND TRY_CAST(regexp_replace(cell, '[,$]', '', 'g') AS DOUBLE) IS NOT NULL) AS numbers,
@@ -78,7 +91,7 @@ SELECT column_name, CASE WHEN numbers / nullif(filled, 0) > 0.8 THEN 'numeric' W
 
 
 def _profile(spark, folder):
-    return tabular.profile_columns(text_orders(spark, folder), "orders", sample_rows=None)
+    return tabular.profile_columns(tabular.read_csv(spark, csv_orders(spark, folder)), "orders")
 
 
 @query("s3_column_types", _PROFILE_SQL + " FROM counted")
@@ -86,10 +99,15 @@ def s3(spark, folder):
     return _profile(spark, folder).select("column_name", "data_type")
 
 
-@query("s4_table_profile", _PROFILE_SQL + """, 'orders' AS table_name, CAST(filled AS BIGINT) AS filled, CAST(row_count AS BIGINT) AS row_count,
-  true AS nullable, false AS is_primary_key FROM counted""")
+@query("s4_table_profile", _PROFILE_SQL.replace("cells AS (", """first_rows AS (SELECT * FROM text_orders ORDER BY k LIMIT 5),
+samples AS (
+  SELECT column_name, string_agg(cell, '|' ORDER BY k) AS sample_values FROM (
+    SELECT k, order_id AS "Order Id", customer_id, mrr, status AS " Status", created_at, mixed, empty, late FROM first_rows)
+  UNPIVOT (cell FOR column_name IN ("Order Id", customer_id, mrr, " Status", created_at, mixed, empty, late)) GROUP BY 1),
+cells AS (""") + """, 'orders' AS table_name, CAST(filled AS BIGINT) AS filled, CAST(numbers AS BIGINT) AS numbers, CAST(row_count AS BIGINT) AS row_count,
+  true AS nullable, false AS is_primary_key, sample_values FROM counted JOIN samples USING (column_name)""")
 def s4(spark, folder):
-    return _profile(spark, folder).drop("semantic_type")
+    return _profile(spark, folder).drop("semantic_type").withColumn("sample_values", F.array_join("sample_values", "|"))
 
 
 @query("s5_alias_columns", f"""WITH {TEXT_SQL}
@@ -100,7 +118,7 @@ def s5(spark, folder):
 
 
 @query("s6_semantic_tags", f"""WITH {TEXT_SQL}, tags(column_name, semantic_type) AS (VALUES ('Order Id', NULL), ('customer_id', 'customer_id'),
-  ('mrr', 'mrr'), (' Status', 'status'), ('created_at', 'created_at'), ('mixed', NULL), ('empty', NULL))
+  ('mrr', 'mrr'), (' Status', 'status'), ('created_at', 'created_at'), ('mixed', NULL), ('empty', NULL), ('late', NULL))
 SELECT column_name, semantic_type, (SELECT CAST(count(*) AS BIGINT) FROM text_orders) AS row_count FROM tags""")
 def s6(spark, folder):
     return _profile(spark, folder).select("column_name", "semantic_type", "row_count")
@@ -109,9 +127,7 @@ def s6(spark, folder):
 @query("s7_record_ids", f"""WITH {TEXT_SQL}, placed AS (SELECT *, row_number() OVER (ORDER BY k) - 1 AS place FROM text_orders)
 SELECT order_id, coalesce(nullif(customer_id, ''), CAST(place AS VARCHAR)) AS record_id FROM placed""")
 def s7(spark, folder):
-    path = scratch_path(spark, "csv")
-    text_orders(spark, folder).orderBy(F.col("Order Id").cast("long")).write.csv(path, header=True, escape='"')
-    rows = tabular.read_csv(spark, path)
+    rows = tabular.read_csv(spark, csv_orders(spark, folder))
     return rows.select(F.col("Order Id").alias("order_id"), tabular.record_id(rows).alias("record_id"))
 
 
@@ -179,6 +195,39 @@ def s13(spark, folder):
                                                       F.col("data.amount_paid").alias("amount")))
 
 
+@query("s10_rows_without_id", """
+SELECT 'orders' AS object_type, o_orderstatus || ' ' || o_orderpriority AS label, CAST(count(DISTINCT o_custkey) AS BIGINT) AS records FROM orders GROUP BY ALL
+UNION ALL SELECT 'customer', c_mktsegment, CAST(count(DISTINCT c_name) AS BIGINT) FROM customer GROUP BY ALL""")
+def s10(spark, folder):
+    """Tables without an `id` column, once with copies of rows: every distinct row stays a record."""
+    orders = table(spark, folder, "orders").select(F.concat_ws(" ", "o_orderstatus", "o_orderpriority").alias("label"), F.col("o_custkey").alias("buyer"))
+    people = table(spark, folder, "customer").select(F.col("c_mktsegment").alias("label"), F.col("c_name").alias("name"))
+    rows = envelope.unite(database.table_records(orders, "pg-1", "orders"), database.table_records(people.unionAll(people), "my-1", "customer", "mysql"))
+    kept = latest_records(rows)
+    return kept.groupBy("object_type", F.col("data.label").alias("label")).agg(F.count(F.lit(1)).alias("records"))
+
+
+@query("s14_billing_schemas", """
+WITH declared(column_name, data_type, semantic_type, is_primary_key) AS (VALUES ('id', 'string', 'external_id', true), ('customer', 'string', 'external_id', false),
+  ('amount_paid', 'integer', 'revenue_amount', false), ('status', 'string', 'status_flag', false), ('created', 'timestamp', 'created_timestamp', false)),
+filled AS (
+  SELECT CAST(count(*) AS BIGINT) AS n, CAST(count(*) FILTER (o_orderstatus <> 'P') AS BIGINT) AS told FROM orders)
+SELECT 'invoice' AS table_name, column_name, data_type, semantic_type, is_primary_key, CASE WHEN column_name = 'status' THEN told ELSE n END AS filled
+FROM declared, filled""")
+def s14(spark, folder):
+    """The declared columns of invoices, with the number of invoices that fill each when read by that schema."""
+    path = scratch_path(spark, "invoices")
+    rows = table(spark, folder, "orders").select(
+        F.concat(F.lit("in_"), F.col("o_orderkey").cast("string")).alias("id"), F.concat(F.lit("cus_"), F.col("o_custkey").cast("string")).alias("customer"),
+        F.round(F.col("o_totalprice") * 100).cast("long").alias("amount_paid"), F.when(F.col("o_orderstatus") != "P", F.col("o_orderstatus")).alias("status"),
+        F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("created"), F.lit("x").alias("undeclared"))
+    rows.write.json(path)
+    declared = billing.describe_objects(spark, ["invoice"]).drop("nullable")
+    read = spark.read.schema(billing.object_schema("invoice")).json(path)
+    filled = read.agg(*[F.count(c).alias(c) for c in read.columns]).unpivot([], read.columns, "column_name", "filled")
+    return declared.join(filled, "column_name")
+
+
 def billing_events(events):
     """Test events in the shape of a billing event log."""
     suffix = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("updated")
@@ -251,7 +300,7 @@ def s18(spark, folder):
 
 @query("o3_preview", "SELECT o_orderkey, o_orderstatus FROM orders ORDER BY o_orderkey LIMIT 500")
 def o3(spark, folder):
-    return envelope.preview(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), order=("o_orderkey",))
+    return envelope.preview(table(spark, folder, "orders").select("o_orderkey", "o_orderstatus"), 500, ("o_orderkey",))
 
 
 @query("n15_currency_text", f"""WITH {TEXT_SQL}

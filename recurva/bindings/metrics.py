@@ -284,7 +284,7 @@ def p8(spark, folder):
 def _flag(flag):
     def run(spark, folder):
         return subscriptions(spark, folder).select(
-            F.col("customer_entity_id").alias("customer"), F.col("subscription_id").alias("subscription"),
+            "tenant_id", F.col("customer_entity_id").alias("customer"), F.col("subscription_id").alias("subscription"),
             day("period_date").alias("period"), "status", F.col(flag).alias("flag"))
     return run
 
@@ -292,14 +292,14 @@ def _flag(flag):
 for place, flag in ((1, "created_in_period"), (2, "existing_customer"), (4, "canceled_in_period")):
     QUERIES[f"d{place}_{flag}"] = _flag(flag)
     ORACLES[f"d{place}_{flag}"] = f"""WITH {SUBSCRIPTION_SQL}
-SELECT customer, subscription, CAST(period_date AS VARCHAR) AS period, status, coalesce({flag}, false) AS flag FROM subscriptions"""
+SELECT tenant_id, customer, subscription, CAST(period_date AS VARCHAR) AS period, status, coalesce({flag}, false) AS flag FROM subscriptions"""
 
 
 @query("d3_delta", f"""WITH {SUBSCRIPTION_SQL}
-SELECT customer, subscription, CAST(period_date AS VARCHAR) AS period, round(mrr_amount + 1e-9, 2) AS mrr_amount, round(delta + 1e-9, 2) AS delta FROM subscriptions""")
+SELECT tenant_id, customer, subscription, CAST(period_date AS VARCHAR) AS period, round(mrr_amount + 1e-9, 2) AS mrr_amount, round(delta + 1e-9, 2) AS delta FROM subscriptions""")
 def d3(spark, folder):
     return subscriptions(spark, folder).select(
-        F.col("customer_entity_id").alias("customer"), F.col("subscription_id").alias("subscription"),
+        "tenant_id", F.col("customer_entity_id").alias("customer"), F.col("subscription_id").alias("subscription"),
         day("period_date").alias("period"), number("mrr_amount", 2).alias("mrr_amount"), number("delta", 2).alias("delta"))
 
 

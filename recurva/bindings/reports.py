@@ -7,8 +7,9 @@ from pyspark.sql import functions as F
 from recurva.bindings.metrics import KEYS, with_lag
 from recurva.bindings.series import _HIT_SQL, EVENTS, USERS
 from recurva.bindings.tables import (
-    METRICS_SQL, STATISTICS_SQL, day, event_series, metric_inputs, number, subscriptions, user_series,
+    METRICS_SQL, STATISTICS_SQL, day, event_series, metric_inputs, number, subscriptions, table, user_series,
 )
+from recurva.functions import labels
 from recurva.operators.metrics import describe_metrics
 from recurva.operators.series import detect_series
 from recurva.plans import report
@@ -53,6 +54,14 @@ def n13(spark, folder):
     return rows.select("metric", day("period_date").alias("period"), "detection_method", "what_happened")
 
 
+@query("n13_large_amounts", """
+SELECT o_orderkey, 'orders above to ' || CAST(CAST(round(o_totalprice) AS BIGINT) * 1000 AS VARCHAR) || '.0' AS what_happened FROM orders""")
+def n13_large(spark, folder):
+    amount = F.floor(F.col("o_totalprice") + 0.5) * 1000.0
+    sentence = labels.anomaly_sentence(F.lit("orders"), F.lit("above"), amount.cast("double"))
+    return table(spark, folder, "orders").select("o_orderkey", sentence.alias("what_happened"))
+
+
 _SUMMARY = f"""SELECT metric_id AS metric, period, {_LABEL} AS severity, severity AS severity_score, detection_method, deviation,
   baseline_value AS baseline, actual_value AS actual FROM shown"""
 

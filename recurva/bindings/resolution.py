@@ -5,12 +5,17 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from recurva.bindings.tables import (
-    MATCHES_SQL, RECORDS_SQL, number, postgres_records, records, stripe_records, table,
+    MATCHES_SQL, RECORDS_SQL, mixed_records, number, postgres_records, records, stripe_records, table,
 )
 from recurva.functions import normalize, similarity
+from recurva.functions.coerce import exact_sum
+from recurva.functions.normalize import phone_key
 from recurva.operators import blocking, clustering, golden, matching
+from recurva.operators.blocking import Strategy
+from recurva.plans.analyse import analyse
 from recurva.plans.resolve import resolve_entities
 from recurva.session import checkpointed
+from recurva.sources.envelope import as_map, unite
 
 QUERIES, ORACLES = {}, {}
 
@@ -302,6 +307,69 @@ def r1(spark, folder):
     return _entities(resolve_entities(records(spark, folder)).entities)
 
 
+_MIXED = {"email": ("email", "stripe"), "company_name": ("company_name", "stripe"), "email_address": ("email", "postgres"), "company": ("company_name", "postgres"),
+          "phone_number": ("phone", "postgres"), "seats": ("seats", "postgres"), "contact_email": ("email", "csv"), "name": ("company_name", "csv"),
+          "tel": ("phone", "csv"), "signup_date": ("created_at", "csv")}
+_MIXED_SQL = f"""
+SELECT cluster_id AS entity_id, {', '.join(f"arg_min({old}, record_id) FILTER (source_type = '{source}' AND {old} IS NOT NULL) AS {new}" for new, (old, source) in _MIXED.items())},
+       {_pick_sql('created_at').replace('FILTER (', "FILTER (source_type <> 'csv' AND ")}, {_pick_sql('mrr')}, {_pick_sql('status')}, CAST(count(*) AS BIGINT) AS source_count
+FROM members GROUP BY 1
+UNION ALL
+SELECT source_type || ':' || record_id, {', '.join(f"CASE WHEN source_type = '{source}' THEN {old} END" for old, source in _MIXED.values())},
+       CASE WHEN source_type <> 'csv' THEN created_at END, mrr, status, 1
+FROM records WHERE source_type || ':' || record_id NOT IN (SELECT node FROM components)"""
+
+
+@query("r1_mixed_sources", f"WITH RECURSIVE {MATCHES_SQL} {_MIXED_SQL}")
+def r1_mixed(spark, folder):
+    found = resolve_entities(unite(*mixed_records(spark, folder))).entities
+    return found.select("entity_id", *_MIXED, "created_at", "mrr", "status", F.col("_source_count").cast("long").alias("source_count"))
+
+
+@query("r1_mixed_maps", f"WITH RECURSIVE {MATCHES_SQL}, entities AS ({_MIXED_SQL}) SELECT entity_id, email, contact_email, seats, status, source_count FROM entities")
+def r1_maps(spark, folder):
+    first, *others = mixed_records(spark, folder)
+    found = resolve_entities(unite(as_map(first), *others)).entities
+    return found.select("entity_id", *[F.col("data")[c].alias(c) for c in ("email", "contact_email")], F.col("data")["seats"].cast("long").alias("seats"),
+                        F.col("data")["status"].alias("status"), F.col("_source_count").cast("long").alias("source_count"))
+
+
+@query("r6_analyse", f"""WITH RECURSIVE {MATCHES_SQL}, entities AS ({_MIXED_SQL}),
+totals AS (
+  SELECT CAST(sum(CAST(mrr AS DECIMAL(32,6))) FILTER (status = 'active') AS DOUBLE) AS mrr, CAST(count(*) FILTER (status = 'active') AS DOUBLE) AS active_customers,
+         CAST(count(*) AS BIGINT) AS n FROM entities),
+now AS (
+  SELECT n, unnest(['mrr', 'new_mrr', 'expansion_mrr', 'contraction_mrr', 'churn_mrr', 'nrr', 'active_customers', 'arpu', 'quick_ratio', 'logo_churn_rate']) AS metric_id,
+         unnest([mrr, 0, 0, 0, 0, 0, active_customers, mrr / active_customers, 0, 0]) AS value FROM totals),
+earlier AS (SELECT 'mrr' AS metric_id, arg_max(value, period) AS previous_value FROM (
+  SELECT date_trunc('month', o_orderdate) AS period, CAST(sum(CAST(o_totalprice AS DECIMAL(32,6))) AS DOUBLE) AS value FROM orders GROUP BY 1)),
+rows AS (SELECT metric_id, value, previous_value, n FROM now LEFT JOIN earlier USING (metric_id))
+SELECT metric_id, round(value + 1e-9, 2) AS value, round(previous_value + 1e-9, 2) AS previous_value,
+       round((value - previous_value) / nullif(previous_value, 0) * 100 + 1e-9, 4) AS change_percent, n AS entity_count,
+       CASE WHEN metric_id = 'mrr' THEN abs((value - previous_value) / previous_value) > 0 END AS changed, CAST(3 AS BIGINT) AS validations
+FROM rows""")
+def r6(spark, folder):
+    month = F.to_date(F.date_trunc("month", "o_orderdate"))
+    history = table(spark, folder, "orders").groupBy(month.alias("period_date")).agg(exact_sum(F.col("o_totalprice")).alias("value")).withColumn("metric_id", F.lit("mrr"))
+    result = analyse(unite(*mixed_records(spark, folder)), "2035-01-15", history)
+    checks = result.validations.agg(F.count(F.lit(1)).alias("validations"))
+    changed = result.anomalies.where("metric_id = 'mrr'").select("metric_id", F.lit(True).alias("changed")).distinct()
+    rows = result.metrics.join(F.broadcast(changed), "metric_id", "left").join(F.broadcast(checks), F.lit(True))
+    return rows.select("metric_id", number("value", 2).alias("value"), number("previous_value", 2).alias("previous_value"),
+                       number("change_percent").alias("change_percent"), "entity_count", "changed", "validations")
+
+
+_PHONES = (Strategy("phone", ("phone", "phone_number", "tel"), phone_key, 7),)
+
+
+@query("x6_phone_only", f"""WITH RECURSIVE {MATCHES_SQL.replace("a.source_type < b.source_type)", "a.source_type < b.source_type AND a.phone = b.phone)")}
+SELECT node, cluster_id FROM components""")
+def x6(spark, folder):
+    """Custom strategies: only records with the same phone number may match, whatever their domain."""
+    pairs = checkpointed(matching.match_records(records(spark, folder), strategies=_PHONES).select("a_node", "b_node"))
+    return clustering.connected_components(pairs, "a_node", "b_node")
+
+
 @query("u3_single_source", f"WITH {RECORDS_SQL} SELECT source_type || ':' || record_id AS entity_id, {', '.join(_FIELDS)}, CAST(1 AS BIGINT) AS source_count, CAST(1 AS DOUBLE) AS confidence FROM records WHERE source_type = 'stripe'")
 def u3(spark, folder):
     return _entities(resolve_entities(stripe_records(spark, folder)).entities)
@@ -321,11 +389,11 @@ def j7(spark, folder):
 
 @query("a13_nested_lineage", f"""WITH RECURSIVE {GOLDEN_SQL}, lines AS (
   SELECT cluster_id AS entity_id, source_type, record_id FROM members UNION ALL SELECT entity_id, source_type, record_id FROM alone)
-SELECT entity_id, string_agg(source_type || ':' || record_id, ',' ORDER BY source_type, record_id) AS sources, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY 1""")
+SELECT entity_id, 0 AS part, string_agg(source_type || ':' || record_id, ',' ORDER BY source_type, record_id) AS sources, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY 1""")
 def a13(spark, folder):
-    nested = golden.nested_lineage(resolve_entities(records(spark, folder), unique_ids=True).lineage)
+    nested = golden.nested_lineage(resolve_entities(records(spark, folder), unique_ids=True).lineage, 1)
     text = F.transform("_sources", lambda s: F.concat_ws(":", s["source_type"], s["record_id"]))
-    return nested.select("entity_id", F.array_join(text, ",").alias("sources"), F.size("_sources").cast("long").alias("n"))
+    return nested.select("entity_id", "part", F.array_join(text, ",").alias("sources"), F.size("_sources").cast("long").alias("n"))
 
 
 @query("a10_counters", f"""WITH RECURSIVE {GOLDEN_SQL}

@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from recurva.bindings.metrics import with_lag
 from recurva.bindings.tables import (
-    METRICS_SQL, STATISTICS_SQL, day, event_series, number, series_sql, tenant_series, user_series,
+    METRICS_SQL, STATISTICS_SQL, day, event_series, number, series_sql, table, tenant_series, user_series,
 )
+from recurva.functions.labels import joint_metric_id
 from recurva.operators import forest, series
 from recurva.plans.detect import detect_anomalies
 
@@ -124,6 +126,50 @@ def i2(spark, folder):
     return _shown(hits, "tenant_id").withColumn("metrics", F.lit("several"))
 
 
+_GAPS = USERS.replace("sum(value) AS value", "CASE WHEN CAST(ts AS DATE) <> DATE '2024-01-30' AND day(CAST(ts AS DATE)) % 5 <> 0 THEN sum(value) END AS value")
+
+
+@query("w7_newest_with_gaps", f"""WITH {_GAPS}, {STATISTICS_SQL}
+SELECT metric_id, CAST(period_date AS VARCHAR) AS period, round(value + 1e-9, 4) AS value, CAST(history_count AS BIGINT) AS history_count FROM judged WHERE is_latest""")
+def w7_gaps(spark, folder):
+    gap = (F.col("period_date") == F.lit("2024-01-30").cast("date")) | (F.dayofmonth("period_date") % 5 == 0)
+    rows = user_series(spark, folder).withColumn("value", F.when(~gap, F.col("value")))
+    points = series.series_statistics(rows).where("is_latest")
+    return points.select("metric_id", day("period_date").alias("period"), number("value").alias("value"), "history_count")
+
+
+@query("i1_forest_planted", f"""WITH {USERS}
+SELECT metric_id, CAST(max(period_date) AS VARCHAR) AS period, 'isolation_forest' AS detection_method, CAST(1000000 AS DOUBLE) AS actual_value FROM daily
+WHERE CAST(metric_id AS BIGINT) % 3 = 1 GROUP BY 1 HAVING count(value) > 7""")
+def i1_planted(spark, folder):
+    """A third of the users gets an extreme newest point, a third is constant, the rest is left out."""
+    kind = F.col("metric_id").cast("long") % 3
+    newest = F.lead("period_date").over(Window.partitionBy("metric_id").orderBy("period_date")).isNull()
+    rows = user_series(spark, folder).where(kind < 2).withColumn("value", F.when(kind == 0, 5.0).when(newest, 1e6).otherwise(F.col("value")))
+    hits = forest.detect_forest(rows)
+    return hits.select("metric_id", day("period_date").alias("period"), "detection_method", "actual_value")
+
+
+@query("i2_joint_planted", """WITH daily AS (
+  SELECT user_id % 50 AS tenant_id, event_type AS metric_id, CAST(ts AS DATE) AS period_date FROM events GROUP BY ALL),
+lengths AS (SELECT tenant_id, metric_id, count(*) AS length FROM daily GROUP BY ALL),
+judged AS (SELECT tenant_id, length FROM lengths WHERE length > 7 AND tenant_id % 2 = 1 GROUP BY ALL HAVING count(*) >= 2)
+SELECT tenant_id, CAST(count(*) AS BIGINT) AS hits FROM judged GROUP BY 1""")
+def i2_planted(spark, folder):
+    """Odd tenants get an extreme newest point in every series, even ones are constant."""
+    newest = F.lead("period_date").over(Window.partitionBy("tenant_id", "metric_id").orderBy("period_date")).isNull()
+    odd = F.col("tenant_id") % 2 == 1
+    rows = tenant_series(spark, folder).withColumn("value", F.when(~odd, 5.0).when(newest, 1e6).otherwise(F.col("value")))
+    return forest.detect_joint_forest(rows, ["tenant_id"]).groupBy("tenant_id").agg(F.count(F.lit(1)).alias("hits"))
+
+
+@query("n17_joint_ids", """WITH ids AS (SELECT o_custkey, list_sort(list(DISTINCT o_orderpriority)) AS ids FROM orders GROUP BY 1)
+SELECT o_custkey, 'multivariate_' || array_to_string(ids[1:3], '_') || CASE WHEN len(ids) > 3 THEN '_etc' ELSE '' END AS joint_id FROM ids""")
+def n17(spark, folder):
+    rows = table(spark, folder, "orders").groupBy("o_custkey").agg(F.sort_array(F.collect_set("o_orderpriority")).alias("ids"))
+    return rows.select("o_custkey", joint_metric_id(F.col("ids")).alias("joint_id"))
+
+
 @query("i3_rules_without_forest", f"WITH {USERS}, {STATISTICS_SQL} {_HIT_SQL} WHERE is_latest")
 def i3(spark, folder):
     rows = user_series(spark, folder).withColumn("change_percent", F.lit(None).cast("double"))

@@ -26,7 +26,7 @@ def day(value: Column | str) -> Column:
     return F.date_format(value, "yyyy-MM-dd")
 
 
-# --- subscriptions: one per customer and priority, the customer's market segment as tenant ---------
+# --- subscriptions: one per customer and priority, the market segment as tenant; tenants use the same customer ids ----
 
 
 def subscription_history(spark: SparkSession, folder: str) -> DataFrame:
@@ -34,7 +34,7 @@ def subscription_history(spark: SparkSession, folder: str) -> DataFrame:
     customers = table(spark, folder, "customer").select("c_custkey", "c_mktsegment")
     return orders.join(customers, F.col("o_custkey") == F.col("c_custkey")).select(
         F.col("c_mktsegment").alias("tenant_id"),
-        F.col("o_custkey").alias("customer_entity_id"),
+        F.floor(F.col("o_custkey") / 3).alias("customer_entity_id"),
         F.col("o_orderpriority").alias("subscription_id"),
         F.when(F.col("o_orderstatus") == "F", "canceled").otherwise("active").alias("status"),
         F.col("o_totalprice").alias("amount"),
@@ -54,19 +54,19 @@ def metric_inputs(flags: DataFrame) -> DataFrame:
 
 SUBSCRIPTION_SQL = """
 history AS (
-  SELECT c_mktsegment AS tenant_id, o_custkey AS customer, o_orderpriority AS subscription,
+  SELECT c_mktsegment AS tenant_id, o_custkey // 3 AS customer, o_orderpriority AS subscription,
          CASE WHEN o_orderstatus = 'F' THEN 'canceled' ELSE 'active' END AS status,
          o_totalprice AS amount, o_orderdate AS happened, o_orderkey AS sequence
   FROM orders JOIN customer ON o_custkey = c_custkey),
 periods AS (
   SELECT tenant_id, customer, subscription, CAST(date_trunc('month', happened) AS DATE) AS period_date,
-         arg_max(status, {'happened': happened, 'sequence': sequence}) AS status, sum(amount) AS mrr_amount,
+         arg_max(status, {'happened': happened, 'sequence': sequence}) AS status, CAST(sum(CAST(amount AS DECIMAL(32,6))) AS DOUBLE) AS mrr_amount,
          min(happened) AS created_at, max(CASE WHEN status = 'canceled' THEN happened END) AS canceled_at
   FROM history GROUP BY 1, 2, 3, 4),
 started AS (
-  SELECT *, mrr_amount - lag(mrr_amount) OVER (PARTITION BY customer, subscription ORDER BY period_date) AS delta,
-         min(created_at) OVER (PARTITION BY customer, subscription) AS subscription_start,
-         min(created_at) OVER (PARTITION BY customer) AS customer_start
+  SELECT *, CAST(CAST(mrr_amount AS DECIMAL(32,6)) - lag(CAST(mrr_amount AS DECIMAL(32,6))) OVER (PARTITION BY tenant_id, customer, subscription ORDER BY period_date) AS DOUBLE) AS delta,
+         min(created_at) OVER (PARTITION BY tenant_id, customer, subscription) AS subscription_start,
+         min(created_at) OVER (PARTITION BY tenant_id, customer) AS customer_start
   FROM periods),
 subscriptions AS (
   SELECT *,
@@ -80,11 +80,11 @@ subscriptions AS (
 METRICS_SQL = SUBSCRIPTION_SQL + """,
 direct AS (
   SELECT tenant_id, period_date, count(*) AS entity_count,
-         coalesce(sum(mrr_amount) FILTER (status = 'active'), 0) AS mrr,
-         coalesce(sum(mrr_amount) FILTER (status = 'active' AND created_in_period), 0) AS new_mrr,
-         coalesce(sum(greatest(0, coalesce(delta, 0))) FILTER (status = 'active' AND existing_customer), 0) AS expansion_mrr,
-         abs(coalesce(sum(least(0, coalesce(delta, 0))) FILTER (status = 'active' AND existing_customer), 0)) AS contraction_mrr,
-         coalesce(sum(mrr_amount) FILTER (status = 'canceled' AND canceled_in_period), 0) AS churn_mrr,
+         coalesce(CAST(sum(CAST(mrr_amount AS DECIMAL(32,6))) FILTER (status = 'active') AS DOUBLE), 0) AS mrr,
+         coalesce(CAST(sum(CAST(mrr_amount AS DECIMAL(32,6))) FILTER (status = 'active' AND created_in_period) AS DOUBLE), 0) AS new_mrr,
+         coalesce(CAST(sum(CAST(greatest(0, coalesce(delta, 0)) AS DECIMAL(32,6))) FILTER (status = 'active' AND existing_customer) AS DOUBLE), 0) AS expansion_mrr,
+         abs(coalesce(CAST(sum(CAST(least(0, coalesce(delta, 0)) AS DECIMAL(32,6))) FILTER (status = 'active' AND existing_customer) AS DOUBLE), 0)) AS contraction_mrr,
+         coalesce(CAST(sum(CAST(mrr_amount AS DECIMAL(32,6))) FILTER (status = 'canceled' AND canceled_in_period) AS DOUBLE), 0) AS churn_mrr,
          CAST(count(DISTINCT customer) FILTER (status = 'active') AS DOUBLE) AS active_customers
   FROM subscriptions GROUP BY 1, 2),
 active AS (SELECT DISTINCT tenant_id, period_date, customer FROM subscriptions WHERE status = 'active'),
@@ -161,7 +161,7 @@ STATISTICS_SQL = """
 stepped AS (
   SELECT *, lag(value) OVER w AS before, count(value) OVER h AS history_count,
          avg(value) OVER t AS mean, stddev_pop(value) OVER t AS std, count(value) OVER t AS baseline_count,
-         lead(value) OVER w IS NULL AS is_latest
+         lead(period_date) OVER w IS NULL AS is_latest
   FROM daily
   WINDOW w AS (PARTITION BY metric_id ORDER BY period_date),
          h AS (PARTITION BY metric_id ORDER BY period_date ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING),
@@ -230,6 +230,23 @@ def records(spark: SparkSession, folder: str) -> DataFrame:
     return unite(stripe_records(spark, folder), postgres_records(spark, folder), csv_records(spark, folder))
 
 
+def _renamed(rows: DataFrame, names: dict[str, str], key: str) -> DataFrame:
+    """Records with other field names, without the fields not named, and with a status."""
+    number_ = F.substr("record_id", F.lit(2)).cast("long")
+    status = F.when(number_ % 3 == 0, "canceled").otherwise("active").alias(key)
+    return rows.withColumn("data", F.struct(*[F.col(f"data.{old}").alias(new) for old, new in names.items()], status))
+
+
+def mixed_records(spark: SparkSession, folder: str) -> list[DataFrame]:
+    """The three sources as their own systems would deliver them: hardly a field has the same name in two."""
+    return [
+        _renamed(stripe_records(spark, folder), {"email": "email", "company_name": "company_name", "created_at": "created_at", "mrr": "mrr"}, "status"),
+        _renamed(postgres_records(spark, folder), {"email": "email_address", "company_name": "company", "phone": "phone_number",
+                                                   "created_at": "created_at", "mrr": "mrr", "seats": "seats"}, "status"),
+        _renamed(csv_records(spark, folder), {"email": "contact_email", "company_name": "name", "phone": "tel", "created_at": "signup_date", "mrr": "mrr"}, "status"),
+    ]
+
+
 def _record_sql(rows: str, source: str, letter: str, key: str, domain: str, user: str, odd: str, days: str, amount: str,
                 seats: str) -> str:
     return f"""
@@ -238,7 +255,7 @@ def _record_sql(rows: str, source: str, letter: str, key: str, domain: str, user
          substr(md5('n' || (CAST({domain} AS BIGINT) // 2 + CASE WHEN {odd} THEN 1000000 ELSE 0 END)), 1, 12) || ' Inc' AS company_name,
          '+1 (555) ' || lpad(CAST({key} AS VARCHAR), 7, '0') AS phone,
          CAST(DATE '2020-01-01' + CAST({days} AS INTEGER) AS VARCHAR) AS created_at,
-         {amount} AS mrr, CAST({seats} AS BIGINT) AS seats
+         {amount} AS mrr, CAST({seats} AS BIGINT) AS seats, CASE WHEN {key} % 3 = 0 THEN 'canceled' ELSE 'active' END AS status
   FROM {rows}"""
 
 

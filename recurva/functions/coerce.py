@@ -48,6 +48,27 @@ def numeric_field(df: DataFrame, name: str) -> Column:
     return F.coalesce(number, F.lit(0.0))
 
 
+def as_money(amount: Column) -> Column:
+    """An amount with six decimals, exactly; NULL beyond 10^26 and for what is no number."""
+    return amount.try_cast("decimal(32,6)")
+
+
+def exact_sum(amount: Column) -> Column:
+    """Sum of amounts as a double that does not depend on the order of the rows.
+
+    Amounts are added as decimals and become a double at the end. Where the decimals cannot hold an amount the
+    plain sum of doubles stands.
+    """
+    plain = F.sum(amount)
+    lost = F.count_if(amount.isNotNull() & as_money(amount).isNull()) > 0
+    return F.when(lost, plain).otherwise(F.coalesce(F.try_sum(as_money(amount)).cast("double"), plain))
+
+
+def exact_difference(a: Column, b: Column) -> Column:
+    """`a - b` of two amounts without the error of binary fractions."""
+    return F.coalesce(as_money(a) - as_money(b), a - b).cast("double")
+
+
 def truthy(df: DataFrame, name: str) -> Column:
     """True for true flags, numbers other than zero, and text that is not empty."""
     kind = field_type(df, name)

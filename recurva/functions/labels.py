@@ -23,9 +23,17 @@ def severity_band(severity: Column) -> Column:
     return F.when(severity > 0.7, "red").when(severity > 0.4, "yellow").otherwise("blue")
 
 
+def plain_number(value: Column) -> Column:
+    """A double as text without an exponent, with the fewest digits that tell it apart; exponents from 10^16 on."""
+    short = value.cast("string")
+    digits = F.regexp_replace(short.try_cast("decimal(38,20)").cast("string"), "0+$", "")
+    plain = F.when(F.endswith(digits, F.lit(".")), F.concat(digits, F.lit("0"))).otherwise(digits)
+    return F.when(F.contains(short, F.lit("E")) & (F.abs(value) < 1e16) & (F.abs(value) >= 1e-4), plain).otherwise(short)
+
+
 def anomaly_sentence(name: Column, way: Column, value: Column) -> Column:
     return F.concat_ws(" ", F.coalesce(name, F.lit("Metric")), F.coalesce(way, F.lit("changed")), F.lit("to"),
-                       F.coalesce(value.cast("string"), F.lit("N/A")))
+                       F.coalesce(plain_number(value), F.lit("N/A")))
 
 
 def fixed(value: Column, digits: int) -> Column:

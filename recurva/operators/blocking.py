@@ -12,7 +12,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recurva.functions.coerce import field_values
+from recurva.functions.coerce import blank_to_null, field_values
 from recurva.functions.normalize import company_key, email_domain, phone_key
 from recurva.session import checkpointed
 
@@ -38,11 +38,16 @@ STRATEGIES = (
 
 
 def with_source(records: DataFrame) -> DataFrame:
-    """Records with a source; those without one come from `unknown`."""
+    """Records with a source and an id.
+
+    Those without a source come from `unknown`. Those without an id, or with a blank one, are named after their
+    content, so that only records equal in all fields are taken for copies of one.
+    """
     source = F.col("source_type") if "source_type" in records.columns else F.lit(None).cast("string")
+    content = F.concat(F.lit("#"), F.md5(F.to_json(F.col("data"), {"ignoreNullFields": "false"}))) if "data" in records.columns else F.lit("")
     return records.withColumns({
         "source_type": F.coalesce(source, F.lit("unknown")),
-        "record_id": F.coalesce(F.col("record_id").cast("string"), F.lit("")),
+        "record_id": F.coalesce(blank_to_null(F.col("record_id").cast("string")), content),
     })
 
 
@@ -110,16 +115,23 @@ def candidate_counts(records: DataFrame, strategies: Sequence[Strategy] = STRATE
     """Distinct candidate pairs per pair of sources, over the union of all strategies.
 
     By inclusion and exclusion: pairs that share a set of keys are counted for every subset of the set, with
-    alternating sign, so each pair adds up to one. Work grows with the records and not with the pairs.
+    alternating sign, so each pair adds up to one. Work grows with the records and not with the pairs. Keys that only
+    one source has join nothing and are left out first, and records with the same keys left are counted once.
     """
-    keys = with_source(records).select("source_type", key_array(records, strategies).alias("keys"))
+    rows = with_source(records)
+    sets = checkpointed(rows.select("source_type", key_array(rows, strategies).alias("keys")).groupBy("source_type", "keys").agg(
+        F.count(F.lit(1)).alias("n")).withColumn("set", F.monotonically_increasing_id()))  # fixed by the writing
+    places = sets.select("set", "source_type", F.explode("keys").alias("key"))
+    shared = places.groupBy("key").agg(F.min("source_type").alias("first"), F.max("source_type").alias("last")).where("first < last")
+    left = places.join(shared.select("key"), "key").groupBy("set").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    keys = left.join(sets.select("set", "source_type", "n"), "set").groupBy("source_type", "keys").agg(F.sum("n").alias("n"))
     nothing = F.array(F.array().cast("array<string>"))
     subsets = F.aggregate(
         "keys", nothing, lambda found, key: F.concat(found, F.transform(found, lambda s: F.array_append(s, key)))
     )
     counts = (
-        keys.select("source_type", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("shared"))
-        .groupBy("shared", "source_type").agg(F.count(F.lit(1)).alias("n"))
+        keys.select("source_type", "n", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("shared"))
+        .groupBy("shared", "source_type").agg(F.sum("n").alias("n"))
     )
     a = counts.select("shared", F.col("source_type").alias("source_a"), F.col("n").alias("n_a"))
     b = counts.select("shared", F.col("source_type").alias("source_b"), F.col("n").alias("n_b"))

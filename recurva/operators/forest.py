@@ -31,11 +31,14 @@ def _expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, path, np.where(n == 2, 1.0, 0.0))
 
 
-def forest_scores(points: np.ndarray, seed: int, trees: int = 100, sample: int = 256) -> np.ndarray:
-    """Score per row, near −1 for isolated rows. All trees grow level by level in the same arrays."""
+def forest_scores(points: np.ndarray, seed: int, trees: int = 100, sample: int | None = None) -> np.ndarray:
+    """Score per row, near −1 for isolated rows. All trees grow level by level in the same arrays.
+
+    Each tree grows on all rows, or on `sample` rows drawn for it.
+    """
     rng = np.random.default_rng(seed)
     n, width = points.shape
-    drawn = min(sample, n)
+    drawn = n if sample is None else min(sample, n)
     used = np.argsort(rng.random((trees, n)), axis=1) < drawn if drawn < n else np.ones((trees, n), dtype=bool)
     node = np.repeat(np.arange(trees)[:, None], n, axis=1)
     depth = np.zeros((trees, n))
@@ -84,10 +87,10 @@ def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
 
 
 def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: float = 0.05, seed: int = 42,
-                  trees: int = 100, guard: float = 1.0) -> DataFrame:
+                  trees: int = 100, guard: float = 1.0, sample: int | None = None) -> DataFrame:
     """Judge the newest point of every series with at least seven earlier ones.
 
-    A point closer to the mean than `guard` and than two standard deviations is never flagged.
+    Trees grow on all points of a series; `sample` lowers that to a number of points for each tree. A point closer to the mean than `guard` and than two standard deviations is never flagged.
     """
     names = [*keys, "metric_id"]
 
@@ -96,7 +99,7 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
         values = points["value"].to_numpy(dtype=float)
         history, current = values[:-1], values[-1]
         row = {c: points[c].iloc[-1] for c in names}
-        scores = forest_scores(values[:, None], _seed(seed, *row.values()), trees)
+        scores = forest_scores(values[:, None], _seed(seed, *row.values()), trees, sample)
         gap, spread = current - history.mean(), history.std()
         tiny = abs(gap) < guard and spread > 0 and abs(gap) < 2 * spread
         found = _last_is_outlier(scores, contamination) and not tiny
@@ -121,12 +124,18 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
     return ready.groupBy(*names).applyInPandas(judge, schema)
 
 
-def detect_joint_forest(series: DataFrame, keys: Sequence[str] = (), contamination: float = 0.05, seed: int = 42,
-                        trees: int = 100) -> DataFrame:
+def detect_joint_forest(series: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str] | None = None,
+                        contamination: float = 0.05, seed: int = 42, trees: int = 100, sample: int | None = None) -> DataFrame:
     """Judge the newest time point over all metrics of a key that have equally long series.
 
-    Points are matched by position, as series of equal length; groups need at least two metrics.
+    Points are matched by position, as series of equal length; groups need at least two metrics. A group is one task's
+    work, so its size must be known: either `keys` split the series, or `metrics` lists those that are judged
+    together. Without both, nothing bounds the group and the call is refused.
     """
+    if not keys and metrics is None:
+        raise ValueError("name the keys that split the series, or the metrics to judge together")
+    if metrics is not None:
+        series = series.where(F.col("metric_id").isin(*metrics))
     order = Window.partitionBy(*keys, "metric_id")
     placed = series.withColumns({
         "length": F.count("value").over(order),
@@ -140,7 +149,7 @@ def detect_joint_forest(series: DataFrame, keys: Sequence[str] = (), contaminati
         found = False
         score = 0.0
         if grid.shape[1] >= 2:
-            scores = forest_scores(grid.to_numpy(dtype=float), _seed(seed, *row.values()), trees)
+            scores = forest_scores(grid.to_numpy(dtype=float), _seed(seed, *row.values()), trees, sample)
             found, score = _last_is_outlier(scores, contamination), float(scores[-1])
         ids = [str(m) for m in grid.columns]
         result = row | {

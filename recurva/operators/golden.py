@@ -49,19 +49,31 @@ def data_fields(records: DataFrame) -> list[str]:
     return [f for f in records.schema["data"].dataType.fieldNames() if not f.startswith("_")]
 
 
+def holds_map(records: DataFrame) -> bool:
+    return isinstance(records.schema["data"].dataType, T.MapType)
+
+
 def golden_records(members: DataFrame, records: DataFrame, confidence: DataFrame, **sources) -> DataFrame:
     """One row per cluster: the picked fields, `_source_count` and `_confidence`.
 
-    `members` lists the records of each cluster and is the lineage; members without a record add nothing.
+    `members` lists the records of each cluster and is the lineage; members without a record add nothing. Records
+    that hold a map have their picked fields as one map, `data`.
     """
-    if isinstance(records.schema["data"].dataType, T.MapType):
-        raise TypeError("use golden_maps for records that hold a map")
-    fields = data_fields(records)
-    rows = members.join(records.select("source_type", "record_id", "data"), ["source_type", "record_id"], "left")
-    picked = rows.groupBy(F.col("cluster_id").alias("entity_id")).agg(
-        *[pick(f, F.col(f"data.`{f}`"), **sources).alias(f) for f in fields],
-        F.count(F.lit(1)).cast("int").alias("_source_count"),
-    )
+    entity = F.col("cluster_id").alias("entity_id")
+    if holds_map(records):
+        # a map has as many entries as an entity has fields
+        fields = golden_maps(members, records, **sources).groupBy("entity_id").agg(
+            F.map_from_entries(F.collect_list(F.struct("field", "value"))).alias("data"))
+        sizes = members.groupBy(entity).agg(F.count(F.lit(1)).cast("int").alias("_source_count"))
+        empty = F.create_map().cast("map<string,string>")
+        picked = sizes.join(fields, "entity_id", "left").select("entity_id", F.coalesce("data", empty).alias("data"), "_source_count")
+    else:
+        fields = data_fields(records)
+        rows = members.join(records.select("source_type", "record_id", "data"), ["source_type", "record_id"], "left")
+        picked = rows.groupBy(entity).agg(
+            *[pick(f, F.col(f"data.`{f}`"), **sources).alias(f) for f in fields],
+            F.count(F.lit(1)).cast("int").alias("_source_count"),
+        )
     known = confidence.select(F.col("cluster_id").alias("entity_id"), F.col("avg_confidence").alias("_confidence"))
     return picked.join(known, "entity_id", "left")
 
@@ -84,7 +96,7 @@ def unmatched_records(records: DataFrame, members: DataFrame) -> DataFrame:
     alone = records.join(members.select("source_type", "record_id"), ["source_type", "record_id"], "left_anti")
     return alone.select(
         F.concat_ws(":", "source_type", "record_id").alias("entity_id"),
-        *[F.col(f"data.`{f}`").alias(f) for f in data_fields(records)],
+        *(["data"] if holds_map(records) else [F.col(f"data.`{f}`").alias(f) for f in data_fields(records)]),
         F.lit(1).alias("_source_count"),
         F.lit(1.0).alias("_confidence"),
     )
@@ -98,9 +110,12 @@ def lineage(members: DataFrame, records: DataFrame) -> DataFrame:
         alone.select(own.alias("entity_id"), "source_type", "record_id"))
 
 
-def nested_lineage(rows: DataFrame, part_rows: int = 1000) -> DataFrame:
-    """Lineage as arrays. An entity with many records gets several parts, so no array grows with the data."""
-    sizes = rows.groupBy("entity_id").agg(F.ceil(F.count(F.lit(1)) / part_rows).alias("parts"))
-    part = F.pmod(F.xxhash64("source_type", "record_id"), F.col("parts")).cast("int")
-    return rows.join(sizes, "entity_id").groupBy("entity_id", part.alias("part")).agg(
+def nested_lineage(rows: DataFrame, parts: int) -> DataFrame:
+    """Lineage as arrays, a row per entity and part: the records of an entity are dealt to `parts` parts by their ids.
+
+    With one part every entity is one row. More parts keep the arrays of large entities short; `lineage` has a row per
+    record and needs no choice.
+    """
+    part = F.pmod(F.crc32(F.concat_ws(":", "source_type", "record_id").cast("binary")), F.lit(parts)).cast("int")
+    return rows.groupBy("entity_id", part.alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("source_type", "record_id"))).alias("_sources"))

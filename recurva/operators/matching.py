@@ -35,14 +35,16 @@ TOLERANCE_DAYS = 3
 TILE_ROWS = 2048
 BROADCAST_KEYS = 100_000
 
-_ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "domain", "name", "micros", "zoned", "amount", "amount_bad", "keys")
+_ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "domain", "blocked", "name", "micros", "zoned", "amount", "amount_bad", "keys")
 
 
 def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
                     strategies: Sequence[Strategy] = STRATEGIES) -> DataFrame:
     """What the scores read of each record, and `profile`, a digest of it.
 
-    Sources are ordered as given, then by name; the first source of a pair is its side `a`.
+    Sources are ordered as given, then by name; the first source of a pair is its side `a`. `blocked` says that all
+    records of the same link share a blocking key for certain, as they do by their domain; strategies other than the
+    usual ones may leave that out.
     """
     rows = with_source(records)
     read = field_reader(rows)
@@ -57,6 +59,7 @@ def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
         email.alias("raw_email"), name.alias("raw_name"), clean.alias("email"),
         F.coalesce(sim.known_domain(clean), clean).alias("link"),
         sim.known_domain(clean).alias("domain"),
+        (sim.known_domain(clean).isNotNull() & F.lit(all(s in strategies for s in STRATEGIES))).alias("blocked"),
         F.when(name != "", F.lower(name)).alias("name"),
         sim.iso_micros(time).alias("micros"),
         F.coalesce(sim.iso_zoned(time), F.lit(False)).alias("zoned"),
@@ -295,7 +298,7 @@ def score_pairs(pairs: DataFrame, records: DataFrame) -> DataFrame:
 def _candidates(threshold: float) -> Column:
     """The sides, of one link, differ in source, share a blocking key, and score enough."""
     return (
-        (_a("source_rank") < _b("source_rank")) & (_a("domain").isNotNull() | F.arrays_overlap("a_keys", "b_keys"))
+        (_a("source_rank") < _b("source_rank")) & (_a("blocked") | F.arrays_overlap("a_keys", "b_keys"))
         & sim.reaches(threshold, *_scores().values())
     )
 
@@ -380,9 +383,9 @@ def match_pairs(nodes: DataFrame, threshold: float = MATCH_THRESHOLD, tile_rows:
 
 
 def match_records(records: DataFrame, threshold: float = MATCH_THRESHOLD, source_order: Sequence[str] = (),
-                  tile_rows: int = TILE_ROWS) -> DataFrame:
+                  tile_rows: int = TILE_ROWS, strategies: Sequence[Strategy] = STRATEGIES) -> DataFrame:
     """`match_pairs` for records that are unique per source and id."""
-    nodes = checkpointed(match_nodes(record_profiles(records, source_order)))
+    nodes = checkpointed(match_nodes(record_profiles(records, source_order, strategies)))
     return match_pairs(nodes, threshold, tile_rows)
 
 
@@ -397,7 +400,7 @@ def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THR
     also need a date or an amount are listed.
     """
     named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
-    groups = named.where(F.col("domain").isNotNull()).groupBy("link", "name").agg(
+    groups = named.where("blocked").groupBy("link", "name").agg(
         F.min("node").alias("hub"), F.min("source_rank").alias("first"), F.max("source_rank").alias("last"))
     sure = names.where(_sure(F.col("similarity"), threshold))
     sides = groups.select("link", F.col("name").alias("a_name"), F.col("hub").alias("a_node"), "first", "last")
@@ -409,8 +412,8 @@ def match_links(nodes: DataFrame, names: DataFrame, threshold: float = MATCH_THR
     if threshold <= EQUAL_NAME_SCORE:
         linked = linked.unionByName(groups.where(F.col("first") != F.col("last")).select("link", "name"))
     joined = groups.join(linked.distinct(), ["link", "name"]).select("link", "name", "hub")
-    within = named.where(F.col("domain").isNotNull()).join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
-    unsure = ~(_a("domain").isNotNull() & _sure(F.col("similarity"), threshold))
+    within = named.where("blocked").join(joined, ["link", "name"]).select(F.col("hub").alias("a_node"), F.col("node").alias("b_node"))
+    unsure = ~(_a("blocked") & _sure(F.col("similarity"), threshold))
     listed = _by_name(nodes, names, threshold, tile_rows, unsure).unionByName(_by_address(nodes, names, threshold, tile_rows))
     listed = _scored(listed, threshold).select("a_node", "b_node")
     return between.select("a_node", "b_node").unionByName(within).unionByName(listed)

@@ -7,7 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from recurva.functions.coerce import numeric_field, template_filter
+from recurva.functions.coerce import exact_sum, numeric_field, template_filter
 from recurva.operators.formulas import formula_column, formula_order
 from recurva.operators.registry import CORE_METRICS, ID_FALLBACKS, Metric, Registry, metrics_frame
 
@@ -27,11 +27,11 @@ def aggregate_column(df: DataFrame, metric: Metric) -> Column:
     if metric.kind == "count_distinct":
         return _distinct_ids(df, metric.column, keep)
     if metric.kind == "sum":
-        value = F.sum(F.when(keep, numeric_field(df, metric.column)))
+        value = exact_sum(F.when(keep, numeric_field(df, metric.column)))
     elif metric.kind == "sum_positive_delta":
-        value = F.sum(F.when(keep, F.greatest(F.lit(0.0), numeric_field(df, "delta"))))
+        value = exact_sum(F.when(keep, F.greatest(F.lit(0.0), numeric_field(df, "delta"))))
     elif metric.kind == "sum_negative_delta":
-        value = F.abs(F.sum(F.when(keep, F.least(F.lit(0.0), numeric_field(df, "delta")))))
+        value = F.abs(exact_sum(F.when(keep, F.least(F.lit(0.0), numeric_field(df, "delta")))))
     else:
         return F.max(F.lit(0.0))
     return F.coalesce(value, F.lit(0.0))

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from recurva.functions.coerce import exact_difference, exact_sum
 from recurva.session import checkpointed
 
 TENANT, CUSTOMER, SUBSCRIPTION, PERIOD = "tenant_id", "customer_entity_id", "subscription_id", "period_date"
@@ -41,7 +42,7 @@ def subscription_periods(history: DataFrame, grain: str = "month") -> DataFrame:
         .groupBy(TENANT, CUSTOMER, SUBSCRIPTION, PERIOD)
         .agg(
             F.max_by("status", last).alias("status"),
-            F.sum("amount").alias("mrr_amount"),
+            exact_sum(F.col("amount")).alias("mrr_amount"),
             F.min("at").alias("created_at"),
             F.max(F.when(F.col("status") == "canceled", F.col("at"))).alias("canceled_at"),
         )
@@ -62,16 +63,17 @@ def canceled_in_period(grain: str = "month") -> Column:
 def period_flags(periods: DataFrame, grain: str = "month") -> DataFrame:
     """Add the four template inputs to the rows of `subscription_periods`.
 
-    The windows run over one subscription and hold one row per period, so the calendar bounds them. The
-    first day of a customer, who may own any number of subscriptions, is aggregated and joined instead.
+    Ids are those of a tenant; another tenant may use the same. The windows run over one subscription and hold
+    one row per period, so the calendar bounds them. The first day of a customer, who may own any number of
+    subscriptions, is aggregated and joined instead.
     """
-    own = Window.partitionBy(CUSTOMER, SUBSCRIPTION).orderBy(PERIOD)
+    own = Window.partitionBy(TENANT, CUSTOMER, SUBSCRIPTION).orderBy(PERIOD)
     rows = periods.withColumns({
-        "delta": F.col("mrr_amount") - F.lag("mrr_amount").over(own),
+        "delta": exact_difference(F.col("mrr_amount"), F.lag("mrr_amount").over(own)),
         "subscription_start": F.min("created_at").over(own.rowsBetween(Window.unboundedPreceding, Window.currentRow)),
     })
-    first = periods.groupBy(CUSTOMER).agg(F.min("created_at").alias("customer_start"))
-    return rows.join(first, CUSTOMER).withColumns({
+    first = periods.groupBy(TENANT, CUSTOMER).agg(F.min("created_at").alias("customer_start"))
+    return rows.join(first, [TENANT, CUSTOMER]).withColumns({
         "created_in_period": created_in_period(grain),
         "existing_customer": F.col("customer_start") < F.col(PERIOD),
         "canceled_in_period": canceled_in_period(grain),
@@ -89,7 +91,7 @@ def subscription_flags(history: DataFrame, grain: str = "month") -> DataFrame:
 def previous_mrr(flags: DataFrame, grain: str = "month", keys: Sequence[str] = (TENANT,)) -> DataFrame:
     """`mrr_previous` per key and period: the MRR of the period right before, NULL where that has none."""
     mrr = flags.groupBy(*keys, PERIOD).agg(
-        F.coalesce(F.sum(F.when(F.col("status") == "active", F.col("mrr_amount"))), F.lit(0.0)).alias("mrr_previous")
+        F.coalesce(exact_sum(F.when(F.col("status") == "active", F.col("mrr_amount"))), F.lit(0.0)).alias("mrr_previous")
     )
     return mrr.withColumn(PERIOD, next_period(F.col(PERIOD), grain))
 

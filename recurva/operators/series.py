@@ -48,7 +48,7 @@ def series_statistics(series: DataFrame, keys: Sequence[str] = (), window: int =
         "std": F.stddev_pop("value").over(trailing),
         "before": before,
         "change": F.try_divide(F.col("value") - before, F.abs(before)),
-        "is_latest": F.lead("value").over(order).isNull(),
+        "is_latest": F.lead("period_date").over(order).isNull(),
     })
     return based.withColumns({
         "previous": F.when(F.col("history_count") >= 2, F.col("before")),

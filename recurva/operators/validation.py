@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from recurva.functions.labels import fixed
 
+# The metrics read, and the names, severities and message texts of the three invariants below.
 _CHECKED = ("new_mrr", "expansion_mrr", "contraction_mrr", "churn_mrr", "nrr")
 
 

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurva.functions import labels
+from recurva.session import checkpointed
 
+# Fixed value: what a report without anomalies says.
 ALL_QUIET = "No anomalies detected. All metrics are within normal ranges."
 
 
@@ -37,9 +39,9 @@ def most_severe(summaries: DataFrame) -> DataFrame:
 
 
 def explain_anomalies(anomalies: DataFrame) -> DataFrame:
-    """The ranked summaries; a single row that says so where there are none."""
-    summaries = summarise(anomalies)
-    quiet = anomalies.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0).select(F.lit(ALL_QUIET).alias("what_happened"))
+    """The ranked summaries; a single row that says so where there are none. The anomalies are evaluated once."""
+    summaries = checkpointed(summarise(anomalies))
+    quiet = summaries.agg(F.count(F.lit(1)).alias("n")).where(F.col("n") == 0).select(F.lit(ALL_QUIET).alias("what_happened"))
     return ranked(summaries.unionByName(quiet, allowMissingColumns=True))
 
 

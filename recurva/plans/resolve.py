@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from recurva.operators import clustering, golden
-from recurva.operators.blocking import latest_records, with_source
+from recurva.operators.blocking import STRATEGIES, Strategy, latest_records, with_source
 from recurva.operators.matching import (
     DOMAIN_ONLY_BEST, MATCH_THRESHOLD, TILE_ROWS, match_links, match_nodes, match_pairs, needed_tiles, record_profiles, similar_names,
 )
@@ -36,18 +36,20 @@ class Resolution:
 
 
 def resolve_entities(records: DataFrame, threshold: float = MATCH_THRESHOLD, source_order: Sequence[str] = (),
-                     unique_ids: bool = False, tile_rows: int = TILE_ROWS) -> Resolution:
+                     unique_ids: bool = False, tile_rows: int = TILE_ROWS, strategies: Sequence[Strategy] = STRATEGIES) -> Resolution:
     """Find the records of different sources that are one entity and merge them.
 
     Records in no cluster stay as entities of their own; with a single source that is all of them. Say
-    `unique_ids` where every (source, id) occurs once, to save the pass that keeps the newest copy.
+    `unique_ids` where every (source, id) occurs once, to save the pass that keeps the newest copy. Only records that
+    share a key under one of `strategies` can match. Sources whose records differ in their fields can be handed in as
+    `envelope.unite` returns them.
 
-    The narrow matching columns, the similar names and the members are checkpointed, as several steps read
-    them; the records themselves are not, and neither is the list of matches: clusters come from links, and the
-    scores go straight into the confidence of each cluster.
+    The records without their older copies, the narrow matching columns, the similar names and the members are
+    checkpointed, as several steps read them; the list of matches is not: clusters come from links, and the scores go
+    straight into the confidence of each cluster.
     """
-    latest = with_source(records) if unique_ids else latest_records(records)
-    profiles = checkpointed(record_profiles(latest, source_order))
+    latest = with_source(records) if unique_ids else checkpointed(latest_records(records))
+    profiles = checkpointed(record_profiles(latest, source_order, strategies))
     nodes = checkpointed(match_nodes(profiles))
     if threshold > DOMAIN_ONLY_BEST:
         tiles = needed_tiles(nodes, tile_rows)

@@ -38,10 +38,10 @@ def object_schema(object_type: str) -> T.StructType:
     return T.StructType([T.StructField(name, _TYPES[kind]) for name, kind, _ in declared])
 
 
-def describe_objects(spark: SparkSession) -> DataFrame:
-    """Declared columns in the shape of a CSV profile."""
-    rows = [(table, name, kind, True, name == "id", meaning) for table, columns in DECLARED.items()
-            for name, kind, meaning in columns]
+def describe_objects(spark: SparkSession, object_types: Iterable[str] = tuple(DECLARED)) -> DataFrame:
+    """Declared columns of object types, in the shape of a CSV profile; types without a declaration have none."""
+    rows = [(table, name, kind, True, name == "id", meaning) for table in object_types
+            for name, kind, meaning in DECLARED.get(table, ())]
     return spark.createDataFrame(
         rows, "table_name string, column_name string, data_type string, nullable boolean, "
               "is_primary_key boolean, semantic_type string")

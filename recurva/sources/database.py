@@ -74,8 +74,8 @@ def read_table(spark: SparkSession, options: Mapping[str, str], table: str, sche
 
 def table_records(rows: DataFrame, source_id: str, table: str, source_type: str = "postgres",
                   change_type: str = CREATE) -> DataFrame:
-    """Normalised records of a table; the column `id` names them."""
-    identity = F.col("id") if "id" in rows.columns else F.lit("")
+    """Normalised records of a table; the column `id` names them, or their content where it is missing or blank."""
+    identity = F.col("id") if "id" in rows.columns else F.lit(None)
     return envelope(rows, source_type, source_id, table, identity, change_type=change_type)
 
 

@@ -6,9 +6,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recurva.functions.coerce import blank_to_null
+
 CREATE, UPDATE, DELETE = "create", "update", "delete"
 ENVELOPE = ("source_type", "source_id", "object_type", "record_id", "data", "extracted_at", "change_type", "record_hash")
-PREVIEW_ROWS = 500
 
 
 def content_hash(data: Column, fields: list[str]) -> Column:
@@ -26,18 +27,22 @@ def envelope(
     fields: list[str] | None = None,
     change_type: str | Column = CREATE,
 ) -> DataFrame:
-    """Wrap rows as normalised records; `fields` names the columns that make up the data."""
+    """Wrap rows as normalised records; `fields` names the columns that make up the data.
+
+    A record without an id, or with a blank one, is named after its content: `#` and its hash.
+    """
     names = fields or rows.columns
     data = F.struct(*[F.col(f"`{n}`") for n in names])
+    digest = content_hash(data, names)
     return rows.select(
         F.lit(source_type).alias("source_type"),
         F.lit(source_id).alias("source_id"),
         (F.lit(object_type) if isinstance(object_type, str) else object_type).alias("object_type"),
-        record_id.cast("string").alias("record_id"),
+        F.coalesce(blank_to_null(record_id.cast("string")), F.concat(F.lit("#"), digest)).alias("record_id"),
         data.alias("data"),
         F.current_timestamp().alias("extracted_at"),
         (F.lit(change_type) if isinstance(change_type, str) else change_type).alias("change_type"),
-        content_hash(data, names).alias("record_hash"),
+        digest.alias("record_hash"),
     )
 
 
@@ -50,15 +55,51 @@ def wrap(frame: DataFrame, source_type: str, source_id: str, object_type: str) -
 def as_map(records: DataFrame) -> DataFrame:
     """Records with their data as a map of text, so that sources with different fields can be united."""
     fields = records.schema["data"].dataType.fieldNames()
-    entries = [x for f in fields for x in (F.lit(f), F.col(f"data.`{f}`").cast("string"))]
+    entries = [x for f in fields for x in (F.lit(f), _as_text(F.col(f"data.`{f}`"), records.schema["data"].dataType[f].dataType))]
     return records.withColumn("data", F.map_filter(F.create_map(*entries), lambda _, v: v.isNotNull()))
 
 
+def _common(kinds: list[T.DataType]) -> T.DataType:
+    """The type that holds all values of a field: the one they have, double for numbers, else text."""
+    known = [k for k in kinds if not isinstance(k, T.NullType)]
+    if len({k.simpleString() for k in known}) <= 1:
+        return known[0] if known else T.StringType()
+    return T.DoubleType() if all(isinstance(k, T.NumericType) for k in known) else T.StringType()
+
+
+def _as_text(value: Column, kind: T.DataType) -> Column:
+    """Nested values as JSON, all others by a cast."""
+    return F.to_json(value) if isinstance(kind, (T.StructType, T.ArrayType, T.MapType)) else value.cast("string")
+
+
+def with_fields(records: DataFrame, fields: dict[str, T.DataType]) -> DataFrame:
+    """Records whose data has exactly these fields; those it lacks are NULL."""
+    own = {f.name: f.dataType for f in records.schema["data"].dataType.fields}
+    values = []
+    for name, kind in fields.items():
+        value = F.col(f"data.`{name}`") if name in own else F.lit(None)
+        if name in own and own[name] != kind:
+            value = _as_text(value, own[name]) if isinstance(kind, T.StringType) else value.cast(kind)
+        values.append((value if name in own else value.cast(kind)).alias(name))
+    return records.withColumn("data", F.struct(*values))
+
+
 def unite(*sources: DataFrame) -> DataFrame:
-    """Union of record sets. Equal data types stay as they are, others become maps of text."""
-    kinds = {s.schema["data"].dataType.simpleString() for s in sources}
-    frames = sources if len(kinds) == 1 else [s if isinstance(s.schema["data"].dataType, T.MapType) else as_map(s)
-                                              for s in sources]
+    """Union of record sets, whatever their fields.
+
+    The data has every field of any source, with a type that holds all its values; records lack the fields of other
+    sources. If the data of some source is a map, fields are not known beforehand, and all become maps of text.
+    """
+    kinds = [s.schema["data"].dataType for s in sources]
+    if any(isinstance(k, T.MapType) for k in kinds):
+        frames = [s if isinstance(k, T.MapType) else as_map(s) for s, k in zip(sources, kinds)]
+    else:
+        found: dict[str, list[T.DataType]] = {}
+        for kind in kinds:
+            for field in kind.fields:
+                found.setdefault(field.name, []).append(field.dataType)
+        fields = {name: _common(types) for name, types in found.items()}
+        frames = [with_fields(s, fields) for s in sources]
     result = frames[0]
     for frame in frames[1:]:
         result = result.unionByName(frame)
@@ -70,8 +111,8 @@ def to_json(records: DataFrame) -> DataFrame:
     return records.select(F.to_json(F.struct(*records.columns), {"ignoreNullFields": "false"}).alias("document"))
 
 
-def preview(records: DataFrame, rows: int = PREVIEW_ROWS, order: tuple[str, ...] = ()) -> DataFrame:
-    """The first rows, for display. Counts and metrics always use all records."""
+def preview(records: DataFrame, rows: int, order: tuple[str, ...] = ()) -> DataFrame:
+    """The first `rows` rows, for display. Counts and metrics always use all records."""
     return (records.orderBy(*order) if order else records).limit(rows)
 
 

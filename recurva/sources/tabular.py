@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from pathlib import PurePosixPath
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
@@ -24,8 +24,10 @@ FIELD_ALIASES = {
 }
 # Names the metric templates read, where they differ from the meaning.
 METRIC_COLUMNS = {"mrr": "mrr_amount", "customer_id": "customer_entity_id"}
-SAMPLE_ROWS = 20
+#: Sample values per column in a profile.
+SAMPLES = 5
 POSITION = "_row_position"
+ID = "_row_id"
 
 
 def _cleaned(header: str) -> str:
@@ -88,7 +90,7 @@ def with_position(rows: DataFrame) -> DataFrame:
 
 
 def data_columns(rows: DataFrame) -> list[str]:
-    return [c for c in rows.columns if c != POSITION]
+    return [c for c in rows.columns if c not in (POSITION, ID)]
 
 
 def _is_number(cell: Column) -> Column:
@@ -108,38 +110,26 @@ def column_type(filled: Column, numbers: Column, dates: Column) -> Column:
     )
 
 
-def profile_columns(rows: DataFrame, table_name: str = "data", sample_rows: int | None = SAMPLE_ROWS,
-                    samples: int = 0) -> DataFrame:
-    """One row per column: type, meaning, counts and, on demand, sample values.
+def profile_columns(rows: DataFrame, table_name: str = "data", samples: int = SAMPLES) -> DataFrame:
+    """One row per column: type, meaning, counts and the values of the first `samples` rows.
 
-    Types come from the first `sample_rows` rows, or from all rows with None, in one aggregate over all
-    columns at once. The row count is always that of the whole table.
+    Types come from all rows, in one aggregate over all columns at once.
     """
     names = data_columns(rows)
-    head = rows if sample_rows is None else rows.orderBy(POSITION).limit(sample_rows) if POSITION in rows.columns else (
-        rows.limit(sample_rows))
-
-    def counts(frame: DataFrame) -> DataFrame:
-        stats = []
-        for i, name in enumerate(names):
-            cell = F.col(f"`{name}`")
-            filled = cell.isNotNull() & (cell != "")
-            stats += [F.count_if(filled).alias(f"filled_{i}"), F.count_if(filled & _is_number(cell)).alias(f"numbers_{i}"),
-                      F.count_if(filled & _looks_like_date(cell)).alias(f"dates_{i}")]
-        return frame.agg(*stats, F.count(F.lit(1)).alias("seen"))
-
-    totals = counts(head)
-    if sample_rows is None:
-        totals = totals.withColumn("row_count", F.col("seen"))
-    else:
-        totals = totals.withColumn("one", F.lit(1)).join(rows.agg(F.count(F.lit(1)).alias("row_count"), F.lit(1).alias("one")), "one")
+    stats = []
+    for i, name in enumerate(names):
+        cell = F.col(f"`{name}`")
+        filled = cell.isNotNull() & (cell != "")
+        stats += [F.count_if(filled).alias(f"filled_{i}"), F.count_if(filled & _is_number(cell)).alias(f"numbers_{i}"),
+                  F.count_if(filled & _looks_like_date(cell)).alias(f"dates_{i}")]
+    totals = rows.agg(*stats, F.count(F.lit(1)).alias("row_count"))
     described = F.array(*[
         F.struct(
             F.lit(table_name).alias("table_name"), F.lit(name).alias("column_name"),
             column_type(F.col(f"filled_{i}"), F.col(f"numbers_{i}"), F.col(f"dates_{i}")).alias("data_type"),
             F.lit(True).alias("nullable"), F.lit(False).alias("is_primary_key"),
             F.lit(semantic_type(name)).cast("string").alias("semantic_type"),
-            F.col(f"filled_{i}").alias("filled"),
+            F.col(f"filled_{i}").alias("filled"), F.col(f"numbers_{i}").alias("numbers"),
         ) for i, name in enumerate(names)
     ])
     profile = totals.select(F.inline(described), "row_count")
@@ -152,17 +142,34 @@ def profile_columns(rows: DataFrame, table_name: str = "data", sample_rows: int
     return profile
 
 
-def numeric_columns(profile: DataFrame) -> list[str]:
-    """Names of the columns judged numeric. The profile has one row per column of the table."""
-    return [r["column_name"] for r in profile.where(F.col("data_type") == "numeric").select("column_name").collect()]
+def numeric_columns(profile: DataFrame) -> dict[str, bool]:
+    """The columns judged numeric, and whether some of their cells are no numbers. A profile has one row per column."""
+    found = profile.where(F.col("data_type") == "numeric").select("column_name", (F.col("numbers") < F.col("filled")).alias("mixed"))
+    return {r["column_name"]: r["mixed"] for r in found.collect()}
 
 
-def normalise_cells(rows: DataFrame, numeric: Sequence[str] = ()) -> DataFrame:
-    """Empty cells become NULL, numeric columns numbers, and columns of true/false text booleans stay text."""
+def raw_name(column: str) -> str:
+    """Where the text of cells goes that are no numbers in a numeric column."""
+    return f"_raw_{column}"
+
+
+def normalise_cells(rows: DataFrame, numeric: Mapping[str, bool] | Sequence[str] = ()) -> DataFrame:
+    """Empty cells become NULL and numeric columns numbers; all other cells stay text.
+
+    A numeric column with cells that are no numbers gets a column next to it, `_raw_<name>`, which holds their text
+    and is NULL elsewhere, so no cell is lost. A plain list of names takes every column for one that may need it.
+    """
+    mixed = numeric if isinstance(numeric, Mapping) else dict.fromkeys(numeric, True)
     cells = {}
     for name in data_columns(rows):
         cell = blank_to_null(F.col(f"`{name}`"))
-        cells[name] = currency_to_double(cell) if name in numeric else cell
+        if name in mixed:
+            number = currency_to_double(cell)
+            cells[name] = number
+            if mixed[name]:
+                cells[raw_name(name)] = F.when(number.isNull(), cell)
+        else:
+            cells[name] = cell
     return rows.withColumns(cells)
 
 
@@ -183,12 +190,11 @@ def record_id(rows: DataFrame) -> Column:
     return F.coalesce(blank_to_null(F.col(f"`{column}`").cast("string")), position)
 
 
-def csv_records(spark: SparkSession, path: str, source_id: str, multi_line: bool | None = None,
-                sample_rows: int | None = SAMPLE_ROWS) -> DataFrame:
-    """Normalised records of CSV files: typed cells, ids, content hashes."""
+def csv_records(spark: SparkSession, path: str, source_id: str, multi_line: bool | None = None) -> DataFrame:
+    """Normalised records of CSV files: typed cells, ids, content hashes. Column types follow from all rows."""
     rows = read_csv(spark, path, multi_line)
     table = PurePosixPath(path).stem
-    numeric = numeric_columns(profile_columns(rows, table, sample_rows))
-    keep_id = rows.withColumn("_id", record_id(rows))
-    typed = normalise_cells(keep_id, numeric)
-    return envelope(typed, "csv", source_id, table, F.col("_id"), data_columns(rows))
+    numeric = numeric_columns(profile_columns(rows, table, samples=0))
+    typed = normalise_cells(rows.withColumn(ID, record_id(rows)), numeric)  # ids are raw text
+    raw = [raw_name(name) for name, mixed in numeric.items() if mixed]
+    return envelope(typed, "csv", source_id, table, F.col(ID), [*data_columns(rows), *raw])

@@ -236,8 +236,20 @@ def test_source_order_decides_side_a(spark):
 
 def test_nested_lineage_parts(spark):
     lines = spark.range(2500).select(F.lit("e").alias("entity_id"), F.lit("s").alias("source_type"), F.col("id").cast("string").alias("record_id"))
-    parts = golden.nested_lineage(lines, 1000).collect()
-    assert len(parts) == 3 and sum(len(r["_sources"]) for r in parts) == 2500
+    for n in (1, 3):
+        parts = golden.nested_lineage(lines, n).collect()
+        assert sorted(r["part"] for r in parts) == list(range(n)) and sum(len(r["_sources"]) for r in parts) == 2500
+
+
+def test_only_given_strategies_make_candidates(spark):
+    rows = [("stripe", "1", ("a@x.com", "Acme", "5550001111", "2024-01-01", "5")), ("csv", "2", ("a@x.com", "Acme", "5550002222", "2024-01-01", "5")),
+            ("csv", "3", ("b@x.com", "Acme", "555 000 1111", "2024-01-01", "5"))]
+    frame = records(spark, rows)
+    by_phone = (blocking.STRATEGIES[2],)
+    assert {(r["a_record_id"], r["b_record_id"]) for r in matching.match_records(frame, strategies=by_phone).collect()} == {("3", "1")}
+    assert matching.match_records(frame).count() == 2
+    resolved = resolve_entities(frame, strategies=by_phone)
+    assert {(r["entity_id"], r["record_id"]) for r in resolved.lineage.collect()} == {("csv:2", "2"), ("csv:3", "1"), ("csv:3", "3")}
 
 
 def test_map_records_match_like_structs(spark):

@@ -80,7 +80,10 @@ def test_forest(spark):
 
 def test_joint_forest(spark):
     data = make(spark, mrr=[1000 + 10 * i for i in range(30)] + [1300], churn=[5 + i % 2 for i in range(30)] + [15], other=[1] * 12)
-    row, = forest.detect_joint_forest(data, contamination=0.1).collect()
+    with pytest.raises(ValueError, match="name the keys"):
+        forest.detect_joint_forest(data)
+    assert forest.detect_joint_forest(data, metrics=["mrr", "other"], contamination=0.1).count() == 0
+    row, = forest.detect_joint_forest(data, metrics=["mrr", "churn", "other"], contamination=0.1).collect()
     assert row["metric_id"] == "multivariate_churn_mrr" and set(row["involved_metrics"]) == {"mrr", "churn"}
     assert row["current_values"] == {"mrr": 1300.0, "churn": 15.0}
 
