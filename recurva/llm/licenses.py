@@ -47,7 +47,7 @@ TEMPLATES = {
     "Proprietary": ("All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
 }
 UNKNOWN = "unknown"
-_WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)*"
+_WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
 
 #: Corpus paragraphs used as unknown, half to fit and half to calibrate; at most this many.
 BACKGROUND = 6000

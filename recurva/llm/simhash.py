@@ -113,6 +113,17 @@ def near_pairs(prints: DataFrame, max_bits: int = 3, crowded: int = 4096) -> Dat
     return plain.unionByName(crowd)
 
 
+def _named(df: DataFrame, doc_id: str, text: str, shingle: int, max_bits: int) -> tuple[DataFrame, DataFrame]:
+    """`doc_id, fp` of every row, and `fp, component_id` of every fingerprint."""
+    marked = checkpointed(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text", shingle, "fp").drop("__text"))
+    prints = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
+    linked = connected_components(near_pairs(prints.select("fp"), max_bits), "a", "b")
+    placed = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
+        "cluster_id", F.coalesce("cluster_id", "fp"))
+    named = placed.groupBy("cluster_id").agg(F.min("smallest").alias("component_id"))
+    return marked, placed.select("fp", "cluster_id").join(named, "cluster_id").select("fp", "component_id")
+
+
 def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
     """A row per row of `df`: `doc_id, fingerprint` (16 hex digits) and `component_id`, the smallest id reachable by links.
 
@@ -120,19 +131,19 @@ def simhash_groups(df: DataFrame, doc_id: str = "doc_id", text: str = "text", sh
     texts without words, which are zero. Repeated rows come out as often as they went in. A row with a NULL id links
     like any other; a component in which all ids are NULL has a NULL component id. An empty table gives an empty table.
     """
-    marked = checkpointed(fingerprints(df.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("__text")), "__text", shingle, "fp").drop("__text"))
-    prints = checkpointed(marked.groupBy("fp").agg(F.min("doc_id").alias("smallest")))
-    linked = connected_components(near_pairs(prints.select("fp"), max_bits), "a", "b")
-    placed = prints.join(linked.withColumnRenamed("node", "fp"), "fp", "left").withColumn(
-        "cluster_id", F.coalesce("cluster_id", "fp"))
-    named = placed.groupBy("cluster_id").agg(F.min("smallest").alias("component_id"))
-    named = placed.select("fp", "cluster_id").join(named, "cluster_id").select("fp", "component_id")
+    marked, named = _named(df, doc_id, text, shingle, max_bits)
     return marked.join(named, "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
 def keep_one(df: DataFrame, doc_id: str = "doc_id", text: str = "text", shingle: int = 3, max_bits: int = 3) -> DataFrame:
-    """The row of each group with the smallest id; rows that repeat this id stay together, as do groups without any id."""
-    groups = simhash_groups(df, doc_id, text, shingle, max_bits)
-    first = groups.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("__kept")).distinct()
-    return df.join(first, F.col(doc_id).eqNullSafe(F.col("__kept")), "left_semi")
+    """The row of each group with the smallest id; rows that repeat this id stay together.
+
+    Of a group in which all ids are NULL all rows stay, as nothing tells them apart; other rows with a NULL id go.
+    """
+    marked, named = _named(df, doc_id, text, shingle, max_bits)
+    first = marked.join(named, "fp").where(F.col("doc_id") == F.col("component_id")).select(F.col("doc_id").alias("__kept")).distinct()
+    kept = df.join(first, F.col(doc_id) == F.col("__kept"), "left_semi")
+    nameless = named.where("component_id IS NULL").select(F.col("fp").alias("__fp"))
+    unnamed = fingerprints(df.where(F.col(doc_id).isNull()), text, shingle, "__fp").join(nameless, "__fp", "left_semi").drop("__fp")
+    return kept.unionByName(unnamed)

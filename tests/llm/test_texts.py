@@ -67,6 +67,7 @@ def test_simhash_groups(spark):
     kept = simhash.keep_one(docs)
     assert kept.columns == docs.columns
     assert sorted(r["doc_id"] for r in kept.where("doc_id IS NOT NULL").collect()) == sorted([*set(roots.values()), 5])
+    assert [r["text"] for r in kept.where("doc_id IS NULL").collect()] == [prose(9)]
     assert simhash.simhash_groups(docs.limit(0)).count() == 0
 
 
