@@ -1,6 +1,6 @@
 import pytest
 
-from recurva.session import build_session
+from recurva.session import build_session, clear_scratch
 
 
 @pytest.fixture(scope="session")
@@ -10,4 +10,5 @@ def spark():
     )
     session.sparkContext.setLogLevel("ERROR")
     yield session
+    clear_scratch(session)
     session.stop()
