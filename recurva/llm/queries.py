@@ -91,7 +91,14 @@ def op7(spark, folder):
     return scored.select("doc_id", held_out(4, 2).alias("held_out"), "score", (F.col("score") >= 0.3).cast("int").alias("predicted"))
 
 
-@query("op8_warc")
+@query("op8_warc", """
+WITH payloads AS (SELECT page_id, coalesce(html, '') AS html, CAST(strlen(coalesce(html, '')) AS BIGINT) AS payload_bytes FROM pages),
+hashed AS (SELECT *, CAST(CAST(unhex(sha1(html)) AS BIT) AS VARCHAR) AS bits, min(page_id) OVER (PARTITION BY html) AS first FROM payloads)
+SELECT page_id, payload_bytes,
+  list_aggregate(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', 1 + CAST(CAST(substr(bits, i * 5 + 1, 5) AS BIT) AS INTEGER), 1)),
+                 'string_agg', '') AS payload_digest,
+  CASE WHEN page_id = first THEN 'response' ELSE 'revisit' END AS record_type, CASE WHEN page_id <> first THEN first END AS refers_to
+FROM hashed""")
 def op8(spark, folder):
     found = archives.archive_pages(read_table(spark, folder, "pages"))
     return found.select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
@@ -103,6 +110,17 @@ def op9(spark, folder):
     return ann.nearest(vectors, vectors.where(F.col("vec_id") % 50 == 0))
 
 
-@query("op10_embedding_dedup")
+@query("op10_embedding_dedup", """
+WITH RECURSIVE vectors AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS v FROM embeddings
+  WHERE label IS NOT NULL AND len(embedding) > 0 AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x IS NULL OR NOT isfinite(x))) = 0
+    AND len(list_filter(CAST(embedding AS DOUBLE[]), lambda x: x <> 0)) > 0),
+links AS (
+  SELECT a.vec_id AS u, b.vec_id AS w FROM vectors a JOIN vectors b ON a.label = b.label AND a.vec_id <> b.vec_id AND len(a.v) = len(b.v)
+  WHERE list_cosine_similarity(a.v, b.v) >= 0.98),
+reach AS (SELECT vec_id AS node, vec_id AS origin FROM embeddings UNION SELECT l.w, r.origin FROM reach r JOIN links l ON l.u = r.node),
+roots AS (SELECT node, min(origin) AS component_id FROM reach GROUP BY 1)
+SELECT e.vec_id, (SELECT CAST(count(*) AS BIGINT) FROM links l WHERE l.u = e.vec_id) AS n_links, component_id, e.vec_id = component_id AS kept
+FROM embeddings e JOIN roots ON node = e.vec_id""")
 def op10(spark, folder):
     return embedding_dedup.embedding_groups(read_table(spark, folder, "embeddings"))
