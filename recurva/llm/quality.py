@@ -33,22 +33,23 @@ Limit = tuple[str, bool, float]  # statistic, whether it must lie above, bound
 
 def statistics(df: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]:
     """`df` with a column per statistic, and their names. All are 0 for NULL and empty texts."""
-    whole = F.coalesce(F.col(text), F.lit(""))
     word = f"[^{BLANK_CLASS}]"
 
+    whole = F.coalesce(F.col(text), F.lit(""))
+
     def count(pattern: str) -> Column:
-        return F.regexp_count(F.col("__whole"), F.lit(pattern)).cast("double")
+        return F.regexp_count(whole, F.lit(pattern)).cast("double")
 
-    df = df.withColumn("__whole", whole)
     counts = {
-        "__words": count(f"{word}+"), "__chars": F.char_length("__whole").cast("double"), "__lines": count("\n") + 1,
+        "__words": count(f"{word}+"), "__chars": F.char_length(whole).cast("double"), "__lines": count("\n") + 1,
         "__again": count(f"(?<!{word})({word}++)[{BLANK_CLASS}]++(?=\\1(?!{word}))"),
         "__symbols": count(r"[^\p{L}\p{N}\s.,;:'\"?()\-]+"), "__bars": count(r"\|"),
-        "__capitals": F.char_length(F.regexp_replace("__whole", r"[^\p{Lu}]+", "")).cast("double"),
-        "__digits": F.char_length(F.regexp_replace("__whole", "[^0-9]+", "")).cast("double"),
+        "__capitals": F.char_length(F.regexp_replace(whole, r"[^\p{Lu}]+", "")).cast("double"),
+        "__digits": F.char_length(F.regexp_replace(whole, "[^0-9]+", "")).cast("double"),
         "__short": count(f"(?<!{word}){word}{{1,2}}+(?!{word})"), "__stops": count(r"[.!?]"),
     }
-    df = df.withColumns(counts)
+    # as rows of a generator, so that a condition on the score is not pushed below it with every pattern written out again
+    df = df.select("*", F.inline(F.array(F.struct(*(value.alias(name) for name, value in counts.items())))))
 
     def per(part: str, all_of: str) -> Column:
         return F.col(part) / F.greatest(F.col(all_of), F.lit(1.0))
@@ -59,7 +60,7 @@ def statistics(df: DataFrame, text: str = "text") -> tuple[DataFrame, list[str]]
         "__s_word_length": per("__chars", "__words"), "__s_line_words": per("__words", "__lines"),
         "__s_short_words": per("__short", "__words"), "__s_stops": per("__stops", "__words"), "__s_words": F.log1p("__words"),
     }
-    return df.withColumns(values).drop("__whole", *counts), list(values)
+    return df.withColumns(values).drop(*counts), list(values)
 
 
 @dataclass(frozen=True)
