@@ -156,8 +156,8 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     took = mix(df, doc_id, text, source, **options).pieces.where(F.col("times") > 0)
     took = took.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("__rank", "first_word", "words", "times"))).alias("__took"))
     rows = df.withColumns(dict(zip(keys, content_key(df, doc_id, text, source)))).dropDuplicates(keys).join(took.hint("merge"), keys)
-    rows = rows.withColumn("__words", F.regexp_extract_all(
-        F.col(text), F.lit(f"[^{BLANK_CLASS}]+[{BLANK_CLASS}]*"), F.lit(0)))
+    words = F.regexp_extract_all(F.col(text), F.lit(f"[^{BLANK_CLASS}]+[{BLANK_CLASS}]*"), F.lit(0))
+    rows = rows.select("*", F.explode(F.array(words)).alias("__words"))  # a generator, lest words are extracted for every piece
     most = F.array_max(F.transform("__took", lambda one: one["times"]))
     again = F.transform(F.sequence(F.lit(1), most), lambda turn: F.array_join(F.flatten(F.transform(
         F.filter("__took", lambda one: one["times"] >= turn),
