@@ -1,9 +1,9 @@
 """License scans by a trained paragraph classifier.
 
-Native throughout: training is MLlib on a bounded set, scoring is joins and aggregates. Features are the word pairs
+Native throughout: training is MLlib on a bounded set, calibration and scoring are joins and aggregates. Features are the word pairs
 that occur in the templates below, a fixed vocabulary of a few hundred; a feature's value is one over the root of the
 paragraph's number of pairs. The classes are the families and `unknown`, whose examples are paragraphs of the corpus and
-weigh as much as all families together. A multinomial logistic regression with an elastic net gives the probabilities. The probability a family needs is calibrated on corpus
+weigh as much as all families together. A multinomial logistic regression with an elastic net gives the probabilities. The probability a family needs is calibrated on all corpus
 paragraphs kept out of the fit, and a prediction counts only if the paragraph also resembles a template of its family.
 
 To score, pairs are exploded as hashes and joined with the vocabulary, which every task gets; only hits are shuffled.
@@ -49,8 +49,10 @@ TEMPLATES = {
 UNKNOWN = "unknown"
 _WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
 
-#: Corpus paragraphs used as unknown, half to fit and half to calibrate; at most this many.
+#: Twice the corpus paragraphs the fit uses as unknown, at most; all others calibrate.
 BACKGROUND = 6000
+#: Steps of probability in which the calibration counts.
+STEPS = 10_000
 #: Share of unknown paragraphs that may reach the calibrated probability, and its least value.
 FALSE_SHARE, LEAST = 0.001, 0.5
 #: Resemblance to a template that confirms a prediction.
@@ -101,28 +103,50 @@ def _probabilities(classes: int) -> Column:
     return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
 
 
+def _background(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
+    """The different paragraphs of all texts that resemble no template: a hash `row`, `n` pairs, and those of the vocabulary as `held`."""
+    lines = df.select(F.explode(_paragraphs(F.col(text))).alias("pairs")).where(F.size("pairs") > 1)
+    held = F.filter("pairs", lambda pair: pair.isin(vocabulary))
+    rows = lines.select(F.xxhash64("pairs").alias("row"), F.size("pairs").alias("n"), F.array_sort(F.array_distinct(held)).alias("held"))
+    whole = F.array(*(F.array(*map(F.lit, pairs)) for _, _, pairs in _template_rows()))
+    like = F.exists(whole, lambda known: F.size(F.array_intersect(known, F.col("held"))) >= 0.5 * F.least(F.size(known), "n"))
+    return rows.groupBy("row").agg(F.first("n").alias("n"), F.first("held").alias("held")).where((F.size("held") == 0) | ~like)
+
+
+def _threshold(counts: dict[int, int], total: int) -> float:
+    """The least step of probability that at most `FALSE_SHARE` of `total` paragraphs reach, given how many lie in each step."""
+    above = 0
+    for step in sorted(counts, reverse=True):
+        above += counts[step]
+        if above > FALSE_SHARE * total:
+            return min(0.99, max(LEAST, (step + 1) / STEPS))
+    return LEAST
+
+
 def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", background: int = BACKGROUND) -> Classifier:
-    """A classifier from the templates and from at most `background` paragraphs of documents chosen by a hash of their content.
+    """A classifier from the templates and from at most half of `background` different paragraphs, the first in the order of a hash.
 
-    With an empty table there are no unknown examples but an empty paragraph.
+    The needed probability is calibrated on all other paragraphs of the corpus, each counted once, also those without any
+    known pair. Rows, their order and partitions do not matter. With an empty table there are no unknown examples but an
+    empty paragraph.
     """
     spark, templates = df.sparkSession, _template_rows()
     vocabulary = sorted({pair for _, _, pairs in templates for pair in pairs})
     classes = (UNKNOWN, *sorted(TEMPLATES))
-    total = df.count()
-    chosen = df.where(F.pmod(content_key(df, doc_id, text)[0], F.lit(1_000_000)) < max(1, int(min(1.0, 1500 / max(total, 1)) * 1_000_000)))
-    whole = F.array(*(F.array(*map(F.lit, pairs)) for _, _, pairs in templates))
-    like = F.exists(whole, lambda known: F.size(F.array_intersect(known, F.col("pairs"))) >= 0.5 * F.least(F.size(known), F.size("pairs")))
-    lines = chosen.select(F.explode(_paragraphs(F.col(text))).alias("pairs")).where(F.size("pairs") > 1).where(~like).distinct().limit(background)
-    lines = checkpointed(lines.withColumn("part", F.pmod(F.xxhash64("pairs"), F.lit(2))))
-
-    quoted = [(float(classes.index(family)), part) for family, _, pairs in templates for part in _windows(pairs)]
-    unknown = lines.where("part = 0").select(F.lit(0.0).alias("label"), "pairs", F.lit(1.0).alias("weight"))
+    lines = checkpointed(_background(df, text, vocabulary))
+    total, most = lines.count(), background // 2
+    # half of the paragraphs at most, so that some are left; the share only spares the sort what it would drop
+    order = F.xxhash64(F.lit(1), "row")
+    share = max(1, int(min(0.5, 2 * most / max(total, 1)) * 1_000_000))
+    fitted = checkpointed(lines.where(F.pmod(order, F.lit(1_000_000)) < share).orderBy(order, "row").limit(most))
+
+    quoted = [(float(classes.index(family)), part, len(part)) for family, _, pairs in templates for part in _windows(pairs)]
+    unknown = fitted.select(F.lit(0.0).alias("label"), F.col("held").alias("pairs"), "n", F.lit(1.0).alias("weight"))
     weight = max(1.0, unknown.count() / len(quoted))
     rows = unknown.unionByName(spark.createDataFrame(
-        [(label, part, weight) for label, part in quoted] + [(0.0, ["none"], weight)], "label double, pairs array<string>, weight double"))
+        [(*one, weight) for one in quoted] + [(0.0, ["none"], 1, weight)], "label double, pairs array<string>, n int, weight double"))
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="pairs", outputCol="held", minTF=1.0).setBinary(True)
-    scaled = counter.transform(rows.withColumn("one", 1 / F.sqrt(F.size("pairs"))))
+    scaled = counter.transform(rows.withColumn("one", 1 / F.sqrt("n")))
     scaled = Interaction(inputCols=["one", "held"], outputCol="features").transform(scaled).select(
         "label", "weight", "features")
     model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0001, maxIter=100, standardization=False,
@@ -131,11 +155,17 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", background:
     found = {pair: tuple(map(float, matrix[:, i])) for i, pair in enumerate(vocabulary)}
     draft = Classifier(classes, found, tuple(map(float, intercepts)), LEAST)
 
-    kept_out = lines.where("part = 1").select(F.xxhash64("pairs").alias("row"), F.lit(0).alias("pos"), F.size("pairs").alias("n"),
-                                              F.explode(F.array_distinct("pairs")).alias("pair"))
-    scored = _scored(kept_out.join(F.broadcast(_vocabulary(spark, draft)), "pair"), draft, "row")
-    share = scored.agg(F.percentile("probability", F.lit(max(0.0, 1 - FALSE_SHARE)))).first()[0]
-    return Classifier(classes, found, draft.intercepts, min(0.99, max(LEAST, share or 0.0)))
+    kept_out = lines.join(F.broadcast(fitted.select("row")), "row", "left_anti")  # bounded by BACKGROUND
+    hits = kept_out.select("row", F.lit(0).alias("pos"), "n", F.explode("held").alias("pair"))
+    scored = _scored(hits.join(F.broadcast(_vocabulary(spark, draft)), "pair"), draft, "row")
+    steps = scored.groupBy(F.floor(F.col("probability") * STEPS).alias("step")).count()  # STEPS + 1 rows at most
+    # paragraphs without a hit have the probability of the intercepts
+    counts = {r["step"]: r["count"] for r in steps.collect()}
+    out = total - fitted.count()
+    powers = [math.exp(x - max(draft.intercepts)) for x in draft.intercepts]
+    plain = math.floor(max(powers[1:]) / sum(powers) * STEPS)
+    counts[plain] = counts.get(plain, 0) + out - sum(counts.values())
+    return Classifier(classes, found, draft.intercepts, _threshold(counts, out))
 
 
 def _vocabulary(spark: SparkSession, model: Classifier) -> DataFrame:

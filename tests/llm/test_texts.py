@@ -137,6 +137,19 @@ def test_licenses(spark):
     assert licenses.document_licenses(docs.limit(0), licenses.train(docs.limit(0))).count() == 0
 
 
+def test_license_threshold_covers_the_corpus(spark):
+    rows = [(i, "\n".join(f"{prose(i * 40 + j, 10)} {'under the license' if j % 4 else 'you may not'} {prose(j, 4)}" for j in range(20))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.train(docs, background=40)
+    again = licenses.train(docs.orderBy(F.desc("doc_id")).repartition(7).unionByName(docs), background=40)
+    assert model.needed == again.needed
+    assert all(again.weights[pair] == pytest.approx(w, abs=1e-6) for pair, w in model.weights.items())
+    lines = licenses._background(docs, "text", sorted(model.weights))
+    assert lines.count() == len({line for _, text in rows for line in text.split("\n")})
+    assert licenses._threshold({9000: 1, 7000: 2, 100: 1997}, 2000) == 0.7001  # the largest two of 2,000 may pass
+    assert licenses._threshold({9999: 5}, 10) == 0.99 and licenses._threshold({}, 0) == licenses.LEAST
+
+
 # mixing
 
 def plain_targets(sizes, weights=(5, 2, 1)):
