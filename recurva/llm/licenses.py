@@ -2,7 +2,7 @@
 
 Native throughout: training is MLlib on a bounded set, calibration and scoring are joins and aggregates. Features are the word pairs
 that occur in the templates below, a fixed vocabulary of a few hundred; a feature's value is one over the root of the
-paragraph's number of pairs. The classes are the families and `unknown`, whose examples are paragraphs of the corpus and
+paragraph's number of pairs, of which a few count. The classes are the families and `unknown`, whose examples are paragraphs of the corpus and
 weigh as much as all families together. A multinomial logistic regression with an elastic net gives the probabilities. The probability a family needs is calibrated on all corpus
 paragraphs kept out of the fit, and a prediction counts only if the paragraph also resembles a template of its family.
 
@@ -17,7 +17,7 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Interaction
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from recurva.llm.text import content_key
@@ -51,6 +51,11 @@ _WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
 
 #: Twice the corpus paragraphs the fit uses as unknown, at most; all others calibrate.
 BACKGROUND = 6000
+#: Word pairs of a window of a long line, and the pairs from one window to the next. What has WINDOW - STRIDE pairs lies whole in
+#: a window; the longest template has fewer.
+WINDOW, STRIDE = 64, 32
+#: Pairs beyond which a paragraph no longer weakens its hits, so that a notice of two pairs counts within other words.
+DILUTED = 16
 #: Steps of probability in which the calibration counts.
 STEPS = 10_000
 #: Share of unknown paragraphs that may reach the calibrated probability, and its least value.
@@ -59,6 +64,11 @@ FALSE_SHARE, LEAST = 0.001, 0.5
 CONFIRMED = 0.6
 
 
+def _scale(n: Column | str) -> Column:
+    """Value of a hit in a paragraph of `n` pairs."""
+    return 1 / F.sqrt(F.least(F.lit(DILUTED), n))
+
+
 def _template_rows() -> list[tuple[str, str, list[str]]]:
     """Family, template and its word pairs."""
     rows = []
@@ -76,6 +86,21 @@ def _windows(pairs: list[str]) -> list[list[str]]:
     return [pairs[a:b] for a, b in sorted(spans) if b - a >= 2]
 
 
+def _surrounded(pairs: list[str]) -> list[tuple[list[str], int]]:
+    """Parts of a notice, each with the number of pairs of a paragraph that holds it: of its own and, if it suffices to
+    confirm, of longer ones, in which other words stand around it."""
+    found = []
+    for part in _windows(pairs):
+        longer = {DILUTED // 2, DILUTED} if len(part) >= CONFIRMED * len(pairs) else set()
+        found += [(part, n) for n in sorted({len(part)} | {n for n in longer if n > len(part)})]
+    return found
+
+
+def _last_window(n: Column) -> Column:
+    """Number of the last window of a line of `n` pairs, from 0; lines of up to WINDOW pairs are one."""
+    return F.greatest(F.lit(0), F.ceil((n - WINDOW) / STRIDE)).cast("int")
+
+
 def _paragraphs(text: Column) -> Column:
     """Word pairs of each line of a text."""
     lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)
@@ -104,8 +129,10 @@ def _probabilities(classes: int) -> Column:
 
 
 def _background(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
-    """The different paragraphs of all texts that resemble no template: a hash `row`, `n` pairs, and those of the vocabulary as `held`."""
-    lines = df.select(F.explode(_paragraphs(F.col(text))).alias("pairs")).where(F.size("pairs") > 1)
+    """The different paragraphs of all texts, long lines by windows, that resemble no template: a hash `row`, `n` pairs, and those of the vocabulary as `held`."""
+    lines = df.select(F.explode(_paragraphs(F.col(text))).alias("line")).where(F.size("line") > 1)
+    windows = F.transform(F.sequence(F.lit(0), _last_window(F.size("line"))), lambda w: F.slice("line", w * STRIDE + 1, F.lit(WINDOW)))
+    lines = lines.select(F.explode(windows).alias("pairs"))
     held = F.filter("pairs", lambda pair: pair.isin(vocabulary))
     rows = lines.select(F.xxhash64("pairs").alias("row"), F.size("pairs").alias("n"), F.array_sort(F.array_distinct(held)).alias("held"))
     whole = F.array(*(F.array(*map(F.lit, pairs)) for _, _, pairs in _template_rows()))
@@ -140,13 +167,14 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", background:
     share = max(1, int(min(0.5, 2 * most / max(total, 1)) * 1_000_000))
     fitted = checkpointed(lines.where(F.pmod(order, F.lit(1_000_000)) < share).orderBy(order, "row").limit(most))
 
-    quoted = [(float(classes.index(family)), part, len(part)) for family, _, pairs in templates for part in _windows(pairs)]
+    quoted = [[(float(classes.index(family)), part, n) for part, n in _surrounded(pairs)] for family, _, pairs in templates]
     unknown = fitted.select(F.lit(0.0).alias("label"), F.col("held").alias("pairs"), "n", F.lit(1.0).alias("weight"))
-    weight = max(1.0, unknown.count() / len(quoted))
+    examples = sum(map(len, quoted))
+    weight = max(1.0, unknown.count() / examples)  # of an example, were all alike; each template weighs the same
     rows = unknown.unionByName(spark.createDataFrame(
-        [(*one, weight) for one in quoted] + [(0.0, ["none"], 1, weight)], "label double, pairs array<string>, n int, weight double"))
+        [(*one, weight * examples / len(quoted) / len(parts)) for parts in quoted for one in parts] + [(0.0, ["none"], 1, weight)], "label double, pairs array<string>, n int, weight double"))
     counter = CountVectorizerModel.from_vocabulary(vocabulary, inputCol="pairs", outputCol="held", minTF=1.0).setBinary(True)
-    scaled = counter.transform(rows.withColumn("one", 1 / F.sqrt("n")))
+    scaled = counter.transform(rows.withColumn("one", _scale("n")))
     scaled = Interaction(inputCols=["one", "held"], outputCol="features").transform(scaled).select(
         "label", "weight", "features")
     model = LogisticRegression(family="multinomial", elasticNetParam=0.5, regParam=0.0001, maxIter=100, standardization=False,
@@ -174,8 +202,8 @@ def _vocabulary(spark: SparkSession, model: Classifier) -> DataFrame:
 
 
 def _scored(hits: DataFrame, model: Classifier, *row: str) -> DataFrame:
-    """The most probable family of each paragraph with a hit, with its probability."""
-    sums = [(F.sum(F.get("weights", F.lit(i)) / F.sqrt("n")) + b).alias(f"l{i}") for i, b in enumerate(model.intercepts)]
+    """The most probable family of each paragraph (or window, by `row`) with a hit, with its probability."""
+    sums = [(F.sum(F.get("weights", F.lit(i)) * _scale("n")) + b).alias(f"l{i}") for i, b in enumerate(model.intercepts)]
     by_line = hits.groupBy(*row, "pos").agg(*sums, F.first("n").alias("n"), F.collect_set("pair").alias("pairs"))
     by_line = by_line.withColumn("__all", _probabilities(len(model.classes)))
     best = F.array_max(F.slice("__all", 2, len(model.classes) - 1))
@@ -184,29 +212,47 @@ def _scored(hits: DataFrame, model: Classifier, *row: str) -> DataFrame:
 
 
 def scan(df: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per paragraph with a confirmed licence: `row_1, row_2, pos, family, probability, resemblance`.
+    """A row per paragraph and family confirmed in it: `row_1, row_2, pos, family, probability, resemblance`.
 
-    A paragraph is a line, so a wrapped licence text is several paragraphs. The row keys are those of `content_key` over id
+    A paragraph is a line, so a wrapped licence text is several paragraphs. A line of more than `WINDOW` pairs is judged in
+    overlapping windows, each like a paragraph, and may hold several families; the largest values of a family count. The row keys are those of `content_key` over id
     and text; repeated rows share them and come out once. Resemblance is the share of the pairs of the paragraph or of the
     template, whichever has fewer, that both have. NULL and empty texts have no paragraphs with pairs.
     """
     spark = df.sparkSession
     keys = [k.alias(name) for k, name in zip(content_key(df, doc_id, text), ("row_1", "row_2"))]
     lines = df.select(*keys, F.posexplode(_paragraphs(F.col(text))).alias("pos", "pairs")).where(F.size("pairs") > 0)
-    pairs = lines.select("row_1", "row_2", "pos", F.size("pairs").alias("n"), F.explode("pairs").alias("pair"))
+    pairs = lines.select("row_1", "row_2", "pos", F.size("pairs").alias("all"), F.posexplode("pairs").alias("at", "pair"))
     vocabulary = F.broadcast(_vocabulary(spark, model))  # bounded by the templates
-    hits = pairs.join(vocabulary.select("pair"), "pair").distinct().join(vocabulary, "pair")
-    likely = _scored(hits, model, "row_1", "row_2").where(F.col("probability") >= model.needed)
+    near = F.floor(F.col("at") / STRIDE).cast("int")
+    held = F.filter(F.array(near - 1, near), lambda w: (w >= 0) & (w <= _last_window(F.col("all"))))
+    hits = pairs.join(vocabulary.select("pair"), "pair").select("row_1", "row_2", "pos", "all", "pair", F.explode(held).alias("window"))
+    hits = hits.withColumn("n", F.least(F.lit(WINDOW), F.col("all") - F.col("window") * STRIDE)).drop("all").distinct().join(vocabulary, "pair")
+    likely = _scored(hits, model, "row_1", "row_2", "window").where(F.col("probability") >= model.needed)
     known = spark.createDataFrame([(family, pairs) for family, _, pairs in _template_rows()], "family string, template array<string>")
-    alike = F.size(F.array_intersect("pairs", "template")) / F.least("n", F.size(F.array_distinct("template")))
-    judged = likely.join(F.broadcast(known), "family").groupBy("row_1", "row_2", "pos", "family", "probability").agg(F.max(alike).alias("resemblance"))
-    return judged.where(F.col("resemblance") >= CONFIRMED)
+    both = F.array_intersect("pairs", "template")
+    alike = F.size(both) / F.least("n", F.size(F.array_distinct("template")))
+    keys = ("row_1", "row_2", "pos")
+    judged = likely.join(F.broadcast(known), "family").groupBy(*keys, "window", "family", "probability").agg(F.max(F.struct(alike.alias("alike"), both.alias("both"))).alias("best"))
+    judged = judged.select(*keys, "window", "family", "probability", F.col("best.alike").alias("resemblance"), F.col("best.both").alias("both"))
+    judged = judged.where(F.col("resemblance") >= CONFIRMED)
+
+    def cut(other: Column) -> Column:
+        """Whether a window next to this one shows that the pairs here are the torn part of another family's notice."""
+        return (F.abs(other["window"] - F.col("window")) == 1) & (other["family"] != F.col("family")) & (
+            F.size(F.array_except("both", other["both"])) == 0) & (F.size("both") < F.size(other["both"]))
+
+    row = Window.partitionBy(*keys).orderBy("window")  # the windows of one line
+    this = F.struct("window", "family", "both")
+    judged = judged.withColumn("left", F.lag(this).over(row)).withColumn("right", F.lead(this).over(row))
+    judged = judged.where(~F.coalesce(cut(F.col("left")), F.lit(False)) & ~F.coalesce(cut(F.col("right")), F.lit(False)))
+    return judged.groupBy(*keys, "family").agg(F.max("probability").alias("probability"), F.max("resemblance").alias("resemblance"))
 
 
 def document_licenses(df: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of `df`: `doc_id, n_licensed` paragraphs, `families` in order, and the largest `probability`, NULL without any."""
     found = scan(df, model, doc_id, text).groupBy("row_1", "row_2").agg(
-        F.count(F.lit(1)).alias("n_licensed"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"))
+        F.count_distinct("pos").alias("n_licensed"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"))
     rows = df.select(F.col(doc_id).alias("doc_id"), *(k.alias(n) for k, n in zip(content_key(df, doc_id, text), ("row_1", "row_2"))))
     return rows.join(found, ["row_1", "row_2"], "left").select(
         "doc_id", F.coalesce("n_licensed", F.lit(0)).alias("n_licensed"), F.coalesce("families", F.array().cast("array<string>")).alias("families"), "probability")

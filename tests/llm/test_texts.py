@@ -150,6 +150,26 @@ def test_license_threshold_covers_the_corpus(spark):
     assert licenses._threshold({9999: 5}, 10) == 0.99 and licenses._threshold({}, 0) == licenses.LEAST
 
 
+def test_licenses_within_long_lines(spark):
+    notices = {"MIT": "Released under the MIT License.", "CC0": "Released under CC0 1.0.", "Proprietary": "All rights reserved.",
+               "Apache": "Licensed under the Apache License, Version 2.0.", "GPL": licenses.TEMPLATES["GPL"][2]}
+    rows, want = [], {}
+    for family, notice in notices.items():
+        for size in (50, 500, 20_000):
+            for cut in (size // 2, size):
+                words = prose(len(rows), size).split()
+                want[len(rows)] = [family]
+                rows.append((len(rows), " ".join([*words[:cut], notice, *words[cut:]])))
+    want[len(rows)] = ["Apache", "MIT"]
+    rows.append((len(rows), f"{prose(70, 200)} {notices['MIT']} {prose(71, 200)} {notices['Apache']} {prose(72, 200)}"))
+    rows += [(500 + i, prose(500 + i, 300) + " the work of this license is under the sea " + prose(i, 300)) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = licenses.document_licenses(docs, licenses.train(docs)).collect()
+    assert {r["doc_id"]: r["families"] for r in got if r["families"]} == want
+    assert {r["n_licensed"] for r in got if r["families"]} == {1}  # one line each, also where two windows hold the notice
+    assert max(len(pairs) for _, _, pairs in licenses._template_rows()) <= licenses.WINDOW - licenses.STRIDE <= licenses.WINDOW / 2
+
+
 # mixing
 
 def plain_targets(sizes, weights=(5, 2, 1)):
