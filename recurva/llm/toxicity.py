@@ -33,7 +33,7 @@ LOOKALIKES = {
 #: Prices of the channel, as negative logarithms: a stand-in, a stand-in for any letter, and dropping a repeated letter,
 #: where repetition is taken for disguise and where it is taken for spelling and stays. Both readings are kept.
 STAND_IN, ANY_LETTER, DROPPED = 1.5, 3.5, (0.5, math.inf)
-#: Longest disguised word that is decoded.
+#: Longest disguised word that is decoded at once; longer ones are decoded in windows.
 LONGEST = 32
 #: Lengths of the words looked for in letters set apart, which may hold several words.
 APART = range(4, 13)
@@ -43,9 +43,13 @@ REMEMBERED = 200_000
 _LETTERS = 28  # end of word, a to z, any other letter
 _WORD = re.compile(r"[^\W\d_]+")
 _HELD = re.compile(r"([^\W\d_])\1\1")
+_RUN = re.compile(r"([^*])\1{3,}|(\*)\2{12,}")  # a star may stand for another letter each time
 _APART = re.compile(r"[\w@$!](?:([.\-_])[\w@$!])(?:\1[\w@$!]){2,}")
 _LEADING = "\"'`.,;:!?()[]{}<>*#%&|+-_=~/\\^"
 _TRAILING = _LEADING + "@$"
+#: Signs within a token that stand for no letter: those that set no letters apart, and all.
+_JOINTS = re.compile(r"[^\w.\-" + re.escape("".join(LOOKALIKES)) + "]+")
+_ALL_JOINTS = re.compile(r"(?:[^\w" + re.escape("".join(LOOKALIKES)) + "]|_)+")
 _CODES = np.full(256, 0, np.uint8)
 _CODES[97:123] = np.arange(1, 27)
 _CODES[128:] = 27
@@ -120,26 +124,37 @@ class Channel:
     def _both(self, word: str) -> set[str]:
         return {self.decode(word, price) for price in DROPPED}
 
+    @staticmethod
+    def _shortened(word: str) -> str:
+        """`word` with runs of one character cut to three, of stars to the longest word looked for."""
+        return _RUN.sub(lambda run: run[0][:3] if run[1] else run[0][:APART[-1]], word)
+
+    def _restored(self, core: str) -> frozenset[str] | set[str]:
+        """Words that a token or a part of one may hide, whatever its length; none if nothing looks disguised."""
+        if core.isalpha():
+            if not _HELD.search(core):
+                return set()
+        elif apart := _APART.fullmatch(core):
+            core = core.replace(apart[1], "")
+        elif not _WORD.search(core) or not any(char in LOOKALIKES for char in core):
+            return set()
+        word = self._shortened("".join([char for char in core if char.isalpha() or char in LOOKALIKES]))
+        return self._both(word) if len(word) <= LONGEST else self.of_letters(word)
+
     def of_token(self, token: str) -> frozenset[str]:
-        """Words of a lower-case token, as written and restored."""
+        """Words of a lower-case token, as written and restored, as a whole and between its inner signs."""
         core = token.lstrip(_LEADING).rstrip(_TRAILING)
-        if core.isalpha():
-            words = {core}
-            if len(core) <= LONGEST and _HELD.search(core):
-                words |= self._both(core)
-            return frozenset(words)
-        words = set(_WORD.findall(core))
-        if len(core) <= 2 * LONGEST and (apart := _APART.fullmatch(core)):
-            words |= self._both(core.replace(apart[1], ""))
-        elif words and len(core) <= LONGEST and any(char in LOOKALIKES for char in core):
-            words |= self._both(core)
+        words = {core} if core.isalpha() else set(_WORD.findall(core))
+        parts = {core, *_JOINTS.split(core), *_ALL_JOINTS.split(core)}
+        for part in {core, *(part.lstrip(_LEADING).rstrip(_TRAILING) for part in parts)}:
+            words |= self._restored(part)
         return frozenset(words)
 
     def of_letters(self, run: str) -> frozenset[str]:
-        """Words that single letters in a row may spell, wherever they begin."""
-        found = set()
-        for start in range(0, len(run), LONGEST):  # windows overlap by the longest word looked for
-            for text in self._both(run[start:start + LONGEST + APART[-1]]):
+        """Words that characters in a row may spell, wherever they begin."""
+        found, run = set(), self._shortened(run)
+        for start in range(0, len(run), LONGEST):  # windows overlap by the longest word looked for, each letter held
+            for text in self._both(run[start:start + LONGEST + 3 * APART[-1]]):
                 found |= {text[i:i + n] for n in APART for i in range(len(text) - n + 1)} | {text}
         return frozenset(found)
 

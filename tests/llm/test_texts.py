@@ -340,3 +340,17 @@ def test_decoding():
                            ("m a s t e r", "master"), ("we mo n s t 3 r", "monster"[3:])]:
         assert meant in channel.collect(written, lambda words: words), written
     assert channel.collect("12345 6789 !!! ***", lambda words: words) == set()
+
+
+def test_decoding_of_long_tokens():
+    counts = toxicity.np.zeros(28 ** 3, toxicity.np.int64)
+    for word in ("monster", "master", "letter", "little", "session"):
+        counts += 50 * toxicity.np.bincount(toxicity._trigrams(word), minlength=28 ** 3)
+    channel = toxicity.Channel(counts)
+    joined = "session,little/letter;session,little/letter"
+    for written, meant in [("m" + "a" * 40 + "ster", "master"), ("m0n" + "s" * 500 + "ter", "monster"), (f"{joined},m0nster/{joined}", "monster"),
+                           (f"{joined}-l3tter-{joined}", "letter"), (f"{joined}_mmmmaster:{joined}", "master"), (f"{joined},m-0-n-s-t-e-r,{joined}", "monster"),
+                           ("-".join("sessionlittleletter" * 4 + "m0nster"), "monster"), ("letter" * 9 + "m0nster" + "little" * 9, "monster"),
+                           (" ".join("m" + "a" * 60 + "ster"), "master"), ("1" * 100 + ",m0nster", "monster")]:
+        assert meant in channel.collect(written, lambda words: words), written
+    assert channel.collect("session" * 9, lambda words: words) == {"session" * 9}
