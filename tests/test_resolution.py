@@ -241,6 +241,15 @@ def test_nested_lineage_parts(spark):
         assert sorted(r["part"] for r in parts) == list(range(n)) and sum(len(r["_sources"]) for r in parts) == 2500
 
 
+def test_bounded_lineage(spark):
+    large = spark.range(2500).select(F.lit("e").alias("entity_id"), F.lit("s").alias("source_type"), F.col("id").cast("string").alias("record_id"))
+    lines = large.unionByName(spark.range(3).select(F.lit("f"), F.lit("s"), F.col("id").cast("string")).toDF(*large.columns))
+    found = golden.bounded_lineage(lines, 400).collect()
+    assert sorted((r["entity_id"], r["part"], len(r["_sources"])) for r in found) == [*(("e", i, 400) for i in range(6)), ("e", 6, 100), ("f", 0, 3)]
+    assert sorted((r["entity_id"], *s) for r in found for s in r["_sources"]) == sorted(map(tuple, lines.collect()))
+    assert golden.bounded_lineage(lines.limit(0)).count() == 0
+
+
 def test_only_given_strategies_make_candidates(spark):
     rows = [("stripe", "1", ("a@x.com", "Acme", "5550001111", "2024-01-01", "5")), ("csv", "2", ("a@x.com", "Acme", "5550002222", "2024-01-01", "5")),
             ("csv", "3", ("b@x.com", "Acme", "555 000 1111", "2024-01-01", "5"))]
