@@ -34,11 +34,12 @@ def _hashes(text: Column, min_chars: int) -> Column:
 
 
 def shared_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
-    """Hash, number of documents and largest document id of each line found in at least `min_docs` documents."""
+    """Hash, number of different document ids and largest of them, of each line found under at least `min_docs` ids; NULL is none."""
     in_doc = F.array_distinct(F.transform(_hashes(F.col(text), min_chars), lambda line: F.struct(
         line["h1"].alias(_KEY[0]), line["h2"].alias(_KEY[1]))))
     lines = df.select(F.col(doc_id).alias("__doc"), F.inline(in_doc))
-    return lines.groupBy(*_KEY).agg(F.count(F.lit(1)).alias("n_docs"), F.max("__doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
+    lines = lines.distinct()  # repeated rows of a document count once
+    return lines.groupBy(*_KEY).agg(F.count("__doc").alias("n_docs"), F.max("__doc").alias("keeper")).where(F.col("n_docs") >= min_docs)
 
 
 def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_chars: int = 20, min_docs: int = 3) -> DataFrame:
@@ -47,8 +48,8 @@ def dedup_lines(df: DataFrame, doc_id: str = "doc_id", text: str = "text", min_c
     A line's key is the line without ASCII blanks at both ends and with A-Z in lower case. Keys of at least
     `min_chars` code points found in at least `min_docs` documents lose all their lines except in the largest
     document id that holds them; other lines stay as they are. A NULL or empty text is one empty line and becomes an
-    empty text. Every row counts as a document, also rows with equal ids, and all rows with the largest id keep the
-    line. NULL ids are smaller than any other, so that a line which only they hold stays. No row is dropped; an empty
+    empty text. Rows with equal ids count as one document, rows with a NULL id as none, and all rows with the largest id
+    keep the line. NULL ids are smaller than any other, so that a line which only they hold stays. No row is dropped; an empty
     table gives an empty table. Other columns pass through; columns named `n_lines` or `n_dropped` are replaced.
     """
     shared = checkpointed(shared_lines(df, doc_id, text, min_chars, min_docs))

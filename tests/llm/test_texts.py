@@ -120,6 +120,12 @@ def test_line_dedup(spark):
     assert line_dedup.dedup_lines(docs.limit(0)).count() == 0
 
 
+def test_repeated_rows_are_one_document(spark):
+    line = "a line that two documents hold"
+    docs = spark.createDataFrame([(1, line), (1, line), (2, line), (None, line)], "doc_id long, text string")
+    assert {(r["text"], r["n_dropped"]) for r in line_dedup.dedup_lines(docs).collect()} == {(line, 0)}
+
+
 # licences
 
 def test_licenses(spark):
