@@ -5,12 +5,18 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from recurva.llm import ann, archives, bpe, embedding_dedup, licenses, line_dedup, mixing, quality, simhash, toxicity
+from recurva.llm import (
+    ann, archives, bpe, decontamination, embedding_dedup, licenses, line_dedup, merkle, mixing, quality, simhash, toxicity,
+)
 from recurva.llm.sampling import crc_part
-from recurva.llm.text import read_table
+from recurva.llm.text import ascii_lower, read_table
 
 QUERIES, ORACLES = {}, {}
 
+#: CRC-32 of an ASCII text, before its last negation: per byte eight steps of the reversed polynomial.
+CRC_SQL = """list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(string_split({0}, ''), lambda c: CAST(ascii(c) AS BIGINT))),
+  lambda crc, byte: list_reduce(list_concat([xor(crc, byte)], range(8)), lambda x, k: CASE WHEN x & 1 = 1 THEN xor(x >> 1, 3988292384) ELSE x >> 1 END))"""
+
 
 def query(name, sql=None):
     def register(function):
@@ -124,3 +130,80 @@ SELECT e.vec_id, (SELECT CAST(count(*) AS BIGINT) FROM links l WHERE l.u = e.vec
 FROM embeddings e JOIN roots ON node = e.vec_id""")
 def op10(spark, folder):
     return embedding_dedup.embedding_groups(read_table(spark, folder, "embeddings"))
+
+
+@query("op11_decontamination", r"""
+WITH docs AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM documents),
+items AS (
+  SELECT CAST(item_id AS VARCHAR) AS item, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                    '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words FROM benchmark),
+sized AS (SELECT *, least(len(words), 10) AS n FROM items WHERE len(words) > 0),
+places AS (SELECT *, unnest(range(1, len(words) - n + 2)) AS i FROM sized),
+windows AS (SELECT DISTINCT item, n, array_to_string(list_slice(words, i, i + n - 1), ' ') AS w FROM places),
+lengths AS (SELECT DISTINCT n FROM windows),
+spots AS (SELECT doc_id, words, n, unnest(range(1, len(words) - n + 2)) AS i FROM docs, lengths),
+found AS (
+  SELECT DISTINCT doc_id, s.i, n, item FROM (SELECT doc_id, n, i, array_to_string(list_slice(words, i, i + n - 1), ' ') AS w FROM spots) s
+  JOIN windows USING (n, w)),
+hit AS (SELECT doc_id, count(DISTINCT place) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + n)) AS place FROM found) GROUP BY doc_id),
+listed AS (SELECT doc_id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items
+           FROM (SELECT DISTINCT doc_id, item FROM found) GROUP BY doc_id)
+SELECT d.doc_id, CAST(len(words) AS BIGINT) AS n_words, CAST(coalesce(n_hit, 0) AS BIGINT) AS n_hit, CAST(coalesce(n_items, 0) AS BIGINT) AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM docs d LEFT JOIN hit h ON h.doc_id = d.doc_id LEFT JOIN listed l ON l.doc_id = d.doc_id""")
+def op11(spark, folder):
+    docs = read_table(spark, folder, "documents").select("doc_id", "text")
+    found = decontamination.contaminated_spans(docs, read_table(spark, folder, "benchmark"))
+    n_hit = decontamination.span_words(F.col("spans"))
+    return found.select(
+        "doc_id", "n_words", n_hit.alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"), (n_hit > 0).alias("contaminated"))
+
+
+@query("op12_merkle", r"""
+WITH RECURSIVE texts AS (
+  SELECT *, CASE WHEN xor(""" + CRC_SQL.format("CAST(doc_id AS VARCHAR)") + r""", 4294967295) % 3 = 0 THEN translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')
+    ELSE text END AS altered FROM documents),
+framed AS (
+  SELECT doc_id, lang, text, altered, concat(
+    coalesce(strlen(CAST(doc_id AS VARCHAR)) || ':' || doc_id, '-'), coalesce(strlen(source) || ':' || source, '-'),
+    coalesce(strlen(lang) || ':' || lang, '-'), coalesce(strlen(CAST(n_chars AS VARCHAR)) || ':' || n_chars, '-')) AS head FROM texts),
+leaves AS (
+  SELECT doc_id, dense_rank() OVER (ORDER BY lang NULLS FIRST) - 1 AS tree, sha256(head || coalesce(strlen(text) || ':' || text, '-')) AS leaf,
+    sha256(head || coalesce(strlen(altered) || ':' || altered, '-')) AS changed,
+    row_number() OVER (PARTITION BY lang ORDER BY doc_id NULLS FIRST) - 1 AS rank, count(*) OVER (PARTITION BY lang) AS n FROM framed),
+low(tree, level, rank, n, digest) AS (
+  SELECT tree, 0, rank, n, leaf FROM leaves
+  UNION ALL SELECT tree, level + 1, rank // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY rank))
+  FROM low WHERE n > 1 GROUP BY tree, level, rank // 8),
+subroots AS (SELECT tree, digest FROM low WHERE n = 1),
+high(level, rank, n, digest) AS (
+  SELECT 0, tree, (SELECT count(*) FROM subroots), digest FROM subroots
+  UNION ALL SELECT level + 1, rank // 8, any_value((n + 7) // 8), sha256(string_agg(digest, '' ORDER BY rank)) FROM high WHERE n > 1 GROUP BY level, rank // 8),
+nodes AS (SELECT * FROM low UNION ALL SELECT -1, level, rank, n, digest FROM high),
+steps AS (
+  SELECT a.tree, a.level, a.rank, coalesce(string_agg(b.digest, '' ORDER BY b.rank) FILTER (WHERE b.rank < a.rank), '') AS l,
+    coalesce(string_agg(b.digest, '' ORDER BY b.rank) FILTER (WHERE b.rank > a.rank), '') AS r
+  FROM nodes a JOIN nodes b ON a.tree = b.tree AND a.level = b.level AND a.rank // 8 = b.rank // 8 WHERE a.n > 1 GROUP BY ALL),
+ways(doc_id, home, leaf, tree, level, rank, folded, proof) AS (
+  SELECT doc_id, tree, leaf, tree, 0, rank, changed, '' FROM leaves
+  UNION ALL
+  SELECT w.doc_id, w.home, w.leaf, CASE WHEN s.tree IS NULL THEN -1 ELSE w.tree END, CASE WHEN s.tree IS NULL THEN 0 ELSE w.level + 1 END,
+    CASE WHEN s.tree IS NULL THEN w.home ELSE w.rank // 8 END, CASE WHEN s.tree IS NULL THEN w.folded ELSE sha256(s.l || w.folded || s.r) END,
+    CASE WHEN s.tree IS NULL THEN w.proof ELSE w.proof || s.l || s.r END
+  FROM ways w LEFT JOIN steps s ON s.tree = w.tree AND s.level = w.level AND s.rank = w.rank WHERE w.tree >= 0 OR s.tree IS NOT NULL),
+ends AS (SELECT * FROM ways WHERE tree = -1 AND level = (SELECT max(level) FROM high))
+SELECT doc_id, leaf, s.digest AS subroot, h.digest AS root, sha256(proof) AS proof_sha256, folded AS folded_root, folded = h.digest AS verified
+FROM ends JOIN subroots s ON s.tree = ends.home JOIN high h ON h.n = 1""")
+def op12(spark, folder):
+    docs = read_table(spark, folder, "documents")
+    touched = F.coalesce(crc_part(F.col("doc_id"), 3) == 0, F.lit(False))
+    values = [F.col(f) for f in merkle.FIELDS[:-1]]
+    altered = F.when(touched, merkle.leaf_digest(*values, ascii_lower(F.col("text"))))
+    found = merkle.proofs(merkle.build_manifest(docs, altered=altered))
+    folded = merkle.fold(F.coalesce("altered", "digest"), F.col("proof"))
+    return found.select(
+        F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle.digest(merkle.proof_text(F.col("proof"))).alias("proof_sha256"),
+        folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
