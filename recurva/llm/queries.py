@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import functions as F
 
 from recurva.llm import (
-    ann, archives, bpe, decontamination, embedding_dedup, licenses, line_dedup, merkle, mixing, quality, simhash, toxicity,
+    ann, archives, bpe, conversations, decontamination, embedding_dedup, licenses, line_dedup, merkle, mixing, quality, simhash, toxicity,
 )
 from recurva.llm.sampling import crc_part
 from recurva.llm.text import ascii_lower, read_table
@@ -207,3 +207,78 @@ def op12(spark, folder):
     return found.select(
         F.col("key").alias("doc_id"), F.col("digest").alias("leaf"), "subroot", "root", merkle.digest(merkle.proof_text(F.col("proof"))).alias("proof_sha256"),
         folded.alias("folded_root"), (folded == F.col("root")).alias("verified"))
+
+
+def _sql_least(*options):
+    """The least of costs and audits, kept as six digits and the audit."""
+    return f"least({', '.join(options)})"
+
+
+def _sql_after(cost, edit, rest):
+    return f"printf('%06d', CAST(substr({rest}, 1, 6) AS INTEGER) + {cost}) || '{edit}' || substr({rest}, 7)"
+
+
+def _sql_row(at, then):
+    """What a row can do in a state, before inserts; `kept` holds its initial, or x if it must go."""
+    expected = "a" if at == 2 else "u"
+    keep = f"CASE WHEN kept = '{expected}' THEN {_sql_after('cut', 'K', f'f{then}')} ELSE '999999' END"
+    system = [f"CASE WHEN kept = 's' THEN {_sql_after('cut', 'K', 'f1')} ELSE '999999' END"] if at == 0 else []
+    change = f"CASE WHEN kept <> 'x' THEN {_sql_after('cut + 2', 'R', f'f{then}')} ELSE '999999' END"
+    return _sql_least(_sql_after(3, "D", f"f{at}"), keep, change, *system) + f" AS b{at}"
+
+
+@query("op13_conversation_repair", r"""
+WITH RECURSIVE keyed AS (
+  SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text,
+    concat(coalesce(CAST(conv_id AS VARCHAR), ' '), ':', coalesce(CAST(turn AS VARCHAR), ' ')) AS k FROM conversations),
+hashed AS (SELECT *, xor(""" + CRC_SQL.format("k") + r""", 4294967295) % 20 AS kind FROM keyed),
+damaged AS (
+  SELECT conv_id, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role,
+    CASE kind WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, unnest(range(CASE WHEN kind = 3 THEN 2 ELSE 1 END)) AS copy
+  FROM hashed WHERE kind <> 0),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text) AS i FROM damaged),
+judged AS (
+  SELECT *, left(role, 1) AS initial, lag(left(role, 1)) OVER (PARTITION BY conv_id ORDER BY i) AS previous,
+    CASE WHEN NOT regexp_matches(text, '[^\x20\x09-\x0D]') THEN 'blank'
+      WHEN row_number() OVER (PARTITION BY conv_id, role, text ORDER BY i) > 1 THEN 'duplicate'
+      WHEN NOT regexp_matches(text, '[.!?][\x20\x09-\x0D]*$') THEN 'truncated' ELSE 'none' END AS fault FROM placed),
+letters AS (SELECT *, CASE WHEN fault IN ('blank', 'duplicate') THEN 'x' ELSE initial END AS kept, CAST(fault = 'truncated' AS INTEGER) AS cut FROM judged),
+counted AS (
+  SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+    count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated,
+    count(*) FILTER (previous || initial NOT IN ('su', 'ua', 'au')) AS illegal, max(i) AS n FROM letters GROUP BY conv_id),
+costs(conv_id, i, f0, f1, f2, f3) AS (
+  SELECT conv_id, n + 1, '000000', '000004II', '000002I', '000000' FROM counted
+  UNION ALL
+  SELECT conv_id, i, """ + ", ".join([
+    _sql_least("b0", _sql_after(2, "I", _sql_least("b2", _sql_after(2, "I", "b3")))),
+    _sql_least("b1", _sql_after(2, "I", _sql_least("b2", _sql_after(2, "I", "b3")))),
+    _sql_least("b2", _sql_after(2, "I", "b3")), _sql_least("b3", _sql_after(2, "I", "b2"))]) + r"""
+  FROM (SELECT c.conv_id, l.i, """ + ", ".join(_sql_row(at, then) for at, then in enumerate((2, 2, 3, 2))) + r"""
+    FROM costs c JOIN letters l ON l.conv_id IS NOT DISTINCT FROM c.conv_id AND l.i = c.i - 1)),
+best AS (SELECT conv_id, CAST(substr(f0, 1, 6) AS BIGINT) AS cost, substr(f0, 7) AS audit FROM costs WHERE i = 1),
+told(conv_id, pos, i, state, said, audit) AS (
+  SELECT conv_id, 0, 0, 'start', '', audit FROM best
+  UNION ALL
+  SELECT conv_id, pos + 1, i, CASE WHEN edit = 'D' THEN state WHEN edit = 'K' AND state = 'start' AND kept = 's' THEN 'system'
+      WHEN state = 'user' THEN 'assistant' ELSE 'user' END,
+    CASE WHEN edit = 'D' THEN said ELSE concat(said, CASE WHEN state <> 'start' THEN chr(10) ELSE '' END,
+      CASE WHEN edit = 'K' THEN role WHEN state = 'user' THEN 'assistant' ELSE 'user' END, ':', CASE WHEN edit = 'I' THEN '' ELSE text END) END, audit
+  FROM (SELECT t.conv_id, t.pos, l.i, t.state, t.said, t.audit, substr(t.audit, t.pos + 1, 1) AS edit, l.kept, l.role, l.text
+        FROM told t JOIN (SELECT conv_id, i, kept, role, text FROM letters UNION ALL SELECT conv_id, 0, NULL, NULL, NULL FROM best) l
+          ON l.conv_id IS NOT DISTINCT FROM t.conv_id AND l.i = length(replace(substr(t.audit, 1, t.pos + 1), 'I', ''))
+        WHERE t.pos < length(t.audit))),
+ended AS (SELECT conv_id, said FROM told WHERE pos = length(audit))
+SELECT o.conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, CAST(coalesce(blank, 0) AS BIGINT) AS blank, CAST(coalesce(duplicate, 0) AS BIGINT) AS duplicate,
+  CAST(coalesce(truncated, 0) AS BIGINT) AS truncated, CAST(coalesce(illegal, 0) AS BIGINT) AS illegal, CAST(coalesce(cost, 0) AS BIGINT) AS cost,
+  coalesce(audit, '') AS audit, sha256(coalesce(said, '')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) o
+LEFT JOIN counted c ON c.conv_id IS NOT DISTINCT FROM o.conv_id LEFT JOIN best b ON b.conv_id IS NOT DISTINCT FROM o.conv_id
+LEFT JOIN ended e ON e.conv_id IS NOT DISTINCT FROM o.conv_id""")
+def op13(spark, folder):
+    rows = read_table(spark, folder, "conversations")
+    found = conversations.repair(conversations.damage(rows)).withColumnRenamed("conv_id", "__conv")
+    every = rows.select("conv_id").distinct().join(found, F.col("conv_id").eqNullSafe(F.col("__conv")), "left")
+    counts = [F.coalesce(c, F.lit(0)).cast("long").alias(c) for c in ("gaps", "blank", "duplicate", "truncated", "illegal", "cost")]
+    return every.select("conv_id", *counts, F.coalesce("audit", F.lit("")).alias("audit"),
+                        F.coalesce("repaired_sha256", F.sha2(F.lit("").cast("binary"), 256)).alias("repaired_sha256"))
