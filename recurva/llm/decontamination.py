@@ -4,10 +4,10 @@ Native throughout. A window of `t` words holds `t - k + 1` runs of `k` words; a
 of each of its windows, once for as long as it stays the smallest. Equal windows have equal smallest hashes, so texts
 that share `t` words or more share a kept hash, and no shared span is missed. Kept hashes are less than a third of the
 words, and only those that a benchmark item holds as well are hits. A hit is extended to all windows whose smallest
-hash it is, and those are compared as wholes, by 128 bits, with the windows of the items.
+hash it is: their own hashes travel with it, and are compared with those of the windows of the items.
 
 An item of fewer than `t` words is one window of its own length. Each such length that occurs is winnowed by itself, with
-`t` lowered to it. Texts are never shuffled but for those with a hit. Documents that hold the same set of windows share
+`t` lowered to it. Texts are read once and never shuffled. Documents that hold the same set of windows share
 one look-up of the items, so a passage in many documents and many items costs neither their product.
 """
 
@@ -51,72 +51,81 @@ def _let(value: Column, use: Callable[[Column], Column]) -> Column:
     return F.get(F.transform(F.array(value), use), F.lit(0))
 
 
-def _smallest(hashes: Column, window: int) -> Column:
-    """Per window of word hashes the smallest hash of its runs of words."""
+def _neighbours(values: Column, shift: int, join: Callable[[Column, Column], Column]) -> Column:
+    """Each element joined with the one `shift` places on, without the elements that have no partner."""
+    left = F.greatest(F.size(values) - shift, F.lit(0))
+    return F.zip_with(F.slice(values, 1, left), F.slice(values, shift + 1, left), join)
+
+
+def _runs(words: Column, window: int) -> Column:
+    """A hash per run of words."""
     size = _run_words(window)
-    low = F.transform(_places(1, F.size(hashes) - size + 1), lambda i: F.xxhash64(F.slice(hashes, i, size)))
-    inner, span = window - size + 1, 1
-    while span < inner:  # minima over spans of runs that double until they fill the window
+    return F.transform(_places(1, F.size(words) - size + 1), lambda i: F.xxhash64(F.slice(words, i, size)))
+
+
+def _smallest(runs: Column, window: int) -> Column:
+    """Per window the smallest hash of its runs, as minima over spans that double until they fill the window."""
+    inner, span, low = window - _run_words(window) + 1, 1, runs
+    while span < inner:
         step = min(span, inner - span)
-        low = _let(low, _least(step))
+        low = _let(low, _minima(step))
         span += step
     return low
 
 
-def _least(shift: int) -> Callable[[Column], Column]:
-    """Elementwise minimum of an array and itself moved by `shift`, without the elements that have no partner."""
-    def of(values: Column) -> Column:
-        left = F.greatest(F.size(values) - shift, F.lit(0))
-        return F.zip_with(F.slice(values, 1, left), F.slice(values, shift + 1, left), lambda x, y: F.least(x, y))
+def _minima(shift: int) -> Callable[[Column], Column]:
+    return lambda values: _neighbours(values, shift, lambda x, y: F.least(x, y))
 
-    return of
 
+def _keys(runs: Column, window: int) -> Column:
+    """A hash per window, from its first and its last run, which cover it."""
+    return _neighbours(runs, window - _run_words(window), lambda x, y: F.xxhash64(x, y))
 
-def _kept(window: int) -> Callable[[Column], Column]:
-    """`window, first, last, hash` per stretch of windows that share their smallest hash, so that each is kept once."""
-    def of(low: Column) -> Column:
+
+def _of_windows(words: Column, window: int, use: Callable[[Column, Column], Column]) -> Column:
+    """`use(smallest, keys)` over the windows of a text."""
+    return _let(_runs(words, window), lambda runs: _let(_smallest(runs, window), lambda low: _let(_keys(runs, window), lambda keys: use(low, keys))))
+
+
+def _kept(words: Column, window: int) -> Column:
+    """`window, first, hash, keys` per stretch of windows that share their smallest hash, so that each is kept once."""
+    def use(low: Column, keys: Column) -> Column:
         def stretches(starts: Column) -> Column:
             after = F.slice(starts, 2, F.greatest(F.size(starts) - 1, F.lit(0)))
             return F.zip_with(starts, after, lambda first, end: F.struct(
-                F.lit(window).alias("window"), first.alias("first"), (F.coalesce(end, F.size(low) + 1) - 1).alias("last"),
-                F.get(low, first - 1).alias("hash")))
+                F.lit(window).alias("window"), first.alias("first"), F.get(low, first - 1).alias("hash"),
+                F.slice(keys, first, F.coalesce(end, F.size(low) + 1) - first).alias("keys")))
 
         return _let(F.filter(_places(1, F.size(low)), lambda i: (i == 1) | (F.get(low, i - 1) != F.get(low, i - 2))), stretches)
 
-    return of
+    return _of_windows(words, window, use)
 
 
 def fingerprints(df: DataFrame, hashes: Column, windows: list[int], *carried: str) -> DataFrame:
-    """The kept ones of the word hashes: `window, first, last, hash` behind the carried columns.
+    """The kept hashes of a text's word hashes: `window, first, hash, keys` behind the carried columns.
 
-    `first` and `last` count windows of `window` words from 1.
+    `first` counts windows of `window` words from 1, and `keys` has a hash per window from there on that keeps the same. Ahead of
+    them comes a row with a window of 0 and the text's number of words as `first`.
     """
     def kept(words: Column) -> Column:
-        return F.concat(*[_let(_smallest(words, t), _kept(t)) for t in windows])
+        ahead = F.array(F.struct(F.lit(0).alias("window"), F.size(words).alias("first"), F.xxhash64(*carried, F.size(words)).alias("hash"),
+                                 F.array().cast("array<bigint>").alias("keys")))
+        return F.concat(ahead, *[_kept(words, t) for t in windows])
 
     return df.select(*carried, F.inline(_let(hashes, kept)))
 
 
-def _window_key(words: Column, first: Column, window: Column) -> list[Column]:
-    held = F.slice(words, first, window)
-    return [F.xxhash64(F.lit(1), held).alias("w1"), F.xxhash64(F.lit(2), held).alias("w2")]
-
-
 def item_windows(items: DataFrame, item_id: str = "item_id", text: str = "text", window: int = 10) -> DataFrame:
-    """`item_id, window, w1, w2` per different window of an item; one of fewer words than `window` is one window of its length."""
-    def windows(words: Column) -> Column:
-        length = F.least(F.size(words), F.lit(window))
-        return F.transform(_places(1, F.size(words) - length + 1), lambda i: F.struct(length.alias("window"), *_window_key(words, i, length)))
-
-    keyed = items.select(F.col(item_id).cast("string").alias("item_id"), F.inline(_let(word_hashes(F.col(text)), windows)))
-    return keyed.where("window > 0").distinct()
-
-
-def _item_fingerprints(items: DataFrame, text: str, window: int, lengths: list[int]) -> DataFrame:
-    """Different kept hashes of the items, by the length of their windows."""
+    """`item_id, window, hash, key` per different window of an item; one of fewer words than `window` is one window of its length."""
     hashes = word_hashes(F.col(text))
-    parts = [fingerprints(items.where(F.least(F.size(hashes), F.lit(window)) == t), hashes, [t]).select("window", "hash") for t in lengths]
-    return functools.reduce(DataFrame.unionByName, parts).distinct()
+    sized = items.select(F.col(item_id).cast("string").alias("item_id"), hashes.alias("__words"))
+    length = F.least(F.size("__words"), F.lit(window))
+    sizes = sorted(r[0] for r in sized.select(length).distinct().collect())  # at most `window` + 1
+    found = [sized.where(length == t).select("item_id", F.lit(t).alias("window"), F.inline(_of_windows(F.col("__words"), t, lambda low, keys: F.zip_with(
+        low, keys, lambda x, y: F.struct(x.alias("hash"), y.alias("key")))))) for t in sizes if t > 0]
+    if not found:
+        return items.sparkSession.createDataFrame([], "item_id string, window int, hash bigint, key bigint")
+    return functools.reduce(DataFrame.unionByName, found).distinct()
 
 
 def contaminated_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", text: str = "text", item_id: str = "item_id",
@@ -133,36 +142,28 @@ def contaminated_spans(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id"
     or rows without spans. Other columns pass through; `n_words`, `spans` and `items` are replaced.
     """
     windows = checkpointed(item_windows(items, item_id, item_text, window))
-    lengths = sorted(r["window"] for r in windows.select("window").distinct().collect())  # at most `window` of them
-    plain = docs.drop("n_words", "spans", "items")
-    counted = plain.withColumn("n_words", F.coalesce(F.regexp_count(ascii_lower(F.col(text)), F.lit(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")),
-                                                     F.lit(0)).cast("long"))
-    no_spans, no_items = F.array().cast("array<struct<first:int,last:int>>"), F.array().cast("array<string>")
-    if not lengths:
-        return counted.withColumns({"spans": no_spans, "items": no_items})
-
+    lengths = sorted(r["window"] for r in windows.select("window").distinct().collect())
     keys = [k.alias(name) for k, name in zip(content_key(docs, doc_id, text), _ROW)]
-    known = checkpointed(_item_fingerprints(items, item_text, window, lengths))
-    hits = fingerprints(docs.select(*keys, text), word_hashes(F.col(text)), lengths, *_ROW).join(known, ["window", "hash"], "left_semi")
-    stretches = checkpointed(hits.groupBy(*_ROW).agg(F.collect_set(F.struct("window", "first", "last")).alias("__hits")))
-
-    def extended(words: Column) -> Column:
-        return F.flatten(F.transform("__hits", lambda hit: F.transform(F.sequence(hit["first"], hit["last"]), lambda i: F.struct(
-            hit["window"].alias("window"), i.alias("first"), *_window_key(words, i, hit["window"])))))
-
-    texts = docs.select(*keys, F.col(text).alias("__text")).join(stretches, _ROW).dropDuplicates(_ROW)
-    reached = texts.select(*_ROW, F.inline(_let(word_hashes(F.col("__text")), extended)))
-    found = reached.join(windows.select("window", "w1", "w2").distinct(), ["window", "w1", "w2"], "left_semi")
-    held = F.sort_array(F.collect_set(F.struct("w1", "w2", "window")))
+    kept = fingerprints(docs.select(*keys, F.col(text).alias("__text")), word_hashes(F.col("__text")), lengths, *_ROW)
+    known = windows.select("window", "hash").distinct().withColumn("known", F.lit(True))
+    hits = checkpointed(kept.join(known, ["window", "hash"], "left").where("known OR window = 0").drop("known", "hash"))
+    counts = hits.where("window = 0").groupBy(*_ROW).agg(F.max("first").cast("long").alias("n_words"))
+
+    extended = hits.where("window > 0").select(*_ROW, "window", "first", F.posexplode("keys").alias("step", "key"))
+    found = extended.join(windows.select("window", "key").distinct(), ["window", "key"], "left_semi")
+    first = F.col("first") + F.col("step")
     rows = checkpointed(found.groupBy(*_ROW).agg(
-        F.sort_array(F.collect_list(F.struct("first", (F.col("first") + F.col("window") - 1).alias("last")))).alias("places"), held.alias("held")
+        F.sort_array(F.collect_list(F.struct(first.alias("first"), (first + F.col("window") - 1).alias("last")))).alias("places"),
+        F.sort_array(F.collect_set(F.struct("window", "key"))).alias("held"),
     ).select(*_ROW, merged_spans(F.col("places")).alias("spans"), "held", F.xxhash64(F.lit(1), "held").alias("set_1"),
              F.xxhash64(F.lit(2), "held").alias("set_2")))
 
     sets = rows.groupBy("set_1", "set_2").agg(F.any_value("held").alias("held")).select("set_1", "set_2", F.inline("held"))
-    listed = sets.join(windows, ["window", "w1", "w2"]).groupBy("set_1", "set_2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
+    listed = sets.join(windows, ["window", "key"]).groupBy("set_1", "set_2").agg(F.sort_array(F.collect_set("item_id")).alias("items"))
     named = rows.join(listed, ["set_1", "set_2"]).select(*_ROW, "spans", "items")
-    out = counted.withColumns(dict(zip(_ROW, content_key(docs, doc_id, text)))).join(named, _ROW, "left")
+    plain = docs.drop("n_words", "spans", "items").withColumns(dict(zip(_ROW, content_key(docs, doc_id, text))))
+    out = plain.join(counts, _ROW).join(named, _ROW, "left")
+    no_spans, no_items = F.array().cast("array<struct<first:int,last:int>>"), F.array().cast("array<string>")
     return out.withColumns({"spans": F.coalesce("spans", no_spans), "items": F.coalesce("items", no_items)}).drop(*_ROW)
 
 

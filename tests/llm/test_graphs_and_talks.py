@@ -88,12 +88,14 @@ def test_shared_spans_share_a_kept_hash(spark):
     """The guarantee of winnowing: any window that two texts share has its smallest hash kept in both."""
     rng = random.Random(3)
     text = [rng.choice("abc") for _ in range(300)]
-    frame = spark.createDataFrame([(" ".join(text),)], "text string")
+    frame = spark.createDataFrame([(" ".join(text), 1)], "text string, id int")
     for window in (10, 9, 2, 1):
-        kept = decontamination.fingerprints(frame, decontamination.word_hashes(F.col("text")), [window]).collect()
-        covered = sorted((r["first"], r["last"]) for r in kept)
+        kept = decontamination.fingerprints(frame, decontamination.word_hashes(F.col("text")), [window], "id").collect()
+        assert [r["first"] for r in kept if r["window"] == 0] == [300]
+        kept = [r for r in kept if r["window"]]
+        covered = sorted((r["first"], r["first"] + len(r["keys"]) - 1) for r in kept)
         assert [i for a, b in covered for i in range(a, b + 1)] == list(range(1, len(text) - window + 2))
-        by_place = {i: r["hash"] for r in kept for i in range(r["first"], r["last"] + 1)}
+        by_place = {i: r["hash"] for r in kept for i in range(r["first"], r["first"] + len(r["keys"]))}
         seen = {}
         for i in by_place:
             assert seen.setdefault(tuple(text[i - 1:i - 1 + window]), by_place[i]) == by_place[i]
