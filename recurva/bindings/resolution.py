@@ -248,8 +248,9 @@ def j6(spark, folder):
 
 @query("u4_components", f"WITH RECURSIVE {MATCHES_SQL} SELECT node, cluster_id FROM components")
 def u4(spark, folder):
-    pairs = checkpointed(matching.match_records(records(spark, folder)))
-    return clustering.connected_components(pairs, "a_node", "b_node")
+    nodes = checkpointed(matching.match_nodes(matching.record_profiles(records(spark, folder))))
+    names = checkpointed(matching.similar_names(nodes))
+    return clustering.connected_components(matching.match_links(nodes, names), "a_node", "b_node")
 
 
 @query("a11_cluster_confidence", f"""WITH RECURSIVE {MATCHES_SQL}
@@ -334,9 +335,17 @@ def r1_maps(spark, folder):
                         F.col("data")["status"].alias("status"), F.col("_source_count").cast("long").alias("source_count"))
 
 
-@query("r6_analyse", f"""WITH RECURSIVE {MATCHES_SQL}, entities AS ({_MIXED_SQL}),
+# Amounts under three names; that of one source is no amount to the scores, so its pairs have no amount score.
+_AMOUNTS = {**_MIXED, "mrr_amount": ("mrr", "csv"), "mrr": ("mrr", "stripe"), "revenue": ("mrr", "postgres")}
+_AMOUNT_MATCHES_SQL = MATCHES_SQL.replace("CASE WHEN a_mrr = 0", "CASE WHEN a_source = 'csv' OR b_source = 'csv' THEN 0.0 WHEN a_mrr = 0")
+_ANALYSE_SQL = f"""WITH RECURSIVE {_AMOUNT_MATCHES_SQL}, entities AS (
+  SELECT cluster_id AS entity_id, {', '.join(f"arg_min({old}, record_id) FILTER (source_type = '{source}' AND {old} IS NOT NULL) AS {new}" for new, (old, source) in _AMOUNTS.items())},
+         {_pick_sql('status')} FROM members GROUP BY 1
+  UNION ALL
+  SELECT source_type || ':' || record_id, {', '.join(f"CASE WHEN source_type = '{source}' THEN {old} END" for old, source in _AMOUNTS.values())}, status
+  FROM records WHERE source_type || ':' || record_id NOT IN (SELECT node FROM components)),
 totals AS (
-  SELECT CAST(sum(CAST(mrr AS DECIMAL(32,6))) FILTER (status = 'active') AS DOUBLE) AS mrr, CAST(count(*) FILTER (status = 'active') AS DOUBLE) AS active_customers,
+  SELECT sum(coalesce(mrr_amount, mrr, revenue)) FILTER (status = 'active') AS mrr, CAST(count(*) FILTER (status = 'active') AS DOUBLE) AS active_customers,
          CAST(count(*) AS BIGINT) AS n FROM entities),
 now AS (
   SELECT n, unnest(['mrr', 'new_mrr', 'expansion_mrr', 'contraction_mrr', 'churn_mrr', 'nrr', 'active_customers', 'arpu', 'quick_ratio', 'logo_churn_rate']) AS metric_id,
@@ -347,11 +356,13 @@ rows AS (SELECT metric_id, value, previous_value, n FROM now LEFT JOIN earlier U
 SELECT metric_id, round(value + 1e-9, 2) AS value, round(previous_value + 1e-9, 2) AS previous_value,
        round((value - previous_value) / nullif(previous_value, 0) * 100 + 1e-9, 4) AS change_percent, n AS entity_count,
        CASE WHEN metric_id = 'mrr' THEN abs((value - previous_value) / previous_value) > 0 END AS changed, CAST(3 AS BIGINT) AS validations
-FROM rows""")
-def r6(spark, folder):
+FROM rows"""
+
+
+def _analysed(spark, folder, sources):
     month = F.to_date(F.date_trunc("month", "o_orderdate"))
     history = table(spark, folder, "orders").groupBy(month.alias("period_date")).agg(exact_sum(F.col("o_totalprice")).alias("value")).withColumn("metric_id", F.lit("mrr"))
-    result = analyse(unite(*mixed_records(spark, folder)), "2035-01-15", history)
+    result = analyse(unite(*sources), "2035-01-15", history)
     checks = result.validations.agg(F.count(F.lit(1)).alias("validations"))
     changed = result.anomalies.where("metric_id = 'mrr'").select("metric_id", F.lit(True).alias("changed")).distinct()
     rows = result.metrics.join(F.broadcast(changed), "metric_id", "left").join(F.broadcast(checks), F.lit(True))
@@ -359,6 +370,17 @@ def r6(spark, folder):
                        number("change_percent").alias("change_percent"), "entity_count", "changed", "validations")
 
 
+@query("r6_analyse", _ANALYSE_SQL)
+def r6(spark, folder):
+    return _analysed(spark, folder, mixed_records(spark, folder, ("mrr", "revenue", "mrr_amount")))
+
+
+@query("r6_analyse_maps", _ANALYSE_SQL)
+def r6_maps(spark, folder):
+    first, *others = mixed_records(spark, folder, ("mrr", "revenue", "mrr_amount"))
+    return _analysed(spark, folder, [as_map(first), *others])
+
+
 _PHONES = (Strategy("phone", ("phone", "phone_number", "tel"), phone_key, 7),)
 
 
@@ -388,10 +410,12 @@ def j7(spark, folder):
 
 
 @query("a13_nested_lineage", f"""WITH RECURSIVE {GOLDEN_SQL}, lines AS (
-  SELECT cluster_id AS entity_id, source_type, record_id FROM members UNION ALL SELECT entity_id, source_type, record_id FROM alone)
-SELECT entity_id, 0 AS part, string_agg(source_type || ':' || record_id, ',' ORDER BY source_type, record_id) AS sources, CAST(count(*) AS BIGINT) AS n FROM lines GROUP BY 1""")
+  SELECT cluster_id AS entity_id, source_type, record_id FROM members UNION ALL SELECT entity_id, source_type, record_id FROM alone),
+placed AS (SELECT *, (row_number() OVER (PARTITION BY entity_id ORDER BY source_type, record_id) - 1) // 3 AS part FROM lines)
+SELECT entity_id, CAST(part AS INTEGER) AS part, string_agg(source_type || ':' || record_id, ',' ORDER BY source_type, record_id) AS sources, CAST(count(*) AS BIGINT) AS n
+FROM placed GROUP BY 1, 2""")
 def a13(spark, folder):
-    nested = golden.nested_lineage(resolve_entities(records(spark, folder), unique_ids=True).lineage, 1)
+    nested = golden.bounded_lineage(resolve_entities(records(spark, folder), unique_ids=True).lineage, 3)
     text = F.transform("_sources", lambda s: F.concat_ws(":", s["source_type"], s["record_id"]))
     return nested.select("entity_id", "part", F.array_join(text, ",").alias("sources"), F.size("_sources").cast("long").alias("n"))
 

@@ -237,13 +237,14 @@ def _renamed(rows: DataFrame, names: dict[str, str], key: str) -> DataFrame:
     return rows.withColumn("data", F.struct(*[F.col(f"data.{old}").alias(new) for old, new in names.items()], status))
 
 
-def mixed_records(spark: SparkSession, folder: str) -> list[DataFrame]:
+def mixed_records(spark: SparkSession, folder: str, amounts: tuple[str, str, str] = ("mrr", "mrr", "mrr")) -> list[DataFrame]:
     """The three sources as their own systems would deliver them: hardly a field has the same name in two."""
+    first, second, third = amounts
     return [
-        _renamed(stripe_records(spark, folder), {"email": "email", "company_name": "company_name", "created_at": "created_at", "mrr": "mrr"}, "status"),
+        _renamed(stripe_records(spark, folder), {"email": "email", "company_name": "company_name", "created_at": "created_at", "mrr": first}, "status"),
         _renamed(postgres_records(spark, folder), {"email": "email_address", "company_name": "company", "phone": "phone_number",
-                                                   "created_at": "created_at", "mrr": "mrr", "seats": "seats"}, "status"),
-        _renamed(csv_records(spark, folder), {"email": "contact_email", "company_name": "name", "phone": "tel", "created_at": "signup_date", "mrr": "mrr"}, "status"),
+                                                   "created_at": "created_at", "mrr": second, "seats": "seats"}, "status"),
+        _renamed(csv_records(spark, folder), {"email": "contact_email", "company_name": "name", "phone": "tel", "created_at": "signup_date", "mrr": third}, "status"),
     ]
 
 

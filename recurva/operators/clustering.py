@@ -1,8 +1,10 @@
 """Entity clusters: connected components of the matching pairs.
 
 Components come from alternating large-star and small-star steps (Kiveris et al. 2014). Each step is an
-aggregate for the smallest neighbour and a join back, so no neighbour list is ever collected and a node with
-very many edges is combined before the shuffle.
+aggregate for the smallest neighbour and a join back, so no neighbour list is ever collected. A node with very many
+edges is heavy: its smallest neighbour, found by an aggregate that combines before its shuffle, is sent to all tasks, and its
+edges are moved where they lie. Only the edges of light nodes are shuffled to their node. The limit grows with the edges, so
+that heavy nodes are always few.
 """
 
 from __future__ import annotations
@@ -12,23 +14,41 @@ from pyspark.sql import functions as F
 
 from recurva.session import checkpointed
 
+#: Edges from which on a node may be heavy, and how many heavy nodes there can be at most.
+HEAVY_EDGES = 4096
+HEAVY_NODES = 50_000
 
-def _smallest(edges: DataFrame) -> DataFrame:
-    return edges.groupBy("u").agg(F.min("v").alias("smallest"))
 
+def _with_smallest(edges: DataFrame, total: int, heavy_edges: int) -> tuple[DataFrame, DataFrame]:
+    """Edges with the smallest `v` of their `u`, and a row `u, smallest` per node. `total` is the number of edges.
 
-def _large_star(edges: DataFrame) -> DataFrame:
+    Nodes of more than `heavy_edges` edges, and of more than a `HEAVY_NODES`-th of all, are heavy: fewer than `HEAVY_NODES`.
+    """
+    low = edges.groupBy("u").agg(F.min("v").alias("smallest"), F.count(F.lit(1)).alias("edges"))
+    limit = max(heavy_edges, total // HEAVY_NODES)
+    if total <= limit:
+        return edges.join(low.drop("edges"), "u"), low.drop("edges")
+    low = checkpointed(low)
+    heavy = low.where(F.col("edges") > limit)
+    if heavy.isEmpty():
+        return edges.join(low.drop("edges"), "u"), low.drop("edges")
+    heavy = F.broadcast(heavy.select("u", F.col("smallest").alias("known")))
+    marked = edges.join(heavy, "u", "left")
+    light = marked.where("known IS NULL").drop("known").join(low.where(F.col("edges") <= limit).drop("edges"), "u")
+    return light.unionByName(marked.where("known IS NOT NULL").withColumnRenamed("known", "smallest")), low.drop("edges")
+
+
+def _large_star(edges: DataFrame, total: int, heavy_edges: int) -> DataFrame:
     """Every larger neighbour of a node moves to the smallest of the node and its neighbours."""
     both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
-    centre = F.least("u", "smallest")
-    return both.join(_smallest(both), "u").where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), centre.alias("v"))
+    met, _ = _with_smallest(both, 2 * total, heavy_edges)
+    return met.where(F.col("v") > F.col("u")).select(F.col("v").alias("u"), F.least("u", "smallest").alias("v"))
 
 
-def _small_star(edges: DataFrame) -> DataFrame:
+def _small_star(edges: DataFrame, total: int, heavy_edges: int) -> DataFrame:
     """A node and its smaller neighbours move to the smallest of them."""
-    low = _smallest(edges)
-    moved = edges.join(low, "u").where(F.col("v") != F.col("smallest")).select(
-        F.col("v").alias("u"), F.col("smallest").alias("v"))
+    met, low = _with_smallest(edges, total, heavy_edges)
+    moved = met.where(F.col("v") != F.col("smallest")).select(F.col("v").alias("u"), F.col("smallest").alias("v"))
     return moved.unionByName(low.withColumnRenamed("smallest", "v")).distinct()
 
 
@@ -40,12 +60,17 @@ def _settled(edges: DataFrame) -> bool:
     return seen.where((F.col("points") > 1) | ((F.col("points") > 0) & (F.col("centre") == 0))).isEmpty()
 
 
-def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100) -> DataFrame:
+def connected_components(edges: DataFrame, a: str, b: str, max_rounds: int = 100, heavy_edges: int = HEAVY_EDGES) -> DataFrame:
     """`node, cluster_id` for every node with an edge; the cluster is named after its smallest node."""
     u, v = F.greatest(a, b).alias("u"), F.least(a, b).alias("v")
     stars = checkpointed(edges.select(u, v).where(F.col("u") != F.col("v")).distinct())
+    total = stars.count()
     for _ in range(max_rounds):
-        stars = checkpointed(_small_star(_large_star(stars)))
+        moved = _large_star(stars, total, heavy_edges)
+        if 2 * total > heavy_edges:
+            moved = checkpointed(moved)  # read twice where heavy nodes are looked for
+        stars = checkpointed(_small_star(moved, total, heavy_edges))
+        total = stars.count()
         if _settled(stars):
             break
     else:

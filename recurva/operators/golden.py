@@ -4,10 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from recurva.operators.ranking import ranked
+
 # Weight of a source in general, and the sources to prefer for single fields.
 SOURCE_PRIORITY = {"stripe": 3, "postgres": 2, "mysql": 2, "hubspot": 1, "salesforce": 1, "csv": 1}
 FIELD_SOURCES = {
@@ -19,9 +21,6 @@ FIELD_SOURCES = {
     "created_at": ("stripe", "postgres"),
 }
 
-#: Buckets in which the records of an entity are counted and numbered.
-_BUCKETS = 1024
-
 
 def _ladder(values: Mapping[str, int], otherwise: int) -> Column:
     column = F.lit(otherwise)
@@ -113,30 +112,11 @@ def lineage(members: DataFrame, records: DataFrame) -> DataFrame:
         alone.select(own.alias("entity_id"), "source_type", "record_id"))
 
 
-def nested_lineage(rows: DataFrame, parts: int) -> DataFrame:
-    """Lineage as arrays, a row per entity and part: the records of an entity are dealt to `parts` parts by their ids.
-
-    With one part every entity is one row. More parts only divide the arrays of large entities; `bounded_lineage` limits
-    them, and `lineage` has a row per record and needs no choice.
-    """
-    part = F.pmod(F.crc32(F.concat_ws(":", "source_type", "record_id").cast("binary")), F.lit(parts)).cast("int")
-    return rows.groupBy("entity_id", part.alias("part")).agg(
-        F.sort_array(F.collect_list(F.struct("source_type", "record_id"))).alias("_sources"))
-
-
 def bounded_lineage(rows: DataFrame, size: int = 1000) -> DataFrame:
-    """Lineage as arrays of at most `size` records, a row per entity and part; all parts of an entity but its last are full.
+    """Lineage as arrays of at most `size` records, a row per entity and part, in the order of source and id.
 
-    A record's place counts the records of the entity in smaller buckets, of which there are `_BUCKETS`, and the smaller
-    ones of its own bucket, so that no step gathers an entity in one task.
+    All parts of an entity but its last are full. Places are found by ranges, so no step gathers an entity in one task.
     """
-    bucket = F.pmod(F.xxhash64("source_type", "record_id"), F.lit(_BUCKETS)).cast("int")
-    dealt = rows.select("entity_id", "source_type", "record_id", bucket.alias("bucket"))
-    counts = dealt.groupBy("entity_id", "bucket").agg(F.count(F.lit(1)).alias("n"))
-    before = Window.partitionBy("entity_id").orderBy("bucket")
-    starts = counts.select("entity_id", "bucket", (F.sum("n").over(before) - F.col("n")).alias("start"))
-    within = F.row_number().over(Window.partitionBy("entity_id", "bucket").orderBy("source_type", "record_id"))
-    placed = dealt.withColumn("within", within).join(starts, ["entity_id", "bucket"])
-    part = F.floor((F.col("start") + F.col("within") - 1) / size).cast("int")
-    return placed.groupBy("entity_id", part.alias("part")).agg(
+    placed = ranked(rows.select("entity_id", "source_type", "record_id"), ["entity_id"], ["source_type", "record_id"])
+    return placed.groupBy("entity_id", F.floor(F.col("rank") / size).cast("int").alias("part")).agg(
         F.sort_array(F.collect_list(F.struct("source_type", "record_id"))).alias("_sources"))

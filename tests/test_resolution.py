@@ -157,15 +157,25 @@ def union_find(edges):
     return {x: find(x) for x in list(parent)}
 
 
-@pytest.mark.parametrize("shape", ["random", "chain", "star", "empty"])
+@pytest.mark.parametrize("shape", ["random", "chain", "star", "hubs", "empty"])
 def test_components(spark, shape):
     rng = random.Random(4)
     edges = {"random": [(f"n{rng.randrange(300):03d}", f"n{rng.randrange(300):03d}") for _ in range(220)],
-             "chain": [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200)], "star": [("hub", f"n{i:03d}") for i in range(300)], "empty": []}[shape]
+             "chain": [(f"n{i:03d}", f"n{i + 1:03d}") for i in range(200)], "star": [("hub", f"n{i:03d}") for i in range(300)], "hubs": [(f"h{i % 3}", f"n{i:03d}") for i in range(300)] + [("h0", "n001")], "empty": []}[shape]
     edges = [(a, b) for a, b in edges if a != b]
     frame = spark.createDataFrame(edges, "a string, b string").repartition(5)
-    found = {r["node"]: r["cluster_id"] for r in clustering.connected_components(frame, "a", "b").collect()}
-    assert found == union_find(edges)
+    for heavy in (4096, 20):
+        found = {r["node"]: r["cluster_id"] for r in clustering.connected_components(frame, "a", "b", heavy_edges=heavy).collect()}
+        assert found == union_find(edges)
+
+
+def test_edges_of_a_hub_stay_where_they_are(spark):
+    """A node with most of the edges is joined by a broadcast; what is shuffled are the edges of the others."""
+    edges = spark.range(30_000).select(F.col("id").alias("u"), F.lit(-1).cast("long").alias("v"))
+    both = edges.unionByName(edges.select(F.col("v").alias("u"), F.col("u").alias("v")))
+    met, low = clustering._with_smallest(both, 60_000, 4096)
+    assert met.count() == 60_000 and low.count() == 30_001
+    assert met.where("u = -1 AND smallest = 0").count() == 30_000 and met.where("u <> -1 AND smallest = -1").count() == 30_000
 
 
 @pytest.mark.parametrize("threshold, tile_rows", [(0.5, 3), (0.52, 4096), (0.5638, 4096), (0.4, 4096)])
@@ -234,13 +244,6 @@ def test_source_order_decides_side_a(spark):
     assert (given["a_source_type"], given["temporal_score"]) == ("stripe", 0.75)
 
 
-def test_nested_lineage_parts(spark):
-    lines = spark.range(2500).select(F.lit("e").alias("entity_id"), F.lit("s").alias("source_type"), F.col("id").cast("string").alias("record_id"))
-    for n in (1, 3):
-        parts = golden.nested_lineage(lines, n).collect()
-        assert sorted(r["part"] for r in parts) == list(range(n)) and sum(len(r["_sources"]) for r in parts) == 2500
-
-
 def test_bounded_lineage(spark):
     large = spark.range(2500).select(F.lit("e").alias("entity_id"), F.lit("s").alias("source_type"), F.col("id").cast("string").alias("record_id"))
     lines = large.unionByName(spark.range(3).select(F.lit("f"), F.lit("s"), F.col("id").cast("string")).toDF(*large.columns))
