@@ -111,9 +111,12 @@ def s4(spark, folder):
 
 
 @query("s5_alias_columns", f"""WITH {TEXT_SQL}
-SELECT order_id, customer_id AS customer_entity_id, mrr AS mrr_amount, status, created_at FROM text_orders""")
+SELECT order_id, nullif(customer_id, '') AS customer_entity_id, coalesce(nullif(mrr, ''), CASE WHEN k % 14 = 0 THEN CAST(k AS VARCHAR) END) AS mrr_amount,
+       status, created_at FROM text_orders""")
 def s5(spark, folder):
-    rows = tabular.metric_names(text_orders(spark, folder))
+    """Amounts under two names: rows whose first is blank are read from the second."""
+    k = F.col("Order Id").cast("long")
+    rows = tabular.metric_names(text_orders(spark, folder).withColumn("Revenue", F.when(k % 14 == 0, k.cast("string"))))
     return rows.select(F.col("Order Id").alias("order_id"), "customer_entity_id", "mrr_amount", "status", "created_at")
 
 
@@ -162,6 +165,20 @@ def _order_changes(spark, folder):
                                                  F.col("o_orderdate").alias("updated_at"))
 
 
+@query("s9_nested_hash", """
+SELECT o_orderpriority, CAST(count(DISTINCT o_orderstatus || '|' || (o_custkey % 50)) AS BIGINT) AS distinct_hashes FROM orders GROUP BY 1""")
+def s9_nested(spark, folder):
+    """Nested maps in two orders of their keys, within structs and arrays, count as one content."""
+    status, buyer = F.col("o_orderstatus"), (F.col("o_custkey") % 50).cast("string")
+    one, other = F.create_map(F.lit("s"), status, F.lit("c"), buyer), F.create_map(F.lit("c"), buyer, F.lit("s"), status)
+    tags = F.when(F.col("o_orderkey") % 2 == 0, one).otherwise(other)
+    rows = table(spark, folder, "orders").select("o_orderpriority", F.struct(tags.alias("tags")).alias("inner"), F.array(tags).alias("list"))
+    records = envelope.envelope(rows, "shop", "conn-1", "order", F.lit(None), ["inner", "list"])
+    placed = rows.select("o_orderpriority", envelope.content_hash(F.struct("inner", "list"), ["list", "inner"], envelope.field_kinds(rows.schema)).alias("hash"))
+    known = placed.join(records.select(F.col("record_hash").alias("hash")).distinct(), "hash", "left_semi")
+    return known.groupBy("o_orderpriority").agg(F.count_distinct("hash").alias("distinct_hashes"))
+
+
 @query("s12_changed_rows", """
 SELECT CAST(o_orderkey AS VARCHAR) AS record_id, o_orderstatus AS status, CAST(CAST(o_orderdate AS DATE) AS VARCHAR) AS updated_on,
        'update' AS change_type, 'orders' AS object_type FROM orders WHERE o_orderdate > TIMESTAMP '1998-06-30'""")

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from recurva.functions.coerce import blank_to_null, field_values
 from recurva.functions.normalize import company_key, email_domain, phone_key
 from recurva.session import checkpointed
+from recurva.sources.envelope import canonical
 
 IDENTITY = ("source_type", "record_id")
 
@@ -44,7 +45,7 @@ def with_source(records: DataFrame) -> DataFrame:
     content, so that only records equal in all fields are taken for copies of one.
     """
     source = F.col("source_type") if "source_type" in records.columns else F.lit(None).cast("string")
-    content = F.concat(F.lit("#"), F.md5(F.to_json(F.col("data"), {"ignoreNullFields": "false"}))) if "data" in records.columns else F.lit("")
+    content = F.concat(F.lit("#"), F.md5(F.to_json(canonical(F.col("data"), records.schema["data"].dataType), {"ignoreNullFields": "false"}))) if "data" in records.columns else F.lit("")
     return records.withColumns({
         "source_type": F.coalesce(source, F.lit("unknown")),
         "record_id": F.coalesce(blank_to_null(F.col("record_id").cast("string")), content),

@@ -7,13 +7,14 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from recurva.operators.metrics import with_change
-from recurva.operators.registry import CORE_METRICS, Registry
+from recurva.operators.registry import CORE_METRICS, ID_FALLBACKS, Registry
 from recurva.plans.compute import compute_saas_metrics
 from recurva.plans.detect import detect_anomalies
 from recurva.plans.resolve import Resolution, resolve_entities
-from recurva.sources.tabular import flags_to_boolean, metric_names
+from recurva.sources.tabular import FIELD_ALIASES, METRIC_COLUMNS, alias_values, flags_to_boolean, metric_names
 
 FLAGS = ("created_in_period", "existing_customer", "canceled_in_period")
 
@@ -26,9 +27,19 @@ class Analysis:
     anomalies: DataFrame
 
 
-def entity_rows(entities: DataFrame) -> DataFrame:
-    """Entities as input of the metrics: usual column names, and flags that are booleans."""
-    return flags_to_boolean(metric_names(entities), FLAGS)
+def entity_rows(entities: DataFrame, registry: Registry = CORE_METRICS) -> DataFrame:
+    """Entities as input of the metrics: the column names they read, and flags that are booleans.
+
+    Entities that hold a map have everything a metric reads taken out of it.
+    """
+    if "data" in entities.columns and isinstance(entities.schema["data"].dataType, T.MapType):
+        read = {m.column for m in registry.values()} | {c for m in registry.values() for c in m.where}
+        plain = {c: F.try_element_at("data", F.lit(c)) for c in (read | {"delta", *ID_FALLBACKS}) - {"", *entities.columns}}
+        meanings = {METRIC_COLUMNS.get(m, m): F.coalesce(*alias_values(entities, m, "data")) for m in FIELD_ALIASES}
+        rows = entities.withColumns(plain | meanings)
+    else:
+        rows = metric_names(entities)
+    return flags_to_boolean(rows, FLAGS)
 
 
 def add_history(metrics: DataFrame, history: DataFrame, keys: Sequence[str]) -> DataFrame:
@@ -50,7 +61,7 @@ def analyse(
 ) -> Analysis:
     """Resolve, compute and detect. `history` holds earlier metric rows: keys, metric_id, period_date, value."""
     resolution = resolve_entities(records)
-    tables = compute_saas_metrics(entity_rows(resolution.entities), keys, registry, extra)
+    tables = compute_saas_metrics(entity_rows(resolution.entities, registry), keys, registry, extra)
     metrics = tables.metrics.withColumn("period_date", F.lit(period_date).cast("date"))
     if history is not None:
         judged = add_history(metrics, history, keys)

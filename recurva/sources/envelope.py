@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Mapping
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -12,12 +14,34 @@ CREATE, UPDATE, DELETE = "create", "update", "delete"
 ENVELOPE = ("source_type", "source_id", "object_type", "record_id", "data", "extracted_at", "change_type", "record_hash")
 
 
-def content_hash(data: Column, fields: list[str]) -> Column:
-    """Digest of the named fields, whatever their order; NULL and missing differ from empty text."""
-    sorted_fields = F.struct(*[data[f].alias(f) for f in sorted(fields)])
+def canonical(value: Column, kind: T.DataType) -> Column:
+    """A value whose fields and map entries are sorted by name at every depth; arrays keep their order."""
+    if isinstance(kind, T.StructType):
+        fields = sorted(kind.fields, key=lambda f: f.name)
+        return F.when(value.isNotNull(), F.struct(*[canonical(value[f.name], f.dataType).alias(f.name) for f in fields]))
+    if isinstance(kind, T.MapType):
+        entries = F.transform(F.map_entries(value), lambda e: F.struct(e["key"].alias("key"), canonical(e["value"], kind.valueType).alias("value")))
+        by_key = F.array_sort(entries, lambda a, b: F.when(a["key"] < b["key"], -1).when(a["key"] > b["key"], 1).otherwise(0))
+        return F.map_from_entries(by_key)
+    if isinstance(kind, T.ArrayType) and isinstance(kind.elementType, (T.StructType, T.MapType, T.ArrayType)):
+        return F.transform(value, lambda x: canonical(x, kind.elementType))
+    return value
+
+
+def content_hash(data: Column, fields: list[str], kinds: Mapping[str, T.DataType] | None = None) -> Column:
+    """Digest of the named fields, whatever their order; NULL and missing differ from empty text.
+
+    `kinds` gives the types of fields that hold nested data, whose own fields and entries then have no order either.
+    """
+    kinds = kinds or {}
+    sorted_fields = F.struct(*[canonical(data[f], kinds.get(f, T.NullType())).alias(f) for f in sorted(fields)])
     return F.md5(F.to_json(sorted_fields, {"ignoreNullFields": "false"}))
 
 
+def field_kinds(schema: T.StructType) -> dict[str, T.DataType]:
+    return {f.name: f.dataType for f in schema.fields}
+
+
 def envelope(
     rows: DataFrame,
     source_type: str,
@@ -33,7 +57,7 @@ def envelope(
     """
     names = fields or rows.columns
     data = F.struct(*[F.col(f"`{n}`") for n in names])
-    digest = content_hash(data, names)
+    digest = content_hash(data, names, field_kinds(rows.schema))
     return rows.select(
         F.lit(source_type).alias("source_type"),
         F.lit(source_id).alias("source_id"),
@@ -48,7 +72,7 @@ def envelope(
 
 def wrap(frame: DataFrame, source_type: str, source_id: str, object_type: str) -> DataFrame:
     """Envelope for a custom source: any DataFrame; its `id` column, if any, names the records."""
-    record_id = F.col("id") if "id" in frame.columns else F.md5(F.to_json(F.struct(*frame.columns)))
+    record_id = F.col("id") if "id" in frame.columns else content_hash(F.struct(*[F.col(f"`{c}`") for c in frame.columns]), frame.columns, field_kinds(frame.schema))
     return envelope(frame, source_type, source_id, object_type, record_id)
 
 

@@ -45,15 +45,39 @@ def semantic_type(header: str) -> str | None:
     return next((name for name, aliases in FIELD_ALIASES.items() if _cleaned(header) in aliases), None)
 
 
+def alias_values(rows: DataFrame, meaning: str, nested: str | None = None) -> list[Column]:
+    """The columns that hold a meaning, in order of preference: the name the metrics read, then the aliases.
+
+    With `nested`, the name of a map of text, they are its entries.
+    """
+    names = dict.fromkeys((METRIC_COLUMNS.get(meaning, meaning), *FIELD_ALIASES[meaning]))
+    if nested:
+        keys = F.transform_keys(nested, lambda k, _: F.concat(F.lower(F.trim(k)), F.lit("")))
+        return [blank_to_null(F.try_element_at(keys, F.lit(n))) for n in names]
+    by_name = {_cleaned(c): c for c in reversed(rows.columns)}
+    return [F.col(f"`{by_name[n]}`") for n in names if n in by_name]
+
+
 def metric_names(rows: DataFrame) -> DataFrame:
-    """Rename columns to the names the metric templates read; a column that has the name already wins."""
-    renames = {}
-    for meaning, aliases in FIELD_ALIASES.items():
-        target = METRIC_COLUMNS.get(meaning, meaning)
-        found = resolve_field(rows.columns, aliases)
-        if found and target not in rows.columns:
-            renames[found] = target
-    return rows.withColumnsRenamed(renames)
+    """Add columns by the names the metric templates read: the first value of a row over all aliases of a meaning.
+
+    United sources keep a meaning under different names, so each row is asked by itself; NULL and blank values do not count.
+    Columns of one type keep it, others become text. All other columns stay.
+    """
+    added = {}
+    for meaning in FIELD_ALIASES:
+        found = alias_values(rows, meaning)
+        kinds = {rows.select(c).schema[0].dataType.simpleString() for c in found}
+        if len(kinds) > 1:
+            found = [c.cast("string") for c in found]
+        if kinds != {"string"} and len(kinds) == 1:
+            value = F.coalesce(*found)
+        elif found:
+            value = F.coalesce(*map(blank_to_null, found))
+        else:
+            continue
+        added[METRIC_COLUMNS.get(meaning, meaning)] = value
+    return rows.withColumns(added)
 
 
 def has_quoted_newlines(spark: SparkSession, path: str) -> bool:

@@ -116,6 +116,19 @@ def test_hash_ignores_column_order_and_sees_nulls(spark):
     assert hashes == turned and hashes[0] != hashes[1]
 
 
+def test_hash_ignores_order_at_every_depth(spark):
+    kind = "a struct<m:map<string,struct<x:int,y:map<string,int>>>,l:array<map<string,int>>>"
+    one = ({"p": (1, {"k": 1, "j": 2}), "q": None}, [{"u": 1, "v": 2}, {}])
+    other = ({"q": None, "p": (1, {"j": 2, "k": 1})}, [{"v": 2, "u": 1}, {}])
+    unlike = ({"p": (1, {"k": 2, "j": 1}), "q": None}, [{"u": 1, "v": 2}, {}])
+    rows = spark.createDataFrame([(one,), (other,), (unlike,), (None,), ((None, None),)], kind)
+    records = envelope.envelope(rows, "shop", "c", "thing", F.lit(None))
+    hashes = [r["record_hash"] for r in records.collect()]
+    assert hashes[0] == hashes[1] and len(set(hashes)) == 4
+    turned = rows.select(F.col("a").withField("m", F.col("a.m")).alias("a"))
+    assert [r["record_hash"] for r in envelope.envelope(turned, "shop", "c", "thing", F.lit(None)).collect()] == hashes
+
+
 def test_changed_rows(spark):
     rows = spark.createDataFrame([(1, datetime.datetime(2024, 1, 1)), (2, datetime.datetime(2024, 2, 1))], "id int, modified_at timestamp")
     found = database.changed_records(rows, datetime.datetime(2024, 1, 1), "pg", "accounts").collect()
