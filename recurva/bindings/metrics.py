@@ -105,6 +105,18 @@ def a1(spark, folder):
     return _by_priority(table(spark, folder, "orders"), _custom("sum", "o_totalprice", {"o_orderstatus": ["O", "P"]}))
 
 
+@query("a1_exact_sums", """
+SELECT l_returnflag, round(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / 1e7, 9) AS tiny, round(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE), 2) AS huge,
+       round(CAST(sum(CAST(l_quantity AS DECIMAL(18,2))) AS DOUBLE) / 1e7, 9) AS canceled FROM lineitem GROUP BY 1""")
+def a1_exact(spark, folder):
+    """Sums of very small and of very large amounts, and of small ones between large ones that cancel out."""
+    rows = table(spark, folder, "lineitem").select("l_returnflag", F.col("l_quantity").alias("q"))
+    sums = rows.groupBy("l_returnflag").agg(coerce.exact_sum(F.col("q") * 1e-7).alias("tiny"), (coerce.exact_sum(F.col("q") * 1e25) / 1e25).alias("huge"))
+    mixed = rows.select("l_returnflag", F.explode(F.array(F.lit(1e27), F.col("q") * 1e-7, F.lit(-1e27))).alias("x"))
+    left = mixed.groupBy("l_returnflag").agg(F.round(coerce.exact_sum(F.col("x")), 9).alias("canceled"))
+    return sums.select("l_returnflag", F.round("tiny", 9).alias("tiny"), F.round("huge", 2).alias("huge")).join(left, "l_returnflag")
+
+
 @query("a2_distinct_with_fallback", """
 SELECT o_orderpriority, CAST(count(DISTINCT coalesce(CASE WHEN o_orderkey % 3 <> 0 THEN CAST(o_custkey AS VARCHAR) END,
                                          CASE WHEN o_orderkey % 5 <> 0 THEN 'a' || (o_orderkey % 100) END))

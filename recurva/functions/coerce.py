@@ -48,25 +48,33 @@ def numeric_field(df: DataFrame, name: str) -> Column:
     return F.coalesce(number, F.lit(0.0))
 
 
-def as_money(amount: Column) -> Column:
-    """An amount with six decimals, exactly; NULL beyond 10^26 and for what is no number."""
-    return amount.try_cast("decimal(32,6)")
+#: Places of the lowest bit of each part of an amount, and the size from which amounts have no parts.
+_PART_BITS = 34
+_LOWEST_BITS = range(-76, 61, _PART_BITS)
+_PARTED_BELOW = 2.0 ** 93
 
 
 def exact_sum(amount: Column) -> Column:
     """Sum of amounts as a double that does not depend on the order of the rows.
 
-    Amounts are added as decimals and become a double at the end. Where the decimals cannot hold an amount the
-    plain sum of doubles stands.
+    An amount is cut into integers at fixed binary places, which add up to it but for what lies below 2^-76, about 1e-23. The
+    integers are added as longs, exactly and in any order, and carried and put together once per group. Where an amount is
+    2^93, about 1e28, or more or no number, or where a long is too short for its sum, the plain sum of doubles stands.
     """
-    plain = F.sum(amount)
-    lost = F.count_if(amount.isNotNull() & as_money(amount).isNull()) > 0
-    return F.when(lost, plain).otherwise(F.coalesce(F.try_sum(as_money(amount)).cast("double"), plain))
-
-
-def exact_difference(a: Column, b: Column) -> Column:
-    """`a - b` of two amounts without the error of binary fractions."""
-    return F.coalesce(as_money(a) - as_money(b), a - b).cast("double")
+    value = amount.cast("double")
+    size = F.abs(value)
+    parted = F.when(size < _PARTED_BELOW, value)
+    rounded = [F.rint(parted * 2.0 ** -low) for low in _LOWEST_BITS]
+    parts = [own - above * 2.0 ** _PART_BITS for own, above in zip(rounded, rounded[1:])] + rounded[-1:]
+    total, carry = F.lit(0.0), F.lit(0).cast("long")
+    for low, part in zip(_LOWEST_BITS, parts):
+        held = F.try_add(F.try_sum(part.cast("long")), carry)
+        if low != _LOWEST_BITS[-1]:  # digits around zero, so that those above the sum's size vanish
+            carry = F.shiftright(F.try_add(held, F.lit(1 << _PART_BITS - 1).cast("long")), _PART_BITS)
+            held = held - carry * (1 << _PART_BITS)
+        total = total + held.cast("double") * 2.0 ** low
+    plain = F.sum(value)
+    return F.when(F.max(size) >= _PARTED_BELOW, plain).otherwise(F.coalesce(total, plain))
 
 
 def truthy(df: DataFrame, name: str) -> Column:

@@ -1,13 +1,18 @@
 import datetime
+import math
+import random
 
 import pytest
 from pyspark.sql import functions as F
 
+from recurva.functions.coerce import exact_sum
 from recurva.operators import metrics as ops
 from recurva.operators import periods, registry
 from recurva.operators.formulas import formula_column, formula_order
 from recurva.operators.registry import CORE_METRICS, Metric
+from recurva.operators.metrics import compute_metrics
 from recurva.operators.validation import validate_metrics
+from recurva.plans.analyse import entity_rows
 from recurva.plans.compute import compute_saas_metrics
 
 
@@ -144,3 +149,32 @@ def test_period_flags(spark):
     assert found["s2", 2]["created_in_period"] and found["s2", 2]["existing_customer"] and not found["s2", 2]["canceled_in_period"]
     churn = {r["period_date"].month: (r["active_customers_start"], r["churned_customers"]) for r in periods.customer_churn(flags).collect()}
     assert churn == {2: (1.0, 0.0), 3: (1.0, 1.0)}
+
+
+def test_exact_sum(spark):
+    rng = random.Random(2)
+    sets = {"tiny": [1e-7] * 1000, "huge": [1e27, 1.0, 1e-7, -1e27], "tenths": [0.1] * 30, "mixed": [rng.uniform(-1, 1) * 10 ** rng.randint(-3, 12) for _ in range(2000)],
+            "negative": [-1e-7, -3.5, 0.25], "beyond": [1e300, 2.0], "nothing": [None, None], "some": [None, 2.5]}
+    rows = spark.createDataFrame([(k, v) for k, values in sets.items() for v in values], "k string, v double")
+    found = []
+    for parts in (1, 3, 8):
+        got = rows.orderBy(F.rand(parts)).repartition(parts).groupBy("k").agg(exact_sum(F.col("v")).alias("s")).collect()
+        found.append({r["k"]: r["s"] for r in got})
+    assert found[0] == found[1] == found[2]
+    assert found[0] == {k: math.fsum(x for x in values if x is not None) if k != "nothing" else None for k, values in sets.items()}
+    bad = spark.createDataFrame([(float("nan"),), (1.0,)], "v double").agg(exact_sum(F.col("v"))).first()[0]
+    assert math.isnan(bad)
+
+
+def test_amounts_under_several_names(spark):
+    """United sources keep the amount under different names, in columns or in maps."""
+    frame = spark.createDataFrame([("a", 100.0, None, "active", None), ("b", None, "40", "", "active"), ("c", None, "", "active", "x"), ("d", 1.0, "2", None, "canceled")],
+                                  "entity_id string, mrr double, Revenue string, status string, state string")
+    rows = {r["entity_id"]: (r["mrr_amount"], r["status"]) for r in entity_rows(frame).collect()}
+    assert rows == {"a": ("100.0", "active"), "b": ("40", "active"), "c": (None, "active"), "d": ("1.0", "canceled")}
+    maps = spark.createDataFrame([("a", {"MRR ": "100.0", "status": "active"}), ("b", {"revenue": "40", "status": "", "state": "active"}), ("e", {}), ("f", {"mrr_amount": "5", "status": "canceled"})],
+                                 "entity_id string, data map<string,string>")
+    assert {r["entity_id"]: (r["mrr_amount"], r["status"]) for r in entity_rows(maps).collect()} == {
+        "a": ("100.0", "active"), "b": ("40", "active"), "e": (None, None), "f": ("5", "canceled")}
+    values = {r["metric_id"]: r["value"] for r in compute_metrics(entity_rows(maps)).collect()}
+    assert (values["mrr"], values["active_customers"], values["arpu"]) == (140.0, 2.0, 70.0)
