@@ -139,13 +139,14 @@ def w7_gaps(spark, folder):
 
 
 @query("i1_forest_planted", f"""WITH {USERS}
-SELECT metric_id, CAST(max(period_date) AS VARCHAR) AS period, 'isolation_forest' AS detection_method, CAST(1000000 AS DOUBLE) AS actual_value FROM daily
-WHERE CAST(metric_id AS BIGINT) % 3 = 1 GROUP BY 1 HAVING count(value) > 7""")
+SELECT metric_id, CAST(max(period_date) AS VARCHAR) AS period, 'isolation_forest' AS detection_method, CAST(1000000 AS DOUBLE) AS actual_value
+FROM (SELECT *, lead(period_date) OVER (PARTITION BY metric_id ORDER BY period_date) IS NULL AS is_newest FROM daily)
+WHERE CAST(metric_id AS BIGINT) % 2 = 1 GROUP BY 1 HAVING count(*) FILTER (day(period_date) % 9 <> 0 OR is_newest) > 7""")
 def i1_planted(spark, folder):
-    """A third of the users gets an extreme newest point, a third is constant, the rest is left out."""
-    kind = F.col("metric_id").cast("long") % 3
+    """Users with odd ids get an extreme newest point, the others are constant. Some points in between have no value."""
+    odd = F.col("metric_id").cast("long") % 2 == 1
     newest = F.lead("period_date").over(Window.partitionBy("metric_id").orderBy("period_date")).isNull()
-    rows = user_series(spark, folder).where(kind < 2).withColumn("value", F.when(kind == 0, 5.0).when(newest, 1e6).otherwise(F.col("value")))
+    rows = user_series(spark, folder).withColumn("value", F.when(~odd, 5.0).when(newest, 1e6).when(F.dayofmonth("period_date") % 9 != 0, F.col("value")))
     hits = forest.detect_forest(rows)
     return hits.select("metric_id", day("period_date").alias("period"), "detection_method", "actual_value")
 

@@ -82,6 +82,18 @@ def _spread(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def _judged(series: DataFrame, names: Sequence[str]) -> DataFrame:
+    """The points with a value, and their number as `length`, of series that end in such a point and have enough before it.
+
+    NULL and NaN are no values. A series whose newest point has none is not judged.
+    """
+    own = Window.partitionBy(*names)
+    known = F.when(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double")), F.col("period_date"))
+    marked = series.withColumns({"_newest": F.max("period_date").over(own), "_known": F.max(known).over(own), "length": F.count(known).over(own)})
+    ready = (F.col("_newest") == F.col("_known")) & (F.col("length") > MIN_HISTORY) & known.isNotNull()
+    return marked.where(ready).drop("_newest", "_known")
+
+
 def _fields(df: DataFrame, names: Sequence[str]) -> list[T.StructField]:
     return [df.schema[name] for name in names]
 
@@ -90,7 +102,7 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
                   trees: int = 100, guard: float = 1.0, sample: int | None = None) -> DataFrame:
     """Judge the newest point of every series with at least seven earlier ones.
 
-    Trees grow on all points of a series; `sample` lowers that to a number of points for each tree. A point closer to the mean than `guard` and than two standard deviations is never flagged.
+    Points without a value are left out; see `_judged`. Trees grow on all points of a series; `sample` lowers that to a number of points for each tree. A point closer to the mean than `guard` and than two standard deviations is never flagged.
     """
     names = [*keys, "metric_id"]
 
@@ -119,8 +131,7 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
         T.StructField("direction", T.StringType()),
         T.StructField("context", T.MapType(T.StringType(), T.DoubleType())),
     ])
-    enough = _spread(series, names).withColumn("points", F.count("value").over(Window.partitionBy(*names)))
-    ready = enough.where(F.col("points") > MIN_HISTORY).select(*names, "period_date", "value")
+    ready = _judged(_spread(series, names), names).select(*names, "period_date", "value")
     return ready.groupBy(*names).applyInPandas(judge, schema)
 
 
@@ -136,11 +147,8 @@ def detect_joint_forest(series: DataFrame, keys: Sequence[str] = (), metrics: Se
         raise ValueError("name the keys that split the series, or the metrics to judge together")
     if metrics is not None:
         series = series.where(F.col("metric_id").isin(*metrics))
-    order = Window.partitionBy(*keys, "metric_id")
-    placed = series.withColumns({
-        "length": F.count("value").over(order),
-        "position": F.row_number().over(order.orderBy("period_date")),
-    }).where(F.col("length") > MIN_HISTORY)
+    order = Window.partitionBy(*keys, "metric_id").orderBy("period_date")
+    placed = _judged(series, [*keys, "metric_id"]).withColumn("position", F.row_number().over(order))
     group = [*keys, "length"]
 
     def judge(points: pd.DataFrame) -> pd.DataFrame:

@@ -10,7 +10,7 @@ DAY0 = datetime.date(2024, 1, 1)
 
 
 def make(spark, **histories):
-    rows = [(m, DAY0 + datetime.timedelta(days=i), float(v)) for m, vs in histories.items() for i, v in enumerate(vs)]
+    rows = [(m, DAY0 + datetime.timedelta(days=i), None if v is None else float(v)) for m, vs in histories.items() for i, v in enumerate(vs)]
     return spark.createDataFrame(rows, "metric_id string, period_date date, value double")
 
 
@@ -78,6 +78,16 @@ def test_forest(spark):
     assert {k: r["severity"] for k, r in again.items()} == {k: r["severity"] for k, r in found.items()}
 
 
+def test_forest_and_points_without_a_value(spark):
+    """NULL and NaN in a history change nothing; a series whose newest point is NULL is not judged."""
+    gap = [None, float("nan")]
+    data = make(spark, whole=wave() + [9999.0], gaps=wave()[:10] + gap + wave()[10:] + [9999.0], open=wave() + [9999.0, None], few=[100.0] * 6 + [None] * 9 + [500.0])
+    assert set(hits(forest.detect_forest(data, contamination=0.1))) == {("whole", "isolation_forest"), ("gaps", "isolation_forest")}
+    pair = make(spark, mrr=[1000 + 10 * i for i in range(30)] + [1300], churn=[5 + i % 2 for i in range(12)] + [None] + [5 + i % 2 for i in range(18)] + [15])
+    row, = forest.detect_joint_forest(pair, metrics=["mrr", "churn"], contamination=0.1).collect()
+    assert set(row["involved_metrics"]) == {"mrr", "churn"}
+
+
 def test_joint_forest(spark):
     data = make(spark, mrr=[1000 + 10 * i for i in range(30)] + [1300], churn=[5 + i % 2 for i in range(30)] + [15], other=[1] * 12)
     with pytest.raises(ValueError, match="name the keys"):
