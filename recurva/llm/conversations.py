@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from recurva.llm.ranks import ranked, same
 from recurva.llm.text import BLANKS
+from recurva.operators.ranking import ranked, same
 from recurva.session import checkpointed
 
 # States of the grammar (s?(ua)+)? by what was said last.

@@ -18,7 +18,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from recurva.llm.ranks import ranked, same
+from recurva.operators.ranking import ranked, same
 from recurva.session import checkpointed
 
 FIELDS = ("doc_id", "source", "lang", "n_chars", "text")

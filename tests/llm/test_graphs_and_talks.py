@@ -11,7 +11,6 @@ import pytest
 from pyspark.sql import functions as F
 
 from recurva.llm import conversations, decontamination, merkle
-from recurva.llm.ranks import ranked
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
 
@@ -101,20 +100,6 @@ def test_shared_spans_share_a_kept_hash(spark):
             assert seen.setdefault(tuple(text[i - 1:i - 1 + window]), by_place[i]) == by_place[i]
 
 
-# ranks
-
-def test_ranked(spark):
-    rng = random.Random(1)
-    rows = [(rng.choice(["a", "b", None]), rng.choice([None, *range(20)]), i) for i in range(500)] + [("b", 5, 999)] * 300
-    got = ranked(spark.createDataFrame(rows, "g string, v int, n int").repartition(7), ["g"], ["v"]).collect()
-    for group in ("a", "b", None):
-        held = sorted((r for r in got if r["g"] == group), key=lambda r: r["rank"])
-        values = [r["v"] for r in held]
-        assert values == sorted(values, key=lambda v: (v is not None, v or 0))
-        assert [r["rank"] for r in held] == list(range(len(held))) and {r["members"] for r in held} == {len(held)}
-    assert ranked(spark.createDataFrame([], "g string, v int"), ["g"], ["v"]).count() == 0
-
-
 # manifests
 
 def framed(value):
