@@ -13,7 +13,7 @@ def crc_part(doc_id: Column, parts: int) -> Column:
 
 def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most: int, doc_id: str = "doc_id",
              text: str = "text") -> DataFrame:
-    """`doc_id, text, label` of labelled documents that `learn` (over the label table) allows, about `most` or all if fewer.
+    """`doc_id, text, label` of labelled documents that `learn` (over the label table) allows, `most` or all if fewer.
 
     The choice follows a hash of the id. Rows without id or label are left out; where an id has several labels the
     largest counts. A document that repeats an id comes along as often as it does.
@@ -22,6 +22,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most
     known = known.groupBy(F.col(doc_id).alias("__id")).agg(F.max(F.col(label)).cast("double").alias("label"))
     total = known.count()
     if total > most:
-        known = known.where(F.pmod(F.xxhash64("__id", F.lit(1)), F.lit(1_000_000)) < int(most / total * 1_000_000)).limit(2 * most)
+        order = F.xxhash64("__id", F.lit(1))
+        known = known.orderBy(order, "__id").limit(most)
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
         known, F.col("doc_id") == F.col("__id")).drop("__id")
