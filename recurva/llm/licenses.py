@@ -3,8 +3,10 @@
 Native throughout: training is MLlib on a bounded set, calibration and scoring are joins and aggregates. Features are the word pairs
 that occur in the templates below, a fixed vocabulary of a few hundred; a feature's value is one over the root of the
 paragraph's number of pairs, of which a few count. The classes are the families and `unknown`, whose examples are paragraphs of the corpus and
-weigh as much as all families together. A multinomial logistic regression with an elastic net gives the probabilities. The probability a family needs is calibrated on all corpus
-paragraphs kept out of the fit, and a prediction counts only if the paragraph also resembles a template of its family.
+weigh as much as all families together. A multinomial logistic regression with an elastic net gives the weights. Each family is
+judged by itself, by its probability against `unknown`, so that a paragraph can name several licences. The probability a family needs is
+calibrated on all corpus paragraphs kept out of the fit, and a prediction counts only if the paragraph also resembles a template of
+its family and holds a word pair that no other family has.
 
 To score, pairs are exploded as hashes and joined with the vocabulary, which every task gets; only hits are shuffled.
 """
@@ -17,34 +19,45 @@ from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import CountVectorizerModel, Interaction
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from recurva.llm.text import content_key
 from recurva.session import checkpointed
 
-# Notices by which licences are named or begun.
+# Notices by which licences are named or begun, with the common short names and identifiers.
 TEMPLATES = {
-    "AGPL": ("Licensed under the GNU Affero General Public License, version 3.",
+    "AGPL": ("Licensed under the GNU Affero General Public License, version 3.", "Licensed under AGPLv3.", "SPDX-License-Identifier: AGPL-3.0",
              "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License"),
-    "Apache": ("Licensed under the Apache License, Version 2.0.",
+    "Apache": ("Licensed under the Apache License, Version 2.0.", "Released under the terms of the Apache License.", "SPDX-License-Identifier: Apache-2.0",
                "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License.",
                "Unless required by applicable law or agreed to in writing, software distributed under the License is distributed on an \"AS IS\" BASIS"),
-    "BSD": ("Distributed under the BSD 3-Clause License.", "Released under the BSD license.",
+    "BSD": ("Distributed under the BSD 3-Clause License.", "Released under the BSD license.", "Available under the terms of the BSD license.",
+            "SPDX-License-Identifier: BSD-3-Clause", "SPDX-License-Identifier: BSD-2-Clause",
             "Redistributions of source code must retain the above copyright notice, this list of conditions and the following disclaimer."),
-    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License."),
-    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
-    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
-    "CC0": ("Released under CC0 1.0.", "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    "CC-BY": ("Licensed under CC BY 4.0.", "This work is licensed under a Creative Commons Attribution 4.0 International License.", "SPDX-License-Identifier: CC-BY-4.0"),
+    "CC-BY-NC": ("Licensed under CC BY-NC 4.0.", "Released under the terms of CC BY-NC.", "SPDX-License-Identifier: CC-BY-NC-4.0",
+                 "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License."),
+    "CC-BY-SA": ("Licensed under CC BY-SA 4.0.", "Released under the terms of CC BY-SA.", "SPDX-License-Identifier: CC-BY-SA-4.0",
+                 "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License."),
+    "CC0": ("Released under CC0 1.0.", "SPDX-License-Identifier: CC0-1.0",
+            "To the extent possible under law, the author has waived all copyright and related or neighboring rights to this work."),
+    "EPL": ("Made available under the terms of the Eclipse Public License 2.0.", "SPDX-License-Identifier: EPL-2.0",
+            "This program and the accompanying materials are made available under the terms of the Eclipse Public License"),
     "GPL": ("This work is licensed under the GNU General Public License, version 3.", "Licensed under the GNU General Public License, version 2.",
+            "Licensed under GPLv2.", "Licensed under GPLv3.", "SPDX-License-Identifier: GPL-2.0", "SPDX-License-Identifier: GPL-3.0",
             "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation"),
-    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.",
+    "ISC": ("Released under the ISC License.", "SPDX-License-Identifier: ISC",
+            "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted"),
+    "LGPL": ("Licensed under the GNU Lesser General Public License, version 2.1.", "Licensed under LGPLv3.", "SPDX-License-Identifier: LGPL-2.1",
              "This library is free software; you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License"),
-    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.",
+    "MIT": ("Released under the MIT License.", "Licensed under the MIT License.", "Available under the terms of the MIT License.", "SPDX-License-Identifier: MIT",
             "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files"),
-    "MPL": ("Licensed under the Mozilla Public License, version 2.0.",
+    "MPL": ("Licensed under the Mozilla Public License, version 2.0.", "SPDX-License-Identifier: MPL-2.0",
             "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0."),
     "Proprietary": ("All rights reserved.", "Unauthorized copying of this file, via any medium, is strictly prohibited. Proprietary and confidential."),
+    "Unlicense": ("Released under the Unlicense.", "SPDX-License-Identifier: Unlicense",
+                  "This is free and unencumbered software released into the public domain."),
 }
 UNKNOWN = "unknown"
 _WORD = r"[a-z]+|[0-9]+(?:\.[0-9]+)?"
@@ -103,7 +116,8 @@ def _last_window(n: Column) -> Column:
 
 def _paragraphs(text: Column) -> Column:
     """Word pairs of each line of a text."""
-    lines = F.split(F.lower(F.coalesce(text, F.lit(""))), "\n", -1)
+    spelled = F.replace(F.lower(F.coalesce(text, F.lit(""))), F.lit("licence"), F.lit("license"))
+    lines = F.split(spelled, "\n", -1)
 
     def pairs(line: Column) -> Column:
         words = F.regexp_extract_all(line, F.lit(_WORD), F.lit(0))
@@ -122,10 +136,8 @@ class Classifier:
 
 
 def _probabilities(classes: int) -> Column:
-    """Softmax over the columns `l0`, `l1`, … as an array."""
-    logits = F.array(*(F.col(f"l{i}") for i in range(classes)))
-    powers = F.transform(logits, lambda x: F.exp(x - F.array_max(logits)))
-    return F.transform(powers, lambda x: x / F.aggregate(powers, F.lit(0.0), lambda a, b: a + b))
+    """Probability of each family against `unknown`, from the columns `l0`, `l1`, …"""
+    return F.array(*(1 / (1 + F.exp(F.least(F.col("l0") - F.col(f"l{i}"), F.lit(700.0)))) for i in range(1, classes)))
 
 
 def _background(df: DataFrame, text: str, vocabulary: list[str]) -> DataFrame:
@@ -186,12 +198,11 @@ def train(df: DataFrame, doc_id: str = "doc_id", text: str = "text", background:
     kept_out = lines.join(F.broadcast(fitted.select("row")), "row", "left_anti")  # bounded by BACKGROUND
     hits = kept_out.select("row", F.lit(0).alias("pos"), "n", F.explode("held").alias("pair"))
     scored = _scored(hits.join(F.broadcast(_vocabulary(spark, draft)), "pair"), draft, "row")
-    steps = scored.groupBy(F.floor(F.col("probability") * STEPS).alias("step")).count()  # STEPS + 1 rows at most
+    steps = scored.groupBy(F.floor(F.array_max("probabilities") * STEPS).alias("step")).count()  # STEPS + 1 rows at most
     # paragraphs without a hit have the probability of the intercepts
     counts = {r["step"]: r["count"] for r in steps.collect()}
     out = total - fitted.count()
-    powers = [math.exp(x - max(draft.intercepts)) for x in draft.intercepts]
-    plain = math.floor(max(powers[1:]) / sum(powers) * STEPS)
+    plain = math.floor(max(1 / (1 + math.exp(draft.intercepts[0] - x)) for x in draft.intercepts[1:]) * STEPS)
     counts[plain] = counts.get(plain, 0) + out - sum(counts.values())
     return Classifier(classes, found, draft.intercepts, _threshold(counts, out))
 
@@ -202,22 +213,27 @@ def _vocabulary(spark: SparkSession, model: Classifier) -> DataFrame:
 
 
 def _scored(hits: DataFrame, model: Classifier, *row: str) -> DataFrame:
-    """The most probable family of each paragraph (or window, by `row`) with a hit, with its probability."""
+    """The probabilities of all families for each paragraph (or window, by `row`) with a hit."""
     sums = [(F.sum(F.get("weights", F.lit(i)) * _scale("n")) + b).alias(f"l{i}") for i, b in enumerate(model.intercepts)]
     by_line = hits.groupBy(*row, "pos").agg(*sums, F.first("n").alias("n"), F.collect_set("pair").alias("pairs"))
-    by_line = by_line.withColumn("__all", _probabilities(len(model.classes)))
-    best = F.array_max(F.slice("__all", 2, len(model.classes) - 1))
-    family = F.get(F.array(*map(F.lit, model.classes)), F.array_position(F.slice("__all", 2, len(model.classes) - 1), best).cast("int"))
-    return by_line.select(*row, "pos", "n", "pairs", best.alias("probability"), family.alias("family"))
+    return by_line.select(*row, "pos", "n", "pairs", _probabilities(len(model.classes)).alias("probabilities"))
+
+
+def own_pairs() -> dict[str, list[str]]:
+    """The pairs of each family's templates that no other family has."""
+    pairs = {family: {p for f, _, found in _template_rows() if f == family for p in found} for family in TEMPLATES}
+    return {family: sorted(held - set().union(*(pairs[f] for f in pairs if f != family))) for family, held in pairs.items()}
 
 
 def scan(df: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per paragraph and family confirmed in it: `row_1, row_2, pos, family, probability, resemblance`.
 
     A paragraph is a line, so a wrapped licence text is several paragraphs. A line of more than `WINDOW` pairs is judged in
-    overlapping windows, each like a paragraph, and may hold several families; the largest values of a family count. The row keys are those of `content_key` over id
+    overlapping windows, each like a paragraph. A paragraph may hold several families, and ties between them keep both; the largest
+    values of a family count. The row keys are those of `content_key` over id
     and text; repeated rows share them and come out once. Resemblance is the share of the pairs of the paragraph or of the
-    template, whichever has fewer, that both have. NULL and empty texts have no paragraphs with pairs.
+    template, whichever has fewer, that both have. NULL and empty texts have no paragraphs with pairs, and an empty table gives no
+    rows. Other columns play no part, whatever their names.
     """
     spark = df.sparkSession
     keys = [k.alias(name) for k, name in zip(content_key(df, doc_id, text), ("row_1", "row_2"))]
@@ -228,29 +244,22 @@ def scan(df: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "
     held = F.filter(F.array(near - 1, near), lambda w: (w >= 0) & (w <= _last_window(F.col("all"))))
     hits = pairs.join(vocabulary.select("pair"), "pair").select("row_1", "row_2", "pos", "all", "pair", F.explode(held).alias("window"))
     hits = hits.withColumn("n", F.least(F.lit(WINDOW), F.col("all") - F.col("window") * STRIDE)).drop("all").distinct().join(vocabulary, "pair")
-    likely = _scored(hits, model, "row_1", "row_2", "window").where(F.col("probability") >= model.needed)
-    known = spark.createDataFrame([(family, pairs) for family, _, pairs in _template_rows()], "family string, template array<string>")
+    scored = _scored(hits, model, "row_1", "row_2", "window")
+    named = F.transform("probabilities", lambda p, i: F.struct(F.get(F.array(*map(F.lit, model.classes[1:])), i).alias("family"), p.alias("probability")))
+    likely = scored.select("row_1", "row_2", "window", "pos", "n", "pairs", F.inline(F.filter(named, lambda x: x["probability"] >= model.needed)))
+    own = own_pairs()
+    known = spark.createDataFrame([(family, pairs, own[family]) for family, _, pairs in _template_rows()], "family string, template array<string>, own array<string>")
     both = F.array_intersect("pairs", "template")
     alike = F.size(both) / F.least("n", F.size(F.array_distinct("template")))
-    keys = ("row_1", "row_2", "pos")
-    judged = likely.join(F.broadcast(known), "family").groupBy(*keys, "window", "family", "probability").agg(F.max(F.struct(alike.alias("alike"), both.alias("both"))).alias("best"))
-    judged = judged.select(*keys, "window", "family", "probability", F.col("best.alike").alias("resemblance"), F.col("best.both").alias("both"))
-    judged = judged.where(F.col("resemblance") >= CONFIRMED)
-
-    def cut(other: Column) -> Column:
-        """Whether a window next to this one shows that the pairs here are the torn part of another family's notice."""
-        return (F.abs(other["window"] - F.col("window")) == 1) & (other["family"] != F.col("family")) & (
-            F.size(F.array_except("both", other["both"])) == 0) & (F.size("both") < F.size(other["both"]))
-
-    row = Window.partitionBy(*keys).orderBy("window")  # the windows of one line
-    this = F.struct("window", "family", "both")
-    judged = judged.withColumn("left", F.lag(this).over(row)).withColumn("right", F.lead(this).over(row))
-    judged = judged.where(~F.coalesce(cut(F.col("left")), F.lit(False)) & ~F.coalesce(cut(F.col("right")), F.lit(False)))
-    return judged.groupBy(*keys, "family").agg(F.max("probability").alias("probability"), F.max("resemblance").alias("resemblance"))
+    keys = ("row_1", "row_2", "pos", "family")
+    judged = likely.join(F.broadcast(known), "family").where(F.arrays_overlap("pairs", "own") & (alike >= CONFIRMED))
+    return judged.groupBy(*keys).agg(F.max("probability").alias("probability"), F.max(alike).alias("resemblance"))
 
 
 def document_licenses(df: DataFrame, model: Classifier, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """A row per row of `df`: `doc_id, n_licensed` paragraphs, `families` in order, and the largest `probability`, NULL without any."""
+    """A row per row of `df`: `doc_id, n_licensed` paragraphs, `families` in order, and the largest `probability`, NULL without any.
+
+    An empty table gives no rows. Repeated rows come out as often as they went in; other columns are not read."""
     found = scan(df, model, doc_id, text).groupBy("row_1", "row_2").agg(
         F.count_distinct("pos").alias("n_licensed"), F.sort_array(F.collect_set("family")).alias("families"), F.max("probability").alias("probability"))
     rows = df.select(F.col(doc_id).alias("doc_id"), *(k.alias(n) for k, n in zip(content_key(df, doc_id, text), ("row_1", "row_2"))))

@@ -1,7 +1,7 @@
 """Toxicity by noisy-channel deobfuscation.
 
 A character trigram model is counted over all documents. Words that look disguised, with digits or signs among their
-letters, letters held down, or letters set apart, become lattices: what each character may stand for, at a price. A
+letters, letters held down, letters set apart, or words in pieces, become lattices: what each character may stand for, at a price. A
 Viterbi search finds the letters that model and channel together make most likely, and the restored words join the
 plain ones. A logistic regression over words and word beginnings that the labelled rows single out gives the score.
 """
@@ -35,8 +35,10 @@ LOOKALIKES = {
 STAND_IN, ANY_LETTER, DROPPED = 1.5, 3.5, (0.5, math.inf)
 #: Longest disguised word that is decoded at once; longer ones are decoded in windows.
 LONGEST = 32
-#: Lengths of the words looked for in letters set apart, which may hold several words.
-APART = range(4, 13)
+#: Lengths of the words looked for in letters set apart, which may hold several words; longer ones are found as their windows.
+APART = range(3, 33)
+#: Letters of a token that may be a piece of a word, and stars that may stand for a letter each.
+PIECE, STARS = 3, 12
 #: Tokens a worker remembers; it forgets all beyond that.
 REMEMBERED = 200_000
 
@@ -44,7 +46,7 @@ _LETTERS = 28  # end of word, a to z, any other letter
 _WORD = re.compile(r"[^\W\d_]+")
 _HELD = re.compile(r"([^\W\d_])\1\1")
 _RUN = re.compile(r"([^*])\1{3,}|(\*)\2{12,}")  # a star may stand for another letter each time
-_APART = re.compile(r"[\w@$!](?:([.\-_])[\w@$!])(?:\1[\w@$!]){2,}")
+_APART = re.compile(r"[\w@$!](?:([.\-_])[\w@$!])(?:\1[\w@$!])+")
 _LEADING = "\"'`.,;:!?()[]{}<>*#%&|+-_=~/\\^"
 _TRAILING = _LEADING + "@$"
 #: Signs within a token that stand for no letter: those that set no letters apart, and all.
@@ -126,8 +128,8 @@ class Channel:
 
     @staticmethod
     def _shortened(word: str) -> str:
-        """`word` with runs of one character cut to three, of stars to the longest word looked for."""
-        return _RUN.sub(lambda run: run[0][:3] if run[1] else run[0][:APART[-1]], word)
+        """`word` with runs of one character cut to three, of stars to `STARS`."""
+        return _RUN.sub(lambda run: run[0][:3] if run[1] else run[0][:STARS], word)
 
     def _restored(self, core: str) -> frozenset[str] | set[str]:
         """Words that a token or a part of one may hide, whatever its length; none if nothing looks disguised."""
@@ -158,8 +160,30 @@ class Channel:
                 found |= {text[i:i + n] for n in APART for i in range(len(text) - n + 1)} | {text}
         return frozenset(found)
 
-    def collect(self, text: str | None, of) -> set[str]:
-        """What `of` makes of the words of each token and of letters set apart, all together."""
+    def word_cost(self, word: str) -> float:
+        """Price of a word under the character model."""
+        codes = [0, 0, *map(_code, word), 0]
+        return float(sum(self.cost[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:])))
+
+    def of_pieces(self, pieces: list[str], starts: frozenset[str] | None) -> set[str]:
+        """Words that neighbouring pieces make up, where the model finds one word likelier than several.
+
+        With `starts` only words that begin with one of these three letters are looked at.
+        """
+        found = set()
+        for i in range(len(pieces) - 1):
+            word = pieces[i]
+            for j in range(i + 1, len(pieces)):
+                word += pieces[j]
+                if len(word) > APART[-1]:
+                    break
+                if len(word) >= APART[0] and (starts is None or word[:3] in starts) and word not in found:
+                    if self.word_cost(word) < sum(map(self.word_cost, pieces[i:j + 1])):
+                        found.add(word)
+        return found
+
+    def collect(self, text: str | None, of, starts: frozenset[str] | None = None) -> set[str]:
+        """What `of` makes of the words of each token, of letters set apart and of pieces put together, all in one."""
         tokens, found = (text or "").lower().split(), set()
         known = self._known
         if len(known) > REMEMBERED:
@@ -173,8 +197,27 @@ class Channel:
         runs = "".join([token if len(token) == 1 else " " for token in tokens]).split()
         for run in {run for run in runs if len(run) >= APART[0] and len(set(run)) > 1}:
             found |= of(self.of_letters(run))
+        for run in {run for run in self._pieces(tokens) if len(run) > 1 and max(map(len, run)) > 1}:
+            found |= of(self.of_pieces(list(run), starts))
         return found
 
+    @staticmethod
+    def _pieces(tokens: list[str]) -> Iterator[tuple[str, ...]]:
+        """Stretches of short tokens that are letters, up to a sign after one."""
+        run: list[str] = []
+        for token in tokens:
+            if len(token) <= PIECE + 1:
+                core = token.strip(_LEADING)
+                if len(core) <= PIECE and core.isalpha():
+                    run.append(core)
+                    if token[-1:].isalpha():
+                        continue
+            if run:
+                yield tuple(run)
+                run = []
+        if run:
+            yield tuple(run)
+
 
 def features(words: Iterable[str], known: frozenset[str] | None = None) -> set[str]:
     """Words as `=word` and their beginnings as `^begin`; only known ones where these are given."""
@@ -184,6 +227,11 @@ def features(words: Iterable[str], known: frozenset[str] | None = None) -> set[s
     return found if known is None else found & known
 
 
+def first_letters(known: frozenset[str]) -> frozenset[str]:
+    """The first three letters of features."""
+    return frozenset(f[1:4] for f in known)
+
+
 @dataclass(frozen=True)
 class Model:
     counts: np.ndarray
@@ -239,7 +287,7 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         channel = Channel(counts)
         for batch in batches:
-            found = [sorted(place[f] for f in channel.collect(t, lambda words: features(words, known))) for t in batch["text"]]
+            found = [sorted(place[f] for f in channel.collect(t, lambda words: features(words, known), first_letters(known))) for t in batch["text"]]
             yield pd.DataFrame({"label": batch["label"], "found": found})
 
     # at most 2·sample_rows rows with at most FEATURES small numbers each
@@ -269,8 +317,9 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", name: str =
         def of(words):
             return features(words, known)
 
+        starts = first_letters(known)
         for texts in batches:
-            totals = [model.intercept + sum(model.weights[f] for f in sorted(channel.collect(t, of))) for t in texts]
+            totals = [model.intercept + sum(model.weights[f] for f in sorted(channel.collect(t, of, starts))) for t in texts]
             yield pd.Series([1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in totals], dtype="float64")
 
     return df.withColumn(name, score(F.col(text)))

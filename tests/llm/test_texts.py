@@ -1,6 +1,7 @@
 """Operators on texts against brute force on small fixtures, with NULLs, empty and long texts, ties and repeated rows."""
 
 import collections
+import math
 import random
 import re
 import zlib
@@ -176,6 +177,46 @@ def test_licenses_within_long_lines(spark):
     assert max(len(pairs) for _, _, pairs in licenses._template_rows()) <= licenses.WINDOW - licenses.STRIDE <= licenses.WINDOW / 2
 
 
+def plain_licenses(model, text):
+    """Families of a text by the rules, one window after the other."""
+    found, own = set(), licenses.own_pairs()
+    for line in (text or "").lower().replace("licence", "license").split("\n"):
+        words = re.findall(licenses._WORD, line)
+        pairs = [f"{a} {b}" for a, b in zip(words, words[1:])]
+        last = max(0, -(-(len(pairs) - licenses.WINDOW) // licenses.STRIDE))
+        for w in range(last + 1):
+            part = pairs[w * licenses.STRIDE:w * licenses.STRIDE + licenses.WINDOW]
+            hits = {p for p in part if p in model.weights}
+            logits = [b + sum(model.weights[p][i] for p in hits) / min(licenses.DILUTED, len(part)) ** 0.5 if part else b for i, b in enumerate(model.intercepts)]
+            for i, family in enumerate(model.classes[1:], 1):
+                likely = hits and 1 / (1 + math.exp(logits[0] - logits[i])) >= model.needed
+                alike = [len(hits & set(t)) / min(len(part), len(set(t))) for f, _, t in licenses._template_rows() if f == family] if likely else []
+                if likely and hits & set(own[family]) and max(alike) >= licenses.CONFIRMED:
+                    found.add(family)
+    return sorted(found)
+
+
+def test_notices_in_other_words(spark):
+    """Several licences in a line, identifiers, short names and spellings, against a plain reading of the rules."""
+    want = {
+        "Released under the MIT License. Licensed under the Apache License, Version 2.0.": ["Apache", "MIT"],
+        "Licensed under the Apache License, Version 2.0 or the MIT License, at your option.": ["Apache", "MIT"],
+        "This work is licensed under the GNU General Public License, version 3. All rights reserved.": ["GPL", "Proprietary"],
+        "// SPDX-License-Identifier: Apache-2.0": ["Apache"], "SPDX-License-Identifier: MIT OR Apache-2.0": ["Apache", "MIT"], "SPDX-License-Identifier: Zlib": [],
+        "The code is available under the terms of the MIT licence.": ["MIT"], "It is licensed under GPLv3.": ["GPL"], "Released under the terms of CC BY-SA.": ["CC-BY-SA"],
+        "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided": ["ISC"],
+        "This is free and unencumbered software released into the public domain.": ["Unlicense"],
+        "made available under the terms of the Eclipse Public License 2.0": ["EPL"], "Licensed under the Mozilla Public License, version 2.0.": ["MPL"],
+        "Licensed under the GNU Lesser General Public License, version 2.1.": ["LGPL"], "The terms of the sale are under the public law.": [],
+    }
+    rows = list(enumerate(want)) + [(100 + i, "\n".join(prose(i * 20 + j, 12) + " the work of this license under the terms" for j in range(5))) for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    model = licenses.train(docs)
+    got = {r["doc_id"]: r["families"] for r in licenses.document_licenses(docs, model).collect()}
+    assert got == {i: plain_licenses(model, text) for i, text in rows}
+    assert {text: got[i] for i, text in enumerate(want)} == want
+
+
 # mixing
 
 def plain_targets(sizes, weights=(5, 2, 1)):
@@ -327,6 +368,49 @@ def test_toxicity(spark, judged):
     assert {r["score"] for r in toxicity.score_toxicity(docs, empty).collect()} == {0.5}
 
 
+def plainly_decoded(channel, word, dropped):
+    """The likeliest reading among all of them, one by one."""
+    readings = []
+
+    def go(i, path, cost):
+        if i == len(word):
+            a, b = (path[j] if len(path) + j >= 0 else " " for j in (-2, -1))
+            readings.append((cost + channel.cost[(toxicity._code(a) if a != " " else 0), (toxicity._code(b) if b != " " else 0), 0], path))
+            return
+        a, b = (path[j] if len(path) + j >= 0 else " " for j in (-2, -1))
+        row = channel.cost[(toxicity._code(a) if a != " " else 0), (toxicity._code(b) if b != " " else 0)]
+        for letter, price in channel._choices(word[i]):
+            go(i + 1, path + letter, cost + price + row[toxicity._code(letter)])
+        if i and word[i] == word[i - 1] and path:
+            go(i + 1, path, cost + dropped)
+
+    go(0, "", 0.0)
+    return min(readings)
+
+
+def test_decoding_finds_the_best_of_all_readings():
+    counts = toxicity.np.zeros(28 ** 3, toxicity.np.int64)
+    for word in ("monster", "bassoon", "illegal", "total", "zebra"):
+        counts += 30 * toxicity.np.bincount(toxicity._trigrams(word), minlength=28 ** 3)
+    channel, rng = toxicity.Channel(counts), random.Random(4)
+    for _ in range(60):
+        word = "".join(rng.choice("mons1l0a@$$tt!e") for _ in range(rng.randint(1, 7)))
+        for dropped in (0.5, math.inf):
+            assert channel.decode(word, dropped) == plainly_decoded(channel, word, dropped)[1], word
+
+
+def test_words_in_pieces():
+    """Letters set apart at any length from three on, and words in pieces of up to three letters."""
+    counts = toxicity.np.zeros(28 ** 3, toxicity.np.int64)
+    for word in ("monster", "internationalization", "bad", "the", "of", "in"):
+        counts += 50 * toxicity.np.bincount(toxicity._trigrams(word), minlength=28 ** 3)
+    channel = toxicity.Channel(counts)
+    for written, meant in [("b a d", "bad"), ("so b.a.d it", "bad"), (" ".join("internationalization"), "internationalization"), ("a mo ns ter", "monster"),
+                           ("mon st er!", "monster"), ("the m on st er of", "monster")]:
+        assert meant in channel.collect(written, lambda words: words), written
+    assert not {"inthe", "ofthe", "ofin"} & channel.collect("in the of in of the", lambda words: words)
+
+
 def test_trigrams_cover_all_texts(spark, judged):
     docs = judged[0]
     counts = collections.Counter()
