@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from recurva.session import checkpointed
+
 
 def crc_part(doc_id: Column, parts: int) -> Column:
     """CRC-32 of the id as text, modulo `parts`; NULL for a NULL id."""
@@ -24,5 +26,6 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, learn: Column, most
     if total > most:
         order = F.xxhash64("__id", F.lit(1))
         known = known.orderBy(order, "__id").limit(most)
+    known = F.broadcast(checkpointed(known))  # at most `most` rows
     return docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).join(
         known, F.col("doc_id") == F.col("__id")).drop("__id")

@@ -13,6 +13,7 @@ import re
 from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
+import ahocorasick
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -85,6 +86,23 @@ def count_trigrams(df: DataFrame, text: str = "text") -> np.ndarray:
     return counts
 
 
+class Screen:
+    """Tells whether a text without its blanks holds a word or beginning that is a known feature."""
+
+    def __init__(self, known: Iterable[str]):
+        words = {f[1:] for f in known}
+        self.starts = frozenset(w[:3] for w in words)
+        self._words = ahocorasick.Automaton(ahocorasick.STORE_LENGTH)
+        for word in words:
+            self._words.add_word(word)
+        if words:
+            self._words.make_automaton()
+        self._any = bool(words)
+
+    def finds(self, text: str) -> bool:
+        return self._any and next(self._words.iter(text), None) is not None
+
+
 class Channel:
     """The character model with the channel's prices."""
 
@@ -165,10 +183,10 @@ class Channel:
         codes = [0, 0, *map(_code, word), 0]
         return float(sum(self.cost[a, b, c] for a, b, c in zip(codes, codes[1:], codes[2:])))
 
-    def of_pieces(self, pieces: list[str], starts: frozenset[str] | None) -> set[str]:
+    def of_pieces(self, pieces: tuple[str, ...], screen: Screen | None) -> set[str]:
         """Words that neighbouring pieces make up, where the model finds one word likelier than several.
 
-        With `starts` only words that begin with one of these three letters are looked at.
+        With `screen` only words that begin as it knows are looked at.
         """
         found = set()
         for i in range(len(pieces) - 1):
@@ -177,13 +195,16 @@ class Channel:
                 word += pieces[j]
                 if len(word) > APART[-1]:
                     break
-                if len(word) >= APART[0] and (starts is None or word[:3] in starts) and word not in found:
+                if len(word) >= APART[0] and (screen is None or word[:3] in screen.starts) and word not in found:
                     if self.word_cost(word) < sum(map(self.word_cost, pieces[i:j + 1])):
                         found.add(word)
         return found
 
-    def collect(self, text: str | None, of, starts: frozenset[str] | None = None) -> set[str]:
-        """What `of` makes of the words of each token, of letters set apart and of pieces put together, all in one."""
+    def collect(self, text: str | None, of, screen: Screen | None = None) -> set[str]:
+        """What `of` makes of the words of each token, of letters set apart and of pieces put together, all in one.
+
+        `screen`, for what `of` knows, spares texts without any of it the search among pieces.
+        """
         tokens, found = (text or "").lower().split(), set()
         known = self._known
         if len(known) > REMEMBERED:
@@ -197,8 +218,9 @@ class Channel:
         runs = "".join([token if len(token) == 1 else " " for token in tokens]).split()
         for run in {run for run in runs if len(run) >= APART[0] and len(set(run)) > 1}:
             found |= of(self.of_letters(run))
-        for run in {run for run in self._pieces(tokens) if len(run) > 1 and max(map(len, run)) > 1}:
-            found |= of(self.of_pieces(list(run), starts))
+        if screen is None or screen.finds("".join(tokens)):
+            for run in {run for run in self._pieces(tokens) if len(run) > 1 and max(map(len, run)) > 1}:
+                found |= of(self.of_pieces(run, screen))
         return found
 
     @staticmethod
@@ -227,11 +249,6 @@ def features(words: Iterable[str], known: frozenset[str] | None = None) -> set[s
     return found if known is None else found & known
 
 
-def first_letters(known: frozenset[str]) -> frozenset[str]:
-    """The first three letters of features."""
-    return frozenset(f[1:4] for f in known)
-
-
 @dataclass(frozen=True)
 class Model:
     counts: np.ndarray
@@ -285,9 +302,9 @@ def learn_toxicity(docs: DataFrame, labels: DataFrame, learn: Column, label: str
     place, known = {n: i for i, n in enumerate(names)}, frozenset(names)
 
     def reduced(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        channel = Channel(counts)
+        channel, screen = Channel(counts), Screen(known)
         for batch in batches:
-            found = [sorted(place[f] for f in channel.collect(t, lambda words: features(words, known), first_letters(known))) for t in batch["text"]]
+            found = [sorted(place[f] for f in channel.collect(t, lambda words: features(words, known), screen)) for t in batch["text"]]
             yield pd.DataFrame({"label": batch["label"], "found": found})
 
     # at most 2·sample_rows rows with at most FEATURES small numbers each
@@ -317,9 +334,9 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", name: str =
         def of(words):
             return features(words, known)
 
-        starts = first_letters(known)
+        screen = Screen(known)
         for texts in batches:
-            totals = [model.intercept + sum(model.weights[f] for f in sorted(channel.collect(t, of, starts))) for t in texts]
+            totals = [model.intercept + sum(model.weights[f] for f in sorted(channel.collect(t, of, screen))) for t in texts]
             yield pd.Series([1 / (1 + math.exp(-max(-500.0, min(500.0, x)))) for x in totals], dtype="float64")
 
     return df.withColumn(name, score(F.col(text)))
