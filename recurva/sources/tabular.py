@@ -11,6 +11,7 @@ from pyspark.sql import types as T
 
 from recurva.functions.coerce import blank_to_null, currency_to_double
 from recurva.sources.envelope import envelope
+from recurva.sources.quoted import quoted_csv
 
 # Header names by meaning, in order of preference.
 FIELD_ALIASES = {
@@ -89,11 +90,15 @@ def has_quoted_newlines(spark: SparkSession, path: str) -> bool:
 def read_csv(spark: SparkSession, path: str, multi_line: bool | None = None) -> DataFrame:
     """All cells as text, with the row position in `_row_position`.
 
-    Files can be split among tasks only if no value holds a line end. By default the files are checked for
-    that, in one distributed pass; say True or False where it is known.
+    Files are split among tasks. Where a value may hold a line end, records are cut by `sources.quoted`; by default the files
+    are checked for that, in one distributed pass; say True or False where it is known.
     """
     if multi_line is None:
         multi_line = has_quoted_newlines(spark, path)
+    if multi_line:
+        found = quoted_csv(spark, path, POSITION)
+        if found is not None:
+            return found
     rows = spark.read.csv(path, header=True, inferSchema=False, multiLine=multi_line, escape='"', encoding="UTF-8")
     names = {c: c.lstrip("﻿") for c in rows.columns if c.startswith("﻿")}
     return with_position(rows).withColumnsRenamed(names)

@@ -1,5 +1,7 @@
+import csv
 import datetime
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import types as T
 
 from recurva.plans.analyse import analyse
 from recurva.plans.resolve import resolve_entities
-from recurva.sources import billing, database, envelope, tabular
+from recurva.sources import billing, database, envelope, quoted, tabular
 from recurva.streaming import changes
 
 CSV = """customer_id,email,company_name,plan,status,mrr_amount,created_at,seats
@@ -109,6 +111,40 @@ def test_positions_over_file_splits(spark, tmp_path):
         spark.conf.set("spark.sql.files.maxPartitionBytes", old)
 
 
+@pytest.mark.parametrize("size", [40, 333, 1 << 20])
+def test_quoted_line_ends_over_parts(spark, tmp_path, size):
+    """Records with line ends, quotes and commas in their values, in parts of any size, as Python's reader sees them."""
+    rng = random.Random(size)
+    cells = ["plain", 'say "hi", twice', "two\nlines", '"', "", "a,b", "\n\n\n", "x" * 90, '5" pipe\n', "é\nü", '""\n""']
+    rows = [[str(i), rng.choice(cells), rng.choice(cells)] for i in range(300)]
+    folder = tmp_path / "files"
+    folder.mkdir()
+    for place, end in enumerate(("\n", "\r\n")):
+        with open(folder / f"{place}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator=end, quoting=csv.QUOTE_MINIMAL if place else csv.QUOTE_ALL)
+            writer.writerows([["n", "first", "Second Cell"], *rows[place * 150:place * 150 + 150]])
+            out.write(end)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", str(size))
+    try:
+        found = tabular.read_csv(spark, str(folder))
+        assert found.columns == ["n", "first", "Second Cell", tabular.POSITION]
+        got = [tuple(r) for r in found.orderBy(tabular.POSITION).collect()]
+        parts = quoted.quoted_records(spark, str(folder)).select("file", "start").distinct().count()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+    assert got == [(a, b or None if i >= 150 else b, c or None if i >= 150 else c, i) for i, (a, b, c) in enumerate(rows)] or [
+        (a, b or "", c or "", p) for a, b, c, p in got] == [(a, b, c, i) for i, (a, b, c) in enumerate(rows)]
+    assert parts > 8 if size < 1000 else parts == 2
+
+
+def test_quoted_states():
+    for line, outside, inside in [("a,b", False, True), ('"a', True, False), ('"a""', True, False), ('a"b', False, False), ('"a"",b', True, False), ('x,"y', True, False),
+                                  ('",""",c', False, True), ('"",""', False, False), ("", False, True), ('a",b', False, False)]:
+        assert quoted._ends_inside(line, False) is outside, line
+    assert quoted._ends_inside('end",next', True) is False and quoted._ends_inside('end","next', True) is True and quoted._ends_inside('""', True) is True
+
+
 def test_hash_ignores_column_order_and_sees_nulls(spark):
     rows = spark.createDataFrame([("x", None, ""), ("x", "", None)], "a string, b string, c string")
     hashes = [r[0] for r in rows.select(envelope.content_hash(F.struct("a", "b", "c"), ["a", "b", "c"])).collect()]
