@@ -84,7 +84,58 @@ def n4(spark, folder):
     return table(spark, folder, "orders").select(k, similarity.score_email(a, b).alias("score"), similarity.email_method(a, b).alias("method"))
 
 
-@query("n5_name_score")
+# Longest common subsequences row by row: a row is the running maximum of what the row before and the next letter allow.
+_NAME_SQL = """WITH RECURSIVE pairs AS (
+  SELECT a.p_partkey, lower(a.p_name) AS a, lower(b.p_name) AS b FROM part a JOIN part b ON b.p_partkey = a.p_partkey + 1),
+names AS (
+  SELECT DISTINCT a, b, list_sort(list_filter(string_split(a, ' '), lambda x: x <> '')) AS wa, list_sort(list_filter(string_split(b, ' '), lambda x: x <> '')) AS wb
+  FROM pairs),
+sets AS (
+  SELECT *, list_sort(list_distinct(list_filter(wa, lambda x: list_contains(wb, x)))) AS both_words,
+         list_sort(list_distinct(list_filter(wa, lambda x: NOT list_contains(wb, x)))) AS rest_a,
+         list_sort(list_distinct(list_filter(wb, lambda x: NOT list_contains(wa, x)))) AS rest_b FROM names),
+texts AS (
+  SELECT a, b, array_to_string(wa, ' ') AS sa, array_to_string(wb, ' ') AS sb, array_to_string(both_words, ' ') AS shared,
+         array_to_string(rest_a, ' ') AS oa, array_to_string(rest_b, ' ') AS ob, trim(concat(array_to_string(both_words, ' '), ' ', array_to_string(rest_a, ' '))) AS ta,
+         trim(concat(array_to_string(both_words, ' '), ' ', array_to_string(rest_b, ' '))) AS tb,
+         greatest(length(a), length(b)) / least(length(a), length(b)) AS spread FROM sets),
+sides AS (
+  SELECT a, b, kind, CASE WHEN length(x) <= length(y) THEN x ELSE y END AS s, CASE WHEN length(x) <= length(y) THEN y ELSE x END AS l
+  FROM (SELECT a, b, 'plain' AS kind, a AS x, b AS y FROM texts UNION ALL SELECT a, b, 'sorted', sa, sb FROM texts UNION ALL SELECT a, b, 'rest', oa, ob FROM texts)),
+stretches AS (
+  SELECT a, b, kind, s, substr(l, greatest(at_, 0) + 1, at_ + length(s) - greatest(at_, 0)) AS piece
+  FROM (SELECT *, unnest(range(1 - length(s), length(l))) AS at_ FROM sides WHERE s <> '')),
+needed AS (
+  SELECT a AS x, b AS y FROM texts UNION SELECT sa, sb FROM texts UNION SELECT ta, tb FROM texts UNION SELECT shared, ta FROM texts
+  UNION SELECT shared, tb FROM texts UNION SELECT s, piece FROM stretches),
+steps(x, y, i, line) AS (
+  SELECT x, y, 0, list_transform(range(length(y) + 1), lambda j: 0) FROM needed
+  UNION ALL
+  SELECT x, y, i + 1, list_transform(range(1, length(y) + 2), lambda j: list_max(list_slice(reach, 1, j))) FROM (
+    SELECT x, y, i, list_transform(range(1, length(y) + 2), lambda j: CASE WHEN j > 1 AND substr(y, CAST(j - 1 AS INTEGER), 1) = substr(x, i + 1, 1)
+      THEN greatest(line[j], line[j - 1] + 1) ELSE line[j] END) AS reach FROM steps WHERE i < length(x))),
+ratios AS (
+  SELECT x, y, CASE WHEN length(x) + length(y) = 0 THEN 100.0 ELSE 200.0 * line[-1] / (length(x) + length(y)) END::DOUBLE AS ratio FROM steps WHERE i = length(x)),
+best AS (
+  SELECT d.a, d.b, d.kind, CASE WHEN d.s = '' THEN CASE WHEN d.l = '' THEN 100.0 ELSE 0.0 END WHEN contains(d.l, d.s) THEN 100.0 ELSE max(ratio) END AS best
+  FROM sides d LEFT JOIN stretches p ON p.a = d.a AND p.b = d.b AND p.kind = d.kind LEFT JOIN ratios ON x = p.s AND y = piece GROUP BY d.a, d.b, d.kind, d.s, d.l),
+judged AS (
+  SELECT t.*, p.ratio AS plain, greatest(n.ratio, w.ratio, CASE WHEN shared <> '' THEN ra.ratio END, CASE WHEN shared <> '' THEN rb.ratio END) AS words,
+         (SELECT best FROM best z WHERE z.a = t.a AND z.b = t.b AND kind = 'plain') AS inside,
+         (SELECT max(best) FROM best z WHERE z.a = t.a AND z.b = t.b AND kind <> 'plain') AS inside_words
+  FROM texts t JOIN ratios p ON p.x = t.a AND p.y = t.b JOIN ratios n ON n.x = sa AND n.y = sb JOIN ratios w ON w.x = ta AND w.y = tb
+  JOIN ratios ra ON ra.x = shared AND ra.y = ta JOIN ratios rb ON rb.x = shared AND rb.y = tb),
+scored AS (
+  SELECT a, b, CASE WHEN a = '' OR b = '' THEN 0.0 WHEN a = b THEN 100.0
+    WHEN spread < 1.5 THEN greatest(plain, 0.95 * CASE WHEN sa = '' OR sb = '' THEN 0.0 WHEN shared <> '' AND (oa = '' OR ob = '') THEN 100.0 ELSE words END)
+    ELSE greatest(plain, CASE WHEN spread <= 8 THEN 0.9 ELSE 0.6 END * inside, CASE WHEN spread <= 8 THEN 0.9 ELSE 0.6 END * 0.95
+      * CASE WHEN shared <> '' THEN 100.0 WHEN sa = '' OR sb = '' THEN 0.0 ELSE inside_words END) END / 100 AS similarity FROM judged)
+SELECT p_partkey, p.a AS a_name, p.b AS b_name, round(similarity + 1e-9, 4) AS similarity,
+       round(CASE WHEN similarity >= 0.95 THEN 1.0 WHEN similarity >= 0.8 THEN similarity ELSE 0.0 END + 1e-9, 4) AS score
+FROM pairs p JOIN scored s ON s.a = p.a AND s.b = p.b"""
+
+
+@query("n5_name_score", _NAME_SQL)
 def n5(spark, folder):
     parts = table(spark, folder, "part").select("p_partkey", F.lower("p_name").alias("a_name"))
     following = parts.select((F.col("p_partkey") - 1).alias("p_partkey"), F.col("a_name").alias("b_name"))
