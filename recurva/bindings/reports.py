@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from recurva.bindings.metrics import KEYS, with_lag
 from recurva.bindings.series import _HIT_SQL, EVENTS, USERS
 from recurva.bindings.tables import (
-    METRICS_SQL, STATISTICS_SQL, day, event_series, metric_inputs, number, subscriptions, table, user_series,
+    METRICS_SQL, STATISTICS_SQL, day, event_series, forest_sql, metric_inputs, number, subscriptions, table, user_series,
 )
 from recurva.functions import labels
 from recurva.operators.metrics import describe_metrics
@@ -147,7 +147,30 @@ def r3(spark, folder):
                        *[number(c).alias(c) for c in ("severity", "deviation", "actual_value")], "direction")
 
 
-@query("r3_anomalies_with_forest")
+@query("r3_anomalies_with_forest", f"""{_ALL_HITS.replace('WITH ', 'WITH RECURSIVE ', 1)},
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, metric_id ORDER BY period_date) AS place, count(*) OVER (PARTITION BY tenant_id, metric_id) AS n FROM metrics),
+long AS (SELECT * FROM placed WHERE n > 7),
+grouped AS (
+  SELECT tenant_id, n, max(period_date) AS newest, list_sort(list(DISTINCT metric_id)) AS ids FROM long GROUP BY 1, 2 HAVING count(DISTINCT metric_id) >= 2),
+forest_points AS (
+  SELECT '42|' || tenant_id || '|' || metric_id AS name, place, '' AS feature, value, n FROM long
+  UNION ALL SELECT '42|' || tenant_id || '|' || n, place, metric_id, value, n FROM long JOIN grouped USING (tenant_id, n)),
+{forest_sql('forest_points')},
+single AS (
+  SELECT tenant_id, metric_id, max(period_date) AS period_date, max(value) FILTER (place = n) AS current, avg(value) FILTER (place < n) AS mean,
+         stddev_pop(value) FILTER (place < n) AS std FROM long GROUP BY 1, 2),
+found AS (
+  SELECT tenant_id, metric_id, period_date, detection_method, severity, direction FROM every WHERE is_latest
+  UNION ALL
+  SELECT tenant_id, metric_id, period_date, 'isolation_forest', least(1.0, 2 * abs(score)), 'unknown' FROM single
+  JOIN isolated ON name = '42|' || tenant_id || '|' || metric_id
+  WHERE is_outlier AND NOT (abs(current - mean) < 1 AND std > 0 AND abs(current - mean) < 2 * std)
+  UNION ALL
+  SELECT tenant_id, 'multivariate_' || array_to_string(ids[1:3], '_') || CASE WHEN len(ids) > 3 THEN '_etc' ELSE '' END, newest, 'isolation_forest_multivariate',
+         least(1.0, 2 * abs(score)), 'unknown' FROM grouped JOIN isolated ON isolated.name = '42|' || tenant_id || '|' || n WHERE is_outlier)
+SELECT tenant_id, metric_id, CASE WHEN detection_method = 'isolation_forest_multivariate' THEN 'Multivariate Anomaly' ELSE coalesce(name, metric_id) END AS metric_name,
+       CAST(period_date AS VARCHAR) AS period, detection_method, round(severity + 1e-9, 4) AS severity, found.direction FROM found LEFT JOIN registry USING (metric_id)""")
 def r3_forest(spark, folder):
     hits = detect_anomalies(with_lag(spark, folder), ["tenant_id"])
     return hits.select("tenant_id", "metric_id", "metric_name", day("period_date").alias("period"), "detection_method",

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from recurva.bindings.metrics import with_lag
 from recurva.bindings.tables import (
-    METRICS_SQL, STATISTICS_SQL, day, event_series, number, series_sql, table, tenant_series, user_series,
+    METRICS_SQL, STATISTICS_SQL, day, event_series, forest_sql, number, series_sql, table, tenant_series, user_series,
 )
 from recurva.functions.labels import joint_metric_id
 from recurva.operators import forest, series
@@ -115,12 +115,42 @@ def w8(spark, folder):
     return _shown(hits, "tenant_id", "parent_metric", "component")
 
 
-@query("i1_forest")
+_FOREST_SQL = f"""
+judged_series AS (
+  SELECT metric_id, count(*) AS n, arg_max(value, period_date) AS current, max(period_date) AS newest FROM daily GROUP BY 1 HAVING count(value) > 7),
+points AS (
+  SELECT '42|' || metric_id AS name, row_number() OVER (PARTITION BY metric_id ORDER BY period_date) AS place, '' AS feature, value, n
+  FROM daily JOIN judged_series USING (metric_id)),
+{forest_sql()},
+history AS (SELECT metric_id, avg(value) AS mean, stddev_pop(value) AS std FROM daily JOIN judged_series USING (metric_id) WHERE period_date < newest GROUP BY 1),
+forest_hits AS (
+  SELECT metric_id, newest AS period_date, least(1.0, 2 * abs(score)) AS severity, current - mean AS deviation, mean AS baseline_value, current AS actual_value
+  FROM judged_series JOIN history USING (metric_id) JOIN isolated ON name = '42|' || metric_id
+  WHERE is_outlier AND NOT (abs(current - mean) < 1 AND std > 0 AND abs(current - mean) < 2 * std))
+"""
+
+
+@query("i1_forest", f"""WITH RECURSIVE {USERS}, {_FOREST_SQL}
+SELECT metric_id, CAST(period_date AS VARCHAR) AS period, 'isolation_forest' AS detection_method, round(severity + 1e-9, 4) AS severity,
+       round(deviation + 1e-9, 4) AS deviation, round(baseline_value + 1e-9, 4) AS baseline_value, round(actual_value + 1e-9, 4) AS actual_value,
+       'unknown' AS direction FROM forest_hits""")
 def i1(spark, folder):
     return _shown(forest.detect_forest(user_series(spark, folder)))
 
 
-@query("i2_joint_forest")
+@query("i2_joint_forest", f"""WITH RECURSIVE daily AS (
+  SELECT user_id % 50 AS tenant_id, event_type AS metric_id, CAST(ts AS DATE) AS period_date, sum(value) AS value FROM events GROUP BY ALL),
+placed AS (
+  SELECT *, row_number() OVER (PARTITION BY tenant_id, metric_id ORDER BY period_date) AS place, count(*) OVER (PARTITION BY tenant_id, metric_id) AS n FROM daily),
+grouped AS (
+  SELECT tenant_id, n, max(period_date) AS newest, list_sort(list(DISTINCT metric_id)) AS ids FROM placed WHERE n > 7 GROUP BY 1, 2 HAVING count(DISTINCT metric_id) >= 2),
+points AS (
+  SELECT '42|' || tenant_id || '|' || n AS name, place, metric_id AS feature, value, n FROM placed JOIN grouped USING (tenant_id, n)),
+{forest_sql()}
+SELECT tenant_id, 'multivariate_' || array_to_string(ids[1:3], '_') || CASE WHEN len(ids) > 3 THEN '_etc' ELSE '' END AS metric_id,
+       CAST(newest AS VARCHAR) AS period, 'isolation_forest_multivariate' AS detection_method, round(least(1.0, 2 * abs(score)) + 1e-9, 4) AS severity,
+       0.0::DOUBLE AS deviation, 0.0::DOUBLE AS baseline_value, 0.0::DOUBLE AS actual_value, 'unknown' AS direction, 'several' AS metrics
+FROM grouped JOIN isolated ON name = '42|' || tenant_id || '|' || n WHERE is_outlier""")
 def i2(spark, folder):
     hits = forest.detect_joint_forest(tenant_series(spark, folder), ["tenant_id"])
     return _shown(hits, "tenant_id").withColumn("metrics", F.lit("several"))

@@ -188,6 +188,36 @@ hits AS (
 """
 
 
+def forest_sql(points: str = "points", contamination: float = 0.05, trees: int = 100) -> str:
+    """The forest over the rows `(name, place, feature, value, n)`: `isolated(name, score, is_outlier)` judges the last place of each name.
+
+    Trees grow level by level. A row per tree, place and feature sees the bounds of its node; the feature with the largest draw
+    among those that vary is cut where the node's own draw says.
+    """
+    def draw(feature: str) -> str:
+        return f"CAST('0x' || substr(md5(concat(name, '|', tree, '|', node, '|', {feature})), 1, 13) AS BIGINT) / 4503599627370496.0::DOUBLE"
+
+    def path(size: str) -> str:
+        return f"CASE WHEN {size} > 2 THEN 2.0 * (ln({size} - 1.0) + 0.5772156649015329) - 2.0 * ({size} - 1.0) / {size} WHEN {size} = 2 THEN 1.0 ELSE 0.0 END::DOUBLE"
+
+    return f"""
+walk(name, tree, place, n, node, depth, level, is_open) AS (
+  SELECT DISTINCT name, CAST(t AS BIGINT), place, n, CAST(1 AS BIGINT), 0, 0, true FROM {points}, range({trees}) r(t)
+  UNION ALL
+  SELECT name, tree, place, n, CASE WHEN is_open AND high > low THEN node * 2 + CAST(value > low + {draw("''")} * (high - low) AS BIGINT) ELSE node END,
+         depth + CAST(is_open AND high > low AS INTEGER), level + 1, is_open AND high > low
+  FROM (
+    SELECT *, row_number() OVER (PARTITION BY name, tree, place ORDER BY high > low DESC, {draw("feature")} DESC) AS choice FROM (
+      SELECT w.*, p.feature, p.value, min(p.value) OVER node_feature AS low, max(p.value) OVER node_feature AS high
+      FROM walk w JOIN {points} p ON p.name = w.name AND p.place = w.place WHERE w.level < ceil(log2(greatest(w.n, 2)))
+      WINDOW node_feature AS (PARTITION BY w.name, w.tree, w.node, p.feature)))
+  WHERE choice = 1),
+leaves AS (SELECT *, count(*) OVER (PARTITION BY name, tree, node) AS size FROM walk WHERE level = ceil(log2(greatest(n, 2)))),
+scores AS (SELECT name, place, any_value(n) AS n, -pow(2.0, -round(avg(depth + {path("size")}), 9) / greatest({path("any_value(n)")}, 1e-9)) AS score FROM leaves GROUP BY 1, 2),
+isolated AS (
+  SELECT name, max(score) FILTER (place = n) AS score, max(score) FILTER (place = n) < quantile_cont(score, {contamination}) AS is_outlier FROM scores GROUP BY 1)"""
+
+
 # --- records: customers, suppliers and parts as three sources ------------------------------------
 
 

@@ -1,14 +1,14 @@
 """Isolation forest on metric series, after Liu, Ting and Zhou (2008).
 
 Spark finds the series, their lengths and their groups; a task only sees the points of one series, or of
-the few metrics of one tenant, which the calendar and the registry bound. Random choices differ from any
-other library, so the behaviour is promised and not the values.
+the few metrics of one tenant, which the calendar and the registry bound. Choices are drawn by hashes of the place
+they are made at, so that the values can be repeated, also in SQL; they differ from those of other libraries.
 """
 
 from __future__ import annotations
 
+import hashlib
 import sys
-import zlib
 from collections.abc import Sequence
 
 import numpy as np
@@ -31,46 +31,62 @@ def _expected_path(n: np.ndarray) -> np.ndarray:
     return np.where(n > 2, path, np.where(n == 2, 1.0, 0.0))
 
 
-def forest_scores(points: np.ndarray, seed: int, trees: int = 100, sample: int | None = None) -> np.ndarray:
+def _draw(*names: object) -> float:
+    """A number between 0 and 1 that follows from the names: the first 52 bits of their digest."""
+    return int(hashlib.md5("|".join(map(str, names)).encode()).hexdigest()[:13], 16) / 2.0 ** 52
+
+
+def forest_scores(points: np.ndarray, seed: object, trees: int = 100, sample: int | None = None, features: Sequence[str] = ()) -> np.ndarray:
     """Score per row, near −1 for isolated rows. All trees grow level by level in the same arrays.
 
-    Each tree grows on all rows, or on `sample` rows drawn for it.
+    Nothing is random: a node's feature and the place of its cut are drawn from the seed, the tree, the node and the feature's
+    name, so that any engine grows the same trees. A node is 1 at the root, and 2n or 2n + 1 below n. Each tree grows on all
+    rows, or on the `sample` rows with the smallest draws.
     """
-    rng = np.random.default_rng(seed)
     n, width = points.shape
+    features = list(features) or [str(f) if width > 1 else "" for f in range(width)]
     drawn = n if sample is None else min(sample, n)
-    used = np.argsort(rng.random((trees, n)), axis=1) < drawn if drawn < n else np.ones((trees, n), dtype=bool)
-    node = np.repeat(np.arange(trees)[:, None], n, axis=1)
+    used = np.ones((trees, n), dtype=bool)
+    if drawn < n:
+        order = np.array([[_draw(seed, tree, "row", row) for row in range(n)] for tree in range(trees)]).argsort(axis=1)
+        np.put_along_axis(used, order[:, drawn:], False, axis=1)
+    node = np.ones((trees, n), dtype=np.int64)
     depth = np.zeros((trees, n))
     open_ = np.ones((trees, n), dtype=bool)
-    nodes = trees
-    for _ in range(max(1, int(np.ceil(np.log2(max(drawn, 2)))))):
-        low = np.full((nodes, width), np.inf)
-        high = np.full((nodes, width), -np.inf)
+    levels = max(1, int(np.ceil(np.log2(max(drawn, 2)))))
+    of_tree = np.arange(trees)[:, None] << (levels + 1)
+
+    def numbered() -> tuple[np.ndarray, np.ndarray]:
+        names, place = np.unique(of_tree + node, return_inverse=True)
+        return names, place.reshape(node.shape)
+
+    for _ in range(levels):
+        names, place = numbered()
+        low = np.full((len(names), width), np.inf)
+        high = np.full((len(names), width), -np.inf)
         grow = used & open_
         rows = np.broadcast_to(np.arange(n), node.shape)[grow]
-        np.minimum.at(low, node[grow], points[rows])
-        np.maximum.at(high, node[grow], points[rows])
-        splittable = high > low
-        can = splittable.any(axis=1)
-        feature = np.argmax(rng.random((nodes, width)) * splittable, axis=1)
-        pick = np.arange(nodes)
-        bottom, top = low[pick, feature], high[pick, feature]
-        cut = np.where(can, bottom + rng.random(nodes) * np.where(can, top - bottom, 0.0), 0.0)
-        open_ &= can[node]
-        right = points[np.arange(n)[None, :], feature[node]] > cut[node]
-        node = np.where(open_, node * 2 + right, node * 2)
+        np.minimum.at(low, place[grow], points[rows])
+        np.maximum.at(high, place[grow], points[rows])
+        can = (high > low).any(axis=1)
+        feature, cut = np.zeros(len(names), dtype=int), np.zeros(len(names))
+        for i in np.flatnonzero(can):
+            tree, own = names[i] >> (levels + 1), names[i] & ((1 << levels + 1) - 1)
+            choices = np.flatnonzero(high[i] > low[i])
+            best = choices[0] if len(choices) == 1 else max(choices, key=lambda f: _draw(seed, tree, own, features[f]))
+            feature[i], cut[i] = best, low[i, best] + _draw(seed, tree, own, "") * (high[i, best] - low[i, best])
+        open_ &= can[place]
+        right = points[np.arange(n)[None, :], feature[place]] > cut[place]
+        node = np.where(open_, node * 2 + right, node)
         depth += open_
-        _, flat = np.unique(node, return_inverse=True)
-        node = flat.reshape(node.shape)
-        nodes = int(node.max()) + 1
-    size = np.bincount(node[used], minlength=nodes)
-    paths = depth + _expected_path(size[node])
-    return -np.power(2.0, -paths.mean(axis=0) / max(float(_expected_path(np.array(drawn))), 1e-9))
+    names, place = numbered()
+    size = np.bincount(place[used], minlength=len(names))
+    paths = (depth + _expected_path(size[place])).mean(axis=0).round(9)
+    return -np.power(2.0, -paths / max(float(_expected_path(np.array(drawn))), 1e-9))
 
 
-def _seed(seed: int, *names: object) -> int:
-    return zlib.crc32("|".join([str(seed), *map(str, names)]).encode())
+def _seed(seed: int, *names: object) -> str:
+    return "|".join([str(seed), *map(str, names)])
 
 
 def _last_is_outlier(scores: np.ndarray, contamination: float) -> bool:
@@ -157,7 +173,7 @@ def detect_joint_forest(series: DataFrame, keys: Sequence[str] = (), metrics: Se
         found = False
         score = 0.0
         if grid.shape[1] >= 2:
-            scores = forest_scores(grid.to_numpy(dtype=float), _seed(seed, *row.values()), trees, sample)
+            scores = forest_scores(grid.to_numpy(dtype=float), _seed(seed, *row.values()), trees, sample, list(map(str, grid.columns)))
             found, score = _last_is_outlier(scores, contamination), float(scores[-1])
         ids = [str(m) for m in grid.columns]
         result = row | {

@@ -14,7 +14,7 @@ from tools.compare import connect, difference  # noqa: E402
 
 FOLDER = os.environ.get("TEST_SF_DIR", "/root/testdata/sf0.001")
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test data")
-WITHOUT_SQL = {"i1_forest", "i2_joint_forest", "r3_anomalies_with_forest"}
+WITHOUT_SQL: set[str] = set()
 OPTIONAL = re.compile(r"op\d+_|pipeline$")  # of a package that can be left out
 
 
