@@ -112,28 +112,57 @@ def block_sizes(keys: DataFrame) -> DataFrame:
     )
 
 
-def candidate_counts(records: DataFrame, strategies: Sequence[Strategy] = STRATEGIES) -> DataFrame:
-    """Distinct candidate pairs per pair of sources, over the union of all strategies.
+def _shared_sets(records: DataFrame, strategies: Sequence[Strategy]) -> DataFrame:
+    """`source_type, keys, n`: the different sets of keys that records of several sources share, with the number of records.
 
-    By inclusion and exclusion: pairs that share a set of keys are counted for every subset of the set, with
-    alternating sign, so each pair adds up to one. Work grows with the records and not with the pairs. Keys that only
-    one source has join nothing and are left out first, and records with the same keys left are counted once.
+    Keys that only one source has join nothing and are left out. Of keys that always come together one stands for all: their
+    records are the same, which 128 bits over the sets that hold a key tell.
     """
     rows = with_source(records)
     sets = checkpointed(rows.select("source_type", key_array(rows, strategies).alias("keys")).groupBy("source_type", "keys").agg(
         F.count(F.lit(1)).alias("n")).withColumn("set", F.monotonically_increasing_id()))  # fixed by the writing
     places = sets.select("set", "source_type", F.explode("keys").alias("key"))
-    shared = places.groupBy("key").agg(F.min("source_type").alias("first"), F.max("source_type").alias("last")).where("first < last")
-    left = places.join(shared.select("key"), "key").groupBy("set").agg(F.sort_array(F.collect_list("key")).alias("keys"))
-    keys = left.join(sets.select("set", "source_type", "n"), "set").groupBy("source_type", "keys").agg(F.sum("n").alias("n"))
-    nothing = F.array(F.array().cast("array<string>"))
-    subsets = F.aggregate(
-        "keys", nothing, lambda found, key: F.concat(found, F.transform(found, lambda s: F.array_append(s, key)))
-    )
-    counts = (
-        keys.select("source_type", "n", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("shared"))
-        .groupBy("shared", "source_type").agg(F.sum("n").alias("n"))
-    )
+    holders = [F.bit_xor(F.xxhash64("set", F.lit(i))).alias(f"holders_{i}") for i in (1, 2)]
+    shared = places.groupBy("key").agg(F.min("source_type").alias("first"), F.max("source_type").alias("last"), F.count(F.lit(1)).alias("sets"), *holders)
+    chosen = shared.where("first < last").groupBy("sets", "holders_1", "holders_2").agg(F.min("key").alias("key")).select("key")
+    left = places.join(chosen, "key").groupBy("set").agg(F.sort_array(F.collect_list("key")).alias("keys"))
+    return left.join(sets.select("set", "source_type", "n"), "set").groupBy("source_type", "keys").agg(F.sum("n").alias("n"))
+
+
+def _shared_subsets(sets: DataFrame, at_once: int) -> DataFrame:
+    """`source_type, shared, n`: records per source that hold a subset of keys, for all subsets that several sources hold.
+
+    Sets of up to `at_once` keys list their subsets. For larger ones subsets grow by one key at a time, and only those that
+    several sources still hold grow on, so that a set of many keys does not list what nobody else holds. Where several sources
+    share many keys of which each also comes without the others, that is still many.
+    """
+    if sets.where(F.size("keys") > at_once).isEmpty():
+        nothing = F.array(F.array().cast("array<string>"))
+        subsets = F.aggregate("keys", nothing, lambda found, key: F.concat(found, F.transform(found, lambda s: F.array_append(s, key))))
+        return sets.select("source_type", "n", F.explode(F.filter(subsets, lambda s: F.size(s) > 0)).alias("shared")).groupBy(
+            "shared", "source_type").agg(F.sum("n").alias("n"))
+    found, grown = None, sets.select("source_type", "n", "keys", F.array().cast("array<string>").alias("shared"))
+    while True:
+        last = F.coalesce(F.array_max("shared"), F.lit(""))
+        grown = grown.select("source_type", "n", "keys", F.explode(F.transform(
+            F.filter("keys", lambda key: (key > last) | (F.size("shared") == 0)), lambda key: F.array_append("shared", key))).alias("shared"))
+        grown = checkpointed(grown)
+        several = grown.groupBy("shared").agg(F.min("source_type").alias("first"), F.max("source_type").alias("last")).where("first < last")
+        grown = checkpointed(grown.join(several.select("shared"), "shared").select("source_type", "n", "keys", "shared"))
+        counts = grown.groupBy("shared", "source_type").agg(F.sum("n").alias("n"))
+        if grown.isEmpty():
+            return counts if found is None else found
+        found = counts if found is None else found.unionByName(counts)
+
+
+def candidate_counts(records: DataFrame, strategies: Sequence[Strategy] = STRATEGIES, at_once: int = 8) -> DataFrame:
+    """Distinct candidate pairs per pair of sources, over the union of all strategies.
+
+    By inclusion and exclusion: pairs that share a set of keys are counted for every subset of the set, with
+    alternating sign, so each pair adds up to one. Work grows with the records and not with the pairs, and records with the
+    same keys are counted once.
+    """
+    counts = _shared_subsets(checkpointed(_shared_sets(records, strategies)), at_once)
     a = counts.select("shared", F.col("source_type").alias("source_a"), F.col("n").alias("n_a"))
     b = counts.select("shared", F.col("source_type").alias("source_b"), F.col("n").alias("n_b"))
     sign = F.when(F.size("shared") % 2 == 1, 1).otherwise(-1)

@@ -122,6 +122,33 @@ def test_block_sizes_and_counts_equal_listing(spark):
     assert {k: v for k, v in sizes.items() if v} == blocks
 
 
+def test_candidates_with_many_shared_keys(spark):
+    """Records that share twenty keys, all with one record, one each with many, and in random parts, counted by brute force."""
+    rng = random.Random(9)
+    fields = [f"f{i}" for i in range(20)]
+    tags = (blocking.Strategy("tag", tuple(fields), lambda value: value),)
+    keys = [f"k{i:02d}" for i in range(20)]
+    rows = [("a", "same", keys), ("b", "same", keys), ("c", "same", keys), ("b", "half", keys[:10]), ("c", "rest", keys[7:])]
+    rows += [("b", f"one{i}", [k]) for i, k in enumerate(keys)] + [("c", "own", [f"x{i}" for i in range(20)])]
+    rows += [(rng.choice("abc"), f"part{i}", rng.sample(keys, rng.randint(1, 3))) for i in range(40)]
+    frame = spark.createDataFrame([(s, i, tuple(k + [None] * (20 - len(k)))) for s, i, k in rows],
+                                  f"source_type string, record_id string, data struct<{','.join(f'{f}:string' for f in fields)}>")
+    scattered = frame.where("record_id = 'own' OR record_id LIKE 'one%' OR (record_id = 'same' AND source_type = 'a')")
+    whole = frame.where("record_id IN ('same', 'own')")
+    parts = frame.where("record_id NOT IN ('same', 'rest')")
+
+    def counted(sample, at_once):
+        return {(r["source_a"], r["source_b"]): r["candidate_pairs"] for r in blocking.candidate_counts(sample, tags, at_once).collect()}
+
+    held = {tuple(r) for r in parts.select("source_type", "record_id").collect()}
+    want = {}
+    for (s, _, k), (t, _, m) in itertools.combinations([r for r in rows if r[:2] in held], 2):
+        if s != t and set(k) & set(m):
+            want[min(s, t), max(s, t)] = want.get((min(s, t), max(s, t)), 0) + 1
+    assert counted(parts, 8) == want and counted(scattered, 8) == {("a", "b"): 20}
+    assert counted(whole, 8) == counted(whole, 1) == {("a", "b"): 1, ("a", "c"): 1, ("b", "c"): 1}
+
+
 def test_blocks_of_small_cases(spark):
     def shared(a, b):
         frame = records(spark, [("stripe", "a1", (*a, None, None, None)), ("postgres", "b1", (*b, None, None, None))])
