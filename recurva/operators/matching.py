@@ -34,6 +34,7 @@ EQUAL_NAME_SCORE = 0.53
 TOLERANCE_DAYS = 3
 TILE_ROWS = 2048
 BROADCAST_KEYS = 100_000
+_WORD_RATIO = 0.8 / 0.95
 
 _ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "domain", "blocked", "name", "micros", "zoned", "amount", "amount_bad", "keys")
 
@@ -169,12 +170,21 @@ def _shared(items: str) -> Column:
     return F.size(F.array_intersect(f"a_{items}", f"b_{items}"))
 
 
-def _enough_shared(shared: Callable[[str], Column], words: Column) -> Column:
+def _covered(a_words: str, b_words: str) -> Column:
+    """Whether the words two names share make up so much of either that the ratio of them to it suffices."""
+    both = F.array_intersect(a_words, b_words)
+    size = F.aggregate(both, F.lit(-1), lambda n, word: n + F.length(word) + 1)  # joined by blanks
+    return size >= _WORD_RATIO / (2 - _WORD_RATIO) * F.least("a_ordered_length", "b_ordered_length") - 1e-9
+
+
+def _enough_shared(shared: Callable[[str], Column], words: Column, covered: Column) -> Column:
     """Necessary condition for a fuzzy similarity of 0.80, from shared words and two-letter pieces.
 
-    A ratio r of texts of length n and m shares at least (1.5 r − 1)(n + m) − 1 two-letter pieces. The word
-    ratio must reach 0.8 / 0.95; the window ratios, for texts of unlike length, 0.8 / 0.9 and 0.8 / 0.855,
-    against a window that is at least r / (2 − r) as long as the shorter text.
+    A ratio r of texts of length n and m shares at least (1.5 r − 1)(n + m) − 1 two-letter pieces. Texts of like length
+    need a plain ratio of 0.8 or a word ratio of 0.8 / 0.95: of the sorted words; of the words in the order of shared ones
+    first, which changes at most two pieces on either side; or of the shared words to one of the names. Texts of unlike length, up to
+    eight times, need a shared word or a window ratio of 0.8 / 0.9 or 0.8 / 0.855, against a window that is at least r / (2 − r) as
+    long as the shorter text.
     """
     def least(column: str) -> Column:
         return F.least(f"a_{column}", f"b_{column}")
@@ -188,20 +198,23 @@ def _enough_shared(shared: Callable[[str], Column], words: Column) -> Column:
     def window(ratio: float) -> float:
         return whole(ratio) * (1 + ratio / (2 - ratio))
 
-    alike = F.greatest("a_length", "b_length") < 1.5 * least("length")
+    longest = F.greatest("a_length", "b_length")
+    alike = longest < 1.5 * least("length")
     repeated = F.col("a_repeats") | F.col("b_repeats")
     plain = shared("grams") >= whole(0.8) * total("length") - 1
-    near = shared("ordered_grams") >= whole(0.8 / 0.95) * total("ordered_length") - 1
+    near = shared("ordered_grams") >= whole(_WORD_RATIO) * total("ordered_length") - 1
+    turned = words & ((shared("ordered_grams") >= whole(_WORD_RATIO) * total("ordered_length") - 5) | covered)
     inside = (shared("grams") >= window(0.8 / 0.9) * least("length") - 1) | (
         shared("ordered_grams") >= window(0.8 / 0.855) * least("ordered_length") - 1)
-    return words | repeated | plain | (alike & near) | (~alike & inside)
+    return repeated | plain | (alike & (near | turned)) | (~alike & (longest <= 8 * least("length")) & (words | inside))
 
 
 def _may_be_similar() -> Column:
     """The necessary condition, first by bitmaps, which cost next to nothing, then by the sets themselves."""
     common_bits = (F.col("a_words_0").bitwiseAND(F.col("b_words_0")) != 0) | (
         F.col("a_words_64").bitwiseAND(F.col("b_words_64")) != 0)
-    return _enough_shared(_shared_at_most, common_bits) & _enough_shared(_shared, F.arrays_overlap("a_words", "b_words"))
+    return _enough_shared(_shared_at_most, common_bits, F.lit(True)) & _enough_shared(
+        _shared, F.arrays_overlap("a_words", "b_words"), _covered("a_words", "b_words"))
 
 
 def _compared(pairs: DataFrame) -> DataFrame:

@@ -160,6 +160,33 @@ def test_blocks_of_small_cases(spark):
     assert shared(("alex@acme.com", "Acme Corp"), ("bob@acme.com", "Acme Inc")) == 1
 
 
+def test_names_that_are_not_compared_are_not_similar(spark):
+    """The condition ahead of the comparison holds for all similar names, and for few others where a word is common to all."""
+    rng = random.Random(12)
+    words = ["acme", "global", "north", "systems", "inc", "group", "of", "ab", "holding", "water", "works", "solutions"]
+
+    def changed(name):
+        for _ in range(rng.randint(0, 3)):
+            at = rng.randrange(len(name) + 1)
+            name = rng.choice([name[:at] + rng.choice("aeio ") + name[at:], name[:at] + name[at + 1:], " ".join(rng.sample(name.split(), len(name.split()))),
+                               f"{name} {rng.choice(words)}", " ".join(name.split()[1:]) or name])
+        return name.strip() or "x"
+
+    names = [" ".join(rng.choices(words, k=rng.randint(1, 4))) for _ in range(60)]
+    names = sorted({changed(n) for n in names for _ in range(4)} | set(names))
+    frame = matching._name_features(spark.createDataFrame([("x.com", n) for n in names], "link string, name string")).withColumn("first", F.lit("s"))
+    frame = checkpointed(frame)
+    pairs = matching._side(frame, "a", ("link",)).join(matching._side(frame, "b", ("link",)), "link").where("a_name < b_name")
+    passed = {(r["a_name"], r["b_name"]) for r in pairs.where(matching._may_be_similar()).select("a_name", "b_name").collect()}
+    similar = {(a, b) for a, b in itertools.combinations(names, 2) if weighted_ratio(a, b) >= 80 - 1e-9}
+    assert len(similar) > 500 and similar <= passed
+
+    common = [f"{''.join(rng.choices('bcdfghjklmnpqrstvwxyz', k=9))} {''.join(rng.choices('bcdfghjklmnpqrstvwxyz', k=9))} inc" for _ in range(300)]
+    frame = checkpointed(matching._name_features(spark.createDataFrame([("x.com", n) for n in common], "link string, name string")))
+    pairs = matching._side(frame, "a", ("link",)).join(matching._side(frame, "b", ("link",)), "link").where("a_name < b_name")
+    assert pairs.where(matching._may_be_similar()).count() < 0.01 * pairs.count()
+
+
 def test_given_pairs(spark):
     frame = records(spark, [("stripe", "a", ("alex@acme.com", "Acme Corp", None, None, "500")), ("postgres", "b", ("alex@acme.com", "Acme Corp", None, None, "500")),
                             ("postgres", "c", ("bob@other.com", "Totally Different", None, None, None))])
