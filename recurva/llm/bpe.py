@@ -105,7 +105,8 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
     Ranks are those of the file; each match of `pattern` is merged by itself and there are no special tokens. NULL
     and empty texts have no ids. Rows are neither joined nor dropped, so repeated rows stay, and NULLs in other
-    columns pass through. A column already named like `ids` is replaced. The text can be left out of the result.
+    columns pass through. A column already named like `ids` is replaced. The text can be left out of the result. Texts of any length
+    are encoded whole, in pieces that change no id; ties cannot arise. An empty table gives an empty table.
     """
     def work(batch):
         texts = batch.column(text)
@@ -119,7 +120,11 @@ def encode(df: DataFrame, ranks_path: str, pattern: str, text: str = "text", ids
 
 
 def decode(df: DataFrame, ranks_path: str, pattern: str, ids: str = "ids", decoded: str = "decoded") -> DataFrame:
-    """`df` with `decoded`, the raw bytes of the ids; NULL ids give NULL. Bytes need not be valid UTF-8."""
+    """`df` with `decoded`, the raw bytes of the ids; NULL ids give NULL, and no ids no bytes. Bytes need not be valid UTF-8.
+
+    Rows are neither joined nor dropped, so repeated rows stay, and NULLs in other columns pass through. A column already named
+    like `decoded` is replaced. An empty table gives an empty table.
+    """
     def work(batch):
         column = batch.column(ids)
         encoding = load_encoding(ranks_path, pattern)

@@ -150,7 +150,9 @@ def mixed_documents(df: DataFrame, doc_id: str = "doc_id", text: str = "text", s
     """`df` with each text replaced by the words of it that the mix takes; rows of which it takes none are left out.
 
     Words keep the blanks after them and their order; what is taken again follows after a line end. Rows equal in id,
-    source and text come out as one row that holds what the mix takes of all of them, with the other columns of any.
+    source and text come out as one row that holds what the mix takes of all of them, with the other columns of any. NULL ids are
+    ids like others, NULL and blank texts are never taken, and a NULL source is a source. An empty table gives an empty table. Other
+    columns pass through, whatever their names.
     """
     keys = ["__row_1", "__row_2"]
     took = mix(df, doc_id, text, source, **options).pieces.where(F.col("times") > 0)

@@ -126,7 +126,7 @@ def score_quality(df: DataFrame, rules: Rules, text: str = "text", name: str = "
     """`df` with `name`, the probability between 0 and 1 that the text has label 1; it replaces a column of that name.
 
     Each row is scored by its text alone, whole however long; NULL and empty texts are scored as empty ones. Repeated
-    rows, NULLs elsewhere and further columns pass through.
+    rows, NULLs elsewhere and further columns pass through. An empty table gives an empty table.
     """
     rows, names = statistics(df, text)
     return rows.withColumn(name, rules.score()).drop(*names)

@@ -323,7 +323,7 @@ def score_toxicity(df: DataFrame, model: Model, text: str = "text", name: str =
     """`df` with `name`, the probability between 0 and 1 that the text has label 1; it replaces a column of that name.
 
     Each row is scored by its whole text alone; NULL and empty texts have the score of a text without any known
-    feature. Repeated rows, NULLs elsewhere and further columns pass through.
+    feature. Repeated rows, NULLs elsewhere and further columns pass through. An empty table gives an empty table.
     """
     known = frozenset(model.weights)
 

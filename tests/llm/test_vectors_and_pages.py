@@ -7,6 +7,7 @@ import math
 import random
 
 import numpy as np
+import public_tokenizers
 import pytest
 
 import corpus_pipeline
@@ -250,3 +251,62 @@ def test_pipeline(spark, tmp_path):
         assert r["ids_sha256"] == hashlib.sha256(",".join(map(str, ids)).encode()).hexdigest()
     again = corpus_pipeline.run(spark, folder).select("doc_id", "ids_sha256").collect()
     assert {r["doc_id"]: r["ids_sha256"] for r in again} == {i: r["ids_sha256"] for i, r in last.items()}
+
+
+CLASHING = ("score", "fp", "ids", "size", "block", "shard", "n_lines", "label", "held", "decoded", "n_tokens", "component_id", "words", "times")
+
+
+@pytest.fixture(scope="module")
+def odd(spark, tmp_path_factory):
+    """NULLs in every column, empty and very long texts, repeated rows, and columns named like those the operators use."""
+    rng = random.Random(4)
+    long = " ".join("".join(rng.choices("abcdefghij", k=5)) for _ in range(40_000)) + "\n" + "x" * 50_000
+    texts = [None, "", " \n\t", "one", "É ü 漢字", long, "same text of two rows, word by word", "same text of two rows, word by word", "a line that is shared by three\nb", "a line that is shared by three",
+             "A line that is shared by three\n\n"]
+    rows = [(i, t, "en", f"s{i % 2}", 1) for i, t in enumerate(texts)] + [(6, texts[6], "en", "s0", 1)] * 2
+    rows += [(None, "no id here", None, None, None), (None, None, None, None, None), (50, "no source", "en", None, None)]
+    folder = str(tmp_path_factory.mktemp("odd"))
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"{c} string" for c in CLASHING)
+    docs = spark.createDataFrame([(*r, *["kept"] * len(CLASHING)) for r in rows], schema)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([(i, None if i == 2 else 1, 0) for i in range(6)] + [(None, 1, 1)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    return spark.read.parquet(f"{folder}/documents.parquet"), folder
+
+
+@pytest.mark.parametrize("place", range(5))
+def test_stages_take_odd_rows(spark, odd, place):
+    docs, folder = odd
+    name, stage = corpus_pipeline.STAGES[place]
+    out = stage(spark, docs, folder)
+    empty = stage(spark, docs.limit(0), folder)
+    assert empty.count() == 0 and set(empty.columns) == set(out.columns)
+    rows = out.collect()
+    if name == "byte-level BPE":
+        assert len(rows) == docs.count() and all((r["n_tokens"] == 0) == (r["decoded_sha256"] == hashlib.sha256(b"").hexdigest()) for r in rows)
+        return
+    assert set(out.columns) == set(docs.columns) and all(r[c] == "kept" for r in rows for c in CLASHING)
+    ids = [r["doc_id"] for r in rows]
+    if name == "quality classifier":
+        assert len(rows) == docs.count()  # with good examples only, all is kept
+    elif name == "line dedup":
+        assert len(rows) == docs.count() and sum("a line that is shared by three" in r["text"].lower() for r in rows) == 1
+    elif name == "SimHash near-dedup":
+        assert sorted(i for i in ids if i is not None) == [0, 3, 4, 5, 6, 6, 6, 8, 9, 50] and ids.count(None) == 1
+    else:
+        assert {5, 6, None, 50} <= set(ids) and not {0, 1, 2} & set(ids)
+
+
+def test_tokens_of_odd_rows(spark, odd):
+    docs, _ = odd
+    ranks, pattern = bpe_files()
+    coded = bpe.encode(docs, ranks, pattern, ids="label")
+    both = bpe.decode(coded, ranks, pattern, ids="label", decoded="score")
+    assert both.count() == docs.count() and set(both.columns) == set(docs.columns)
+    assert all(bytes(r["score"]) == (r["text"] or "").encode() for r in both.collect())
+    nothing = bpe.decode(spark.createDataFrame([(None, 1), (None, 1)], "ids array<int>, decoded int"), ranks, pattern).collect()
+    assert [r["decoded"] for r in nothing] == [None, None]
+    assert bpe.decode(coded.limit(0), ranks, pattern, ids="label").count() == 0
+
+
+def bpe_files():
+    return public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
