@@ -10,7 +10,7 @@ from recurva.functions.coerce import currency_to_double
 from recurva.operators.blocking import latest_records
 from recurva.session import scratch_path
 from recurva.sources import billing, database, envelope, tabular
-from recurva.streaming import changes
+from recurva.streaming import changes, current
 
 QUERIES, ORACLES = {}, {}
 
@@ -245,13 +245,17 @@ def s14(spark, folder):
     return declared.join(filled, "column_name")
 
 
+def _event_name():
+    suffix = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("updated")
+    return F.concat("event_type", F.lit("."), suffix)
+
+
 def billing_events(events):
     """Test events in the shape of a billing event log."""
-    suffix = F.when(F.col("event_type") == "signup", "created").when(F.col("event_type") == "error", "deleted").otherwise("updated")
     kind = F.when(F.col("user_id") % 5 != 0, "customer")
     amount = F.get_json_object("props", "$.k").cast("long")
     return events.select(
-        F.concat("event_type", F.lit("."), suffix).alias("type"), F.col("ts").alias("created"),
+        _event_name().alias("type"), F.col("ts").alias("created"),
         F.struct(F.struct(kind.alias("object"), F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("id"),
                           amount.alias("k")).alias("object")).alias("data"))
 
@@ -283,6 +287,25 @@ def t1(spark, folder):
     return _change_totals(spark.read.parquet(f"{path}/records"))
 
 
+@query("t1_current_records", """
+WITH changes AS (
+  SELECT *, CASE WHEN user_id % 5 <> 0 THEN 'customer' ELSE 'unknown' END AS object_type, 'u' || user_id AS record_id FROM events)
+SELECT object_type, record_id, CAST(max(event_id) AS BIGINT) AS event_id, arg_max(CASE event_type WHEN 'signup' THEN 'create' ELSE 'update' END, event_id) AS change_type
+FROM changes GROUP BY 1, 2 HAVING arg_max(event_type, event_id) <> 'error'""")
+def t1_current(spark, folder):
+    """The change log as files that arrive in several batches, not in their order, followed by state: deleted users are gone."""
+    path = scratch_path(spark, "log")
+    log = table(spark, folder, "events").select(
+        F.lit("acct").alias("source_type"), F.when(F.col("user_id") % 5 != 0, "customer").otherwise("unknown").alias("object_type"),
+        F.concat(F.lit("u"), F.col("user_id").cast("string")).alias("record_id"), billing.change_kind(_event_name()).alias("change_type"),
+        F.col("event_id").alias("version"))
+    log.repartition(6, F.pmod(F.xxhash64("version"), F.lit(6))).write.parquet(f"{path}/log")
+    stream = changes.read_stream(spark, f"{path}/log", log.schema, "parquet", max_files=2)
+    current.drain_changes(stream, f"{path}/newer", f"{path}/checkpoint")
+    rows = current.current_records(spark, f"{path}/newer")
+    return rows.select("object_type", "record_id", F.col("version").alias("event_id"), "change_type")
+
+
 @query("s16_json_export", """
 SELECT '{"record_id":"' || c_custkey || '","name":"' || c_name || '","plan":' || CASE WHEN c_mktsegment = 'BUILDING' THEN 'null'
        ELSE '"' || c_mktsegment || '"' END || '}' AS document, (SELECT CAST(count(*) AS BIGINT) FROM customer) AS record_count FROM customer""")

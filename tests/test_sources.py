@@ -10,7 +10,7 @@ from pyspark.sql import types as T
 from recurva.plans.analyse import analyse
 from recurva.plans.resolve import resolve_entities
 from recurva.sources import billing, database, envelope, quoted, tabular
-from recurva.streaming import changes
+from recurva.streaming import changes, current
 
 CSV = """customer_id,email,company_name,plan,status,mrr_amount,created_at,seats
 cust_1,a@one.com,One Inc,growth,active,"$1,200.50",2024-01-15,5
@@ -223,6 +223,22 @@ def test_stream_goes_on_where_it_stopped(spark, tmp_path):
     assert run() == [("c1", "customer", "create"), ("c2", "unknown", "delete"), ("i1", "invoice", "update")]
 
 
+def test_current_records_follow_the_stream(spark, tmp_path):
+    """Changes in several runs and out of order: late ones change nothing, and what was deleted stays so until it comes anew."""
+    schema = "source_type string, object_type string, record_id string, change_type string, version string, plan string"
+    runs = [[("a", "create", "01", "x"), ("b", "create", "01", "x"), ("a", "update", "03", "y")], [("a", "update", "02", "late"), ("b", "delete", "05", None)],
+            [("b", "update", "04", "late"), ("c", "create", "01", "z"), (None, "create", "01", "n")], [("b", "create", "06", "w"), ("c", "update", "01", "tie")]]
+    want = [{"a": ("03", "y", 1), "b": ("01", "x", 1)}, {"a": ("03", "y", 1)}, {"a": ("03", "y", 1), "c": ("01", "z", 1), None: ("01", "n", 1)},
+            {"a": ("03", "y", 1), "b": ("06", "w", 3), "c": ("01", "z", 1), None: ("01", "n", 1)}]
+    inbox, target, checkpoint = (str(tmp_path / n) for n in ("in", "out", "checkpoint"))
+    for rows, expected in zip(runs, want):
+        frame = spark.createDataFrame([("s", "customer", i, kind, v, plan) for i, kind, v, plan in rows], schema)
+        frame.coalesce(1).write.mode("append").parquet(inbox)
+        current.drain_changes(changes.read_stream(spark, inbox, frame.schema, "parquet"), target, checkpoint)
+        found = {r["record_id"]: (r["version"], r["plan"], r["revision"]) for r in current.current_records(spark, target).collect()}
+        assert found == expected
+
+
 def test_events_since(spark):
     events = spark.createDataFrame([("a.created", datetime.datetime(2024, 1, 1), (("x", "1", None),)), ("a.updated", datetime.datetime(2024, 1, 2), (("x", "2", None),))], EVENT)
     found = billing.event_records(events, "acct", "2024-01-02").collect()
