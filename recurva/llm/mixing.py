@@ -2,11 +2,12 @@
 
 Native throughout. The words of a source stand in one long line, document after document, cut into blocks of a fixed
 number of words; a document covers one block or several and shares its first and last with its neighbours. The mix is
-a list of slots, each holding one block of one source. How many slots a source gets follows from its target, which
-also keeps the cap on repeats exact. A keyed permutation of all slots deals them to shards of fixed size, so the
-source counts of a shard are multinomial draws without replacement; drawn with replacement they would miss targets and
-caps by chance. The j-th slot of a source holds the block to which the source's own permutation of this epoch sends j,
-so every block comes once before any comes again. Slots and blocks meet in a join on source and block number, whose
+a list of slots in shards of fixed size, each holding one block of one source. The source counts of a shard are a
+multinomial draw by the sources' quotas, which follow from their targets. Chance gives some sources more slots than
+their quota and others fewer; once a source has its quota, its further slots go to those that are short, so targets and
+the cap on repeats hold exactly. About as many slots change hands as the square roots of the quotas add up to, in the
+last shards of these sources. The j-th slot of a source holds the block to which the source's own permutation of this
+epoch sends j, so every block comes once before any comes again. Slots and blocks meet in a join on source and block number, whose
 keys are spread evenly however large one source is.
 
 Permutations are swap-or-not shuffles (Hoang, Morris and Rogaway 2012): they work on any range, need no state, and
@@ -26,8 +27,10 @@ from recurva.session import checkpointed
 
 #: Buckets of a source's documents; their sums place every document without ordering a whole source in one task.
 BUCKETS = 4096
-#: Slots listed from one row of the slot plan.
-CHUNK = 65_536
+#: Shards whose counts are summed as one on the way to a place among all slots of a source.
+SPAN = 4096
+#: Cells of the slot plan up to which it is sent to all tasks.
+BROADCAST_CELLS = 100_000
 ROUNDS = 16
 
 
@@ -79,26 +82,89 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = (5, 2, 1), max_r
     return levels.select("__src", "source", "source_size", target.alias("target"))
 
 
+def _owned(rows: DataFrame, owners: DataFrame, total: int, many: int) -> DataFrame:
+    """Each row of `rows` with the row of `owners` whose stretch, `__size` long from `__start` on, holds its `__at`.
+
+    The stretches cover 0 to `total`, which is cut into cells, four for each of the `many` owners at least, so that a cell meets few
+    stretches. The cells are sent to all tasks while they are few.
+    """
+    least = max(1024, 4 * many)
+    width = max(1, -(-total // least))
+    ends = F.col("__start") + F.col("__size")
+    cells = owners.withColumn("__cell", F.explode(F.sequence(F.floor(F.col("__start") / width), F.floor((ends - 1) / width))))
+    if least + many <= BROADCAST_CELLS:
+        cells = F.broadcast(cells)
+    found = rows.withColumn("__cell", F.floor(F.col("__at") / width)).join(cells, "__cell")
+    return found.where((F.col("__at") >= F.col("__start")) & (F.col("__at") < ends)).drop("__cell")
+
+
+def _before(column: str, window) -> Column:
+    """Sum of the rows before this one."""
+    return F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+
+
+def _shard_counts(plan: DataFrame, total: int, many: int, shard_slots: int, seed: int) -> DataFrame:
+    """Multinomial draws: `shard, __src, __n`, the slots of a shard that an independent draw by quota gives to a source.
+
+    A slot's draw is a hash of its place, and its source the one whose stretch of all quotas holds it. Counts are combined before
+    their shuffle, as the slots of a shard lie together.
+    """
+    tasks = int(plan.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    place = F.col("id")
+    drawn = plan.sparkSession.range(0, total, 1, tasks).select(
+        F.floor(place / shard_slots).alias("shard"), F.pmod(F.xxhash64(F.lit(seed), F.lit("draw"), place), F.lit(max(total, 1))).alias("__at"))
+    owners = plan.select("__src", "__start", F.col("__quota").alias("__size"))
+    return _owned(drawn, owners, total, many).groupBy("shard", "__src").agg(F.count(F.lit(1)).alias("__n"))
+
+
 def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) -> DataFrame:
+    """`__src, block, place, shard` of every slot, as many of a source as its quota says."""
     blocks = F.ceil(F.col("source_size") / block_words).cast("long")
     quota = F.when(F.col("source_size") > 0, F.round(F.col("target") * blocks / F.col("source_size")).cast("long")).otherwise(F.lit(0))
-    plan = sources.select("__src", blocks.alias("__blocks"), quota.cast("long").alias("__quota"))
-    before = Window.orderBy("__src").rowsBetween(Window.unboundedPreceding, -1)
-    plan = plan.withColumn("__first", F.coalesce(F.sum("__quota").over(before), F.lit(0)))
-    plan = plan.withColumn("__all", F.sum("__quota").over(Window.partitionBy())).where(F.col("__quota") > 0)
-    chunks = plan.withColumn("__chunk", F.explode(F.sequence(F.lit(0), F.floor((F.col("__quota") - 1) / CHUNK))))
-    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    chunks = chunks.repartition(tasks, "__src", "__chunk").withColumns({
-        "__own_keys": _round_keys(F.col("__blocks"), F.lit(seed), F.col("__src")),
-        "__all_keys": _round_keys(F.col("__all"), F.lit(seed), F.lit("shards")),
+    plan = sources.select("__src", blocks.alias("__blocks"), quota.cast("long").alias("__quota")).where(F.col("__quota") > 0)
+    plan = checkpointed(plan.withColumn("__start", _before("__quota", Window.orderBy("__src"))))
+    many, total = plan.agg(F.count(F.lit(1)), F.coalesce(F.sum("__quota"), F.lit(0))).first()
+
+    counts = checkpointed(_shard_counts(plan, total, many, shard_slots, seed)).withColumn("__span", F.floor(F.col("shard") / SPAN))
+    spans = counts.groupBy("__src", "__span").agg(F.sum("__n").alias("__sum"))
+    spans = spans.withColumn("__base", _before("__sum", Window.partitionBy("__src").orderBy("__span"))).drop("__sum")
+    lined = counts.join(spans, ["__src", "__span"]).join(plan.drop("__start"), "__src").withColumns({
+        "__first": F.col("__base") + _before("__n", Window.partitionBy("__src", "__span").orderBy("shard")),
+        "__local": _before("__n", Window.partitionBy("shard").orderBy("__src")),
     })
-    start = F.col("__chunk") * CHUNK
-    slots = chunks.withColumn("__j", F.explode(F.sequence(start, F.least(start + CHUNK, F.col("__quota")) - 1)))
+    lined = lined.withColumn("__kept", F.least("__n", F.greatest(F.col("__quota") - F.col("__first"), F.lit(0))))
+    lined = checkpointed(lined.drop("__base", "__quota"))
+
+    def with_keys(rows: DataFrame) -> DataFrame:
+        return rows.withColumn("__size", F.least(F.lit(shard_slots), total - F.col("shard") * shard_slots)).withColumns({
+            "__own_keys": _round_keys(F.col("__blocks"), F.lit(seed), F.col("__src")),
+            "__shard_keys": _round_keys(F.col("__size"), F.lit(seed), F.lit("shard"), F.col("shard")),
+        })
+
+    wide = ["__src", "__blocks", "shard", "__size", "__own_keys", "__shard_keys"]
+    kept = with_keys(lined.where(F.col("__kept") > 0)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__kept") - 1)))
+    kept = kept.select(*wide, (F.col("__first") + F.col("__i")).alias("__j"), (F.col("__local") + F.col("__i")).alias("__local"))
+
+    drawn = counts.groupBy("__src").agg(F.sum("__n").alias("__drawn"))
+    short = plan.drop("__start").join(drawn, "__src", "left").withColumn("__drawn", F.coalesce("__drawn", F.lit(0)))
+    short = short.withColumn("__size", F.col("__quota") - F.col("__drawn")).where(F.col("__size") > 0).drop("__quota")
+    short = checkpointed(short.withColumn("__start", _before("__size", Window.orderBy("__src"))))
+    few, missing = short.agg(F.count(F.lit(1)), F.coalesce(F.sum("__size"), F.lit(0))).first()
+    over = lined.where(F.col("__n") > F.col("__kept")).withColumn("__over", F.col("__n") - F.col("__kept"))
+    bases = over.groupBy("__span").agg(F.sum("__over").alias("__sum"))
+    bases = bases.withColumn("__base", _before("__sum", Window.orderBy("__span"))).drop("__sum")
+    over = over.withColumn("__rank", _before("__over", Window.partitionBy("__span").orderBy("shard", "__src"))).join(bases, "__span")
+    over = over.withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__over") - 1))).select(
+        "shard", (F.col("__local") + F.col("__kept") + F.col("__i")).alias("__local"),
+        (F.col("__base") + F.col("__rank") + F.col("__i")).alias("__at"))
+    filled = _owned(over, short, missing, few).withColumn("__j", F.col("__drawn") + F.col("__at") - F.col("__start"))
+    filled = with_keys(filled.select("__src", "__blocks", "shard", "__j", "__local")).select(*wide, "__j", "__local")
+
+    slots = kept.unionByName(filled)
     epoch = F.floor(F.col("__j") / F.col("__blocks"))
     block = _permuted(F.pmod("__j", "__blocks"), F.col("__blocks"), F.col("__own_keys"), F.lit(seed), F.col("__src"), epoch)
-    place = _permuted(F.col("__first") + F.col("__j"), F.col("__all"), F.col("__all_keys"), F.lit(seed), F.lit("place"))
-    return slots.select("__src", block.alias("block"), place.alias("place")).withColumn(
-        "shard", F.floor(F.col("place") / shard_slots))
+    local = _permuted(F.col("__local"), F.col("__size"), F.col("__shard_keys"), F.lit(seed), F.lit("place"), F.col("shard"))
+    return slots.select("__src", block.alias("block"), (F.col("shard") * shard_slots + local).alias("place"), "shard")
 
 
 def mix(df: DataFrame, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights: tuple[int, ...] = (5, 2, 1),

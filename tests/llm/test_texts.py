@@ -275,6 +275,45 @@ def test_mixed_texts_and_slots(spark):
     assert counts.std().max() > 0  # drawn, not dealt in turn
 
 
+def chained_hash(*values):
+    """Spark's xxhash64 of integers (int, long) and texts."""
+    seed = 42
+    for value, size in values:
+        seed = xxhash.xxh64_intdigest(value.encode() if size is None else value.to_bytes(size, "little", signed=True), seed)
+    return seed - (1 << 64) if seed >> 63 else seed
+
+
+@pytest.mark.parametrize("quotas, shard_slots", [({"a": 700, "b": 290, "c": 10}, 64), ({f"s{i:03d}": 1 + i % 3 for i in range(300)}, 7), ({"only": 5}, 4096), ({}, 8)])
+def test_multinomial_slots(spark, quotas, shard_slots, monkeypatch):
+    monkeypatch.setattr(mixing, "SPAN", 5)  # several spans of shards
+    rows = spark.createDataFrame([(s, 16 * n, 16.0 * n) for s, n in quotas.items()] + [("=none", 0, 0.0)], "__src string, source_size long, target double")
+    slots = mixing._slots(rows, 16, shard_slots, 42).toPandas()
+    total = sum(quotas.values())
+    assert sorted(slots["place"]) == list(range(total)) and (slots["shard"] == slots["place"] // shard_slots).all()
+    assert slots["__src"].value_counts().to_dict() == quotas
+    assert all(sorted(part["block"]) == list(range(quotas[s])) for s, part in slots.groupby("__src"))
+
+    owner = [s for s in sorted(quotas) for _ in range(quotas[s])]
+    drawn = [owner[chained_hash((42, 4), ("draw", None), (p, 8)) % total] for p in range(total)]
+    got, counts, free = collections.Counter(zip(slots["shard"], slots["__src"])), collections.Counter(), 0
+    want = collections.Counter()
+    for place, s in enumerate(drawn):  # draws stand until a source has its quota
+        if counts[s] < quotas[s]:
+            want[place // shard_slots, s] += 1
+            counts[s] += 1
+        else:
+            free += 1
+    assert not want - got and sum((got - want).values()) == free
+    assert all((got - want)[k] == 0 or sum(d == k[1] for d in drawn) < quotas[k[1]] for k in got)
+
+
+def test_few_and_many_sources_are_drawn_alike(spark, monkeypatch):
+    rows = spark.createDataFrame([(f"s{i}", 160 * i, 320.0 * i) for i in range(40)], "__src string, source_size long, target double")
+    want = sorted(mixing._slots(rows, 16, 32, 7).collect())
+    monkeypatch.setattr(mixing, "BROADCAST_CELLS", 0)
+    assert sorted(mixing._slots(rows, 16, 32, 7).collect()) == want
+
+
 # byte-level BPE
 
 RANKS, PATTERN = public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN
