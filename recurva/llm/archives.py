@@ -1,10 +1,9 @@
 """Legacy archives: ARC files of version 1 and 2 written, read by their declared lengths, and converted to WARC.
 
-Archives are written by Spark's text sink, one row per record with the separator of the format as the line end, so
-that any store Spark can write to will do and a lost task is simply run again. Every file opens with its own
-description: rows are counted, and a description is sent whenever the sink begins a new file. Archives are read as whole
-files and walked in Arrow batches; the number of records in a file follows from their mean size, so that a file stays
-near `ARCHIVE_BYTES`.
+Archives are written by Spark's text sink, one row per file, so that any store Spark can write to will do and a lost
+task is simply run again. Each task fills one file after the other: a description first, then records until the next one
+would take it beyond `ARCHIVE_BYTES`. So a run of large pages makes more files and not larger ones, and only a record
+that is larger by itself makes a larger file. Archives are read as whole files and walked in Arrow batches.
 
 Conversion walks the archives twice. The first walk returns a line per record without its payload; equal payloads are
 found among those lines. The second walk writes the records. Payloads are never grouped, and are moved between tasks
@@ -18,7 +17,7 @@ import gzip
 import hashlib
 import re
 import uuid
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -27,7 +26,7 @@ from pyspark.sql import functions as F
 
 from recurva.session import checkpointed, scratch_path
 
-#: Bytes of records in a file before compression, about.
+#: Bytes of records in a file before compression, at most, unless it holds a single one.
 ARCHIVE_BYTES = 32_000_000
 #: Bytes of records handed back to Spark in one batch.
 BATCH_BYTES = 8_000_000
@@ -170,9 +169,24 @@ def _batches(rows: Iterator[tuple], schema: pa.Schema) -> Iterator[pa.RecordBatc
         yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*held), schema)], schema=schema)
 
 
-def _write(values: DataFrame, path: str, separator: str, records: int) -> None:
-    values.select(F.col("value").cast("string")).write.option("lineSep", separator).option(
-        "maxRecordsPerFile", records).option("compression", "gzip").text(path)
+def _filled(records: Iterator[tuple[int, Callable[[int], bytes], Callable[[int], bytes]]], separator: bytes, limit: int) -> Iterator[tuple[bytes]]:
+    """Whole files from records: each a size, and what it adds to a file of a given number, first as its opening, then as a record."""
+    held, size, number = [], 0, 0
+    for length, opening, record in records:
+        if held and size + length > limit:
+            yield (separator.join(held),)
+            held, size, number = [], 0, number + 1
+        if not held:
+            held.append(opening(number))
+        held.append(record(number))
+        size += length
+    if held:
+        yield (separator.join(held),)
+
+
+def _write(files: DataFrame, path: str, separator: bytes) -> None:
+    files.select(F.col("value").cast("string")).write.option("lineSep", separator.decode()).option(
+        "maxRecordsPerFile", 1).option("compression", "gzip").text(path)
 
 
 def _files(spark: SparkSession, path: str) -> DataFrame:
@@ -180,33 +194,25 @@ def _files(spark: SparkSession, path: str) -> DataFrame:
     return files.select(F.element_at(F.split("path", "/"), -1).alias("archive"), "content")
 
 
-def _records_a_file(mean_bytes: float | None) -> int:
-    return max(2, int(ARCHIVE_BYTES / ((mean_bytes or 0) + 500)))
-
-
 def write_arc(df: DataFrame, path: str, page_id: str = "page_id", url: str = "url", html: str = "html", date: str = "20240101000000") -> None:
     """`df` as ARC files below `path`, files of both versions in turn: a record per row, with the page in UTF-8 as the body of
     an HTTP response that names the page's id. NULL pages are empty; a NULL URL is `about:blank`; a NULL id is left out."""
-    records = _records_a_file(df.agg(F.avg(F.octet_length(F.col(html)))).first()[0])
-    schema = pa.schema([("value", pa.binary())])
+    schema, limit = pa.schema([("value", pa.binary())]), ARCHIVE_BYTES
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def rows():
-            written = 0
+        def records():
             for batch in batches:
                 for page, address, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
-                    version = 1 + written // records % 2
-                    if written % records == 0:
-                        yield (arc_description(version, f"part-{written // records}.arc", date),)
-                        written += 1
                     payload = (text or "").encode()
                     named = "" if page is None else f"X-Page-Id: {page}\r\n"
                     block = f"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n{named}Content-Length: {len(payload)}\r\n\r\n".encode() + payload
-                    yield (arc_line(version, _escaped(address or "about:blank"), date, "text/html", block) + b"\n" + block,)
-                    written += 1
-        yield from _batches(rows(), schema)
+                    url_word = _escaped(address or "about:blank")
+                    yield (len(block), lambda n: arc_description(1 + n % 2, f"part-{n}.arc", date),
+                           lambda n, u=url_word, b=block: arc_line(1 + n % 2, u, date, "text/html", b) + b"\n" + b)
+
+        yield from _batches(_filled(records(), b"\n", limit), schema)
 
-    _write(df.select(F.col(page_id).cast("long"), F.col(url), F.col(html)).mapInArrow(work, "value binary"), path, "\n", records)
+    _write(df.select(F.col(page_id).cast("long"), F.col(url), F.col(html)).mapInArrow(work, "value binary"), path, b"\n")
 
 
 def _arc_index(spark: SparkSession, path: str) -> DataFrame:
@@ -237,7 +243,7 @@ def convert_to_warc(spark: SparkSession, arc_path: str, path: str, min_bytes: in
     leave the payload out. A truncated last record says so.
     """
     index = checkpointed(_arc_index(spark, arc_path))
-    records = _records_a_file(index.agg(F.avg("size")).first()[0])
+    limit = ARCHIVE_BYTES
     order = F.struct(F.col("page_id").isNull(), "page_id", "archive", "offset")
     whole = index.where(F.col("size") >= min_bytes)
     firsts = checkpointed(whole.groupBy("digest", "size").agg(
@@ -256,14 +262,13 @@ def convert_to_warc(spark: SparkSession, arc_path: str, path: str, min_bytes: in
         yield from _batches(rows(), schema)
 
     def write(batches):
-        def rows():
-            written = 0
+        def about(r: dict) -> bytes:
+            text = b"software: recurva\r\nformat: WARC File Format 1.1\r\n"
+            return warc_record("warcinfo", record_id(r["archive"], -1 - r["offset"]), r["date"], text, "application/warc-fields")
+
+        def records():
             for batch in batches:
                 for r in batch.to_pylist():
-                    if written % records == 0:
-                        about = b"software: recurva\r\nformat: WARC File Format 1.1\r\n"
-                        yield (warc_record("warcinfo", record_id(r["archive"], -1 - written), r["date"], about, "application/warc-fields"),)
-                        written += 1
                     headers, payload = split_http(r["block"])
                     digest, first = f"sha1:{sha1_base32(payload)}", r["first"]
                     known = [("WARC-Target-URI", r["url"]), ("WARC-IP-Address", r["address"]), ("WARC-Payload-Digest", digest),
@@ -275,13 +280,14 @@ def convert_to_warc(spark: SparkSession, arc_path: str, path: str, min_bytes: in
                                   ("WARC-Refers-To-Target-URI", first["url"]), ("WARC-Refers-To-Date", first["date"])]
                     elif not headers:
                         kind, content_type = "resource", r["content_type"]
-                    yield (warc_record(kind, record_id(r["archive"], r["offset"]), r["date"], block, content_type, *known),)
-                    written += 1
-        yield from _batches(rows(), pa.schema([("value", pa.binary())]))
+                    record = warc_record(kind, record_id(r["archive"], r["offset"]), r["date"], block, content_type, *known)
+                    yield len(record), lambda _, r=r: about(r), lambda _, record=record: record
+
+        yield from _batches(_filled(records(), b"\r\n\r\n", limit), pa.schema([("value", pa.binary())]))
 
     found = _files(spark, arc_path).mapInArrow(
         walk, "archive string, offset long, url string, address string, date string, content_type string, whole boolean, block binary")
-    _write(found.join(revisits, ["archive", "offset"], "left").mapInArrow(write, "value binary"), path, "\r\n\r\n", records)
+    _write(found.join(revisits, ["archive", "offset"], "left").mapInArrow(write, "value binary"), path, b"\r\n\r\n")
 
 
 def read_warc(spark: SparkSession, path: str) -> DataFrame:

@@ -137,6 +137,22 @@ def digest(text):
     return base64.b32encode(hashlib.sha1((text or "").encode()).digest()).decode()
 
 
+def test_files_are_cut_by_bytes(spark, monkeypatch):
+    monkeypatch.setattr(archives, "ARCHIVE_BYTES", 4000)
+    rows = [(i, "http://a", "x" * n) for i, n in enumerate([1, 1, 1, 3000, 3000, 3000, 9000, 1, 1, 1])]
+    frame = spark.createDataFrame(rows, "page_id long, url string, html string").coalesce(1)
+    arc, warc = scratch_path(spark, "arc"), scratch_path(spark, "warc")
+    archives.write_arc(frame, arc)
+    archives.convert_to_warc(spark, arc, warc)
+    parts = lambda path: [gzip.decompress(bytes(r["content"])) for r in spark.read.format("binaryFile").option("pathGlobFilter", "*.gz").load(path).collect()]
+    in_arc = [[len(archives.split_http(r.block)[1]) for r in archives.parse_arc(data)] for data in parts(arc)]
+    assert sorted(in_arc) == sorted([[1, 1, 1, 3000], [3000], [3000], [9000], [1, 1, 1]])
+    in_warc = [[f["warc-type"] for f, _ in archives.parse_warc(data)] for data in parts(warc)]
+    assert all(kinds[0] == "warcinfo" and "warcinfo" not in kinds[1:] and len(kinds) > 1 for kinds in in_warc)
+    assert all(len(data) < 6000 or len(list(archives.parse_warc(data))) == 2 for data in parts(warc))
+    assert sum(len(kinds) - 1 for kinds in in_warc) == len(rows)
+
+
 def test_archive_pages(spark, monkeypatch):
     monkeypatch.setattr(archives, "ARCHIVE_BYTES", 3000)  # several files of both versions
     tricky = "WARC/1.1\r\n\r\nfiledesc://x 0 0 text/plain 3\r\n\r\nhttp://a 0.0.0.0 20240101000000 text/html 9\n"
