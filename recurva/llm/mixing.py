@@ -142,7 +142,9 @@ def _slots(sources: DataFrame, block_words: int, shard_slots: int, seed: int) ->
         })
 
     wide = ["__src", "__blocks", "shard", "__size", "__own_keys", "__shard_keys"]
-    kept = with_keys(lined.where(F.col("__kept") > 0)).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__kept") - 1)))
+    tasks = int(sources.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    kept = lined.where(F.col("__kept") > 0).repartition(tasks, "shard", "__src")  # few bytes list many slots
+    kept = with_keys(kept).withColumn("__i", F.explode(F.sequence(F.lit(0), F.col("__kept") - 1)))
     kept = kept.select(*wide, (F.col("__first") + F.col("__i")).alias("__j"), (F.col("__local") + F.col("__i")).alias("__local"))
 
     drawn = counts.groupBy("__src").agg(F.sum("__n").alias("__drawn"))
