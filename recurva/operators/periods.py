@@ -99,19 +99,19 @@ def previous_mrr(flags: DataFrame, grain: str = "month", keys: Sequence[str] = (
 def customer_churn(flags: DataFrame, grain: str = "month", keys: Sequence[str] = (TENANT,)) -> DataFrame:
     """`active_customers_start` and `churned_customers` per key and period.
 
-    A customer counts at the start if active in the period before, and as churned if not active any more.
+    A customer counts at the start if active in the period before, and as churned if not active any more. A customer
+    without an id is one like others. Each active row speaks for its own period and for the next, so that both sides of a
+    customer meet in one aggregate, which combines before its shuffle, instead of in a join.
     """
-    active = flags.where(F.col("status") == "active").select(*keys, PERIOD, CUSTOMER).distinct()
-    before = active.withColumn(PERIOD, next_period(F.col(PERIOD), grain))
-    still = active.withColumn("still", F.lit(1))
-    return (
-        before.join(still, [*keys, PERIOD, CUSTOMER], "left")
-        .groupBy(*keys, PERIOD)
-        .agg(
-            F.count(F.lit(1)).cast("double").alias("active_customers_start"),
-            F.count_if(F.col("still").isNull()).cast("double").alias("churned_customers"),
-        )
+    active = flags.where(F.col("status") == "active").select(*keys, CUSTOMER, F.inline(F.array(
+        F.struct(F.col(PERIOD).alias(PERIOD), F.lit(False).alias("before")),
+        F.struct(next_period(F.col(PERIOD), grain).alias(PERIOD), F.lit(True).alias("before")))))
+    seen = active.groupBy(*keys, PERIOD, CUSTOMER).agg(F.max("before").alias("before"), F.min("before").alias("gone"))
+    counted = seen.groupBy(*keys, PERIOD).agg(
+        F.count_if("before").cast("double").alias("active_customers_start"),
+        F.count_if("gone").cast("double").alias("churned_customers"),
     )
+    return counted.where(F.col("active_customers_start") > 0)
 
 
 def formula_inputs(flags: DataFrame, grain: str = "month", keys: Sequence[str] = (TENANT,)) -> DataFrame:

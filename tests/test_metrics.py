@@ -151,6 +151,26 @@ def test_period_flags(spark):
     assert churn == {2: (1.0, 0.0), 3: (1.0, 1.0)}
 
 
+def test_customer_churn(spark):
+    rng = random.Random(4)
+    months = [datetime.date(2023 + i // 12, 1 + i % 12, 1) for i in range(18)]
+    rows = [(rng.choice("tu"), rng.choice(["x", "y", "z", None]), f"s{rng.randint(0, 2)}", rng.choice(["active", "active", "canceled", None]), rng.choice(months))
+            for _ in range(120)]
+    flags = spark.createDataFrame(rows, "tenant_id string, customer_entity_id string, subscription_id string, status string, period_date date")
+    at = {}
+    for tenant, customer, _, status, month in rows:
+        if status == "active":
+            at.setdefault((tenant, month), set()).add(customer)
+    want = {}
+    for (tenant, month), before in at.items():
+        following = datetime.date(month.year + month.month // 12, month.month % 12 + 1, 1)
+        want[tenant, following] = (len(before), len(before - at.get((tenant, following), set())))
+    churn = periods.customer_churn(flags)
+    assert {(r["tenant_id"], r["period_date"]): (r["active_customers_start"], r["churned_customers"]) for r in churn.collect()} == want
+    assert "Join" not in churn._jdf.queryExecution().executedPlan().toString()
+    assert periods.customer_churn(flags.limit(0)).count() == 0
+
+
 def test_exact_sum(spark):
     rng = random.Random(2)
     sets = {"tiny": [1e-7] * 1000, "huge": [1e27, 1.0, 1e-7, -1e27], "tenths": [0.1] * 30, "mixed": [rng.uniform(-1, 1) * 10 ** rng.randint(-3, 12) for _ in range(2000)],
