@@ -143,17 +143,20 @@ def _bitmap(items: str, low: int) -> Column:
 
 def _name_features(names: DataFrame) -> DataFrame:
     words = F.filter(F.split("name", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
-    staged = names.withColumn("words", words).withColumn("ordered", F.array_join(F.sort_array("words"), " "))
-    staged = staged.withColumns({"grams": _bigrams(F.col("name")), "ordered_grams": _bigrams(F.col("ordered"))})
+    staged = names.withColumn("words", words).withColumns({
+        "ordered": F.array_join(F.sort_array("words"), " "),
+        "once": F.array_join(F.sort_array(F.array_distinct("words")), " "),
+    })
+    texts = {"grams": "name", "ordered_grams": "ordered", "once_grams": "once"}
+    staged = staged.withColumns({grams: _bigrams(F.col(text)) for grams, text in texts.items()})
     staged = staged.withColumns({
         "length": F.length("name"),
         "ordered_length": F.length("ordered"),
-        "repeats": F.size(F.array_distinct("words")) < F.size("words"),
-        "grams": _numbered("grams"),
-        "ordered_grams": _numbered("ordered_grams"),
+        "once_length": F.length("once"),
+        **{grams: _numbered(grams) for grams in texts},
     })
-    bitmaps = {f"{items}_{low}": _bitmap(items, low) for items in ("words", "grams", "ordered_grams") for low in (0, 64)}
-    return staged.withColumns({**bitmaps, "grams_size": F.size("grams"), "ordered_grams_size": F.size("ordered_grams")})
+    bitmaps = {f"{items}_{low}": _bitmap(items, low) for items in ("words", *texts) for low in (0, 64)}
+    return staged.withColumns({**bitmaps, **{f"{grams}_size": F.size(grams) for grams in texts}})
 
 
 def _shared_at_most(items: str) -> Column:
@@ -174,15 +177,15 @@ def _covered(a_words: str, b_words: str) -> Column:
     """Whether the words two names share make up so much of either that the ratio of them to it suffices."""
     both = F.array_intersect(a_words, b_words)
     size = F.aggregate(both, F.lit(-1), lambda n, word: n + F.length(word) + 1)  # joined by blanks
-    return size >= _WORD_RATIO / (2 - _WORD_RATIO) * F.least("a_ordered_length", "b_ordered_length") - 1e-9
+    return size >= _WORD_RATIO / (2 - _WORD_RATIO) * F.least("a_once_length", "b_once_length") - 1e-9
 
 
 def _enough_shared(shared: Callable[[str], Column], words: Column, covered: Column) -> Column:
     """Necessary condition for a fuzzy similarity of 0.80, from shared words and two-letter pieces.
 
     A ratio r of texts of length n and m shares at least (1.5 r − 1)(n + m) − 1 two-letter pieces. Texts of like length
-    need a plain ratio of 0.8 or a word ratio of 0.8 / 0.95: of the sorted words; of the words in the order of shared ones
-    first, which changes at most two pieces on either side; or of the shared words to one of the names. Texts of unlike length, up to
+    need a plain ratio of 0.8 or a word ratio of 0.8 / 0.95: of the sorted words; of the different words in the order of shared
+    ones first, which changes at most two pieces on either side; or of the shared words to those of one of the names. Texts of unlike length, up to
     eight times, need a shared word or a window ratio of 0.8 / 0.9 or 0.8 / 0.855, against a window that is at least r / (2 − r) as
     long as the shorter text.
     """
@@ -200,13 +203,13 @@ def _enough_shared(shared: Callable[[str], Column], words: Column, covered: Colu
 
     longest = F.greatest("a_length", "b_length")
     alike = longest < 1.5 * least("length")
-    repeated = F.col("a_repeats") | F.col("b_repeats")
     plain = shared("grams") >= whole(0.8) * total("length") - 1
     near = shared("ordered_grams") >= whole(_WORD_RATIO) * total("ordered_length") - 1
-    turned = words & ((shared("ordered_grams") >= whole(_WORD_RATIO) * total("ordered_length") - 5) | covered)
+    turned = words & ((shared("once_grams") >= whole(_WORD_RATIO) * total("once_length") - 5) | covered)
     inside = (shared("grams") >= window(0.8 / 0.9) * least("length") - 1) | (
-        shared("ordered_grams") >= window(0.8 / 0.855) * least("ordered_length") - 1)
-    return repeated | plain | (alike & (near | turned)) | (~alike & (longest <= 8 * least("length")) & (words | inside))
+        shared("ordered_grams") >= window(0.8 / 0.855) * least("ordered_length") - 1) | (
+        shared("once_grams") >= window(0.8 / 0.855) * least("once_length") - 1)
+    return plain | (alike & (near | turned)) | (~alike & (longest <= 8 * least("length")) & (words | inside))
 
 
 def _may_be_similar() -> Column:

@@ -160,6 +160,25 @@ def test_blocks_of_small_cases(spark):
     assert shared(("alex@acme.com", "Acme Corp"), ("bob@acme.com", "Acme Inc")) == 1
 
 
+def test_repeated_words_are_no_reason_to_compare(spark):
+    """Names that repeat a word pass the same filters as others, and no similar pair is lost by them."""
+    rng = random.Random(11)
+    words = ["new", "york", "acme", "data", "systems", "b", "global", "north", "tele", "ünit"]
+    names = {" ".join(rng.choices(words, k=rng.randint(1, 6))) for _ in range(250)}
+    names |= {"".join(rng.choice([c, c, c, rng.choice("abn ")]) for c in name).strip() for name in list(names)[:120]}
+    names |= {"duran duran", "duran", "duran duran duran", "new new york york", "york new", "b b b b", "b"}
+    names = sorted(n for n in names if n)
+    frame = matching._name_features(spark.createDataFrame([(n,) for n in names], "name string"))
+    pairs = matching._side(frame, "a").join(matching._side(frame, "b"), F.col("a_name") < F.col("b_name"))
+    passed = {(r["a_name"], r["b_name"]) for r in pairs.where(matching._may_be_similar()).select("a_name", "b_name").collect()}
+    similar = {(a, b) for i, a in enumerate(names) for b in names[i + 1:] if weighted_ratio(a, b) >= 80.0}
+    assert len(similar) > 100 and not similar - passed
+    repeats = [f"{a} {a}" for a in ("".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=8)) for _ in range(150))]
+    frame = matching._name_features(spark.createDataFrame([(n,) for n in repeats], "name string"))
+    pairs = matching._side(frame, "a").join(matching._side(frame, "b"), F.col("a_name") < F.col("b_name"))
+    assert pairs.where(matching._may_be_similar()).count() < 0.01 * pairs.count()
+
+
 def test_names_that_are_not_compared_are_not_similar(spark):
     """The condition ahead of the comparison holds for all similar names, and for few others where a word is common to all."""
     rng = random.Random(12)
