@@ -82,8 +82,8 @@ def strategy_keys(records: DataFrame, strategy: Strategy) -> Column:
     keys = [strategy.normalize(value) for value in field_values(records, strategy.fields)]
     if not keys:
         return F.array().cast("array<string>")
-    usable = F.array_compact(F.array(*[F.when(F.length(k) >= strategy.min_length, k) for k in keys]))
-    return F.array_distinct(usable)
+    usable = F.filter(F.array(*keys), lambda k: F.length(k) >= strategy.min_length)  # normalises each field once
+    return F.array_distinct(usable) if len(keys) > 1 else usable
 
 
 def key_array(records: DataFrame, strategies: Sequence[Strategy] = STRATEGIES) -> Column:
@@ -91,7 +91,7 @@ def key_array(records: DataFrame, strategies: Sequence[Strategy] = STRATEGIES) -
     def labelled(strategy: Strategy) -> Column:
         return F.transform(strategy_keys(records, strategy), lambda k: F.concat(F.lit(f"{strategy.name}:"), k))
 
-    return F.array_sort(F.concat(*map(labelled, strategies)))
+    return F.sort_array(F.concat(*map(labelled, strategies)))
 
 
 def block_keys(records: DataFrame, strategies: Sequence[Strategy] = STRATEGIES) -> DataFrame:

@@ -39,6 +39,11 @@ _WORD_RATIO = 0.8 / 0.95
 _ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "domain", "blocked", "name", "micros", "zoned", "amount", "amount_bad", "keys")
 
 
+def spread(rows: DataFrame) -> DataFrame:
+    """Rows dealt evenly to all shuffle partitions, however few files they come from: a row is few bytes but much work here."""
+    return rows.repartition(int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+
+
 def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
                     strategies: Sequence[Strategy] = STRATEGIES) -> DataFrame:
     """What the scores read of each record, and `profile`, a digest of it.
@@ -47,27 +52,31 @@ def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
     records of the same link share a blocking key for certain, as they do by their domain; strategies other than the
     usual ones may leave that out.
     """
-    rows = with_source(records)
+    rows = spread(with_source(records))
     read = field_reader(rows)
     email, name, time, amount = (first_non_null(read, f) for f in (EMAIL_FIELDS, NAME_FIELDS, TIME_FIELDS, AMOUNT_FIELDS))
-    clean = sim.clean_email(email)
     rank = F.lit("~")
     for place, source in enumerate(source_order):
         rank = F.when(F.col("source_type") == source, f"{place:06d}").otherwise(rank)
+    usual = F.lit(all(s in strategies for s in STRATEGIES))
     rows = rows.select(
         "source_type", "record_id",
         F.concat(rank, F.lit(":"), "source_type").alias("source_rank"),
-        email.alias("raw_email"), name.alias("raw_name"), clean.alias("email"),
-        F.coalesce(sim.known_domain(clean), clean).alias("link"),
-        sim.known_domain(clean).alias("domain"),
-        (sim.known_domain(clean).isNotNull() & F.lit(all(s in strategies for s in STRATEGIES))).alias("blocked"),
+        email.alias("raw_email"), name.alias("raw_name"), sim.clean_email(email).alias("email"),
         F.when(name != "", F.lower(name)).alias("name"),
-        sim.iso_micros(time).alias("micros"),
-        F.coalesce(sim.iso_zoned(time), F.lit(False)).alias("zoned"),
-        F.when(amount != "", parse_double(amount)).alias("amount"),
-        ((amount != "") & parse_double(amount).isNull()).alias("amount_bad"),
+        time.alias("time"), amount.alias("amount"),
         key_array(rows, strategies).alias("keys"),
     )
+    number = parse_double(F.col("amount"))
+    rows = rows.withColumn("domain", sim.known_domain(F.col("email"))).select(
+        *[c for c in rows.columns if c not in ("time", "amount")],
+        "domain", F.coalesce("domain", "email").alias("link"),
+        (F.col("domain").isNotNull() & usual).alias("blocked"),
+        sim.iso_micros(F.col("time")).alias("micros"),
+        F.coalesce(sim.iso_zoned(F.col("time")), F.lit(False)).alias("zoned"),
+        F.when(F.col("amount") != "", number).alias("amount"),
+        ((F.col("amount") != "") & number.isNull()).alias("amount_bad"),
+    )
     return rows.withColumn("profile", F.md5(F.to_json(F.struct(*_ATTRIBUTES), {"ignoreNullFields": "false"})))
 
 
@@ -230,11 +239,15 @@ def _compared(pairs: DataFrame) -> DataFrame:
 def similar_names(nodes: DataFrame, tile_rows: int | None = TILE_ROWS) -> DataFrame:
     """Pairs of distinct names, both ways round, with a similarity of 0.80 or more.
 
-    Only names that occur under one link (e-mail domain) in different sources are compared, once per link.
+    Only names that occur under one link (e-mail domain) in different sources are compared, once per link. Links with a single
+    name or source are left out before anything is worked out of their names.
     """
-    names = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull()).groupBy("link", "name").agg(
-        F.min("source_rank").alias("first"), F.max("source_rank").alias("last"))
-    names = _name_features(names)
+    named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
+    several = named.groupBy("link").agg(
+        F.min("name").alias("low"), F.max("name").alias("high"),
+        F.min("source_rank").alias("first"), F.max("source_rank").alias("last")).where("low < high AND first < last").select("link")
+    names = named.groupBy("link", "name").agg(F.min("source_rank").alias("first"), F.max("source_rank").alias("last"))
+    names = _name_features(spread(names.join(several, "link", "left_semi")))
     ordered = F.col("a_name") < F.col("b_name")
     across = (F.col("a_first") != F.col("b_last")) | (F.col("b_first") != F.col("a_last"))
     found = tiled_join(_side(names, "a", ("link",)), _side(names, "b", ("link",)), ["link"],

@@ -206,6 +206,34 @@ def test_names_that_are_not_compared_are_not_similar(spark):
     assert pairs.where(matching._may_be_similar()).count() < 0.01 * pairs.count()
 
 
+def test_profiles_are_dealt_to_all_tasks(spark):
+    """Records that come in one partition are profiled in as many tasks as a shuffle has."""
+    rows = records(spark, [("stripe", f"s{i}", (f"a{i}@d{i}.com", f"Name {i} Inc", None, None, "5")) for i in range(90)]).coalesce(1)
+    sizes = matching.record_profiles(rows).groupBy(F.spark_partition_id().alias("part")).count().collect()
+    assert len(sizes) == int(spark.conf.get("spark.sql.shuffle.partitions")) and max(r["count"] for r in sizes) < 60
+
+
+def test_only_links_with_several_names_and_sources_are_compared(spark, monkeypatch):
+    seen = []
+    features = matching._name_features
+    monkeypatch.setattr(matching, "_name_features", lambda names: seen.append(names) or features(names))
+    rows = [("stripe", "a", ("a@one.com", "Acme", None, None, None)), ("csv", "b", ("b@one.com", "acme", None, None, None)),
+            ("csv", "c", ("c@two.com", "Globex", None, None, None)), ("csv", "d", ("d@two.com", "Globexx", None, None, None)),
+            ("stripe", "e", ("e@three.com", "Initech", None, None, None)), ("csv", "f", ("f@three.com", "Initechs", None, None, None)),
+            ("csv", "g", ("g@three.com", None, None, None, None))]
+    found = matching.similar_names(matching.match_nodes(matching.record_profiles(records(spark, rows)))).collect()
+    assert {(r["a_name"], r["b_name"]) for r in found} == {("initech", "initechs"), ("initechs", "initech")}
+    assert {r["link"] for r in seen[0].select("link").collect()} == {"three.com"}
+
+
+def test_keys_are_normalised_once(spark):
+    """Short and missing keys are left out, equal ones kept once."""
+    rows = spark.createDataFrame([("s", "1", ("Acme Inc", "acme", "x", None)), ("s", "2", (None, "", "12", "555 1234567"))],
+                                 "source_type string, record_id string, data struct<name:string,company:string,phone:string,tel:string>")
+    got = {r["record_id"]: r["keys"] for r in rows.select("record_id", blocking.key_array(rows).alias("keys")).collect()}
+    assert got == {"1": ["company_name:acme"], "2": ["phone:1234567"]}
+
+
 def test_given_pairs(spark):
     frame = records(spark, [("stripe", "a", ("alex@acme.com", "Acme Corp", None, None, "500")), ("postgres", "b", ("alex@acme.com", "Acme Corp", None, None, "500")),
                             ("postgres", "c", ("bob@other.com", "Totally Different", None, None, None))])
