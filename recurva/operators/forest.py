@@ -36,6 +36,13 @@ def _draw(*names: object) -> float:
     return int(hashlib.md5("|".join(map(str, names)).encode()).hexdigest()[:13], 16) / 2.0 ** 52
 
 
+def _draws(seed: object, trees: np.ndarray, nodes: np.ndarray, name: str) -> np.ndarray:
+    """`_draw` of the seed, a tree, a node and a name, for many nodes."""
+    start, md5 = f"{seed}|", hashlib.md5
+    digests = b"".join([md5(f"{start}{t}|{n}|{name}".encode()).digest()[:8] for t, n in zip(trees.tolist(), nodes.tolist())])
+    return (np.frombuffer(digests, dtype=">u8") >> np.uint64(12)).astype(float) / 2.0 ** 52
+
+
 def forest_scores(points: np.ndarray, seed: object, trees: int = 100, sample: int | None = None, features: Sequence[str] = ()) -> np.ndarray:
     """Score per row, near −1 for isolated rows. All trees grow level by level in the same arrays.
 
@@ -54,33 +61,39 @@ def forest_scores(points: np.ndarray, seed: object, trees: int = 100, sample: in
     depth = np.zeros((trees, n))
     open_ = np.ones((trees, n), dtype=bool)
     levels = max(1, int(np.ceil(np.log2(max(drawn, 2)))))
+    # a tree has no more nodes than fit its levels, at most four times its rows, so each has a place of its own
     of_tree = np.arange(trees)[:, None] << (levels + 1)
-
-    def numbered() -> tuple[np.ndarray, np.ndarray]:
-        names, place = np.unique(of_tree + node, return_inverse=True)
-        return names, place.reshape(node.shape)
-
+    nodes = trees << (levels + 1)
+    column = np.broadcast_to(np.arange(n), node.shape)
     for _ in range(levels):
-        names, place = numbered()
-        low = np.full((len(names), width), np.inf)
-        high = np.full((len(names), width), -np.inf)
+        place = of_tree + node
         grow = used & open_
-        rows = np.broadcast_to(np.arange(n), node.shape)[grow]
-        np.minimum.at(low, place[grow], points[rows])
-        np.maximum.at(high, place[grow], points[rows])
-        can = (high > low).any(axis=1)
-        feature, cut = np.zeros(len(names), dtype=int), np.zeros(len(names))
-        for i in np.flatnonzero(can):
-            tree, own = names[i] >> (levels + 1), names[i] & ((1 << levels + 1) - 1)
-            choices = np.flatnonzero(high[i] > low[i])
-            best = choices[0] if len(choices) == 1 else max(choices, key=lambda f: _draw(seed, tree, own, features[f]))
-            feature[i], cut[i] = best, low[i, best] + _draw(seed, tree, own, "") * (high[i, best] - low[i, best])
+        low, high = np.full((nodes, width), np.inf), np.full((nodes, width), -np.inf)
+        at, rows = place[grow], points[column[grow]]
+        for f in range(width):
+            np.minimum.at(low[:, f], at, rows[:, f])
+            np.maximum.at(high[:, f], at, rows[:, f])
+        varies = high > low
+        can = varies.any(axis=1)
         open_ &= can[place]
+        drawn_for = np.flatnonzero(can)
+        tree, own = drawn_for >> (levels + 1), drawn_for & ((1 << levels + 1) - 1)
+        feature, cut = np.zeros(nodes, dtype=int), np.zeros(nodes)
+        if width > 1:
+            best = np.full(len(drawn_for), -np.inf)
+            for f in range(width):
+                draws = np.full(len(drawn_for), -np.inf)
+                able = varies[drawn_for, f]
+                draws[able] = _draws(seed, tree[able], own[able], features[f])
+                better = draws > best
+                feature[drawn_for[better]], best[better] = f, draws[better]
+        first, last = low[drawn_for, feature[drawn_for]], high[drawn_for, feature[drawn_for]]
+        cut[drawn_for] = first + _draws(seed, tree, own, "") * (last - first)
         right = points[np.arange(n)[None, :], feature[place]] > cut[place]
         node = np.where(open_, node * 2 + right, node)
         depth += open_
-    names, place = numbered()
-    size = np.bincount(place[used], minlength=len(names))
+    place = of_tree + node
+    size = np.bincount(place[used], minlength=nodes)
     paths = (depth + _expected_path(size[place])).mean(axis=0).round(9)
     return -np.power(2.0, -paths / max(float(_expected_path(np.array(drawn))), 1e-9))
 
@@ -130,14 +143,15 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
         scores = forest_scores(values[:, None], _seed(seed, *row.values()), trees, sample)
         gap, spread = current - history.mean(), history.std()
         tiny = abs(gap) < guard and spread > 0 and abs(gap) < 2 * spread
-        found = _last_is_outlier(scores, contamination) and not tiny
+        if tiny or not _last_is_outlier(scores, contamination):
+            return nothing
         result = row | {
             "period_date": points["period_date"].iloc[-1], "detection_method": "isolation_forest",
             "severity": min(1.0, 2.0 * abs(scores[-1])), "deviation": gap, "baseline_value": history.mean(),
             "actual_value": current, "direction": "unknown",
             "context": {"isolation_forest_score": float(scores[-1]), "model_contamination": contamination},
         }
-        return pd.DataFrame([result]) if found else pd.DataFrame([result]).iloc[:0]
+        return pd.DataFrame([result])
 
     schema = T.StructType([
         *_fields(series, names),
@@ -147,6 +161,7 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
         T.StructField("direction", T.StringType()),
         T.StructField("context", T.MapType(T.StringType(), T.DoubleType())),
     ])
+    nothing = pd.DataFrame(columns=schema.fieldNames())
     ready = _judged(_spread(series, names), names).select(*names, "period_date", "value")
     return ready.groupBy(*names).applyInPandas(judge, schema)
 

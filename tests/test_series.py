@@ -98,6 +98,17 @@ def test_joint_forest(spark):
     assert row["current_values"] == {"mrr": 1300.0, "churn": 15.0}
 
 
+def test_forest_draws_for_all_nodes_of_a_level_at_once(monkeypatch):
+    import numpy as np
+
+    trees, nodes = np.arange(40) % 7, np.arange(40) + 1
+    assert forest._draws("42|x", trees, nodes, "f").tolist() == [forest._draw("42|x", t, n, "f") for t, n in zip(trees, nodes)]
+    single = []
+    monkeypatch.setattr(forest, "_draw", lambda *names: single.append(names) or 0.5)
+    points = np.random.default_rng(2).normal(size=(30, 2))
+    assert forest.forest_scores(points, "42|x", features=["a", "b"]).shape == (30,) and not single
+
+
 def test_forest_scores_are_bounded():
     import numpy as np
 
