@@ -13,6 +13,7 @@ from collections.abc import Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark import cloudpickle
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -98,6 +99,18 @@ def forest_scores(points: np.ndarray, seed: object, trees: int = 100, sample: in
     return -np.power(2.0, -paths / max(float(_expected_path(np.array(drawn))), 1e-9))
 
 
+_FOREST_KINDS = (
+    pa.field("period_date", pa.date32()), pa.field("detection_method", pa.string()),
+    *[pa.field(c, pa.float64()) for c in ("severity", "deviation", "baseline_value", "actual_value")],
+    pa.field("direction", pa.string()), pa.field("context", pa.map_(pa.string(), pa.float64())),
+)
+
+
+def _seen(value: object, kind: pa.DataType) -> object:
+    """A key as it goes into the seed: a missing number is no number."""
+    return float("nan") if value is None and (pa.types.is_integer(kind) or pa.types.is_floating(kind)) else value
+
+
 def _seed(seed: int, *names: object) -> str:
     return "|".join([str(seed), *map(str, names)])
 
@@ -135,23 +148,23 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
     """
     names = [*keys, "metric_id"]
 
-    def judge(points: pd.DataFrame) -> pd.DataFrame:
-        points = points.sort_values("period_date")
-        values = points["value"].to_numpy(dtype=float)
+    def judge(points: pa.Table) -> pa.Table:
+        points = points.sort_by("period_date")
+        kinds = pa.schema([*[points.schema.field(c) for c in names], *_FOREST_KINDS])
+        values = points["value"].to_numpy()
         history, current = values[:-1], values[-1]
-        row = {c: points[c].iloc[-1] for c in names}
-        scores = forest_scores(values[:, None], _seed(seed, *row.values()), trees, sample)
+        row = {c: points[c][-1].as_py() for c in names}
+        scores = forest_scores(values[:, None], _seed(seed, *[_seen(v, kinds.field(c).type) for c, v in row.items()]), trees, sample)
         gap, spread = current - history.mean(), history.std()
         tiny = abs(gap) < guard and spread > 0 and abs(gap) < 2 * spread
         if tiny or not _last_is_outlier(scores, contamination):
-            return nothing
-        result = row | {
-            "period_date": points["period_date"].iloc[-1], "detection_method": "isolation_forest",
+            return kinds.empty_table()
+        return pa.Table.from_pylist([row | {
+            "period_date": points["period_date"][-1].as_py(), "detection_method": "isolation_forest",
             "severity": min(1.0, 2.0 * abs(scores[-1])), "deviation": gap, "baseline_value": history.mean(),
             "actual_value": current, "direction": "unknown",
-            "context": {"isolation_forest_score": float(scores[-1]), "model_contamination": contamination},
-        }
-        return pd.DataFrame([result])
+            "context": [("isolation_forest_score", float(scores[-1])), ("model_contamination", contamination)],
+        }], schema=kinds)
 
     schema = T.StructType([
         *_fields(series, names),
@@ -161,9 +174,8 @@ def detect_forest(series: DataFrame, keys: Sequence[str] = (), contamination: fl
         T.StructField("direction", T.StringType()),
         T.StructField("context", T.MapType(T.StringType(), T.DoubleType())),
     ])
-    nothing = pd.DataFrame(columns=schema.fieldNames())
-    ready = _judged(_spread(series, names), names).select(*names, "period_date", "value")
-    return ready.groupBy(*names).applyInPandas(judge, schema)
+    ready = _judged(_spread(series, names), names).select(*names, "period_date", F.col("value").cast("double").alias("value"))
+    return ready.groupBy(*names).applyInArrow(judge, schema)  # frames of pandas cost more than the forest of a short series
 
 
 def detect_joint_forest(series: DataFrame, keys: Sequence[str] = (), metrics: Sequence[str] | None = None,
