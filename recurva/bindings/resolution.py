@@ -299,7 +299,7 @@ def j6(spark, folder):
 
 @query("u4_components", f"WITH RECURSIVE {MATCHES_SQL} SELECT node, cluster_id FROM components")
 def u4(spark, folder):
-    nodes = checkpointed(matching.match_nodes(matching.record_profiles(records(spark, folder))))
+    nodes = checkpointed(matching.match_nodes(checkpointed(matching.record_profiles(records(spark, folder)))))
     names = checkpointed(matching.similar_names(nodes))
     return clustering.connected_components(matching.match_links(nodes, names), "a_node", "b_node")
 

@@ -34,6 +34,7 @@ EQUAL_NAME_SCORE = 0.53
 TOLERANCE_DAYS = 3
 TILE_ROWS = 2048
 BROADCAST_KEYS = 100_000
+FEW_NAMES = 16
 _WORD_RATIO = 0.8 / 0.95
 
 _ATTRIBUTES = ("raw_email", "raw_name", "email", "link", "domain", "blocked", "name", "micros", "zoned", "amount", "amount_bad", "keys")
@@ -80,13 +81,30 @@ def record_profiles(records: DataFrame, source_order: Sequence[str] = (),
     return rows.withColumn("profile", F.md5(F.to_json(F.struct(*_ATTRIBUTES), {"ignoreNullFields": "false"})))
 
 
-def match_nodes(profiles: DataFrame) -> DataFrame:
-    """One row per source and profile, named after its smallest record, with the number of copies."""
-    nodes = profiles.groupBy("source_type", "source_rank", "profile").agg(
+def match_nodes(profiles: DataFrame, listed_copies: int = BROADCAST_KEYS) -> DataFrame:
+    """One row per source and profile, named after its smallest record, with the number of copies.
+
+    Profiles that may occur twice are found first, by a number for each; if those are at most `listed_copies`, only their rows
+    are sorted and shuffled. Reads the profiles more than once, so hand in checkpointed ones.
+    """
+    columns = ["source_type", "source_rank", "profile", "record_id", "copies", *_ATTRIBUTES]
+    mark = F.xxhash64("source_type", "profile").alias("mark")
+    repeated = checkpointed(profiles.groupBy(mark).count().where(F.col("count") > 1).select("mark"))
+    if repeated.count() > listed_copies:
+        nodes = _collapsed(profiles)
+    else:
+        marked, repeated = profiles.withColumn("mark", mark), F.broadcast(repeated)
+        single = marked.join(repeated, "mark", "left_anti").withColumn("copies", F.lit(1).cast("long"))
+        nodes = single.select(*columns).unionByName(_collapsed(marked.join(repeated, "mark", "left_semi")).select(*columns))
+    return nodes.withColumn("node", F.concat_ws(":", "source_type", "record_id"))
+
+
+def _collapsed(profiles: DataFrame) -> DataFrame:
+    """Equal profiles of a source as one row; the digest goes first, as rows sorted by it are told apart by a few letters."""
+    return profiles.groupBy("profile", "source_type", "source_rank").agg(
         F.min("record_id").alias("record_id"), F.count(F.lit(1)).alias("copies"),
         *[F.any_value(c).alias(c) for c in _ATTRIBUTES],
     )
-    return nodes.withColumn("node", F.concat_ws(":", "source_type", "record_id"))
 
 
 def _side(nodes: DataFrame, prefix: str, keep: Sequence[str] = ()) -> DataFrame:
@@ -136,8 +154,12 @@ def _bigrams(text: Column) -> Column:
 
 
 def _numbered(pieces: str) -> Column:
-    """Sorted pieces, each with the number of its occurrence, so that sets behave like bags."""
-    return F.transform(pieces, lambda p, i: F.concat(p, (i + 1 - F.array_position(pieces, p)).cast("string")))
+    """Sorted pieces, all but the first of their kind with the number of their occurrence, so that sets behave like bags."""
+    def numbered(piece: Column, i: Column) -> Column:
+        earlier = i + 1 - F.array_position(pieces, piece)
+        return F.when(earlier == 0, piece).otherwise(F.concat(piece, earlier.cast("string")))
+
+    return F.when(F.size(F.array_distinct(pieces)) == F.size(pieces), F.col(pieces)).otherwise(F.transform(pieces, numbered))
 
 
 def _bitmap(items: str, low: int) -> Column:
@@ -151,21 +173,31 @@ def _bitmap(items: str, low: int) -> Column:
 
 
 def _name_features(names: DataFrame) -> DataFrame:
+    """What the necessary condition reads of a name. `crowd`, if given, is the number of names of its link.
+
+    The pieces of a text are worked out once where the ordered words give the same text. In links of few names all bits of the
+    bitmaps are set, so that only the sets are compared: there the bitmaps would cost more than they save.
+    """
     words = F.filter(F.split("name", r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
     staged = names.withColumn("words", words).withColumns({
         "ordered": F.array_join(F.sort_array("words"), " "),
         "once": F.array_join(F.sort_array(F.array_distinct("words")), " "),
     })
     texts = {"grams": "name", "ordered_grams": "ordered", "once_grams": "once"}
-    staged = staged.withColumns({grams: _bigrams(F.col(text)) for grams, text in texts.items()})
-    staged = staged.withColumns({
+    same = {"ordered_grams": ("grams", F.col("ordered") == F.col("name")), "once_grams": ("ordered_grams", F.col("once") == F.col("ordered"))}
+    for work in (lambda grams: _bigrams(F.col(texts[grams])), _numbered):
+        for grams in texts:
+            known, equal = same.get(grams, (None, None))
+            staged = staged.withColumn(grams, work(grams) if known is None else F.when(equal, F.col(known)).otherwise(work(grams)))
+    crowded = F.col("crowd") > FEW_NAMES if "crowd" in names.columns else F.lit(True)
+    bitmaps = {f"{items}_{low}": F.when(crowded, _bitmap(items, low)).otherwise(F.lit(-1).cast("long"))
+               for items in ("words", *texts) for low in (0, 64)}
+    return staged.withColumns({
         "length": F.length("name"),
         "ordered_length": F.length("ordered"),
         "once_length": F.length("once"),
-        **{grams: _numbered(grams) for grams in texts},
-    })
-    bitmaps = {f"{items}_{low}": _bitmap(items, low) for items in ("words", *texts) for low in (0, 64)}
-    return staged.withColumns({**bitmaps, **{f"{grams}_size": F.size(grams) for grams in texts}})
+        **bitmaps, **{f"{grams}_size": F.size(grams) for grams in texts},
+    }).drop("ordered", "once", "crowd")
 
 
 def _shared_at_most(items: str) -> Column:
@@ -243,11 +275,10 @@ def similar_names(nodes: DataFrame, tile_rows: int | None = TILE_ROWS) -> DataFr
     name or source are left out before anything is worked out of their names.
     """
     named = nodes.where(F.col("link").isNotNull() & F.col("name").isNotNull())
-    several = named.groupBy("link").agg(
-        F.min("name").alias("low"), F.max("name").alias("high"),
-        F.min("source_rank").alias("first"), F.max("source_rank").alias("last")).where("low < high AND first < last").select("link")
     names = named.groupBy("link", "name").agg(F.min("source_rank").alias("first"), F.max("source_rank").alias("last"))
-    names = _name_features(spread(names.join(several, "link", "left_semi")))
+    several = names.groupBy("link").agg(F.count(F.lit(1)).alias("crowd"), F.min("first").alias("least"), F.max("last").alias("most"))
+    several = several.where("crowd > 1 AND least < most").select("link", "crowd")
+    names = _name_features(spread(names.join(several, "link")))
     ordered = F.col("a_name") < F.col("b_name")
     across = (F.col("a_first") != F.col("b_last")) | (F.col("b_first") != F.col("a_last"))
     found = tiled_join(_side(names, "a", ("link",)), _side(names, "b", ("link",)), ["link"],
@@ -347,13 +378,30 @@ def _by_name(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: in
     return found.drop("link", "other")
 
 
+def _mixed_addresses(nodes: DataFrame) -> DataFrame:
+    """The e-mails of several sources that come with different names or without one.
+
+    Sources and names are compared by numbers, 128 bits each, which are aggregated without a sort.
+    """
+    numbers = {f"{c}_{i}": F.xxhash64(c, F.lit(i)) for c in ("source_rank", "name") for i in (1, 2)}
+    differ = {c: F.lit(False) for c in ("source_rank", "name")}
+    for column in numbers:
+        kind = column[:-2]
+        differ[kind] = differ[kind] | (F.col(f"low_{column}") < F.col(f"high_{column}"))
+    ends = [end(c).alias(f"{word}_{c}") for c in numbers for word, end in (("low", F.min), ("high", F.max))]
+    found = nodes.withColumns(numbers).groupBy("email").agg(F.max(F.col("name").isNull()).alias("nameless"), *ends)
+    return found.where(differ["source_rank"] & (differ["name"] | F.col("nameless"))).select("email")
+
+
 def _by_address(nodes: DataFrame, names: DataFrame, threshold: float, tile_rows: int | None) -> DataFrame:
     """Matches of one address with unlike names.
 
     They need a date within the tolerance, so the span of days is part of the join: two such dates lie in
-    the same span or in neighbouring ones.
+    the same span or in neighbouring ones. Addresses of a single source, or whose records all have the same name, are left out
+    before that.
     """
-    dated = nodes.where(F.col("email").isNotNull() & F.col("micros").isNotNull()).drop("link").withColumn(
+    dated = nodes.where(F.col("email").isNotNull() & F.col("micros").isNotNull()).drop("link")
+    dated = dated.join(_mixed_addresses(dated), "email", "left_semi").withColumn(
         "span", F.floor(F.col("micros") / F.lit((TOLERANCE_DAYS + 1) * sim.DAY_MICROS)))
     near = dated.withColumn("span", F.explode(F.array(F.col("span") - 1, F.col("span"), F.col("span") + 1)))
     a = _side(dated, "a", ("span",)).withColumns({"address": _a("email"), "similarity": F.lit(0.0)})
@@ -414,7 +462,7 @@ def match_pairs(nodes: DataFrame, threshold: float = MATCH_THRESHOLD, tile_rows:
 def match_records(records: DataFrame, threshold: float = MATCH_THRESHOLD, source_order: Sequence[str] = (),
                   tile_rows: int = TILE_ROWS, strategies: Sequence[Strategy] = STRATEGIES) -> DataFrame:
     """`match_pairs` for records that are unique per source and id."""
-    nodes = checkpointed(match_nodes(record_profiles(records, source_order, strategies)))
+    nodes = checkpointed(match_nodes(checkpointed(record_profiles(records, source_order, strategies))))
     return match_pairs(nodes, threshold, tile_rows)
 
 

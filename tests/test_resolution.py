@@ -226,6 +226,40 @@ def test_only_links_with_several_names_and_sources_are_compared(spark, monkeypat
     assert {r["link"] for r in seen[0].select("link").collect()} == {"three.com"}
 
 
+def test_only_profiles_with_copies_are_collapsed(spark, monkeypatch):
+    """Few copies are listed and only their rows aggregated; many send all rows through the aggregate. Both give the same nodes."""
+    seen = []
+    collapsed = matching._collapsed
+    monkeypatch.setattr(matching, "_collapsed", lambda rows: seen.append(rows) or collapsed(rows))
+    rows = noisy(5) + [("stripe", "z", (None,) * 5), ("csv", "z", (None,) * 5), ("csv", "y", (None,) * 5)]
+    profiles = checkpointed(matching.record_profiles(records(spark, rows)))
+    listed, whole = matching.match_nodes(profiles), matching.match_nodes(profiles, listed_copies=0)
+    groups = profiles.groupBy("source_type", "profile").count().collect()
+    assert sorted(r["count"] for r in groups if r["count"] > 1) and any(r["count"] == 1 for r in groups)
+    assert [part.count() for part in seen] == [sum(r["count"] for r in groups if r["count"] > 1), len(rows)]
+    assert set(listed.columns) == set(whole.columns) and len(listed.collect()) == len(groups)
+    assert sorted(map(repr, listed.collect())) == sorted(map(repr, whole.select(*listed.columns).collect()))
+
+
+def test_bitmaps_are_left_out_where_few_names_meet(spark):
+    names = spark.createDataFrame([("acme acme corp", 2), ("acme acme corp", 99), ("zeta acme", 99)], "name string, crowd long")
+    few, many, turned = matching._name_features(names).collect()
+    bitmaps = [c for c in few.asDict() if c.endswith(("_0", "_64"))]
+    assert len(bitmaps) == 8 and {few[c] for c in bitmaps} == {-1} and -1 not in {many[c] for c in bitmaps}
+    assert all(few[c] == many[c] for c in few.asDict() if c not in bitmaps)
+    assert few["ordered_grams"] == few["grams"] and sorted(few["grams"])[:6] == [" a", " c", "ac", "ac1", "cm", "cm1"]
+    assert set(few["once_grams"]) == {" c", "ac", "cm", "co", "e ", "me", "or", "rp"}
+    assert set(turned["ordered_grams"]) == {" z", "ac", "cm", "e ", "et", "me", "ta", "ze"} != set(turned["grams"])
+
+
+def test_addresses_of_one_source_or_name_are_left_out(spark):
+    rows = [("stripe", "1", "one", "acme"), ("csv", "1", "one", "acme"), ("stripe", "2", "two", "acme"), ("stripe", "3", "two", "globex"),
+            ("stripe", "4", "three", "acme"), ("csv", "4", "three", "globex"), ("stripe", "5", "four", None), ("csv", "5", "four", None),
+            ("stripe", "6", "five", "acme"), ("csv", "6", "five", None), ("csv", "7", "six", None)]
+    nodes = spark.createDataFrame(rows, "source_rank string, record_id string, email string, name string")
+    assert {r["email"] for r in matching._mixed_addresses(nodes).collect()} == {"three", "four", "five"}
+
+
 def test_keys_are_normalised_once(spark):
     """Short and missing keys are left out, equal ones kept once."""
     rows = spark.createDataFrame([("s", "1", ("Acme Inc", "acme", "x", None)), ("s", "2", (None, "", "12", "555 1234567"))],
